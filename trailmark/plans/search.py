@@ -89,7 +89,7 @@ add_view(
 )
 add_view(
     "text_scored",
-    """select q.conv_id, q.msg_idx, q.query, p.call_idx, cast(len(list_intersect(list_distinct(q.words), list_distinct(string_split(lower(p.query),' ')))) as double)
+    """select q.conv_id, q.msg_idx, q.query, p.call_idx, case when p.call_idx is not null then 1.0 end*cast(len(list_intersect(list_distinct(q.words), list_distinct(string_split(lower(p.query),' ')))) as double)
  /len(list_distinct(list_concat(q.words, string_split(lower(p.query),' ')))) as score from text_asked q left join text_pair p on p.conv_id=q.conv_id""",
     "text_asked", "text_pair",
 )
