@@ -78,6 +78,8 @@ def token(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") / 50.0).alias("value_est"),
         (F.col("l_orderkey") % 100).alias("uid"),
         F.col("l_partkey").alias("token_id"),
+        (-(F.col("l_quantity") / 500.0 + 0.01)).alias("ref_logp"),
+        F.exp(-2.0 * (F.col("l_discount") + 0.01)).alias("sum_pi_squared"),
     )
 
 
@@ -159,7 +161,8 @@ select concat(cast(user_id as string),'|',substr(cast(ts as string),1,10)) as ui
 select l_orderkey as sample_id,
  cast(row_number() over(partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey,l_quantity) as int) as t,
  -(l_discount+0.01) as old_logp, -(l_tax+0.012) as rollout_logp, case when l_returnflag='N' then 0 else 1 end as mask,
- l_extendedprice/100000.0 as reward, l_quantity/50.0 as value_est, l_orderkey%100 as uid, l_partkey as token_id
+ l_extendedprice/100000.0 as reward, l_quantity/50.0 as value_est, l_orderkey%100 as uid, l_partkey as token_id,
+ -(l_quantity/500.0+0.01) as ref_logp, exp(-2.0*(l_discount+0.01)) as sum_pi_squared
  from lineitem""",
     "message": """
 select conv_id, turn as msg_idx, role, case

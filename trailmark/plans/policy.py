@@ -1 +1,390 @@
-"""Queries, to be registered."""
+"""Queries on advantages, off-policy diagnostics, losses and masks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trailmark.operators import advantages as G
+from trailmark.operators import policy as P
+from trailmark.plans.fixtures import add_view, rollout, sql_with, table, token
+from trailmark.plans.registry import query
+
+add_view("grouped", "select *, count(*) over g as c, avg(score) over g as m, stddev_samp(score) over g as s, sum(score*n_tokens) over g/sum(n_tokens) over g as b from rollout window g as (partition by uid)", "rollout")
+
+
+def advantage_sql(expression):
+    return sql_with(f"select sample_id, round(cast({expression} as double),6)+0.0 as advantage from grouped", "grouped")
+
+
+def shown(df):
+    return df.select("sample_id", (F.round("advantage", 6) + 0.0).alias("advantage"))
+
+
+@query("group_advantage", advantage_sql("case when c=1 then score/(1+1e-6) else (score-m)/(s+1e-6) end"))
+def group_advantage(spark, sf):
+    return shown(G.grpo(rollout(spark, sf)))
+
+
+@query("group_advantage_centred", advantage_sql("case when c=1 then score else score-m end"))
+def group_advantage_centred(spark, sf):
+    return shown(G.grpo(rollout(spark, sf), by_std=False))
+
+
+@query("group_advantage_floored", advantage_sql("case when c=1 then score/(1+1e-6) else (score-m)/(sqrt(greatest(s*s,0.25))+0.25) end").replace("score/(1+1e-6)", "score/(1+0.25)"))
+def group_advantage_floored(spark, sf):
+    return shown(G.grpo(rollout(spark, sf), eps=0.25, floor=True))
+
+
+@query(
+    "best_of_group_advantage",
+    sql_with(
+        """select sample_id, round(cast(case when r=1 then (score-nxt)/(s+1e-6) else 0 end as double),6)+0.0 as advantage from (
+ select *, row_number() over w as r, lead(score) over w as nxt, stddev_samp(score) over(partition by data_source) as s from rollout window w as (partition by data_source order by score desc, sample_id))""",
+        "rollout",
+    ),
+)
+def best_of_group_advantage(spark, sf):
+    # Grouped by source, so that every group has two samples.
+    return shown(G.grpo_passk(rollout(spark, sf).withColumn("uid", F.col("data_source"))))
+
+
+@query("leave_one_out", advantage_sql("case when c=1 then score else (score-m)*c/(c-1) end"))
+def leave_one_out(spark, sf):
+    return shown(G.rloo(rollout(spark, sf)))
+
+
+@query("leave_one_out_zero", advantage_sql("case when c=1 then 0.0 else (c*score-m*c)/(c-1) end"))
+def leave_one_out_zero(spark, sf):
+    return shown(G.rloo(rollout(spark, sf), singleton="zero"))
+
+
+@query("length_weighted_baseline", advantage_sql("case when c=1 then score else score-b end"))
+def length_weighted_baseline(spark, sf):
+    return shown(G.opo(rollout(spark, sf)))
+
+
+@query("scaled_group_advantage", advantage_sql("(select cast(count(*) as double)/greatest(count(case when score<>0 then 1 end),1) from rollout)*case when c=1 then score else score-m end"))
+def scaled_group_advantage(spark, sf):
+    return shown(G.gpg(rollout(spark, sf)))
+
+
+@query(
+    "whitened_group_advantage",
+    sql_with(
+        """select sample_id, round((x-mean)/sqrt(var+1e-8),6)+0.0 as advantage from (select sample_id, case when c=1 then score else score-m end as x from grouped),
+ (select s/(n+1e-8) as mean, (q-2*s/(n+1e-8)*s+pow(s/(n+1e-8),2)*n)/(n+1e-8)*n/(n-1) as var from (select cast(sum(n_tokens) as double) as n, sum(n_tokens*x) as s, sum(n_tokens*x*x) as q
+ from (select n_tokens, case when c=1 then score else score-m end as x from grouped)))""",
+        "grouped",
+    ),
+)
+def whitened_group_advantage(spark, sf):
+    return shown(G.rfpp_baseline(rollout(spark, sf)))
+
+
+def token_shown(df, *columns):
+    # Rewards have seven decimals, so six would round ties.
+    return df.select("sample_id", "t", *[(F.round(c, 8) + 0.0).alias(c) for c in columns])
+
+
+TO_GO = "sum(reward*mask) over(partition by sample_id order by t rows between current row and unbounded following)"
+
+
+@query(
+    "reward_to_go_baseline",
+    sql_with(f"select sample_id, t, round(ret,8)+0.0 as returns, round(ret-uid/100.0*mask,8)+0.0 as advantage from (select *, {TO_GO} as ret from token)", "token"),
+)
+def reward_to_go_baseline(spark, sf):
+    tok = token(spark, sf).withColumn("baseline", F.col("uid") / 100.0)
+    return token_shown(G.remax(tok, "baseline"), "returns", "advantage")
+
+
+def whiten_sql(body, value, tail=""):
+    return f"""{body}
+ select o.sample_id, o.t, round(o.returns,8)+0.0 as returns, round((o.{value}-k.mean)/sqrt(k.var+1e-8){tail},8)+0.0 as advantage from o,
+ (select m as mean, v*n/(n-1) as var from (select n, m, (select sum(mask*pow({value}-m,2)) from o)/(n+1e-8) as v from (select cast(sum(mask) as double) as n, sum(mask*{value})/(sum(mask)+1e-8) as m from o))) k"""
+
+
+@query(
+    "discounted_returns",
+    whiten_sql(
+        "with recursive "
+        + sql_with(
+            """,
+ walk as (select t.*, t.reward as returns from token t join (select sample_id, max(t) as last from token group by 1) l on l.sample_id=t.sample_id and l.last=t.t
+ union all select t.*, t.reward+0.933333333333*w.returns*w.mask from walk w join token t on t.sample_id=w.sample_id and t.t=w.t-1), o as (select * from walk)""",
+            "token",
+        )[5:].replace("\n,\n", ",\n"),
+        "returns",
+        "*o.mask",
+    ),
+)
+def discounted_returns(spark, sf):
+    return token_shown(G.rfpp(token(spark, sf), 0.933333333333), "returns", "advantage")
+
+
+@query(
+    "generalized_advantage",
+    whiten_sql(
+        "with recursive "
+        + sql_with(
+            """,
+ walk as (select t.*, case when t.mask<>0 then t.reward-t.value_est else 0.0 end as raw, case when t.mask<>0 then t.value_est else 0.0 end as nxt
+ from token t join (select sample_id, max(t) as last from token group by 1) l on l.sample_id=t.sample_id and l.last=t.t
+ union all select t.*, case when t.mask<>0 then t.reward+0.933333333333*w.nxt-t.value_est+0.933333333333*0.9*w.raw else w.raw end, case when t.mask<>0 then t.value_est else w.nxt end
+ from walk w join token t on t.sample_id=w.sample_id and t.t=w.t-1), o as (select *, raw+value_est as returns from walk)""",
+            "token",
+        )[5:].replace("\n,\n", ",\n"),
+        "raw",
+    ),
+)
+def generalized_advantage(spark, sf):
+    return token_shown(G.gae(token(spark, sf), 0.933333333333, 0.9), "returns", "advantage")
+
+
+def baseline_sql(at, lens, weight="1"):
+    return sql_with(
+        f"""select sample_id, t, round(returns,8)+0.0 as returns, round(case when mask=0 then 0.0 else returns-case when n<=1 or (len=mx and second is not null and spot>second) then 0.0 else num/(den+1e-8) end end,8)+0.0 as advantage from (
+ select f.*, l.mx, l.second, l.n, l.len, sum(returns*w*mask) over(partition by f.uid, spot) as num, sum(w*mask) over(partition by f.uid, spot) as den from (
+ select *, {at} as spot from (select *, {TO_GO} as returns, sum((1-2*exp(old_logp)+sum_pi_squared)*mask) over(partition by sample_id order by t) as w, sum(mask) over(partition by sample_id order by t) as valid from token)) f
+ left join (select uid, sample_id, len, max(len) over(partition by uid) as mx, count(*) over(partition by uid) as n,
+ case when count(*) filter (where len=mx0) over(partition by uid)=1 then max(case when len<mx0 then len end) over(partition by uid) end as second
+ from (select *, max(len) over(partition by uid) as mx0 from (select uid, sample_id, sum(mask) as len from token group by 1,2 {lens}))) l on l.sample_id=f.sample_id)""",
+        "token",
+    )
+
+
+@query("optimal_token_baseline", baseline_sql("t", ""))
+def optimal_token_baseline(spark, sf):
+    return token_shown(G.optimal_token_baseline(token(spark, sf)), "returns", "advantage")
+
+
+@query("multi_turn_token_baseline", baseline_sql("case when mask<>0 then valid else -t end", "having sum(mask)>0"))
+def multi_turn_token_baseline(spark, sf):
+    return token_shown(G.optimal_token_baseline(token(spark, sf), compact=True), "returns", "advantage")
+
+
+@query(
+    "response_mask",
+    sql_with("select sample_id, t, cast(case when sum(e) over(partition by sample_id order by t)-e=0 then 1 else 0 end as int) as response_mask from (select *, case when token_id%7 in (0,3) then 1 else 0 end as e from token)", "token"),
+)
+def response_mask(spark, sf):
+    tok = token(spark, sf).withColumn("token_id", F.col("token_id") % 7)
+    return G.response_mask(tok, [0, 3]).select("sample_id", "t", "response_mask")
+
+
+@query(
+    "masked_statistics",
+    sql_with(
+        """select cast(n as bigint) as n, round(s,4) as masked_sum, round(m,6) as masked_mean, round((select sum(mask*pow(reward-m,2)) from token)/(n+1e-8)*n/(n-1),6) as masked_var
+ from (select cast(sum(mask) as double) as n, sum(mask*reward) as s, sum(mask*reward)/(sum(mask)+1e-8) as m from token)""",
+        "token",
+    ),
+)
+def masked_statistics(spark, sf):
+    out = P.masked_stats(token(spark, sf), "reward")
+    return out.select("n", F.round("masked_sum", 4).alias("masked_sum"), F.round("masked_mean", 6).alias("masked_mean"), F.round("masked_var", 6).alias("masked_var"))
+
+
+@query("whitened_values", whiten_sql(sql_with(", o as (select *, reward as returns from token)", "token").replace("\n,", ",\n"), "reward"))
+def whitened_values(spark, sf):
+    return token_shown(G.whiten(token(spark, sf).withColumn("returns", F.col("reward")), "reward", "advantage"), "returns", "advantage")
+
+
+@query(
+    "loss_aggregation",
+    sql_with(
+        """select mode, round(loss,6) as loss from (select 'token-mean' as mode, sum(reward*mask)/sum(mask) as loss from token
+ union all select 'seq-mean-token-sum', avg(s) from (select sum(reward*mask) as s from token group by sample_id having sum(mask)>0)
+ union all select 'seq-mean-token-sum-norm', avg(s)/(select max(t) from token) from (select sum(reward*mask) as s from token group by sample_id having sum(mask)>0)
+ union all select 'seq-mean-token-mean', avg(s) from (select sum(reward*mask)/(sum(mask)+1e-8) as s from token group by sample_id having sum(mask)>0))""",
+        "token",
+    ),
+)
+def loss_aggregation(spark, sf):
+    out = None
+    for mode in P.LOSS_MODES:
+        one = P.aggregate_loss(token(spark, sf), "reward", mode).select(F.lit(mode).alias("mode"), F.round("loss", 6).alias("loss"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "kl_estimators",
+    sql_with(
+        """select sample_id, t, round(d,8)+0.0 as k1, round(abs(d),8) as abs, round(0.5*d*d,8) as k2, round(least(10,greatest(-10,exp(g)-g-1)),8)+0.0 as k3 from (
+ select sample_id, t, old_logp-ref_logp as d, least(20,greatest(-20,ref_logp-old_logp)) as g from token)""",
+        "token",
+    ),
+)
+def kl_estimators(spark, sf):
+    kinds = {k: P.kl(F.col("old_logp"), F.col("ref_logp"), k) for k in ("k1", "abs", "k2", "k3")}
+    return token_shown(token(spark, sf).withColumns(kinds), *kinds)
+
+
+@query("kl_penalised_reward", sql_with("select sample_id, t, round((old_logp-ref_logp)*mask,8)+0.0 as kl, round(reward-0.05*(old_logp-ref_logp)*mask,8)+0.0 as penalised_reward from token", "token"))
+def kl_penalised_reward(spark, sf):
+    return token_shown(P.apply_kl(token(spark, sf), 0.05), "kl", "penalised_reward")
+
+
+STEP_KL = "(select uid as step, avg(k) as kl, count(*) as n from (select uid, sample_id, sum((old_logp-ref_logp)*mask)/(sum(mask)+1e-8) as k from token group by 1,2) group by 1)"
+
+
+@query("mean_sequence_kl", sql_with(f"select step as uid, round(kl,6)+0.0 as mean_kl from {STEP_KL}", "token"))
+def mean_sequence_kl(spark, sf):
+    out = P.mean_sequence_kl(P.apply_kl(token(spark, sf), 0.05), ["uid"])
+    return out.select("uid", (F.round("mean_kl", 6) + 0.0).alias("mean_kl"))
+
+
+@query(
+    "adaptive_kl_schedule",
+    sql_with(
+        f"""select step, round(0.2*exp(sum(ln(1+least(0.2,greatest(-0.2,kl/0.02-1))*n/10000)) over(order by step)),6) as coefficient from {STEP_KL}""", "token"
+    ),
+)
+def adaptive_kl_schedule(spark, sf):
+    penalised = P.apply_kl(token(spark, sf), 0.05)
+    sizes = token(spark, sf).groupBy("uid").agg(F.count_distinct("sample_id").alias("n"))
+    steps = P.mean_sequence_kl(penalised, ["uid"]).join(sizes, "uid").select(F.col("uid").alias("step"), F.col("mean_kl").alias("kl"), "n")
+    return P.kl_schedule(steps, 0.2, 0.02, 10000).select("step", F.round("coefficient", 6).alias("coefficient"))
+
+
+@query(
+    "offpolicy_metrics",
+    sql_with(
+        """select round(avg(exp(-a)),6) as training_ppl, round(avg(-a),6) as training_log_ppl, round(sum(ks)/(sum(n)+1e-8),6)+0.0 as kl, round(sum(k3)/(sum(n)+1e-8),6) as k3_kl, round(avg(exp(-b)),6) as rollout_ppl,
+ round(avg(-b),6) as rollout_log_ppl, round(avg(b-a),6)+0.0 as log_ppl_diff, round(avg(abs(b-a)),6) as log_ppl_abs_diff, round(max(b-a),6) as log_ppl_diff_max, round(min(b-a),6) as log_ppl_diff_min,
+ round(avg(exp(b-a)),6) as ppl_ratio, round(sum(r2)/(sum(n)+1e-8)-1,6)+0.0 as chi2_token, round(avg(exp(2*greatest(-20,least(20,rs))))-1,6)+0.0 as chi2_seq from (
+ select sample_id, sum(old_logp*mask)/(sum(mask)+1e-8) as a, sum(rollout_logp*mask)/(sum(mask)+1e-8) as b, sum(mask) as n, sum((rollout_logp-old_logp)*mask) as ks,
+ sum((exp(old_logp-rollout_logp)-(old_logp-rollout_logp)-1)*mask) as k3, sum(exp(2*(old_logp-rollout_logp))*mask) as r2, sum((old_logp-rollout_logp)*mask) as rs from token group by 1)""",
+        "token",
+    ),
+)
+def offpolicy_metrics(spark, sf):
+    out = P.offpolicy_metrics(token(spark, sf))
+    return out.select(*[(F.round(c, 6) + 0.0).alias(c) for c in out.columns])
+
+
+add_view("ratioed", "select *, old_logp-rollout_logp as lr, sum((old_logp-rollout_logp)*mask) over(partition by sample_id) as lrs from token", "token")
+
+
+@query(
+    "importance_weights",
+    sql_with(
+        """select sample_id, t, round(tw,8) as token_weight, round(sw,8) as sequence_weight, round(tw/(select sum(least(1.02,exp(lr))*mask)/(sum(mask)+1e-8) from ratioed),8) as scaled_token,
+ round(sw/(select avg(w) from (select sum(least(1.02,exp(lrs))*mask)/(sum(mask)+1e-8) as w from ratioed group by sample_id having sum(mask)>0)),8) as scaled_sequence
+ from (select *, least(1.02,exp(lr))*mask as tw, least(1.02,exp(lrs))*mask as sw from ratioed)""",
+        "ratioed",
+    ),
+)
+def importance_weights(spark, sf):
+    tok = token(spark, sf)
+    out = P.is_weights(tok, "token", 1.02).withColumn("token_weight", F.col("weight"))
+    for name, level, normal in (("sequence_weight", "sequence", False), ("scaled_token", "token", True), ("scaled_sequence", "sequence", True)):
+        out = P.is_weights(out, level, 1.02, normal).withColumn(name, F.col("weight"))
+    return token_shown(out, "token_weight", "sequence_weight", "scaled_token", "scaled_sequence")
+
+
+@query(
+    "importance_weight_stats",
+    sql_with(
+        """select level, round(sum(s)/(sum(n)+1e-8),6) as rollout_is_mean, round(case when level='token' then max(hi) else exp(least(20,max(lw))) end,6) as rollout_is_max, round(case when level='token' then min(lo) else exp(min(lw)) end,6) as rollout_is_min,
+ round(case when level='token' then sum(above)/(sum(n)+1e-8) else avg(case when lw>ln(1.02) then 1.0 else 0.0 end) end,6) as rollout_is_ratio_fraction_high,
+ round(1/(sum(bq)/(sum(n)+1e-8)/pow(sum(bs)/(sum(n)+1e-8)+1e-8,2)),6) as rollout_is_eff_sample_size, round(stddev_samp(s/(n+1e-8)),6) as rollout_is_seq_std, round(max(abs(s/(n+1e-8)-1)),6) as rollout_is_seq_max_deviation
+ from (select level, sample_id, sum(mask) as n, sum(w*mask) as s, sum(b*mask) as bs, sum(b*b*mask) as bq, max(case when mask<>0 then w end) as hi, min(case when mask<>0 then w end) as lo, count(case when mask<>0 and w>1.02 then 1 end) as above, max(lrs) as lw
+ from (select *, greatest(1/1.02,least(1.02,w)) as b from (select 'token' as level, *, exp(lr) as w from ratioed union all select 'sequence', *, exp(lrs) from ratioed)) group by 1,2) group by 1""",
+        "ratioed",
+    ),
+)
+def importance_weight_stats(spark, sf):
+    out = None
+    for level in ("token", "sequence"):
+        one = P.weight_stats(P.is_weights(token(spark, sf), level, 1.02), 1.02, level).withColumn("level", F.lit(level))
+        out = one if out is None else out.unionByName(one)
+    names = ["mean", "max", "min", "ratio_fraction_high", "eff_sample_size", "seq_std", "seq_max_deviation"]
+    return out.select("level", *[F.round(f"rollout_is_{n}", 6).alias(f"rollout_is_{n}") for n in names])
+
+
+OPTIONS = ["token_k1", "token_k3", "seq_sum_k1", "seq_mean_k2", "seq_max_k3"]
+SPEC = "0.95_1.06, 0.002, 0.9_1.1, 0.0015, 0.003"
+KEEP = {
+    "token_k1": "-lr between ln(0.95) and ln(1.06)",
+    "token_k3": "exp(lr)-1-lr<=0.002",
+    "seq_sum_k1": "-lrs between ln(0.9) and ln(1.1)",
+    "seq_mean_k2": "sum(0.5*lr*lr*mask) over(partition by sample_id)/(sum(mask) over(partition by sample_id)+1e-8)<=0.0015",
+    "seq_max_k3": "coalesce(max(case when mask<>0 then exp(lr)-1-lr end) over(partition by sample_id),0)<=0.003",
+}
+add_view("rejected", "select *, " + ", ".join(f"{e} as keep_{o}" for o, e in KEEP.items()) + " from ratioed", "ratioed")
+
+
+@query("rejection_mask", sql_with(f"select sample_id, t, cast(case when {' and '.join('keep_' + o for o in OPTIONS)} then mask else 0 end as int) as new_mask, {', '.join('keep_' + o for o in OPTIONS)} from rejected", "rejected"))
+def rejection_mask(spark, sf):
+    return P.rejection_mask(token(spark, sf), OPTIONS, SPEC).select("sample_id", "t", "new_mask", *[f"keep_{o}" for o in OPTIONS])
+
+
+@query(
+    "rejection_fractions",
+    sql_with(
+        " union all ".join(
+            f"""select '{o}' as option, round(sum(h)/(sum(n)+1e-8),6) as masked_fraction, round(avg(case when {'1=1' if o == 'all' else 'n>0'} then case when h>0 then 1.0 else 0.0 end end),6) as seq_masked_fraction from (
+ select sample_id, sum(mask) as n, count(case when mask<>0 and not ({' and '.join('keep_' + x for x in OPTIONS) if o == 'all' else 'keep_' + o}) then 1 end) as h from rejected group by 1)"""
+            for o in [*OPTIONS, "all"]
+        ),
+        "rejected",
+    ),
+)
+def rejection_fractions(spark, sf):
+    out = P.rejection_fractions(P.rejection_mask(token(spark, sf), OPTIONS, SPEC), OPTIONS)
+    return out.select("option", *[F.round(c, 6).alias(c) for c in ("masked_fraction", "seq_masked_fraction")])
+
+
+@query(
+    "rejection_statistics",
+    sql_with(
+        """select 'token_k3' as option, round(sum(k*mask)/(sum(mask)+1e-8),6) as mean, round(max(case when mask<>0 then k end),6) as max, round(sum(case when k>0.002 then mask else 0 end)/(sum(mask)+1e-8),6) as fraction_high,
+ round(sqrt(sum(pow(least(k,0.002),2)*mask)/(sum(mask)+1e-8)-pow(sum(least(k,0.002)*mask)/(sum(mask)+1e-8),2)),6) as std, 0.0 as fraction_low,
+ (select round(avg(s),6) from (select sum((exp(lr)-1-lr)*mask)/(sum(mask)+1e-8) as s from ratioed group by sample_id having sum(mask)>0)) as seq_mean from (select mask, exp(lr)-1-lr as k from ratioed)
+ union all select 'seq_sum_k1', round(sum(k*mask)/(sum(mask)+1e-8),6)+0.0, (select round(max(-lrs),6) from ratioed where sample_id in (select sample_id from ratioed where mask<>0)), (select round(avg(case when k>ln(1.1) then 1.0 else 0.0 end),6) from (select max(-lrs) as k from ratioed group by sample_id having sum(mask)>0)),
+ round(sqrt(sum(pow(greatest(ln(0.9),least(k,ln(1.1))),2)*mask)/(sum(mask)+1e-8)-pow(sum(greatest(ln(0.9),least(k,ln(1.1)))*mask)/(sum(mask)+1e-8),2)),6),
+ (select round(avg(case when k<ln(0.9) then 1.0 else 0.0 end),6) from (select max(-lrs) as k from ratioed group by sample_id having sum(mask)>0)),
+ (select round(avg(k),6)+0.0 from (select max(-lrs) as k from ratioed group by sample_id having sum(mask)>0)) from (select mask, -lrs as k from ratioed)""",
+        "ratioed",
+    ),
+)
+def rejection_statistics(spark, sf):
+    tok = token(spark, sf)
+    out = P.rejection_stats(tok, "token_k3", 0.002).unionByName(P.rejection_stats(tok, "seq_sum_k1", "0.9_1.1"))
+    return out.select("option", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mean", "max", "fraction_high", "std", "fraction_low", "seq_mean")])
+
+
+@query(
+    "probability_agreement",
+    sql_with(
+        "select round(max(d),6) as diff_max, round(avg(d),6) as diff_mean, round(stddev_samp(d),6) as diff_std, round(corr(a,b),6) as pearson from (select exp(old_logp) as a, exp(rollout_logp) as b, abs(exp(old_logp)-exp(rollout_logp)) as d from token where mask<>0)",
+        "token",
+    ),
+)
+def probability_agreement(spark, sf):
+    out = P.prob_agreement(token(spark, sf))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query("token_mismatches", "select l_orderkey as sample_id, count(case when l_partkey%5<>l_suppkey%5 and l_returnflag<>'N' then 1 end) as n_diff from lineitem group by 1")
+def token_mismatches(spark, sf):
+    tok = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("sample_id"), (F.col("l_partkey") % 5).alias("a"), (F.col("l_suppkey") % 5).alias("b"),
+        F.when(F.col("l_returnflag") == "N", 0).otherwise(1).alias("mask"),
+    )
+    return P.token_diff(tok, "a", "b")
+
+
+@query(
+    "variance_proxy",
+    sql_with(
+        """select 0.25 as signal_strength, round(p,6) as total_power, round(greatest(0,(p-0.25)/(n-1)),9) as pure_noise, round(a2,6) as expected_a_squared, round(w,6) as expected_w from (
+ select avg(a*a*greatest(w,0)) as p, count(*) as n, avg(a*a) as a2, avg(w) as w from (select sum(value_est*mask)/(sum(mask)+1e-8) as a, sum((1-2*exp(old_logp)+sum_pi_squared)*mask) as w from token group by sample_id))""",
+        "token",
+    ).replace("select 0.25 as", "select cast(0.25 as double) as"),
+)
+def variance_proxy(spark, sf):
+    out = P.variance_proxy(token(spark, sf), "value_est", grad_norm=0.5)
+    return out.select("signal_strength", F.round("total_power", 6).alias("total_power"), F.round("pure_noise", 9).alias("pure_noise"), F.round("expected_a_squared", 6).alias("expected_a_squared"), F.round("expected_w", 6).alias("expected_w"))
