@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trailmark.functions import constants as K
+from trailmark.functions.core import let
 
 NUMBER = r"[-+]?\d+(?:\.\d+)?"
 NULL_PAIR = "struct<lat:double,lon:double>"
@@ -58,11 +59,14 @@ def _pair(lat: Column, lon: Column) -> Column:
 def parse_pred(text: Column) -> Column:
     """Evaluator flavour: last answer block, last two comma fields, (0, 0) means no prediction."""
     answer = F.try_element_at(F.regexp_extract_all(text, F.lit("(?s)<answer>(.*?)</answer>"), F.lit(1)), F.lit(-1))
-    fields = F.split(answer, ",")
-    lat = F.trim(F.try_element_at(fields, F.lit(-2))).try_cast("double")
-    lon = F.trim(F.try_element_at(fields, F.lit(-1))).try_cast("double")
-    usable = lat.isNotNull() & lon.isNotNull() & ~((lat == 0.0) & (lon == 0.0))
-    return F.when(usable, _pair(lat, lon))
+
+    def read(fields: Column) -> Column:
+        return _pair(
+            F.try_element_at(fields, F.lit(-2)).try_cast("double"), F.try_element_at(fields, F.lit(-1)).try_cast("double")
+        )
+
+    usable = lambda p: p.lat.isNotNull() & p.lon.isNotNull() & ~((p.lat == 0.0) & (p.lon == 0.0))
+    return let(let(F.split(answer, ","), read), lambda p: F.when(usable(p), p))
 
 
 def parse_coords(text: Column) -> Column:
@@ -71,26 +75,23 @@ def parse_coords(text: Column) -> Column:
     A ``lat=.. lon=..`` form wins and is not range-checked; otherwise the last pair in range.
     """
     scope = (
-        F.when(text.rlike("(?s)<answer>(.*?)</answer>"), F.trim(F.regexp_extract(text, "(?s)<answer>(.*?)</answer>", 1)))
+        F.when(text.rlike("(?s)<answer>(.*?)</answer>"), F.regexp_extract(text, "(?s)<answer>(.*?)</answer>", 1))
         .when(text.rlike(r"\\boxed\{([^}]*)\}"), F.regexp_extract(text, r"\\boxed\{([^}]*)\}", 1))
         .otherwise(text)
     )
     keyword = rf"(?i)lat(?:itude)?\s*[=:]\s*({NUMBER})\s*[,;]?\s*lon(?:gitude)?\s*[=:]\s*({NUMBER})"
     pair = rf"[(\[]?\s*({NUMBER})\s*,\s*({NUMBER})\s*[)\]]?"
-    pairs = F.transform(
-        F.regexp_extract_all(scope, F.lit(pair), F.lit(0)),
-        lambda hit: _pair(
-            F.regexp_extract(hit, pair, 1).try_cast("double"), F.regexp_extract(hit, pair, 2).try_cast("double")
-        ),
-    )
-    valid = F.filter(pairs, lambda p: p.lat.between(-90, 90) & p.lon.between(-180, 180))
-    return F.when(
-        scope.rlike(keyword),
-        _pair(
-            F.regexp_extract(scope, keyword, 1).try_cast("double"),
-            F.regexp_extract(scope, keyword, 2).try_cast("double"),
-        ),
-    ).otherwise(F.try_element_at(valid, F.lit(-1)))
+
+    def read(found: Column, pattern: str) -> Column:
+        return _pair(
+            F.regexp_extract(found, pattern, 1).try_cast("double"), F.regexp_extract(found, pattern, 2).try_cast("double")
+        )
+
+    def last_pair(found: Column) -> Column:
+        pairs = F.transform(F.regexp_extract_all(found, F.lit(pair), F.lit(0)), lambda hit: read(hit, pair))
+        return F.try_element_at(F.filter(pairs, lambda p: p.lat.between(-90, 90) & p.lon.between(-180, 180)), F.lit(-1))
+
+    return let(scope, lambda s: F.when(s.rlike(keyword), read(s, keyword)).otherwise(last_pair(s)))
 
 
 def dms_to_decimal(degrees: Column, minutes: Column, seconds: Column, ref: Column) -> Column:

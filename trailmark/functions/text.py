@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trailmark.functions import constants as K
+from trailmark.functions.core import let
 
 TOOL_CALL = "(?s)<tool_call>(.*?)</tool_call>"
 STRICT_CALL = r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"
@@ -141,17 +142,17 @@ def web_results(text: Column) -> Column:
             strip(F.regexp_extract(b, WEB_BLOCK, 1)).alias("key"), F.regexp_extract(b, WEB_BLOCK, 2).alias("body")
         ),
     )
-    keys = F.array_distinct(F.transform(blocks, lambda b: b.key))
-    bodies = F.transform(
-        keys, lambda k: F.element_at(F.filter(blocks, lambda b: b.key == k), F.lit(-1)).body
-    )
-    found = F.flatten(
-        F.when(text.contains(K.QUERY_HEADER), F.transform(bodies, _web_block_results)).otherwise(
-            F.array(_web_block_results(text))
-        )
-    )
-    positions = F.array_sort(F.array_distinct(F.transform(found, lambda r: r.pos)))
-    return F.transform(positions, lambda p: F.element_at(F.filter(found, lambda r: r.pos == p), F.lit(1)))
+
+    def bodies(found: Column) -> Column:
+        keys = F.array_distinct(F.transform(found, lambda b: b.key))
+        return F.transform(keys, lambda k: F.element_at(F.filter(found, lambda b: b.key == k), F.lit(-1)).body)
+
+    def first_per_position(found: Column) -> Column:
+        positions = F.array_sort(F.array_distinct(F.transform(found, lambda r: r.pos)))
+        return F.transform(positions, lambda p: F.element_at(F.filter(found, lambda r: r.pos == p), F.lit(1)))
+
+    texts = F.when(text.contains(K.QUERY_HEADER), let(blocks, bodies)).otherwise(F.array(text))
+    return let(F.flatten(F.transform(texts, _web_block_results)), first_per_position)
 
 
 def useful_indices(text: Column) -> Column:
@@ -163,8 +164,8 @@ def useful_indices(text: Column) -> Column:
 
 def think_refs(think: Column, n_results: Column) -> Column:
     """Result numbers a reasoning text refers to: [] when it rejects all, null when it says nothing."""
-    lowered = F.lower(think)
-    rejects = F.exists(F.array(*[F.lit(p) for p in K.NO_RESULT_PHRASES]), lambda p: lowered.contains(p))
+    phrases = F.array(*[F.lit(p) for p in K.NO_RESULT_PHRASES])
+    rejects = let(F.lower(think), lambda low: F.exists(phrases, lambda p: low.contains(p)))
     refs = F.transform(
         F.regexp_extract_all(think, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda d: d.try_cast("int")
     )
@@ -173,7 +174,7 @@ def think_refs(think: Column, n_results: Column) -> Column:
     return (
         F.when(F.coalesce(think, F.lit("")) == "", F.lit(None).cast("array<int>"))
         .when(rejects, empty)
-        .when(F.size(valid) > 0, valid)
+        .otherwise(let(valid, lambda v: F.when(F.size(v) > 0, v)))
     )
 
 
@@ -190,11 +191,11 @@ def confidence_count(text: Column) -> Column:
 
 def _cut_at(text: Column, pattern: str, trim_class: str) -> Column:
     """Text before the first match, right-trimmed of ``trim_class`` and closed with a full stop."""
-    # The cue is matched together with everything after it, so what is left is the prefix.
-    prefix = F.regexp_extract(text, rf"(?is)\A(.*?){pattern}", 1)
-    return F.when(
-        has(text, "(?i)" + pattern), F.concat(F.regexp_replace(prefix, rf"{trim_class}+\z", ""), F.lit("."))
-    ).otherwise(text)
+    def close(parts: Column) -> Column:
+        closed = F.concat(F.regexp_replace(parts[0], rf"{trim_class}+\z", ""), F.lit("."))
+        return F.when(F.size(parts) > 1, closed).otherwise(parts[0])
+
+    return let(F.split(text, "(?i)" + pattern, 2), close)
 
 
 def drop_call_blocks(text: Column) -> Column:
@@ -203,22 +204,26 @@ def drop_call_blocks(text: Column) -> Column:
 
 def truncate_think(think: Column) -> Column:
     """Reasoning without call blocks, cut at the first announced tool use, closed with confidence."""
-    cut = _cut_at(drop_call_blocks(think), K.TOOL_INTENT_PATTERN, "[ .]")
-    tail = F.lower(F.right(cut, F.lit(200)))
-    closed = F.exists(F.array(*[F.lit(w) for w in K.CONFIDENT_TAIL_WORDS]), lambda w: tail.contains(w))
-    return strip(F.when(closed, cut).otherwise(F.concat(cut, F.lit(K.CONFIDENT_CLOSING))))
+    words = F.array(*[F.lit(w) for w in K.CONFIDENT_TAIL_WORDS])
+
+    def close(cut: Column) -> Column:
+        closed = let(F.lower(F.right(cut, F.lit(200))), lambda tail: F.exists(words, lambda w: tail.contains(w)))
+        return strip(F.when(closed, cut).otherwise(F.concat(cut, F.lit(K.CONFIDENT_CLOSING))))
+
+    return let(_cut_at(drop_call_blocks(think), K.TOOL_INTENT_PATTERN, "[ .]"), close)
 
 
 def trim_closing(think: Column, city: Column) -> Column:
     """Closing reasoning cut at the first announced tool use; null when the city is not mentioned."""
-    cut = _cut_at(think, K.FALLBACK_CUE_PATTERN, r"[ .\n]")
-    bare = strip(F.regexp_replace(cut, "(?s)<useful>.*?</useful>", ""))
-    bare = strip(drop_call_blocks(bare))
-    lowered = F.lower(bare)
-    closed = lowered.contains("no tool") | lowered.contains("without")
-    return F.when(
-        mentions(cut, city), F.when(closed, bare).otherwise(F.concat(bare, F.lit(K.FALLBACK_CLOSING)))
-    )
+    def close(bare: Column) -> Column:
+        closed = F.lower(bare).contains("no tool") | F.lower(bare).contains("without")
+        return F.when(closed, bare).otherwise(F.concat(bare, F.lit(K.FALLBACK_CLOSING)))
+
+    def finish(cut: Column) -> Column:
+        bare = strip(drop_call_blocks(strip(F.regexp_replace(cut, "(?s)<useful>.*?</useful>", ""))))
+        return F.when(mentions(cut, city), let(bare, close))
+
+    return let(_cut_at(think, K.FALLBACK_CUE_PATTERN, r"[ .\n]"), finish)
 
 
 def strip_image_ids(text: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import constants as K
 from trailmark.functions import geo as G
 from trailmark.functions import text as X
+from trailmark.functions.core import let
 from trailmark.operators import filters as B
 from trailmark.operators.accuracy import dedupe_last
 from trailmark.operators.ordering import ranked_by_hash, seed_hash
@@ -78,14 +79,13 @@ def _indexed(messages: Column) -> Column:
 
 def _with_turns(indexed: Column) -> Column:
     """Adds to each message the assistant turn before it and whether a nudge came since."""
-    def extend(m: Column) -> Column:
-        before = F.coalesce(
-            F.array_max(F.transform(F.filter(indexed, lambda x: (x.role == "assistant") & (x.i < m.i)), lambda x: x.i)), F.lit(-1)
-        )
-        nudged = F.exists(indexed, lambda x: x.nudge & (x.i < m.i) & (x.i > before))
+    def extend(every: Column, m: Column) -> Column:
+        assistants = F.filter(every, lambda x: (x.role == "assistant") & (x.i < m.i))
+        before = F.coalesce(F.array_max(F.transform(assistants, lambda x: x.i)), F.lit(-1))
+        nudged = let(before, lambda b: F.exists(every, lambda x: x.nudge & (x.i < m.i) & (x.i > b)))
         return m.withField("before", before).withField("skip", (m.role == "assistant") & nudged)
 
-    return F.transform(indexed, extend)
+    return let(indexed, lambda every: F.transform(every, lambda m: extend(every, m)))
 
 
 def drop_nudges(messages: Column) -> Column:

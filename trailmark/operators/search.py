@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import constants as K
 from trailmark.functions import geo as G
+from trailmark.functions.core import let
 from trailmark.operators.ordering import seed_hash
 
 
@@ -161,11 +162,10 @@ def jaccard_best_with_memory(queries: DataFrame, cache: DataFrame, image: str, e
     calls = cache.groupBy(image).agg(
         F.array_sort(F.collect_list(F.struct("call_idx", token_set(F.col("query")).alias("words")))).alias("calls")
     )
-    words = token_set(F.col("query"))
-    scored = queries.join(calls, image, "left").withColumn(
-        "scores",
-        F.transform("calls", lambda c: F.struct(c.call_idx.alias("call_idx"), jaccard(words, c.words).alias("score"))),
-    )
+    def scores(words: Column) -> Column:
+        return F.transform("calls", lambda c: F.struct(c.call_idx.alias("call_idx"), jaccard(words, c.words).alias("score")))
+
+    scored = queries.join(calls, image, "left").withColumn("scores", let(token_set(F.col("query")), scores))
     episodes = scored.groupBy(episode, image).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), "scores"))).alias("asked")
     )
@@ -211,7 +211,8 @@ def mcc(pred: Column, truth: Column, n: Column) -> Column:
 def exclude_domains(df: DataFrame, domains: Sequence[str], source: Column, link: Column) -> DataFrame:
     """Drop results whose source (or link, without a source) contains one of the domains."""
     where = F.lower(F.coalesce(F.nullif(source, F.lit("")), link, F.lit("")))
-    listed = F.exists(F.array(*[F.lit(d.lower()) for d in domains]), lambda d: where.contains(d))
+    names = F.array(*[F.lit(d.lower()) for d in domains])
+    listed = let(where, lambda w: F.exists(names, lambda d: w.contains(d)))
     return df.where(~listed)
 
 
