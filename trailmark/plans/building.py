@@ -104,7 +104,7 @@ def trajectories(spark, sf):
 
 add_view(
     "traj",
-    """select id, cast(id%3 as int) as part, case when id%9=0 then 1.0 when id%11<>0 then 0.0 end as masked,
+    """select id, cast(id%3 as int) as part, cast(case when id%9=0 then 1.0 when id%11<>0 then 0.0 end as double) as masked,
  case when id%5=0 then 0.5 when id%13<>0 then cast((id*37)%500 as double)/2 end as km, cast(case when id%4<>0 then id%6 else 0 end as int) as n_tool_calls,
  cast(id%2 as int) as n_crop_calls, cast(id%7 as int) as n_nudges, id%17<>0 as has_image from (select distinct conv_id as id from conversations)""",
 )

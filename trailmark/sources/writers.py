@@ -1,0 +1,56 @@
+"""Sinks: sample tables, rollout dumps, metric logs and latest-wins caches."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailmark.operators.accuracy import dedupe_last
+from trailmark.sources.schemas import SFT_SAMPLE, schema
+
+
+def write_samples(df: DataFrame, path: str, by: Sequence[str] = ("version", "split")) -> None:
+    """Nested samples in one folder per version and split, with the fixed sample schema."""
+    fixed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema(SFT_SAMPLE)]
+    df.select(*fixed, *by).write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def complete_columns(df: DataFrame, required: Sequence[str], extras: Sequence[str]) -> list[str]:
+    """Extra columns that have a value in every row; one aggregation, one row back."""
+    counts = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(c).alias(c) for c in extras]).first()
+    return [*required, *[c for c in extras if counts[c] == counts["__n"]]]
+
+
+def write_rollout_dump(df: DataFrame, path: str, extras: Sequence[str] = ()) -> None:
+    """Rollouts as JSON lines in one folder per step; incomplete extra columns are left out."""
+    kept = complete_columns(df, ["input", "output", "gts", "score", "step"], extras)
+    df.select(*kept).write.mode("overwrite").partitionBy("step").json(path)
+
+
+def metric_log(df: DataFrame, step: str = "step", sep: str = "/") -> DataFrame:
+    """Long metric rows from nested numeric columns: struct fields are named ``outer/inner``."""
+    def leaves(prefix: str, column: str, kind) -> list[tuple[str, str]]:
+        if hasattr(kind, "fields"):
+            return [leaf for f in kind.fields for leaf in leaves(f"{prefix}{sep}{f.name}", f"{column}.`{f.name}`", f.dataType)]
+        return [(prefix, column)]
+
+    every = [leaf for f in df.schema.fields if f.name != step for leaf in leaves(f.name, f"`{f.name}`", f.dataType)]
+    lines = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value")) for n, c in every])
+    return df.select(step, F.inline(lines)).where("value is not null")
+
+
+def write_metric_log(df: DataFrame, path: str, step: str = "step") -> None:
+    metric_log(df, step).write.mode("append").json(path)
+
+
+def upsert_latest(cache: DataFrame, updates: DataFrame, key: str, order: str, ties: Sequence[Column] = ()) -> DataFrame:
+    """Cache with updates applied: the newest row per key wins."""
+    both = cache.withColumn("__new", F.lit(0)).unionByName(updates.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    return dedupe_last(both, key, [F.col(order).desc(), F.col("__new").desc(), *ties]).drop("__new")
+
+
+def read_cache_log(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
+    """Current rows of a cache kept as an append-only log of updates (one folder per batch)."""
+    return dedupe_last(spark.read.parquet(path), key, [F.col(order).desc(), F.col("batch").desc()])
