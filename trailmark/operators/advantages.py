@@ -55,7 +55,7 @@ def grpo_passk(df: DataFrame, eps: float = 1e-6, by_std: bool = True) -> DataFra
     )
     best = lead.join(spread, "uid").select(
         F.col("__best").alias("sample_id"),
-        (checked / (F.col("__s") + eps) if by_std else checked).alias("__gain"),
+        (checked / (F.coalesce("__s", F.lit(0.0)) + eps) if by_std else checked).alias("__gain"),
     )
     return df.join(best, "sample_id", "left").withColumn("advantage", F.coalesce("__gain", F.lit(0.0))).drop("__gain")
 
