@@ -7,7 +7,7 @@ Windows on token rows run within one sequence, which the response length bounds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -135,39 +135,34 @@ def response_mask(tok: DataFrame, eos: list[int], token: str = "token_id") -> Da
     return tok.withColumn("response_mask", (F.sum(is_end).over(_forward()) - is_end == 0).cast("int"))
 
 
-def _sequences(tok: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per sequence with its token columns as arrays in token order."""
-    packed = tok.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("t", *columns))).alias("__p"))
-    return packed.select(
-        "sample_id", F.col("__p.t").alias("t"),
-        *[F.col(f"__p.{c}").cast("array<double>").alias(c) for c in columns],
-    )
-
+def _scan(tok: DataFrame, inputs: list[str], output: str, step: Callable[..., np.ndarray]) -> DataFrame:
+    """Adds a backward recurrence over the tokens of each sequence.
 
-def _scan(tok: DataFrame, columns: list[str], outputs: list[str], step) -> DataFrame:
-    """Backward recurrences over tokens: a batch of sequences becomes one padded matrix per column,
-    and ``step`` fills the output matrices, vectorised over the sequences."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sizes = batch["t"].map(len).to_numpy()
+    A sequence becomes one row of arrays; a batch of them is one padded matrix per input column, and
+    ``step`` fills the output matrix, vectorised over the sequences. Only the inputs go through
+    Python, and the other columns stay where they are, so there is one shuffle and no join back.
+    """
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            sizes = columns[0].map(len).to_numpy()
             width = int(sizes.max()) if len(sizes) else 0
             inside = np.arange(width)[None, :] < sizes[:, None]
-            grids = {}
-            for c in columns:
-                grids[c] = np.zeros((len(batch), width))
+            grids = []
+            for column in columns:
+                grid = np.zeros((len(sizes), width))
                 if width:
-                    grids[c][inside] = np.concatenate(batch[c].to_numpy())
-            filled = step(inside, **grids)
-            result = {"sample_id": batch["sample_id"], "t": batch["t"]}
-            for name, grid in zip(outputs, filled):
-                result[name] = [grid[i, :n] for i, n in enumerate(sizes)]
-            yield pd.DataFrame(result)
+                    grid[inside] = np.concatenate(column.to_numpy())
+                grids.append(grid)
+            filled = step(inside, *grids)
+            yield pd.Series([filled[i, :n] for i, n in enumerate(sizes)])
 
-    packed = _sequences(tok, columns)
-    key = packed.schema["sample_id"].dataType.simpleString()
-    schema = f"sample_id {key}, t array<int>, " + ", ".join(f"{o} array<double>" for o in outputs)
-    rows = packed.withColumn("t", F.col("t").cast("array<int>")).mapInPandas(run, schema)
-    return rows.select("sample_id", F.inline(F.arrays_zip("t", *outputs)))
+    others = [c for c in tok.columns if c not in ("sample_id", "t")]
+    packed = tok.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("t", *others))).alias("__p"))
+    arrays = [F.col(f"__p.{c}").cast("array<double>") for c in inputs]
+    scanned = packed.withColumn("__o", run(*arrays))
+    rows = F.zip_with("__p", "__o", lambda p, o: p.withField(output, o))
+    return scanned.select("sample_id", F.inline(rows))
 
 
 def rfpp(tok: DataFrame, gamma: float) -> DataFrame:
@@ -178,16 +173,15 @@ def rfpp(tok: DataFrame, gamma: float) -> DataFrame:
             now = reward[:, t] + gamma * ahead
             returns[:, t] = now
             ahead = np.where(inside[:, t], now * mask[:, t], 0.0)
-        return [returns]
+        return returns
 
-    out = tok.join(_scan(tok, ["reward", "mask"], ["returns"], step), ["sample_id", "t"])
+    out = _scan(tok, ["reward", "mask"], "returns", step)
     return whiten(out, "returns", "advantage").withColumn("advantage", F.col("advantage") * F.col("mask"))
 
 
 def gae(tok: DataFrame, gamma: float, lam: float, value: str = "value_est") -> DataFrame:
     """Generalised advantages that skip observation tokens; returns; advantages whitened."""
-    def step(inside, reward, mask, **values):
-        estimate = values[value]
+    def step(inside, reward, mask, estimate):
         raw = np.zeros_like(reward)
         next_value, ahead = np.zeros(len(reward)), np.zeros(len(reward))
         for t in range(reward.shape[1] - 1, -1, -1):
@@ -196,10 +190,9 @@ def gae(tok: DataFrame, gamma: float, lam: float, value: str = "value_est") -> D
             next_value = np.where(live, estimate[:, t], next_value)
             ahead = np.where(live, candidate, ahead)
             raw[:, t] = ahead
-        return [raw]
+        return raw
 
-    out = tok.join(_scan(tok, ["reward", "mask", value], ["raw"], step), ["sample_id", "t"])
-    out = out.withColumn("returns", F.col("raw") + F.col(value))
+    out = _scan(tok, ["reward", "mask", value], "raw", step).withColumn("returns", F.col("raw") + F.col(value))
     return whiten(out, "raw", "advantage").drop("raw")
 
 
@@ -220,6 +213,7 @@ def optimal_token_baseline(
             "returns": F.sum(F.col("reward") * mask).over(_backward()),
             "__w": F.sum(energy * mask).over(_forward()),
             "__valid": F.sum(mask).over(_forward()),
+            "__len": F.sum(mask).over(W.partitionBy("sample_id")),
         }
     )
     position = F.col("__valid") if compact else F.col("t")
@@ -241,7 +235,7 @@ def optimal_token_baseline(
     )
     based = attach_stats(
         staged, ["uid", "__at"], {"__num": F.sum(F.col("returns") * live), "__den": F.sum(live)}, "sample_id"
-    ).withColumn("__len", F.sum("mask").over(W.partitionBy("sample_id")))
+    )
     based = attach_lookup(based, longest, "uid", "sample_id")
     tail = (F.col("__len") == F.col("__max")) & F.col("__second").isNotNull() & (F.col("__at") > F.col("__second"))
     base = F.when(F.col("__n") > 1, F.col("__num") / (F.col("__den") + eps)).otherwise(0.0)

@@ -23,14 +23,16 @@ def attach_stats(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], sp
     """
     keys = list(keys)
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[c.alias(n) for n, c in aggs.items()])
-    total = stats.agg(F.sum("__n")).scalar()
-    hot = stats.where(F.col("__n") * HOT_SHARE >= total).drop("__n")
+    total = df.agg(F.count(F.lit(1))).scalar()
+    # Both sides keep the same aggregates, so their shuffle is computed once and reused.
+    is_hot = F.col("__n") * HOT_SHARE >= total
+    hot = stats.where(is_hot).drop("__n")
     hot = hot.withColumnsRenamed({n: f"__hot_{n}" for n in aggs}).withColumn("__hot", F.lit(True))
     marked = join_null_safe(df, F.broadcast(hot), keys, "left")
     salted = marked.withColumn(
         "__salt", F.when(F.col("__hot"), 1 + F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     )
-    cold = stats.drop("__n").withColumn("__salt", F.lit(0))
+    cold = stats.where(~is_hot).drop("__n").withColumn("__salt", F.lit(0))
     joined = join_null_safe(salted, cold, [*keys, "__salt"], "left")
     out = joined.withColumns(
         {n: F.when(F.col("__hot"), F.col(f"__hot_{n}")).otherwise(F.col(n)) for n in aggs}

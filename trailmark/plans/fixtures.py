@@ -67,10 +67,12 @@ def rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return table(spark, sf_dir, "lineitem").select(
+    # Named before it is numbered, so that later windows per sequence find the rows in place.
+    rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("sample_id"),
-        F.row_number().over(order).alias("t"),
+        "l_linenumber",
+        "l_suppkey",
+        "l_quantity",
         (-(F.col("l_discount") + 0.01)).alias("old_logp"),
         (-(F.col("l_tax") + 0.012)).alias("rollout_logp"),
         F.when(F.col("l_returnflag") == "N", 0).otherwise(1).alias("mask"),
@@ -81,6 +83,8 @@ def token(spark: SparkSession, sf_dir: str) -> DataFrame:
         (-(F.col("l_quantity") / 500.0 + 0.01)).alias("ref_logp"),
         F.exp(-2.0 * (F.col("l_discount") + 0.01)).alias("sum_pi_squared"),
     )
+    order = W.partitionBy("sample_id").orderBy("l_linenumber", "token_id", "l_suppkey", "l_quantity")
+    return rows.withColumn("t", F.row_number().over(order)).drop("l_linenumber", "l_suppkey", "l_quantity")
 
 
 def message(spark: SparkSession, sf_dir: str) -> DataFrame:
