@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailmark.operators.groups import attach_stats
+from trailmark.operators.groups import attach_lookup, attach_stats
 from trailmark.operators.policy import unbiased_variance
 
 SCORE = "score"
@@ -243,10 +243,3 @@ def optimal_token_baseline(
         base = F.when(tail, 0.0).otherwise(base)
     out = based.withColumn("advantage", F.when(mask != 0, F.col("returns") - base).otherwise(0.0))
     return out.drop("__w", "__valid", "__at", "__num", "__den", "__len", "__n", "__max", "__second")
-
-
-def attach_lookup(df: DataFrame, lookup: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
-    """Left join with a table of one row per key, salted so that a hot key spreads over ``salts`` tasks."""
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "__salt"], "left").drop("__salt")

@@ -72,20 +72,29 @@ def running(
     ``bucket`` must follow ``order``. Rows are shuffled once, on group and bucket, so a hot group
     spreads over its buckets.
     """
-    keys = [*group, bucket]
+    # The group as one struct: it is never null, so equal keys meet in a plain join, and the join
+    # finds the rows where the window has put them.
+    grouped = df.withColumn("__group", F.struct(*group) if group else F.lit(0))
+    keys = ["__group", bucket]
     local = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = df.withColumns({f"__in_{m}": F.sum(c).over(local) for m, c in measures.items()})
-    totals = df.groupBy(*keys).agg(*[F.sum(c).alias(f"__sum_{m}") for m, c in measures.items()])
-    earlier = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    inside = grouped.withColumns({f"__in_{m}": F.sum(c).over(local) for m, c in measures.items()})
+    totals = grouped.groupBy(*keys).agg(*[F.sum(c).alias(f"__sum_{m}") for m, c in measures.items()])
+    earlier = W.partitionBy("__group").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *keys, *[F.coalesce(F.sum(f"__sum_{m}").over(earlier), F.lit(0)).alias(f"__off_{m}") for m in measures]
     )
     if not group:
         # One row per bucket: at most BUCKETS rows.
         offsets = F.broadcast(offsets)
-    out = join_null_safe(inside, offsets, keys)
+    out = inside.join(offsets, keys)
     out = out.withColumns({m: F.col(f"__in_{m}") + F.col(f"__off_{m}") for m in measures})
-    return out.drop(*[f"__in_{m}" for m in measures], *[f"__off_{m}" for m in measures])
+    return out.drop("__group", *[f"__in_{m}" for m in measures], *[f"__off_{m}" for m in measures])
+
+
+def ordinal_bucket(ordinal: Column | str, size: int = 1000) -> Column:
+    """Bucket that follows a non-negative integer: consecutive runs of ``size`` values."""
+    column = F.col(ordinal) if isinstance(ordinal, str) else ordinal
+    return F.floor(column / size)
 
 
 def ranked(

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from trailmark.functions import constants as K
 from trailmark.functions import geo as G
 from trailmark.functions.core import let
-from trailmark.operators.ordering import seed_hash
+from trailmark.operators.groups import attach_lookup
+from trailmark.operators.ordering import ordinal_bucket, ranked, running, seed_hash
 
 
 def dedupe_prefer_useful(df: DataFrame, keys: Sequence[str], useful: str = "is_geo_useful", ties: Sequence[str] = ()) -> DataFrame:
@@ -42,17 +43,15 @@ def negmix(df: DataFrame, image: str, n_pos: int, max_results: int, seed: int) -
     place = seed_hash(f"{seed}b", image, "call_idx", "result_pos")
     per_kind = W.partitionBy(*keys, "is_geo_useful").orderBy(pick, "result_pos")
     per_call = W.partitionBy(*keys)
-    ranked = df.withColumns(
-        {
-            "__rank": F.row_number().over(per_kind),
-            "__pos": F.least(F.count(F.when(F.col("is_geo_useful"), 1)).over(per_call), F.lit(n_pos), F.lit(max_results)),
-        }
-    )
+    # A page never shows more of a kind than it holds; the rank limit drops the rest before the shuffle.
+    first = df.withColumn("__rank", F.row_number().over(per_kind)).where(F.col("__rank") <= max_results)
+    useful = F.count(F.when(F.col("is_geo_useful"), 1)).over(per_call)
+    staged = first.withColumn("__pos", F.least(useful, F.lit(n_pos)))
     keep = F.when(F.col("is_geo_useful"), F.col("__rank") <= F.col("__pos")).otherwise(
         F.col("__rank") <= max_results - F.col("__pos")
     )
     shown = W.partitionBy(*keys).orderBy(place, "result_pos")
-    return ranked.where(keep).withColumn("shown_pos", F.row_number().over(shown)).drop("__rank", "__pos")
+    return staged.where(keep).withColumn("shown_pos", F.row_number().over(shown)).drop("__rank", "__pos")
 
 
 def plain_page(df: DataFrame, image: str, tool: str, max_results: int, base: float, per_pos: float) -> DataFrame:
@@ -72,13 +71,17 @@ def cursor_join(queries: DataFrame, cache: DataFrame, image: str, episode: str,
 
     Each query meets exactly one cached call, never all of its image.
     """
-    numbered = cache.withColumn("__slot", F.row_number().over(W.partitionBy(image).orderBy("call_idx")) - 1)
+    numbered = ranked(cache, [F.col("call_idx")], ordinal_bucket("call_idx"), [image], "__slot").withColumn(
+        "__slot", (F.col("__slot") - 1).cast("int")
+    )
     sizes = cache.groupBy(image).agg(F.count(F.lit(1)).alias("__n"))
-    so_far = W.partitionBy(episode).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = running(
+        queries.withColumns({"valid": valid, "__bucket": ordinal_bucket(order)}),
+        [episode], "__bucket", [F.col(order)], {"cursor": F.col("valid").cast("int")},
+    ).drop("__bucket")
     placed = (
-        queries.withColumn("valid", valid)
-        .withColumn("cursor", F.when(F.col("valid"), F.sum(F.col("valid").cast("int")).over(so_far) - 1))
-        .join(sizes, image, "left")
+        attach_lookup(counted, sizes, image, order)
+        .withColumn("cursor", F.when(F.col("valid"), F.col("cursor") - 1))
         .withColumn("__slot", F.pmod(F.col("cursor"), F.col("__n")).cast("int"))
     )
     return placed.join(numbered.withColumnsRenamed({"bbox": "cached_bbox"}), [image, "__slot"], "left").drop("__slot", "__n")
@@ -121,7 +124,8 @@ def jaccard(a: Column, b: Column) -> Column:
 def jaccard_best(queries: DataFrame, cache: DataFrame, image: str) -> DataFrame:
     """Cached call with the most similar query per query; the earliest call wins ties.
 
-    Equal word sets are joined once per image, and only sets that share a word are paired. A query
+    Equal word sets are joined once per image, and only sets that share a word are paired; an image
+    has at most the text-search budget of cached calls, so that bounds the pairs of a query. A query
     that shares no word with any call takes the first call with score 0; one whose image has no
     cached call keeps a null call.
     """
@@ -219,8 +223,8 @@ def exclude_domains(df: DataFrame, domains: Sequence[str], source: Column, link:
 def call_budget(calls: DataFrame, episode: str, order: Sequence[str], limits: dict[str, int] = K.CALL_LIMITS) -> DataFrame:
     """Running number of each tool's calls in an episode and whether the budget still allows it."""
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
-    so_far = W.partitionBy(episode, "name").orderBy(*order)
-    return calls.withColumn("used", F.row_number().over(so_far)).withColumn(
+    numbered = ranked(calls, [F.col(c) for c in order], ordinal_bucket(order[0]), [episode, "name"], "used")
+    return numbered.withColumn("used", F.col("used").cast("int")).withColumn(
         "allowed", F.coalesce(F.col("used") <= F.try_element_at(limit, F.col("name")), F.lit(True))
     )
 

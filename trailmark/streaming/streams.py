@@ -103,7 +103,8 @@ class TokenBucket(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         tokens, at = self.bucket.get() if self.bucket.exists() else (self.burst, None)
-        # One micro-batch of one key, in event-time order.
+        # One micro-batch of one key, in event-time order: three numbers per request, bounded by the
+        # number of files per trigger.
         batch = pd.concat(list(rows)).sort_values(["at", "id"])
         waits = []
         for now, cost in zip(batch["at"], batch["cost"]):
