@@ -41,7 +41,13 @@ def attach_stats(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], sp
 
 
 def attach_lookup(df: DataFrame, lookup: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
-    """Left join with a table of one row per key, salted so that a hot key spreads over ``salts`` tasks."""
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "__salt"], "left").drop("__salt")
+    """Left join with a table of one row per key; a null key matches a null key.
+
+    The lookup is copied ``salts`` times and the rows are spread by ``spread`` (a row id), so the rows
+    of a hot key meet in as many tasks.
+    """
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    rows = df.withColumn("__at_key", F.struct(F.col(key).alias("k"), salt.alias("s")))
+    copies = lookup.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = copies.withColumn("__at_key", F.struct(F.col(key).alias("k"), F.col("__s").alias("s"))).drop(key, "__s")
+    return rows.join(copies, "__at_key", "left").drop("__at_key")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmark.functions import constants as K
+from trailmark.operators.groups import attach_lookup
 from trailmark.operators.ordering import (
     hash_bucket,
     hash_cutoff,
@@ -43,7 +44,8 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
 def cap_per_class(df: DataFrame, column: str, n: int, seed: int, key: str) -> DataFrame:
     """At most n rows per class, seeded; classes at or below n keep all rows."""
     cutoffs = hash_cutoff(df, seed, key, n, [column])
-    joined = join_null_safe(df, cutoffs, [column], "left")
+    # At most one class per n rows is above the cap, so n copies of the cut-offs are no more than the rows.
+    joined = attach_lookup(df, cutoffs, column, key, salts=max(1, min(n, 256)))
     return joined.where(F.col("cutoff").isNull() | (seed_hash(seed, key) <= F.col("cutoff"))).drop("cutoff")
 
 
