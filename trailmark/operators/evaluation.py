@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmark.functions import constants as K
-from trailmark.operators.ordering import join_null_safe, running, seed_hash, unit_interval, with_value_bucket
+from trailmark.operators.ordering import join_null_safe, running, seed_hash, with_value_bucket
 from trailmark.operators.profiles import percentile_row
 
 GROUP = ["data_source", "uid", "variable"]
@@ -80,7 +80,8 @@ def bootstrap_extremes(ladder: DataFrame, seed: int = 42, draws: int = 1000, gro
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
 
     def rank_of(tag: str) -> Column:
-        u = unit_interval(seed_hash(f"{seed}{tag}", *[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in group], "k", "draw"))
+        bits = F.shiftrightunsigned(F.xxhash64(F.lit(f"{seed}{tag}"), *group, "k", "draw"), 11)
+        u = bits / float(2**53)
         largest = F.least(F.floor(n * F.pow(u, 1 / k)) + 1, F.col("n"))
         return largest if tag == "best" else F.col("n") + 1 - largest
 

@@ -292,12 +292,15 @@ def _micro_order(rows: pd.DataFrame, budget: int) -> list[int]:
         raise ValueError("a sequence is longer than the token budget")
     bins = min(len(rows), -(-int(rows["__len"].sum()) // budget))
     shard = differencing(loads, bins, False)
-    members = [[i for i, s in enumerate(shard) if s == b] for b in range(bins)]
-    members.sort(key=lambda m: (sum(loads[i] for i in m), m[0] if m else 0), reverse=True)
-    # Every second one backwards, then the rest: the light ones end up at both ends.
-    ordered = members[::2][::-1] + members[1::2]
-    place = {i: b for b, m in enumerate(ordered) for i in m}
-    return [place[i] for i in range(len(rows))]
+    totals, first = [0] * bins, [len(rows)] * bins
+    for i, number in enumerate(shard):
+        totals[number] += loads[i]
+        first[number] = min(first[number], i)
+    by_weight = sorted(range(bins), key=lambda b: (-totals[b], -first[b]))
+    # The heaviest goes to the middle, the next ones right and left of it in turn.
+    middle = (bins + 1) // 2
+    place = {b: middle + rank // 2 if rank % 2 else middle - 1 - rank // 2 for rank, b in enumerate(by_weight)}
+    return [place[number] for number in shard]
 
 
 def microbatches(df: DataFrame, batch: str, key: str, length: str, budget: int, limit: int = BATCH_LIMIT) -> DataFrame:

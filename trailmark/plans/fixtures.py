@@ -91,7 +91,6 @@ def message(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation messages with calls, matching responses, useful tags and answers built in."""
     conv, turn, text, role = F.col("conv_id"), F.col("turn"), F.col("text"), F.col("role")
     phase = (conv + turn) % 3
-    head = F.substr(text, F.lit(1), F.lit(60))
 
     def num(column):
         return column.cast("string")
@@ -100,17 +99,17 @@ def message(spark: SparkSession, sf_dir: str) -> DataFrame:
         ", ", num((conv * 37) % 400), num((conv * 53) % 400), num(500 + (conv * 71) % 500), num(500 + (conv * 91) % 500)
     )
     image_call = F.concat(
-        F.lit("<think>"), head,
+        F.lit("<think>"), text,
         F.lit(' [1] [3]</think><useful>[1, 2]</useful><tool_call>{"name": "image_search_tool", "arguments": {"bbox_2d": ['),
         box, F.lit("]}}</tool_call>"),
     )
     text_call = F.concat(
-        F.lit("<think>"), head,
+        F.lit("<think>"), text,
         F.lit('</think><tool_call>{"name": "text_search_tool", "arguments": {"query": "landmark '),
         num(conv % 9), F.lit(" city "), num(turn % 4), F.lit('"}}</tool_call>'),
     )
     answer = F.concat(
-        F.lit("<think>"), head, F.lit(" [1]</think><useful>[1]</useful><answer>Country, City, "),
+        F.lit("<think>"), text, F.lit(" [1]</think><useful>[1]</useful><answer>Country, City, "),
         num((conv * 7) % 80), F.lit(".5, "), num((conv * 13) % 170), F.lit(".25</answer>"),
     )
     image_response = F.concat(
@@ -170,9 +169,9 @@ select l_orderkey as sample_id,
  from lineitem""",
     "message": """
 select conv_id, turn as msg_idx, role, case
- when role='assistant' and (conv_id+turn)%3=0 then concat('<think>',substr(text,1,60),' [1] [3]</think><useful>[1, 2]</useful><tool_call>{"name": "image_search_tool", "arguments": {"bbox_2d": [',cast((conv_id*37)%400 as string),', ',cast((conv_id*53)%400 as string),', ',cast(500+(conv_id*71)%500 as string),', ',cast(500+(conv_id*91)%500 as string),']}}</tool_call>')
- when role='assistant' and (conv_id+turn)%3=1 then concat('<think>',substr(text,1,60),'</think><tool_call>{"name": "text_search_tool", "arguments": {"query": "','landmark ',cast(conv_id%9 as string),' city ',cast(turn%4 as string),'"}}</tool_call>')
- when role='assistant' then concat('<think>',substr(text,1,60),' [1]</think><useful>[1]</useful><answer>Country, City, ',cast((conv_id*7)%80 as string),'.5, ',cast((conv_id*13)%170 as string),'.25</answer>')
+ when role='assistant' and (conv_id+turn)%3=0 then concat('<think>',text,' [1] [3]</think><useful>[1, 2]</useful><tool_call>{"name": "image_search_tool", "arguments": {"bbox_2d": [',cast((conv_id*37)%400 as string),', ',cast((conv_id*53)%400 as string),', ',cast(500+(conv_id*71)%500 as string),', ',cast(500+(conv_id*91)%500 as string),']}}</tool_call>')
+ when role='assistant' and (conv_id+turn)%3=1 then concat('<think>',text,'</think><tool_call>{"name": "text_search_tool", "arguments": {"query": "','landmark ',cast(conv_id%9 as string),' city ',cast(turn%4 as string),'"}}</tool_call>')
+ when role='assistant' then concat('<think>',text,' [1]</think><useful>[1]</useful><answer>Country, City, ',cast((conv_id*7)%80 as string),'.5, ',cast((conv_id*13)%170 as string),'.25</answer>')
  when role='user' and turn>0 and (conv_id+turn)%3=1 then concat('<tool_response>',chr(10),'Image search results for region [0, 0, 9, 9]:',chr(10),chr(10),'[1] Title ',cast(conv_id as string),chr(10),'    Source: a.example.com',chr(10),'    Link: https://a.example.com/',cast(conv_id as string),chr(10),'[2] Other',chr(10),'    Source: flickr.com',chr(10),'    Link: https://flickr.com/',cast(turn as string),chr(10),'</tool_response>')
  when role='user' and turn>0 and (conv_id+turn)%3=2 then concat('<tool_response>',chr(10),'Web search results for: q',cast(conv_id as string),chr(10),chr(10),'[1] T1',chr(10),'URL: https://b.example.org/1',chr(10),'body one',chr(10),chr(10),'[2] T2',chr(10),'URL: https://c.example.org/2',chr(10),'body two',chr(10),'</tool_response>')
  else text end as content from conversations""",

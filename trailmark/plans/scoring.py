@@ -94,15 +94,15 @@ def composite_reward(spark, sf):
     sql_with(
         """select k.sample_id, k.t, round(case when k.t=e.n then case when h.has then 0.6*0.5+0.1*e.fmt else 0.25 end else 0.0 end+coalesce(0.3*u.s,0.0),6)+0.0 as placed_reward from token k
  join (select sample_id, sum(mask) as n, 0.8 as fmt from token group by 1) e on e.sample_id=k.sample_id
- left join (select distinct sample_id, true as has from token where t%3=0 and token_id%2=0) h on h.sample_id=k.sample_id
- left join (select sample_id, t, greatest(-0.5,least(1.0,value_est*2-0.9)) as s from token where t%3=0 and token_id%2=0) u on u.sample_id=k.sample_id and u.t=k.t""",
+ left join (select distinct sample_id, true as has from token where value_est>=0.9) h on h.sample_id=k.sample_id
+ left join (select sample_id, t, greatest(-0.5,least(1.0,value_est*2-0.9)) as s from token where value_est>=0.9) u on u.sample_id=k.sample_id and u.t=k.t""",
         "token",
     ),
 )
 def placed_rewards(spark, sf):
     tok = token(spark, sf)
     rows = tok.select("sample_id").distinct().select("sample_id", F.lit(0.5).alias("acc"), F.lit(0.8).alias("format"), F.lit(0.25).alias("final_reward"))
-    turns = tok.where("t % 3 = 0 and token_id % 2 = 0").select("sample_id", "t", (F.col("value_est") * 2 - 0.9).alias("tool_sum"))
+    turns = tok.where("value_est >= 0.9").select("sample_id", "t", (F.col("value_est") * 2 - 0.9).alias("tool_sum"))
     out = R.place_rewards(tok, rows, turns)
     return out.select("sample_id", "t", (F.round("placed_reward", 6) + 0.0).alias("placed_reward"))
 
