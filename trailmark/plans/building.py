@@ -437,7 +437,7 @@ def media_alignment(spark, sf):
 @query(
     "sft_samples",
     sql_with(
-        """select s.id, md5(body) as digest, cast(n_images as int) as n_images, km, n_tool_calls from sft_row s join traj t on t.id=s.id where t.has_image and n between 3 and 12 and last_role='assistant'
+        """select s.id, md5(body) as digest, cast(n_images as int) as n_images, km, n_tool_calls from sft_row s join traj t on t.id=s.id where (n_images=0 or t.has_image) and n between 3 and 12 and last_role='assistant'
  and contains(last_content,'<answer>') and n_tokens=n_images and max_image<2
  and (not ends_kept or (regexp_matches(last_content,'<answer>(.*?)</answer>','s') and not starts_with(lower(trim(regexp_extract(last_content,'<answer>(.*?)</answer>',1,'s'))),'none')))""",
         "sft_row", "traj",

@@ -15,7 +15,7 @@ def offline_score(spark, sf):
     return V.offline_score(rollout(spark, sf), row="uid").withColumn("score", F.round("score", 6))
 
 
-LADDER = """with ranked as (select data_source, uid, score/3 as value, count(*) over(partition by data_source, uid) as n, row_number() over(partition by data_source, uid order by score) as i from rollout),
+LADDER = """with ranked as (select data_source, uid, score*0.7310585786 as value, count(*) over(partition by data_source, uid) as n, row_number() over(partition by data_source, uid order by score) as i from rollout),
  sized as (select *, unnest(case when n>1 then list_append([x for x in [2,4,8,16,32,64,128,256,512] if x<n], n) else [] end) as k from ranked),
  drawn as (select data_source, uid, k, sum(value*(pow(i/n,k)-pow((i-1)/n,k))) as bm, sum(value*value*(pow(i/n,k)-pow((i-1)/n,k))) as bq,
  sum(value*(pow((n-i+1)/n,k)-pow((n-i)/n,k))) as wm, sum(value*value*(pow((n-i+1)/n,k)-pow((n-i)/n,k))) as wq from (select data_source, uid, value, cast(n as double) as n, cast(i as double) as i, k from sized) group by 1,2,3)"""
@@ -26,8 +26,8 @@ def ladder_sql(body):
 
 
 def scores(spark, sf):
-    # A third has no finite decimal form, so rounded results have no ties.
-    return rollout(spark, sf).select("data_source", "uid", (F.col("score") / 3).alias("score"), "pred", "sample_id")
+    # Scores have two decimals; with ten more, rounded results have no ties.
+    return rollout(spark, sf).select("data_source", "uid", (F.col("score") * 0.7310585786).alias("score"), "pred", "sample_id")
 
 
 @query(
@@ -48,8 +48,8 @@ def bootstrap_extremes(spark, sf):
     "validation_metrics",
     ladder_sql(
         """select data_source, 'score' as variable, metric, round(avg(v),7)+0.0 as value from (
- select data_source, 'mean@'||count(*) as metric, avg(score/3) as v from rollout group by data_source, uid
- union all select data_source, 'std@'||count(*), stddev_pop(score/3) from rollout group by data_source, uid having count(*)>1
+ select data_source, 'mean@'||count(*) as metric, avg(score*0.7310585786) as v from rollout group by data_source, uid
+ union all select data_source, 'std@'||count(*), stddev_pop(score*0.7310585786) from rollout group by data_source, uid having count(*)>1
  union all select data_source, 'best@'||k||'/mean', bm from drawn union all select data_source, 'best@'||k||'/std', sqrt(greatest(bq-bm*bm,0)) from drawn
  union all select data_source, 'worst@'||k||'/mean', wm from drawn union all select data_source, 'worst@'||k||'/std', sqrt(greatest(wq-wm*wm,0)) from drawn) group by 1,2,3"""
     ),
