@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import decontamination, exact_dedup, mixing, sharding, substring_dedup, suffix_dedup
+from trailmark.llm import decontamination, exact_dedup, html_text, mixing, sharding, substring_dedup, suffix_dedup, warc
 from trailmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op4_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -72,3 +77,18 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept,
 )
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    """
+with p as (select page_id, sha1(coalesce(html, '')) as x, strlen(coalesce(html, '')) as payload_bytes from pages),
+ d as (select *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  cast(((((instr('0123456789abcdef', substr(x, cast(5 * i // 4 + 1 as int), 1)) - 1) * 16
+   + greatest(instr('0123456789abcdef', substr(x, cast(5 * i // 4 + 2 as int), 1)) - 1, 0)) >> cast(3 - (5 * i) % 4 as int)) & 31) + 1 as int), 1)), 'string_agg', '') as payload_digest from p),
+ f as (select *, min(page_id) over (partition by payload_digest, payload_bytes) as first_id from d)
+select page_id, payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
+ case when page_id <> first_id then first_id end as refers_to from f
+"""
+)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
