@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import decontamination, mixing, sharding
+from trailmark.llm import decontamination, jaccard, kneser_ney, mixing, sharding
 from trailmark.llm.common import table, written
 
 
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return kneser_ney.drop_rejected(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.drop_similar(docs, words=5, enough=(4, 5))
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -21,6 +29,8 @@ def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", of_quality),
+    ("n-gram Jaccard join", without_near_copies),
     ("benchmark decontamination", without_benchmark),
     ("mixing sources to target weights", mixed_sources),
     ("sharding", into_shards),

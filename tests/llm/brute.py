@@ -37,3 +37,35 @@ def word_repeats(rows, width=20):
         kept = b" ".join(w for w, g in zip(ws, gone) if not g)
         out[i] = (len(ws), sum(gone), hashlib.sha256(kept).hexdigest())
     return out
+
+
+def similar_components(rows, words=5, enough=(4, 5)):
+    """{doc_id: (n_shingles, component_id)}; rows with distinct ids."""
+    import re
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
+        sets[i] = {tuple(ws[k : k + words]) for k in range(len(ws) - words + 1)} or ({tuple(ws)} if ws else set())
+    having = {}
+    for i, s in sets.items():
+        for e in s:
+            having.setdefault(e, []).append(i)
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, s in sets.items():
+        shared = {}
+        for e in s:
+            for j in having[e]:
+                shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if j < i and enough[1] * n >= enough[0] * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i)) for i, s in sets.items()}

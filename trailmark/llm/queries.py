@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import decontamination, exact_dedup, html_text, mixing, sharding, substring_dedup, suffix_dedup, warc
+from trailmark.llm import decontamination, exact_dedup, html_text, jaccard, kneser_ney, mixing, sharding, substring_dedup, suffix_dedup, warc
 from trailmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,33 @@ def op4_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+with t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as ws from documents),
+ s as (select doc_id, list_distinct(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+  when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh from t),
+ e as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+ often as (select *, count(*) over (partition by g) as df from e),
+ placed as (select doc_id, n, g, df, row_number() over (partition by doc_id order by df, g) as k from often),
+ head as (select * from placed where k <= n - cast(ceil(n * 9 / 10.0) as bigint) + 1 and df > 1),
+ pair as (select distinct a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny from head a join head b on a.g = b.g and a.doc_id < b.doc_id and 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)),
+ met as (select x, y, nx, ny, count(*) as shared from pair join e a on a.doc_id = x join e b on b.doc_id = y and b.g = a.g group by all),
+ link as (select x, y from met where 100 * shared >= 90 * (nx + ny - shared)),
+ both_ways as (select x, y from link union select y, x from link),
+ reached as (with recursive r(doc_id, seen) as (select doc_id, doc_id from documents union select r.doc_id, b.y from r join both_ways b on b.x = r.seen) select doc_id, min(seen) as component_id from r group by doc_id)
+select s.doc_id, cast(len(sh) as bigint) as n_shingles, component_id from s join reached using (doc_id)
+"""
+)
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), words=3, enough=(9, 10))
+
+
+@query()
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key")
+
+
 @query(
     """
 with item as (select item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as ws from benchmark),
