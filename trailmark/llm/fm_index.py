@@ -1,4 +1,4 @@
-"""A compressed full-text index over integer symbols: wavelet matrix, backward search, earliest place."""
+"""A compressed full-text index over integer symbols: wavelet matrix and backward search."""
 
 from __future__ import annotations
 
@@ -67,25 +67,17 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         rank[order] = np.cumsum(new) - 1
 
 
-class EarliestPlace:
-    """Least value in any range of an array, from a table of ranges of each power of two."""
-
-    def __init__(self, values: np.ndarray):
-        self.table = [values]
-        width = 1
-        while 2 * width <= len(values):
-            last = self.table[-1]
-            self.table.append(np.minimum(last[:-width], last[width:]))
-            width *= 2
-
-    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        power = np.floor(np.log2(np.maximum(high - low, 1))).astype(np.int64)
-        out = np.empty(len(low), self.table[0].dtype)
-        for p in np.unique(power):
-            at = power == p
-            row = self.table[p]
-            out[at] = np.minimum(row[low[at]], row[high[at] - (1 << int(p))])
-        return out
+def least_in(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least value in each range, from the minima of ranges of each power of two in turn."""
+    power = np.floor(np.log2(np.maximum(high - low, 1))).astype(np.int8)
+    out = np.empty(len(low), values.dtype)
+    for p in range(int(power.max(initial=-1)) + 1):
+        if p:
+            half = 1 << (p - 1)
+            values = np.minimum(values[:-half], values[half:])
+        at = np.flatnonzero(power == p)
+        out[at] = np.minimum(values[low[at]], values[high[at] - (1 << p)])
+    return out
 
 
 class FMIndex:

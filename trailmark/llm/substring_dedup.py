@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trailmark.llm.fm_index import EarliestPlace, FMIndex
+from trailmark.llm.fm_index import FMIndex, least_in
 from trailmark.llm.tokens import word_bounds, word_hashes
 from trailmark.llm.windows import Plan, Segments, schema, search, spread
 
@@ -53,9 +53,8 @@ def earlier_copy(segments: Segments) -> np.ndarray:
     index = FMIndex(text, int(symbols.max()) + 2, width)
     matched, low, high = index.matching_statistics(text, windows + width, width)
     full = matched == width
-    earliest = EarliestPlace(where[index.suffixes])
     found = np.zeros(len(windows), bool)
-    found[full] = earliest.least(low[full], high[full]) < own[full]
+    found[full] = least_in(where[index.suffixes], low[full], high[full]) < own[full]
     return found
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -36,7 +36,7 @@ def unpack(blob: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64, for i up to n."""
     up, down = np.full(n, BASE), np.full(n, np.uint64(pow(int(BASE), -1, 1 << 64)))
@@ -85,7 +85,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         a = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, a + CHUNK, side="right")))
         b = ends[j - 1]
-        up, down = powers(1 << max(21, int(b - a).bit_length()))
+        up, down = powers(max(2 * CHUNK, 1 << int(b - a).bit_length()))
         sums = np.zeros(b - a + 1, np.uint64)
         np.cumsum(BYTE_CODES[data[a:b]] * up[: b - a], out=sums[1:])
         s, e = starts[i:j] - a, ends[i:j] - a

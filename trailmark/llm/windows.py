@@ -268,7 +268,7 @@ def search(docs: DataFrame, plan: Plan, block_bytes: int = BLOCK_BYTES) -> DataF
     """Runs the plan over all rows of (doc_id, text). One row for every row of ``docs``."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(LEAST_BLOCKS, math.ceil(size / block_bytes))
-    plan = Plan(**{**plan.__dict__, "parts": max(plan.parts, n_blocks // 2)})
+    plan = Plan(**{**plan.__dict__, "parts": max(plan.parts, n_blocks)})
     block = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n_blocks)).cast("int")
     blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), block.alias("block"))
     by_block = lambda: blocks.groupBy("block")
