@@ -24,6 +24,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Each row as the struct ``row`` beside new columns, whose names then clash with none of its own."""
+    return df.select(*[c.alias(n) for n, c in columns.items()], F.struct("*").alias("row"))
+
+
 def whole(text: str | Column) -> Column:
     """The text, or the empty string where it is null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

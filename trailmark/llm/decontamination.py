@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import words
+from trailmark.llm.common import packed, words
 
 # A mask ignores the positions marked 0. Any 13 aligned words with at most two substitutions hold a
 # placement of this one in which all words that it looks at agree (tested exhaustively).
@@ -98,5 +98,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows that overlap no benchmark item, with all their columns."""
-    found = overlaps(docs, benchmark, **options).select(F.col("row_key").alias("__key")).distinct()
-    return docs.withColumn("__key", row_key()).join(found, "__key", "left_anti").drop("__key")
+    found = overlaps(docs, benchmark, **options).select("row_key").distinct()
+    return packed(docs, row_key=row_key()).join(found, "row_key", "left_anti").select("row.*")

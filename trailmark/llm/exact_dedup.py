@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import attach, whole, written
+from trailmark.llm.common import attach, packed, whole, written
 
 
 def normalised(text: str | Column) -> Column:
@@ -55,6 +55,5 @@ def exact_duplicates(docs: DataFrame, fingerprint: Callable[[Column], Column] =
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; a record repeated under one id stays once."""
-    kept = exact_duplicates(docs).where("kept").select(F.struct("doc_id").alias("__id")).distinct()
-    rows = docs.withColumn("__id", F.struct("doc_id"))
-    return rows.join(kept, "__id", "left_semi").drop("__id").dropDuplicates(["doc_id"])
+    kept = exact_duplicates(docs).where("kept").select(F.struct("doc_id").alias("id")).distinct()
+    return packed(docs, id=F.struct("doc_id")).join(kept, "id", "left_semi").dropDuplicates(["id"]).select("row.*")

@@ -30,6 +30,7 @@ DROPPED = frozenset(
 )
 CONTENT = frozenset("article main".split())
 KEPT = frozenset("html body article main".split())
+SMALL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre tr".split())
 # Words in class, id and role that mark what is not the article.
 MARKS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent"
@@ -148,7 +149,7 @@ def best_region(scores: list[float]) -> tuple[int, int] | None:
 
 
 def content_of(page: Page, weights: dict[str, float]) -> tuple[int, int] | None:
-    """The best region, widened to the innermost element that holds it."""
+    """The best region, widened to the innermost container that holds it, or to its article."""
     scores = [
         (0.0 if d else n * weights["#word"]) if not t else weights.get(t, weights["#tag"])
         for t, n, d in zip(page.tag, page.words, page.dropped, strict=True)
@@ -157,12 +158,10 @@ def content_of(page: Page, weights: dict[str, float]) -> tuple[int, int] | None:
     if region is None:
         return None
     held = [i for i in range(*region) if page.words[i] and not page.dropped[i]]
-    around = [e for e in page.elements if e.first < held[0] and e.last > held[-1] and not e.dropped and e.name not in INLINE]
+    around = [e for e in page.elements if e.first < held[0] and e.last > held[-1] and not e.dropped and e.name in BLOCK - SMALL]
     articles = [e for e in around if e.name in CONTENT]
     inner = min(articles or around, key=lambda e: e.last - e.first, default=None)
-    if inner and inner.name in BLOCK and inner.name not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "tr"):
-        return inner.first, inner.last
-    return region
+    return (inner.first, inner.last) if inner else region
 
 
 def blocks(page: Page, first: int, end: int) -> Iterator[str]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import attach, word_count, written
+from trailmark.llm.common import attach, packed, word_count, written
 
 FAN_IN = 256
 NEAR = 1e-9
@@ -173,14 +173,10 @@ def mixed(
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: every row as often as it is taken, with all its columns."""
-    keyed = docs.withColumn("__size", word_count("text")).withColumn(
-        "__key", F.struct(F.col("doc_id").cast("long"), "source", "__size")
-    )
-    taken = mixed(docs, **options).groupBy(F.struct("doc_id", "source", "size").alias("__key"))
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size"))
+    taken = mixed(docs, **options).groupBy(F.struct("doc_id", "source", "size").alias("key"))
     # Rows that share id, source and size stay apart: each takes one of the counts in turn.
-    counts = taken.agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    turn = W.partitionBy("__key").orderBy(F.md5(F.coalesce("text", F.lit(""))))
-    ranked = keyed.join(counts, "__key").withColumn("__turn", F.row_number().over(turn))
-    return ranked.where(F.col("__copies")[F.col("__turn") - 1] > 0).withColumn(
-        "__i", F.explode(F.array_repeat(F.lit(1), F.col("__copies")[F.col("__turn") - 1]))
-    ).drop("__key", "__size", "__copies", "__turn", "__i")
+    counts = taken.agg(F.sort_array(F.collect_list("copies"), asc=False).alias("counts"))
+    turn = W.partitionBy("key").orderBy(F.md5(F.coalesce("row.text", F.lit(""))))
+    ranked = packed(docs, key=key).join(counts, "key").withColumn("copies", F.col("counts")[F.row_number().over(turn) - 1])
+    return ranked.where(F.col("copies") > 0).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")

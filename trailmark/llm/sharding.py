@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import whole, written
+from trailmark.llm.common import packed, whole, written
 from trailmark.operators.ordering import running
 
 KEY_BITS = 62
@@ -95,15 +95,14 @@ def shard_of(cuts: list[tuple[int, int]]) -> Column:
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """Adds size, text_crc32 and the sort key; equal texts have equal text keys and so lie together."""
+    """Each row packed, with size, text_crc32 and the sort key; equal texts have equal text keys."""
     raw = whole("text")
-    return docs.withColumns(
-        {
-            "size": F.octet_length(raw).cast("long") + 1,
-            "text_crc32": F.crc32(raw.cast("binary")),
-            "text_key": unsigned62(F.xxhash64(raw)),
-            "id_key": unsigned62(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))),
-        }
+    return packed(
+        docs,
+        size=F.octet_length(raw).cast("long") + 1,
+        text_crc32=F.crc32(raw.cast("binary")),
+        text_key=unsigned62(F.xxhash64(raw)),
+        id_key=unsigned62(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))),
     )
 
 
@@ -119,9 +118,10 @@ def sharded(docs: DataFrame, shards: int = 16, tolerance: float = 0.01) -> DataF
     keyed = with_keys(docs)
     narrow = written(keyed.select("text_key", "id_key", "size"), "shard-keys")
     cuts = splitters(narrow, shards, tolerance) if not narrow.isEmpty() else [(0, 0)] * (shards - 1)
-    placed = keyed.withColumn("shard", shard_of(cuts).cast("int")).withColumn(
-        "__range", F.shiftright("id_key", KEY_BITS - SLOT_BITS)
-    )
+    placed = keyed.withColumn("shard", shard_of(cuts).cast("int"))
+    placed = placed.withColumn("range", F.shiftright("id_key", KEY_BITS - SLOT_BITS))
     order = [F.col("id_key"), F.col("text_key"), F.col("text_crc32"), F.col("size")]
-    ranked = running(placed, ["shard"], "__range", order, {"__slot": F.lit(1)})
-    return ranked.withColumn("slot", F.col("__slot").cast("long") - 1).drop("__slot", "__range", "text_key", "id_key")
+    ranked = running(placed, ["shard"], "range", order, {"place": F.lit(1)})
+    ranked = ranked.withColumn("slot", F.col("place").cast("long") - 1)
+    added = ("size", "text_crc32", "shard", "slot")
+    return ranked.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in added], *added)
