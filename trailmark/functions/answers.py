@@ -41,13 +41,15 @@ def qa_contains(text: Column, golden: Column, format_score: float = 0.0, score:
     return F.when(answer.isNull(), 0.0).when(hit, score).otherwise(format_score)
 
 
-def tail(text: Column, n: int) -> Column:
-    return F.right(text, F.lit(n))
+def tail(text: Column, n: int | None) -> Column:
+    """The last n characters, or the whole text for None."""
+    return F.right(text, F.lit(n)) if n else text
 
 
-def final_number(text: Column, method: str = "strict") -> Column:
-    """Number after the last ``####`` (strict) or the last number (flexible) in the last 300 characters."""
-    end = tail(text, 300)
+def final_number(text: Column, method: str = "strict", within: int | None = 300) -> Column:
+    """Number after the last ``####`` (strict) or the last number (flexible) in the last ``within``
+    characters (None: in the whole text)."""
+    end = tail(text, within)
     if method == "strict":
         found = F.try_element_at(F.regexp_extract_all(end, F.lit(r"#### (\-?[0-9\.\,]+)"), F.lit(1)), F.lit(-1))
         return F.replace(found, F.lit(","), F.lit(""))
@@ -79,10 +81,10 @@ def normalize_math(answer: Column) -> Column:
     return X.strip(F.when(plain.rlike(r"\A\d+\z"), plain).otherwise(out))
 
 
-def math_line_prediction(text: Column) -> Column:
-    """Normalised text of the last ``Answer:`` line in the last 300 characters."""
+def math_line_prediction(text: Column, within: int | None = 300) -> Column:
+    """Normalised text of the last ``Answer:`` line in the last ``within`` characters (None: in all)."""
     found = F.try_element_at(
-        F.regexp_extract_all(tail(text, 300), F.lit(r"(?i)Answer\s*:\s*([^\n]+)"), F.lit(1)), F.lit(-1)
+        F.regexp_extract_all(tail(text, within), F.lit(r"(?i)Answer\s*:\s*([^\n]+)"), F.lit(1)), F.lit(-1)
     )
     return normalize_math(F.coalesce(found, F.lit("[INVALID]")))
 
@@ -189,9 +191,9 @@ def math_boxed_score(text: Column, truth: Column) -> Column:
     return F.when(F.coalesce(same(boxed_udf()(text)), F.lit(False)), 1.0).otherwise(0.0)
 
 
-def strict_box_score(text: Column, truth: Column) -> Column:
-    """Plus or minus one by the boxed answer in the last 100 characters."""
-    return F.when(F.coalesce(boxed_udf(strict=True)(tail(text, 100)) == truth, F.lit(False)), 1.0).otherwise(-1.0)
+def strict_box_score(text: Column, truth: Column, within: int | None = 100) -> Column:
+    """Plus or minus one by the boxed answer in the last ``within`` characters (None: in the whole text)."""
+    return F.when(F.coalesce(boxed_udf(strict=True)(tail(text, within)) == truth, F.lit(False)), 1.0).otherwise(-1.0)
 
 
 def dispatch_score(source: Column, text: Column, truth: Column) -> Column:

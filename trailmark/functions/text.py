@@ -202,12 +202,16 @@ def drop_call_blocks(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)<tool_call>.*?(?:</tool_call>|\z)", "")
 
 
-def truncate_think(think: Column) -> Column:
-    """Reasoning without call blocks, cut at the first announced tool use, closed with confidence."""
+def truncate_think(think: Column, within: int | None = 200) -> Column:
+    """Reasoning without call blocks, cut at the first announced tool use, closed with confidence.
+
+    A closing word in the last ``within`` characters (None: anywhere) makes a closing sentence needless.
+    """
     words = F.array(*[F.lit(w) for w in K.CONFIDENT_TAIL_WORDS])
 
     def close(cut: Column) -> Column:
-        closed = let(F.lower(F.right(cut, F.lit(200))), lambda tail: F.exists(words, lambda w: tail.contains(w)))
+        end = F.right(cut, F.lit(within)) if within else cut
+        closed = let(F.lower(end), lambda tail: F.exists(words, lambda w: tail.contains(w)))
         return strip(F.when(closed, cut).otherwise(F.concat(cut, F.lit(K.CONFIDENT_CLOSING))))
 
     return let(_cut_at(drop_call_blocks(think), K.TOOL_INTENT_PATTERN, "[ .]"), close)

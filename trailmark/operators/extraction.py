@@ -289,31 +289,33 @@ def check_media_counts(segments: DataFrame, media: DataFrame) -> DataFrame:
     )
 
 
-def render_results(results: DataFrame, style: str) -> DataFrame:
-    """Results of each call as prompt text, in position order.
+def render_results(results: DataFrame, style: str, order: str = "result_pos", content_chars: int | None = 400) -> DataFrame:
+    """Results of each call as prompt text, in the order of the column ``order``.
 
     ``image``: title, source, link lines; ``web``: title, URL, content; ``text``: the same indented,
-    with the content cut at 400 characters; ``passage``: ``Doc n`` blocks.
+    numbered 1, 2, ... as shown, with the content cut at ``content_chars`` characters (None: whole);
+    ``passage``: ``Doc n`` blocks.
     """
+    content = lambda r: F.left(r.content, F.lit(content_chars)) if content_chars else r.content
     line = {
-        "image": lambda r: F.concat(
+        "image": lambda r, i: F.concat(
             F.lit("["), r.pos.cast("string"), F.lit("] "), r.title, F.lit("\n    Source: "), r.source,
             F.lit("\n    Link: "), r.link,
         ),
-        "web": lambda r: F.concat(
+        "web": lambda r, i: F.concat(
             F.lit("["), r.pos.cast("string"), F.lit("] "), r.title, F.lit("\nURL: "), r.url, F.lit("\n"), r.content, F.lit("\n")
         ),
-        "text": lambda r: F.concat(
-            F.lit("["), r.pos.cast("string"), F.lit("] "), r.title,
+        "text": lambda r, i: F.concat(
+            F.lit("["), (i + 1).cast("string"), F.lit("] "), r.title,
             F.when(r.url != "", F.concat(F.lit("\n    URL: "), r.url)).otherwise(""),
-            F.when(r.content != "", F.concat(F.lit("\n    "), F.left(r.content, F.lit(400)))).otherwise(""),
+            F.when(r.content != "", F.concat(F.lit("\n    "), content(r))).otherwise(""),
         ),
-        "passage": lambda r: F.concat(
+        "passage": lambda r, i: F.concat(
             F.lit("Doc "), r.pos.cast("string"), F.lit(" (Title: "), r.title, F.lit(")\n"), r.content
         ),
     }[style]
     fields = {"image": ["title", "source", "link"], "web": ["title", "url", "content"], "text": ["title", "url", "content"], "passage": ["title", "content"]}
-    item = F.struct(F.col("result_pos").alias("pos"), *[F.col(f"result_{f}").alias(f) for f in fields[style]])
+    item = F.struct(F.col(order).alias("at"), F.col("result_pos").alias("pos"), *[F.col(f"result_{f}").alias(f) for f in fields[style]])
     # One page of a search call: bounded by the page size of the search tool.
     pages = results.where("result_pos >= 0").groupBy("conv_id", "call_idx").agg(F.array_sort(F.collect_list(item)).alias("page"))
     sep = "\n\n" if style == "passage" else "\n"

@@ -26,8 +26,8 @@ def seed_hash(seed: int | str, *keys: Column | str) -> Column:
 
 
 def unit_interval(digest: Column) -> Column:
-    """A number in [0, 1) from the first eight hex digits of a digest."""
-    return F.conv(F.substr(digest, F.lit(1), F.lit(8)), 16, 10).cast("double") / float(16**8)
+    """A number in [0, 1) with 52 bits, from the first thirteen hex digits of a digest."""
+    return F.conv(F.substr(digest, F.lit(1), F.lit(13)), 16, 10).cast("double") / float(16**13)
 
 
 def hash_bucket(digest: Column) -> Column:

@@ -50,16 +50,20 @@ def composite_reward(samples: DataFrame, calls: DataFrame, key: str, compat: boo
     ).drop("__tool")
 
 
-def place_rewards(tok: DataFrame, samples: DataFrame, turns: DataFrame, compat: bool = False) -> DataFrame:
-    """Token rewards: the outcome on the last valid token, each turn's clipped tool sum on its end.
+def place_rewards(tok: DataFrame, samples: DataFrame, turns: DataFrame, compat: bool = False, attended: str | None = None) -> DataFrame:
+    """Token rewards: the outcome on the last attended token, each turn's clipped tool sum on its end.
+
+    ``attended`` names the column that is 1 for attended tokens; without it every row of ``tok`` is. Tool
+    tokens that the loss mask leaves out are attended, so they count towards the end of the answer.
 
     ``samples``: sample_id, acc, format, final_reward. ``turns``: sample_id, t (end position),
-    tool_sum. A sample without turns carries its whole reward on the last valid token. ``compat``
+    tool_sum. A sample without turns carries its whole reward on the last attended token. ``compat``
     reads accuracy and format as zero where turns are placed, as observed.
     """
     w = K.REWARD_WEIGHTS
     clipped = turns.groupBy("sample_id", "t").agg(F.sum(clip_tools(F.col("tool_sum"))).alias("__turn"))
-    last = tok.groupBy("sample_id").agg(F.sum("mask").alias("t"))
+    valid = tok.where(F.col(attended) == 1) if attended else tok
+    last = valid.groupBy("sample_id").agg(F.max("t").alias("t"))
     with_turns = turns.select("sample_id").distinct().withColumn("__has", F.lit(True))
     outcome = F.lit(0.0) if compat else w["acc"] * F.col("acc") + w["fmt"] * F.col("format")
     ends = (

@@ -422,13 +422,15 @@ def rendered_web_results(spark, sf):
 @query(
     "rendered_text_results",
     sql_with(
-        """select conv_id, call_idx, string_agg('['||result_pos||'] '||result_title||chr(10)||'    URL: '||result_url||chr(10)||'    '||left(result_content,400), chr(10) order by result_pos) as text
- from text_result where result_pos>=0 group by 1,2""",
+        """select conv_id, call_idx, string_agg('['||shown||'] '||result_title||chr(10)||'    URL: '||result_url||chr(10)||'    '||result_content, chr(10) order by shown) as text
+ from (select *, row_number() over (partition by conv_id, call_idx order by -result_pos) as shown from text_result where result_pos>=0) group by 1,2""",
         "text_result",
     ),
 )
 def rendered_text_results(spark, sf):
-    return E.render_results(text_results(spark, sf), "text")
+    # Shown from last to first: the numbers follow the page, not the stored positions.
+    results = text_results(spark, sf).withColumn("shown_at", -F.col("result_pos"))
+    return E.render_results(results, "text", "shown_at", content_chars=None)
 
 
 @query(

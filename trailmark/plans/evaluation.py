@@ -169,9 +169,9 @@ def step_tokens(spark, sf):
 @query(
     "timing_per_token",
     sql_with(
-        f"""select step, stage, cast(n as double)/100 as timing_s, round(cast(n as double)/100*1000/case when stage='gen' then r when stage='step' then null else p+r end,6) as timing_per_token_ms from (
+        f"""select step, stage, cast(n as double)/100 as timing_s, round(cast(n as double)/100*1000/case when stage='gen' then r when stage in ('ref','adv','values') then p+r end,6) as timing_per_token_ms from (select *, coalesce(known, data_source) as stage from (
  select step, data_source, count(*) as n from rollout group by 1,2) join (select step, sum(p) as p, sum(l) as r from {SEQ} group by 1) using (step)
- join (select 'click' as data_source, 'gen' as stage union all select 'view','ref' union all select 'purchase','adv' union all select 'error','step' union all select 'signup','values') using (data_source)""",
+ left join (select 'click' as data_source, 'gen' as known union all select 'view','ref' union all select 'purchase','adv' union all select 'error','step' union all select 'signup','values') using (data_source))""",
         "rollout",
     ),
 )
@@ -180,7 +180,7 @@ def timing_per_token(spark, sf):
     stage = F.create_map(*[F.lit(x) for pair in stages.items() for x in pair])
     timings = (
         rollout(spark, sf).groupBy("step", "data_source").agg((F.count(F.lit(1)).cast("double") / 100).alias("seconds"))
-        .withColumn("stage", F.try_element_at(stage, F.col("data_source"))).where("stage is not null").drop("data_source")
+        .withColumn("stage", F.coalesce(F.try_element_at(stage, F.col("data_source")), "data_source")).drop("data_source")
     )
     out = V.timing_metrics(timings, step_tokens(spark, sf))
     return out.withColumn("timing_per_token_ms", F.round("timing_per_token_ms", 6))

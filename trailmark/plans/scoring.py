@@ -93,7 +93,7 @@ def composite_reward(spark, sf):
     "placed_rewards",
     sql_with(
         """select k.sample_id, k.t, round(case when k.t=e.n then case when h.has then 0.6*0.5+0.1*e.fmt else 0.25 end else 0.0 end+coalesce(0.3*u.s,0.0),6)+0.0 as placed_reward from token k
- join (select sample_id, sum(mask) as n, 0.8 as fmt from token group by 1) e on e.sample_id=k.sample_id
+ join (select sample_id, max(t) as n, 0.8 as fmt from token group by 1) e on e.sample_id=k.sample_id
  left join (select distinct sample_id, true as has from token where value_est>=0.9) h on h.sample_id=k.sample_id
  left join (select sample_id, t, greatest(-0.5,least(1.0,value_est*2-0.9)) as s from token where value_est>=0.9) u on u.sample_id=k.sample_id and u.t=k.t""",
         "token",
@@ -136,10 +136,10 @@ def qa_substring_match(spark, sf):
 
 @query(
     "normalized_answers",
-    r"""select doc_id, md5(trim(regexp_replace(regexp_replace(translate(lower(text),'!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~',''),'(^|[^\p{L}\p{N}_])(a|an|the)(($|[^\p{L}\p{N}_])(a|an|the))*($|[^\p{L}\p{N}_])',' ','g'),'\s+',' ','g'))) is not null as done from documents""",
+    r"""select doc_id, md5(trim(regexp_replace(regexp_replace(translate(lower(text),'!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~',''),'(^|[^\p{L}\p{N}_])(a|an|the)(($|[^\p{L}\p{N}_])(a|an|the))*($|[^\p{L}\p{N}_])',' ','g'),'\s+',' ','g'))) as digest from documents""",
 )
 def normalized_answers(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(A.normalize_answer(F.col("text"))).isNotNull().alias("done"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(A.normalize_answer(F.col("text"))).alias("digest"))
 
 
 NUMBERED = "right(text||' so 12, then #### '||case when doc_id%3=0 then '1,234' when doc_id%3=1 then cast(doc_id%7 as string) else '.' end||' end',300)"

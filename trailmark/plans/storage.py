@@ -154,20 +154,19 @@ def metric_log(spark, sf):
     return spark.read.schema("step int, metric string, value double").json(path)
 
 
-UPSERT = """select key, value, created from (select *, row_number() over(partition by key order by created desc, new desc) as r from (
+UPSERT = """select key, value, created from (select *, row_number() over(partition by key order by created desc, new desc, value desc) as r from (
  select sha256(lower(trim(query))) as key, cast(msg_idx as int) as value, conv_id%7 as created, 0 as new from named_call where name='text_search_tool' union all
  select sha256(lower(trim(query))), cast(msg_idx+100 as int), conv_id%5, 1 from named_call where name='text_search_tool')) where r=1"""
 
 
-@query("cache_upsert", sql_with(f"select key, max(created) as created, count(*) as n from ({UPSERT}) group by 1", "named_call"))
+@query("cache_upsert", sql_with(f"select key, value, created from ({UPSERT})", "named_call"))
 def cache_upsert(spark, sf):
     calls = E.tool_calls(message(spark, sf)).where(F.col("name") == K.TEXT_SEARCH)
     asked = calls.select(F.try_variant_get(F.try_parse_json("arguments"), "$.query", "string").alias("query"), "conv_id", "msg_idx")
     upper = F.concat(F.lit("  "), F.upper("query"))
     cache = asked.select(X.cache_key_query(F.col("query")).alias("key"), F.col("msg_idx").cast("int").alias("value"), (F.col("conv_id") % 7).alias("created"))
     updates = asked.select(X.cache_key_query(upper).alias("key"), (F.col("msg_idx") + 100).cast("int").alias("value"), (F.col("conv_id") % 5).alias("created"))
-    merged = Wr.upsert_latest(cache, updates, "key", "created", [F.col("value")])
-    return merged.groupBy("key").agg(F.max("created").alias("created"), F.count(F.lit(1)).alias("n"))
+    return Wr.upsert_latest(cache, updates, "key", "created", [F.col("value").desc()]).select("key", "value", "created")
 
 
 @query(

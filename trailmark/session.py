@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,15 +31,9 @@ def build_session(app: str = "trailmark", master: str | None = None, **conf) ->
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only in local mode."""
+    """The shared folder named by the session; without one, a folder in the warehouse, which is shared too."""
     configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
-    root = tempfile.mkdtemp(prefix="trailmark-")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    return root
+    return configured.rstrip("/") if configured else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
