@@ -77,34 +77,42 @@ def majority_value(spark, sf):
 
 
 def validation_rows(spark, sf):
-    rows = rollout(spark, sf).select("data_source", "uid", F.col("score").alias("acc"), "sample_id", "n_tokens")
-    return rows.withColumn("acc_25km", (F.col("n_tokens") > 20).cast("double"))
+    # As for ``scores``: more decimals, so that rounded results have no ties.
+    rows = rollout(spark, sf).select("data_source", "uid", (F.col("score") * 0.7310585786).alias("acc"), "sample_id", "n_tokens")
+    return rows.withColumn("acc_25km", F.when(F.col("n_tokens") > 20, 0.7310585786).otherwise(0.0))
 
 
-MERGED = """select data_source, variable, metric, avg(v) as v from (select data_source, variable, 'mean@'||count(x) as metric, avg(x) as v from long group by data_source, uid, variable having count(x)>0
- union all select data_source, variable, 'std@'||count(x), stddev_pop(x) from long group by data_source, uid, variable having count(x)>1) group by 1,2,3"""
-LONG = """(select data_source, uid, 'acc' as variable, score as x from rollout union all select data_source, uid, 'acc', score/2 from rollout
- union all select data_source, uid, 'acc_25km', case when n_tokens>20 then 1.0 else 0.0 end from rollout)"""
+MERGED = """with long as (select data_source, uid, 'acc' as variable, score*0.7310585786 as x from rollout union all select data_source, uid, 'acc', score*0.7310585786/2 from rollout
+ union all select data_source, uid, 'acc_25km', case when n_tokens>20 then 0.7310585786 else 0.0 end from rollout),
+ held as (select *, count(*) over(partition by data_source, uid, variable) as n, row_number() over(partition by data_source, uid, variable order by x) as i from long where x is not null),
+ steps as (select data_source, uid, variable, x, cast(n as double) as n, cast(i as double) as i, unnest(case when n>1 then list_append([q for q in [2,4,8,16,32,64,128,256,512] if q<n], n) else [] end) as k from held),
+ ends as (select data_source, uid, variable, k, sum(x*(pow(i/n,k)-pow((i-1)/n,k))) as bm, sum(x*x*(pow(i/n,k)-pow((i-1)/n,k))) as bq,
+ sum(x*(pow((n-i+1)/n,k)-pow((n-i)/n,k))) as wm, sum(x*x*(pow((n-i+1)/n,k)-pow((n-i)/n,k))) as wq from steps group by 1,2,3,4),
+ merged as (select data_source, variable, metric, round(avg(v),7)+0.0 as v from (
+ select data_source, variable, 'mean@'||count(x) as metric, avg(x) as v from long group by data_source, uid, variable having count(x)>0
+ union all select data_source, variable, 'std@'||count(x), stddev_pop(x) from long group by data_source, uid, variable having count(x)>1
+ union all select data_source, variable, 'best@'||k||'/mean', bm from ends union all select data_source, variable, 'best@'||k||'/std', sqrt(greatest(bq-bm*bm,0)) from ends
+ union all select data_source, variable, 'worst@'||k||'/mean', wm from ends union all select data_source, variable, 'worst@'||k||'/std', sqrt(greatest(wq-wm*wm,0)) from ends) group by 1,2,3)
+"""
 
 
-@query(
-    "merged_validation",
-    sql_with(f"select data_source, variable, metric, round(v,7)+0.0 as value from ({MERGED.replace('from long', 'from ' + LONG)})", "rollout"),
-)
+def merged_sql(body):
+    return sql_with("", "rollout").rstrip() + ",\n" + MERGED[5:] + body
+
+
+@query("merged_validation", merged_sql("select data_source, variable, metric, v as value from merged"))
 def merged_validation(spark, sf):
     # The second run has no kilometre accuracy.
     second = validation_rows(spark, sf).drop("acc_25km").withColumn("acc", F.col("acc") / 2)
     out = V.merge_validation(validation_rows(spark, sf), second, ["acc", "acc_25km"])
-    plain = out.where(F.col("metric").startswith("mean@") | F.col("metric").startswith("std@"))
-    return plain.withColumn("value", F.round("value", 7) + 0.0)
+    return out.withColumn("value", F.round("value", 7) + 0.0)
 
 
 @query(
     "routed_metrics",
-    sql_with(
-        f"""select case when variable in ('acc','acc_25km') and starts_with(metric,'mean') and contains(metric,'@'||mx) then 'val-core' else 'val-aux' end||'/'||data_source||'/'||variable||'/'||metric as name, round(v,7)+0.0 as value
- from (select *, max(cast(regexp_extract(metric,'@(\\d+)',1) as int)) over(partition by data_source, variable) as mx from ({MERGED.replace('from long', 'from ' + LONG)}))""",
-        "rollout",
+    merged_sql(
+        """select case when contains(metric,'@'||mx) and (variable='acc' and (starts_with(metric,'mean') or starts_with(metric,'best')) or variable='acc_25km' and starts_with(metric,'mean')) then 'val-core' else 'val-aux' end||'/'||data_source||'/'||variable||'/'||metric as name, v as value
+ from (select *, max(cast(regexp_extract(metric,'@(\\d+)',1) as int)) over(partition by data_source, variable) as mx from merged)"""
     ),
 )
 def routed_metrics(spark, sf):
