@@ -146,7 +146,7 @@ def test_optimal_token_baseline(spark, tokens, compact):
             p = place[i]
             num[: len(p)] += returns[i, p] * energy[i, p] * mask[i, p]
             den[: len(p)] += energy[i, p] * mask[i, p]
-        ranked = sorted((lengths[i] for i in members), reverse=True)
+        ranked = sorted((lengths[i] for i in members), key=lambda n: -n)
         for i in members:
             base = num / (den + 1e-8) if len(members) > 1 else np.zeros(size)
             if len(members) > 1 and lengths[i] == ranked[0] and ranked[0] > ranked[1]:
@@ -259,28 +259,20 @@ def test_union_columns_rejects_a_difference(spark):
         H.union_columns(a, a.withColumn("v", F.lit("y")), "k").collect()
 
 
-def test_differencing_balances_and_keeps_all():
-    loads = [int(x) for x in RNG.integers(1, 1000, 64)]
-    for equal in (False, True):
-        shard = H.differencing(loads, 4, equal)
-        sums = [sum(v for v, s in zip(loads, shard) if s == k) for k in range(4)]
-        assert sum(sums) == sum(loads)
-        assert max(sums) - min(sums) < max(loads)
-        if equal:
-            assert all(shard.count(k) == 16 for k in range(4))
-    assert H.differencing([4, 5, 6, 7, 8], 2, False).count(0) in (2, 3)
-    assert sorted(H.greedy([3, 1, 1, 1], 2, False)) == [0, 1, 1, 1]
-    with pytest.raises(ValueError):
-        H.differencing([1, 2, 3], 2, True)
-
-
-def test_large_batches_are_sharded_by_rank(spark):
-    df = spark.range(200).select(F.lit(1).alias("b"), F.col("id"), (F.col("id") % 17 + 1).cast("int").alias("n"))
-    out = H.balance(df, "b", "id", "n", 4, limit=50).toPandas()
-    assert len(out) == 200 and out.shard.value_counts().tolist() == [50, 50, 50, 50]
-    micro = H.microbatches(df, "b", "id", "n", 100)
-    assert micro.count() == 200
-    assert micro.groupBy("micro").agg(F.sum("n").alias("s")).agg(F.max("s")).first()[0] <= 130
+@pytest.mark.parametrize("rows", [200, 3000])
+def test_batches_of_any_size_take_one_way(spark, rows):
+    df = spark.range(rows).select(F.lit(1).alias("b"), F.col("id"), (F.col("id") % 17 + 1).cast("int").alias("n"))
+    out = H.balance(df, "b", "id", "n", 4, equal=True).toPandas()
+    assert len(out) == rows and out.shard.value_counts().tolist() == [rows // 4] * 4
+    sums = out.groupby("shard").n.sum()
+    assert sums.max() - sums.min() <= 17
+    with pytest.raises(Exception, match="do not divide into 7"):
+        H.balance(df, "b", "id", "n", 7, equal=True).collect()
+    micro = H.microbatches(df, "b", "id", "n", 100).toPandas()
+    assert len(micro) == rows and sorted(micro.micro.unique()) == list(range(micro.micro.nunique()))
+    assert micro.groupby("micro").n.sum().max() <= 100
+    with pytest.raises(Exception, match="longer than the token budget"):
+        H.microbatches(df, "b", "id", "n", 16).collect()
 
 
 def test_reweight_follows_the_weights(spark):

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -178,59 +176,6 @@ def workload(length: Column) -> Column:
     return size * K.WORKLOAD_LINEAR + size * size
 
 
-# Largest differencing: a partial solution is k bins, heaviest first.
-class _Bins:
-    def __init__(self, bins: list[tuple[int, list[int]]]):
-        self.bins = sorted(bins, key=lambda b: (b[0], len(b[1]), b[1]), reverse=True)
-
-    @property
-    def order(self) -> tuple:
-        heaviest = self.bins[0]
-        return (heaviest[0] - self.bins[-1][0], heaviest[0], len(heaviest[1]), heaviest[1])
-
-    def __lt__(self, other: _Bins) -> bool:
-        return self.order > other.order
-
-    def absorb(self, other: _Bins) -> _Bins:
-        pairs = zip(self.bins, reversed(other.bins))
-        return _Bins([(a[0] + b[0], a[1] + b[1]) for a, b in pairs])
-
-
-def differencing(loads: Sequence[int], k: int, equal: bool) -> list[int]:
-    """Shard of each load by largest differencing; with ``equal`` every shard gets as many."""
-    if equal and len(loads) % k:
-        raise ValueError(f"{len(loads)} rows do not divide into {k} equal shards")
-    by_load = sorted(range(len(loads)), key=lambda i: (loads[i], i))
-    step = k if equal else 1
-    heap = []
-    for at in range(0, len(by_load), step):
-        filled = [(int(loads[i]), [i]) for i in by_load[at : at + step]]
-        heap.append(_Bins(filled + [(0, [])] * (k - len(filled))))
-    heapq.heapify(heap)
-    while len(heap) > 1:
-        heapq.heappush(heap, heapq.heappop(heap).absorb(heapq.heappop(heap)))
-    shard = [0] * len(loads)
-    for number, (_, members) in enumerate(heap[0].bins if heap else []):
-        for i in members:
-            shard[i] = number
-    return shard
-
-
-def greedy(loads: Sequence[int], k: int, equal: bool) -> list[int]:
-    """Shard of each load in turn: the lightest so far; with ``equal`` the count decides first."""
-    heap = [(0, j) for j in range(k)]
-    bias = sum(loads) + 1 if equal else 0
-    shard = []
-    for load in loads:
-        total, j = heapq.heappop(heap)
-        shard.append(j)
-        heapq.heappush(heap, (total + int(load) + bias, j))
-    return shard
-
-
-METHODS: dict[str, Callable[[Sequence[int], int, bool], list[int]]] = {"differencing": differencing, "greedy": greedy}
-
-
 def snake(df: DataFrame, load: str, key: str, k: int | str, group: Sequence[str] = ()) -> DataFrame:
     """Shards by rank of the load, there and back again: needs no sequential pass over the rows.
 
@@ -243,72 +188,50 @@ def snake(df: DataFrame, load: str, key: str, k: int | str, group: Sequence[str]
     return out.withColumn("shard", F.when(spot < shards, spot).otherwise(2 * shards - 1 - spot).cast("int")).drop("__rank")
 
 
-# A batch beyond this many entries is sharded by rank: differencing is sequential.
-BATCH_LIMIT = 100_000
+def _divides(df: DataFrame, batch: str, k: int) -> Column:
+    """True where the batch has a multiple of k rows, an error elsewhere."""
+    sizes = df.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
+    odd = sizes.where(F.col("n") % k != 0).agg(F.min(F.concat_ws(" ", F.col("n").cast("string"), F.lit(f"rows do not divide into {k} equal shards")))).scalar()
+    return F.when(odd.isNull(), True).otherwise(F.raise_error(odd))
 
 
-def _per_batch(
-    df: DataFrame, batch: str, key: str, k: Column, name: str, assign: Callable[[pd.DataFrame], list[int]], limit: int
-) -> DataFrame:
-    """Shard number per (batch, key) from the columns ``__load`` and ``__len``.
+def balance(df: DataFrame, batch: str, key: str, length: str, k: int, equal: bool = False) -> DataFrame:
+    """Adds ``shard`` per batch so that workloads are balanced, by rank at every size.
 
-    A batch up to ``limit`` entries is one small group of keys and loads for ``assign``; a larger
-    one is sharded by rank over many tasks.
+    Shards differ by one row at most. With ``equal`` a batch that k does not divide is an error.
     """
-    sizes = df.groupBy(batch).agg(F.count(F.lit(1)).alias("__n"), F.sum("__len").alias("__total")).withColumn("__k", k)
-    sized = df.select(batch, key, "__load", "__len").join(sizes, batch)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key, kind="stable").reset_index(drop=True)
-        return pd.DataFrame({batch: rows[batch], key: rows[key], name: assign(rows)})
-
-    types = {c: df.schema[c].dataType.simpleString() for c in (batch, key)}
-    schema = f"`{batch}` {types[batch]}, `{key}` {types[key]}, `{name}` int"
-    small = sized.where(F.col("__n") <= limit).groupBy(batch).applyInPandas(run, schema)
-    large = snake(sized.where(F.col("__n") > limit), "__load", key, "__k", [batch])
-    return small.unionByName(large.select(batch, key, F.col("shard").alias(name)))
-
-
-def balance(
-    df: DataFrame, batch: str, key: str, length: str, k: int, equal: bool = False, method: str = "differencing", limit: int = BATCH_LIMIT
-) -> DataFrame:
-    """Adds ``shard`` per batch so that workloads are balanced."""
-    loaded = df.withColumns({"__load": workload(F.col(length)), "__len": F.col(length)})
-    solve = METHODS[method]
-    shards = _per_batch(loaded, batch, key, F.lit(k), "shard", lambda rows: solve(rows["__load"].tolist(), k, equal), limit)
-    return df.join(shards, [batch, key])
+    placed = snake(df.withColumn("__load", workload(F.col(length))), "__load", key, k, [batch]).drop("__load")
+    return placed.where(_divides(df, batch, k)) if equal else placed
 
 
-def balance_groups(df: DataFrame, batch: str, uid: str, length: str, k: int, limit: int = BATCH_LIMIT) -> DataFrame:
+def balance_groups(df: DataFrame, batch: str, uid: str, length: str, k: int) -> DataFrame:
     """Shards that keep the rows of a prompt together, with as many prompts each."""
-    loads = df.groupBy(batch, uid).agg(F.sum(workload(F.col(length))).alias("__load"), F.sum(length).alias("__len"))
-    shards = _per_batch(loads, batch, uid, F.lit(k), "shard", lambda rows: differencing(rows["__load"].tolist(), k, True), limit)
+    loads = df.groupBy(batch, uid).agg(F.sum(workload(F.col(length))).alias("__load"))
+    shards = snake(loads, "__load", uid, k, [batch]).where(_divides(loads, batch, k)).drop("__load")
     return df.join(shards, [batch, uid])
 
 
-def _micro_order(rows: pd.DataFrame, budget: int) -> list[int]:
-    loads = rows["__load"].tolist()
-    if rows["__len"].max() > budget:
-        raise ValueError("a sequence is longer than the token budget")
-    bins = min(len(rows), -(-int(rows["__len"].sum()) // budget))
-    shard = differencing(loads, bins, False)
-    totals, first = [0] * bins, [len(rows)] * bins
-    for i, number in enumerate(shard):
-        totals[number] += loads[i]
-        first[number] = min(first[number], i)
-    by_weight = sorted(range(bins), key=lambda b: (-totals[b], -first[b]))
-    # The heaviest goes to the middle, the next ones right and left of it in turn.
-    middle = (bins + 1) // 2
-    place = {b: middle + rank // 2 if rank % 2 else middle - 1 - rank // 2 for rank, b in enumerate(by_weight)}
-    return [place[number] for number in shard]
-
+def microbatches(df: DataFrame, batch: str, key: str, length: str, budget: int) -> DataFrame:
+    """Adds ``micro``: micro-batches within the token budget, the light ones at both ends.
 
-def microbatches(df: DataFrame, batch: str, key: str, length: str, budget: int, limit: int = BATCH_LIMIT) -> DataFrame:
-    """Adds ``micro``: as few micro-batches as the token budget allows, the light ones at both ends."""
-    loaded = df.withColumns({"__load": workload(F.col(length)), "__len": F.col(length)})
-    bins = F.least(F.col("__n"), F.ceil(F.col("__total") / budget))
-    placed = _per_batch(loaded, batch, key, bins, "micro", lambda rows: _micro_order(rows, budget), limit)
-    return df.join(placed, [batch, key])
+    Sequences lie end to end from long to short, and a micro-batch takes those that begin in one stretch
+    of budget minus the longest length, so none exceeds the budget. A longer sequence is an error.
+    """
+    tokens = F.col(length).cast("long")
+    longest = df.agg(F.max(tokens)).scalar()
+    fits = F.when(longest <= budget, True).otherwise(F.raise_error(F.lit("a sequence is longer than the token budget")))
+    placed = with_value_bucket(df.where(fits), length, ascending=False)
+    laid = running(placed, [batch], "__bucket", [tokens.desc(), F.col(key)], {"__end": tokens}).drop("__bucket")
+    stretch = F.floor((F.col("__end") - tokens) / F.greatest(F.lit(budget) - longest, F.lit(1)))
+    laid = laid.withColumn("__bin", stretch.cast("long")).drop("__end")
+    bins = laid.groupBy(batch, "__bin").agg(F.sum(workload(tokens)).alias("__load"))
+    heavy = running(with_value_bucket(bins, "__load", ascending=False), [batch], "__bucket", [F.col("__load").desc(), F.col("__bin")], {"__rank": F.lit(1)})
+    counts = bins.groupBy(batch).agg(F.count(F.lit(1)).alias("__n"))
+    rank, middle = F.col("__rank") - 1, F.floor((F.col("__n") + 1) / 2)
+    # The heaviest goes to the middle, the next ones right and left of it in turn.
+    place = F.when(rank % 2 == 1, middle + F.floor(rank / 2)).otherwise(middle - 1 - F.floor(rank / 2))
+    places = heavy.join(counts, batch).select(batch, "__bin", place.cast("int").alias("micro"))
+    return laid.join(places, [batch, "__bin"]).drop("__bin")
 
 
 def imbalance(df: DataFrame, batch: str, key: str, length: str, k: int) -> DataFrame:

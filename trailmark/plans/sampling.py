@@ -143,26 +143,50 @@ def shard_imbalance(spark, sf):
     return out.withColumn("mean", F.round("mean", 6))
 
 
-@query("balanced_shards")
+BALANCED = "select step, sample_id, n_tokens, cast(case when spot<8 then spot else 15-spot end as int) as shard from (select *, (row_number() over(partition by step order by 24576*n_tokens+n_tokens*n_tokens desc, sample_id)-1)%16 as spot from rollout)"
+
+
+@query("balanced_shards", sql_with(BALANCED, "rollout"))
 def balanced_shards(spark, sf):
     rows = rollout(spark, sf).select("step", "sample_id", "n_tokens")
     return H.balance(rows, "step", "sample_id", "n_tokens", 8)
 
 
-@query("balanced_shards_greedy")
+@query(
+    "balanced_shards_greedy",
+    sql_with(f"select step, shard, cast(count(*) as bigint) as n, cast(sum(24576*n_tokens+n_tokens*n_tokens) as bigint) as load from ({BALANCED}) group by 1,2", "rollout"),
+)
 def balanced_shards_greedy(spark, sf):
     rows = rollout(spark, sf).select("step", "sample_id", "n_tokens")
-    return H.balance(rows, "step", "sample_id", "n_tokens", 8, method="greedy")
+    placed = H.balance(rows, "step", "sample_id", "n_tokens", 8)
+    return placed.groupBy("step", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum(H.workload(F.col("n_tokens"))).alias("load"))
 
 
-@query("balanced_groups")
+@query(
+    "balanced_groups",
+    sql_with(
+        """select step, sample_id, n_tokens, uid, cast(case when spot<4 then spot else 7-spot end as int) as shard from (select step, sample_id, n_tokens, sample_id%64 as uid from rollout)
+ join (select *, (row_number() over(partition by step order by load desc, uid)-1)%8 as spot from (select step, sample_id%64 as uid, sum(24576*n_tokens+n_tokens*n_tokens) as load from rollout group by 1,2)) using (step, uid)""",
+        "rollout",
+    ),
+)
 def balanced_groups(spark, sf):
     # Shards need as many prompts each, so the prompts are numbered into a multiple of four per step.
     rows = rollout(spark, sf).select("step", "sample_id", "n_tokens").withColumn("uid", F.col("sample_id") % 64)
     return H.balance_groups(rows, "step", "uid", "n_tokens", 4)
 
 
-@query("token_budget_batches")
+@query(
+    "token_budget_batches",
+    sql_with(
+        """select step, sample_id, n_tokens, micro from (select step, sample_id, n_tokens, cast(floor((finish-n_tokens)/(512-longest)) as bigint) as bin
+  from (select step, sample_id, n_tokens, sum(n_tokens) over(partition by step order by n_tokens desc, sample_id rows unbounded preceding) as finish, (select max(n_tokens) from rollout) as longest from rollout))
+ join (select step, bin, cast(case when r%2=1 then (n+1)//2+r//2 else (n+1)//2-1-r//2 end as int) as micro from (select step, bin, row_number() over(partition by step order by load desc, bin)-1 as r, count(*) over(partition by step) as n
+  from (select step, cast(floor((finish-n_tokens)/(512-longest)) as bigint) as bin, sum(24576*n_tokens+n_tokens*n_tokens) as load
+   from (select step, n_tokens, sum(n_tokens) over(partition by step order by n_tokens desc, sample_id rows unbounded preceding) as finish, (select max(n_tokens) from rollout) as longest from rollout) group by 1,2))) using (step, bin)""",
+        "rollout",
+    ),
+)
 def token_budget_batches(spark, sf):
     rows = rollout(spark, sf).select("step", "sample_id", "n_tokens")
     return H.microbatches(rows, "step", "sample_id", "n_tokens", 512)
