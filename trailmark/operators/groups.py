@@ -40,14 +40,24 @@ def attach_stats(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], sp
     return out.drop("__salt", "__hot", *[f"__hot_{n}" for n in aggs])
 
 
-def attach_lookup(df: DataFrame, lookup: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
+def attach_lookup(df: DataFrame, lookup: DataFrame, key: str, spread: str) -> DataFrame:
     """Left join with a table of one row per key; a null key matches a null key.
 
-    The lookup is copied ``salts`` times and the rows are spread by ``spread`` (a row id), so the rows
-    of a hot key meet in as many tasks.
+    The rows per key are counted first. The lookup rows of hot keys, at most ``HOT_SHARE``, are broadcast
+    and the rows of those keys spread by ``spread`` (a row id); all other keys meet by shuffle.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    rows = df.withColumn("__at_key", F.struct(F.col(key).alias("k"), salt.alias("s")))
-    copies = lookup.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    copies = copies.withColumn("__at_key", F.struct(F.col(key).alias("k"), F.col("__s").alias("s"))).drop(key, "__s")
-    return rows.join(copies, "__at_key", "left").drop("__at_key")
+    names = [c for c in lookup.columns if c != key]
+    as_key = F.struct(F.col(key).alias("k"))
+    counts = df.groupBy(as_key.alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    hot_keys = F.broadcast(counts.where(F.col("__n") * HOT_SHARE >= total).select("__key"))
+    sides = lookup.select(as_key.alias("__key"), F.struct(*names).alias("__side"))
+    hot = sides.join(hot_keys, "__key").withColumnRenamed("__side", "__hot")
+    cold = sides.join(hot_keys, "__key", "left_anti").select(
+        F.struct("__key", F.lit(0).alias("s")).alias("__at_key"), F.col("__side").alias("__cold")
+    )
+    marked = df.withColumn("__key", as_key).join(F.broadcast(hot), "__key", "left")
+    salt = F.when(F.col("__hot").isNotNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    met = marked.withColumn("__at_key", F.struct("__key", salt.alias("s"))).join(cold, "__at_key", "left")
+    side = F.coalesce("__hot", "__cold")
+    return met.withColumns({n: side[n] for n in names}).drop("__key", "__at_key", "__hot", "__cold")

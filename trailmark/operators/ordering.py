@@ -38,14 +38,15 @@ def hash_bucket(digest: Column) -> Column:
 def with_value_bucket(df: DataFrame, value: str, name: str = "__bucket", ascending: bool = True) -> DataFrame:
     """Bucket that follows the order of a numeric column, even when its values cluster.
 
-    The bounds are at most ``QUANTILES`` numbers, fixed in the plan as literals, so every use of
-    the bucket sees the same ones. Rows with a null value come first.
+    The bounds grow with the number of shuffle partitions (``QUANTILES`` at least), and are fixed in the
+    plan as literals, so every use of the bucket sees the same ones. Rows with a null value come first.
     """
     from pyspark.ml.feature import Bucketizer
 
-    probs = [i / QUANTILES for i in range(1, QUANTILES)]
+    n = max(QUANTILES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    probs = [i / n for i in range(1, n)]
     numeric = df.select(F.col(value).cast("double").alias("v"))
-    bounds = sorted(set(numeric.approxQuantile("v", probs, 0.001)))
+    bounds = sorted(set(numeric.approxQuantile("v", probs, min(0.001, 0.25 / n))))
     inf = float("inf")
     cut = Bucketizer(splits=[-inf, *bounds, inf], inputCol="__v", outputCol="__cut", handleInvalid="keep")
     placed = cut.transform(df.withColumn("__v", F.col(value).cast("double"))) if bounds else df.withColumn("__cut", F.lit(0.0))

@@ -167,9 +167,12 @@ def stream_step_metrics(stream: DataFrame, ts: str, length: str, late: str = "1
     return windowed.select(F.col("window.start").alias("start"), "metric", "value")
 
 
-def stream_dedupe(stream: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFrame:
-    """Each id once; the checkpoint remembers ids across restarts, up to the watermark."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+def stream_dedupe(stream: DataFrame, key: str, ts: str, late: str | None = None) -> DataFrame:
+    """Each id once, ever: the checkpoint remembers all ids across restarts.
+
+    With ``late`` an id is forgotten once the event time has moved on by as much, which bounds the state.
+    """
+    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if late else stream.dropDuplicates([key])
 
 
 def stream_append(stream: DataFrame, generate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
