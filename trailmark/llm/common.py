@@ -9,7 +9,7 @@ from trailmark.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 # A key with at least 1/HOT_SHARE of the rows is hot, so at most HOT_SHARE keys are.
-HOT_SHARE = 1000
+HOT_SHARE = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import attach, written
+from trailmark.llm.common import attach, packed, written
 from trailmark.llm.components import connected
 from trailmark.llm.prefix_tree import links
 from trailmark.llm.tokens import LAST_ID, LOWER, gram_hashes, in_order, mix, pack, unpack, window_hashes, word_bounds, word_hashes
@@ -20,7 +20,8 @@ GRAMS = "part int, block int, hashes binary, counts binary"
 COUNTS = "block int, part int, counts binary"
 SETS = "doc_id long, n_shingles long, print binary, elements array<long>"
 ARROW_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print", pa.binary()), ("elements", pa.list_(pa.int64()))])
-CHUNK = 500
+CHUNK = 250
+MOST_COUNTED = 127
 LEADERS = 16
 
 
@@ -30,7 +31,7 @@ def shingle_sets(table: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray, p
     starts, ends, offsets = word_bounds(data, rows)
     hashes = word_hashes(LOWER[data], starts, ends)
     lengths = np.diff(offsets)
-    row, shingle = [], []
+    row, shingle = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     if len(hashes) >= words:
         of = np.repeat(np.arange(len(lengths)), lengths)
         full = np.arange(len(hashes) - words + 1) + words <= offsets[of[: len(hashes) - words + 1] + 1]
@@ -62,29 +63,32 @@ def send_shingles(words: int, parts: int, table: pa.Table) -> pa.Table:
 
 
 def count_shingles(table: pa.Table) -> pa.Table:
-    """For every shingle sent, the number of documents that have it."""
+    """For every shingle sent, the number of documents that have it, up to MOST_COUNTED."""
     blobs = [np.frombuffer(b, np.uint32) for b in table["hashes"].to_pylist()]
     counts = np.concatenate([unpack(b, np.uint32) for b in table["counts"].to_pylist()])
     _, place = np.unique(np.concatenate(blobs), return_inverse=True)
-    total = np.bincount(place, weights=counts)[place] > 1
+    total = np.minimum(np.bincount(place, weights=counts), MOST_COUNTED).astype(np.uint8)[place]
     cuts = np.cumsum([0, *map(len, blobs)])
-    bits = [pack(np.packbits(total[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table([table["block"].combine_chunks(), table["part"].combine_chunks(), bits], schema=schema(COUNTS))
+    sent = [pack(total[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table([table["block"].combine_chunks(), table["part"].combine_chunks(), sent], schema=schema(COUNTS))
 
 
 def send_sets(words: int, parts: int, enough: tuple[int, int], table: pa.Table, counts: pa.Table) -> pa.Table:
     """A row per document. One that shares enough shingles to have a partner has a print of its set, and
-    the first document of a block with that print has the shared shingles."""
+    the first document of a block with that print has the shared shingles: their counts in the upper
+    byte, their hashes below, ascending, which is the global order from rare to frequent."""
     if not table.num_rows:
         return ARROW_SETS.empty_table()
     row, shingle, given = shingle_sets(table, words)
     keys, place = np.unique(filter_keys(shingle, parts), return_inverse=True)
     cuts = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
-    more = np.zeros(len(keys), bool)
+    often = np.ones(len(keys), np.uint64)
     for part, blob in zip(counts["part"].to_pylist(), counts["counts"].to_pylist(), strict=True):
         a, b = cuts[part], cuts[part + 1]
-        more[a:b] = np.unpackbits(unpack(blob, np.uint8))[: b - a].astype(bool)
-    shared = more[place]
+        often[a:b] = unpack(blob, np.uint8)
+    often = often[place]
+    shared = often > 1
+    ordered = (often << np.uint64(56)) | (shingle >> np.uint64(8))
     n = np.bincount(row, minlength=len(given))
     n_shared = np.bincount(row[shared], minlength=len(given))
     near = (n > 0) & (enough[1] * n_shared >= enough[0] * n)
@@ -98,7 +102,7 @@ def send_sets(words: int, parts: int, enough: tuple[int, int], table: pa.Table,
         own = shingle[at[i] : at[i + 1]]
         key = b"".join(int(v).to_bytes(8, "little") for v in (len(own), mix(own).sum(dtype=np.uint64), mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)))
         prints.append(key)
-        elements.append(None if key in seen else own[shared[at[i] : at[i + 1]]].view(np.int64))
+        elements.append(None if key in seen else np.sort(ordered[at[i] : at[i + 1]][shared[at[i] : at[i + 1]]]).view(np.int64))
         seen.add(key)
     return pa.table([given, n, pa.array(prints, pa.binary()), pa.array(elements, pa.list_(pa.int64()))], schema=ARROW_SETS)
 
@@ -107,7 +111,7 @@ def sets_of(docs: DataFrame, words: int, enough: tuple[int, int], block_bytes: i
     """doc_id, n_shingles, print and elements of every row; the last two only where a partner can exist.
 
     Which shingles two documents share is counted over the whole corpus; a block sends four bytes for
-    each of its distinct shingles and gets one bit back. A document whose own shingles are too many has no
+    each of its distinct shingles and gets one byte back. A document whose own shingles are too many has no
     partner; it goes no further.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -131,21 +135,15 @@ def least_overlap(size: Column, enough: tuple[int, int]) -> Column:
 def join_chunk(enough: tuple[int, int], table: pa.Table) -> pa.Table:
     """(node, hub) of the sets of one chunk: a set and the first set of its component.
 
-    Ranks in the chunk follow the global order. Of two visitors none belongs here: they meet elsewhere.
+    Of two visitors none belongs here: they meet elsewhere.
     """
     nodes, sizes, labels = (table[c].to_numpy() for c in ("node", "n", "known"))
     home = table["home"].to_pylist()
-    lists = table["items"].combine_chunks()
+    lists = table["elements"].combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks)
     cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-    held = lists.flatten()
-    often, element = held.field("often").to_numpy(), held.field("e").to_numpy()
-    order = np.lexsort([element, often])
-    new = np.ones(len(order), bool)
-    new[1:] = element[order][1:] != element[order][:-1]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new) - 1
+    _, rank = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     sets = [rank[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     joined = links(sets, sizes, enough, labels.tolist(), lambda i, j: home[i] or home[j])
     hubs = [nodes[joined.find(i)] for i in range(len(nodes))]
@@ -159,27 +157,19 @@ def in_chunks(rows: DataFrame, enough: tuple[int, int]) -> DataFrame:
 def linked_sets(classes: DataFrame, enough: tuple[int, int], chunk: int) -> DataFrame:
     """node, label of the distinct sets (node, n, elements) that are linked to others.
 
-    Elements are ordered from rare to frequent, counted among these sets. Two sets that overlap enough
-    share one of the first n - least + 1 elements of each; sets connected by such elements are a group of
-    candidates and meet in one task. A group of more than ``chunk`` sets is dealt into chunks that a few
+    Elements are in the global order from rare to frequent; those of one document only come first and
+    are left out. Two sets that overlap enough share one of the first n - least + 1 elements of each; sets
+    connected by such elements are a group of candidates and meet in one task. A group of more than ``chunk`` sets is dealt into chunks that a few
     leading sets visit; those which are then still apart from the group's main component visit every
     chunk. So each pair of sets not yet connected meets in one place, and no task grows with a group.
     """
-    rows = classes.select("node", "n", F.explode("elements").alias("e"))
-    often = written(rows.groupBy("e").agg(F.count(F.lit(1)).alias("often")), "element-counts")
-    counted = often.where(F.col("often") > 1).withColumn("w", F.col("often"))
-    total = counted.agg(F.sum("w")).first()[0] or 0
-    met = attach(rows, counted, "e", "w", total, F.col("node")).where(F.col("often").isNotNull())
-    items = F.sort_array(F.collect_list(F.struct("often", "e")))
-    ordered = met.groupBy("node", "n").agg(items.alias("items")).where(F.size("items") >= least_overlap(F.col("n"), enough))
-    ordered = written(ordered, "ordered-sets")
-    first = F.size("items") - least_overlap(F.col("n"), enough) + 1
-    heads = ordered.select("node", F.explode(F.slice("items", 1, first.cast("int"))).alias("i")).select("node", F.col("i.e").alias("hub"))
+    first = F.size("elements") - least_overlap(F.col("n"), enough) + 1
+    heads = classes.select("node", F.explode(F.slice("elements", 1, first.cast("int"))).alias("hub"))
     groups = connected(heads).withColumnRenamed("label", "group")
     sizes = written(groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")).withColumn("w", F.col("size")), "group-sizes")
     sized = attach(groups, sizes, "group", "w", groups.count(), F.col("node")).where(F.col("size") > 1)
     n_chunks = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
-    dealt = ordered.join(sized, "node").withColumn("chunks", n_chunks)
+    dealt = classes.join(sized, "node").withColumn("chunks", n_chunks)
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = written(dealt, "dealt-sets")
     leads = (F.col("chunks") > 1) & ((F.col("node") == F.col("group")) | (F.pmod(F.xxhash64(F.lit(3), "node"), F.col("size")) < LEADERS))
@@ -236,5 +226,6 @@ def similar_documents(
 def drop_similar(docs: DataFrame, **options: Any) -> DataFrame:
     """The rows whose id is the smallest of its component, with all their columns; all rows without an id."""
     kept = similar_documents(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.struct("doc_id").alias("__id")).distinct()
-    return docs.withColumn("__id", F.struct(F.col("doc_id").cast("long").alias("doc_id"))).join(ids, "__id", "left_semi").drop("__id")
+    ids = kept.select(F.struct("doc_id").alias("id")).distinct()
+    keyed = packed(docs, id=F.struct(F.col("doc_id").cast("long").alias("doc_id")))
+    return keyed.join(ids, "id", "left_semi").select("row.*")
