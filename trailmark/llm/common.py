@@ -43,14 +43,21 @@ def words(text: str | Column) -> Column:
     return F.regexp_extract_all(whole(text), F.lit(WORD), F.lit(0))
 
 
-def attach(rows: DataFrame, lookup: DataFrame, key: str, weight: str, total: int, spread: Column) -> DataFrame:
+def attach(
+    rows: DataFrame, lookup: DataFrame, key: str, weight: str, total: int, spread: Column, n_keys: int | None = None
+) -> DataFrame:
     """Left join with a lookup of one row per key, in which no hot key gathers its rows in one task.
 
     ``weight`` is the lookup's column with the number of rows of the key and ``total`` their sum.
     Hot keys number ``HOT_SHARE`` at most and are broadcast; their rows are then dealt by ``spread``.
-    All other keys meet by shuffle. A null key matches a null key.
+    All other keys meet by shuffle. A null key matches a null key. If ``n_keys``, the number of keys where
+    the caller knows it, is no more than that either, the whole lookup is broadcast and no row moves.
     """
     names = [c for c in lookup.columns if c not in (key, weight)]
+    if n_keys is not None and n_keys <= HOT_SHARE:
+        side = lookup.select(F.struct(key).alias("__k"), F.struct(*names).alias("__side"))
+        met = rows.withColumn("__k", F.struct(key)).join(F.broadcast(side), "__k", "left")
+        return met.withColumns({n: F.col("__side")[n] for n in names}).drop("__k", "__side")
     hot_rows = lookup.where(F.col(weight) * HOT_SHARE >= F.lit(total))
     hot = hot_rows.select(F.struct(key).alias("__k"), F.struct(*names).alias("__hot"))
     cold = lookup.where(F.col(weight) * HOT_SHARE < F.lit(total)).select(

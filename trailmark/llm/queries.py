@@ -24,7 +24,20 @@ def query(sql: str | None = None):
     return register
 
 
-@query()
+@query(
+    """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+ p as (select doc_id, n, j, substr(h, 400 * j + 1, 498) as h from (select doc_id, h, n, unnest(range((n + 199) // 200)) as j from d)),
+ b as (select doc_id, n, 200 * j + r as i, h, r from (select *, unnest(range(least(200, n - 200 * j))) as r from p)),
+ w as (select doc_id, i, md5(substr(h, 2 * r + 1, 100)) as k from b where i <= n - 50),
+ f as (select k, min(doc_id) as first_id from w group by k),
+ hit as (select doc_id, i, true as hit from w join f using (k) where first_id < doc_id),
+ c as (select doc_id, i, substr(h, 2 * r + 1, 2) as c, coalesce(bool_or(hit) over (partition by doc_id order by i rows between 49 preceding and current row), false) as gone from b left join hit using (doc_id, i)),
+ s as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as opens from c),
+ a as (select doc_id, count_if(gone) as n_removed, count_if(opens) as n_spans, string_agg(c, '' order by i) filter (where not gone) as kept from s group by doc_id)
+select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join a using (doc_id)
+"""
+)
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
@@ -71,7 +84,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key")
+    return kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query(
@@ -90,7 +103,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query()
+@query(
+    """
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as ws from documents),
+ w as (select doc_id, i, md5(array_to_string(ws[i + 1:i + 20], ' ')) as k from (select doc_id, ws, unnest(range(greatest(len(ws) - 19, 0))) as i from d)),
+ hit as (select doc_id, i, row_number() over (partition by k order by doc_id, i) > 1 as hit from w),
+ b as (select doc_id, unnest(range(len(ws))) as i, unnest(ws) as c from d),
+ c as (select doc_id, i, c, coalesce(bool_or(hit) over (partition by doc_id order by i rows between 19 preceding and current row), false) as gone from b left join hit using (doc_id, i)),
+ a as (select doc_id, count_if(gone) as n_removed, string_agg(c, ' ' order by i) filter (where not gone) as kept from c group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join a using (doc_id)
+"""
+)
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
