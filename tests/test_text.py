@@ -123,9 +123,13 @@ def test_useful_indices(spark):
 
 
 def test_truncate_think(spark):
-    assert one(spark, X.truncate_think, "It is old. Let me search for it.").startswith("It is old.\n\nBased on these visual cues")
-    assert one(spark, X.truncate_think, "I am confident it is here") == "I am confident it is here"
-    assert one(spark, X.truncate_think, "Known directly<tool_call>{}") == "Known directly"
+    closed = lambda text: X.truncate_think(text, " Sure.")
+    assert one(spark, closed, "It is old. Let me search for it.") == "It is old. Sure."
+    assert one(spark, closed, "I am confident it is here") == "I am confident it is here"
+    assert one(spark, closed, "Known directly<tool_call>{}") == "Known directly"
+    long = "I am confident" + " and so on" * 40
+    assert one(spark, closed, long) == long + " Sure."
+    assert one(spark, lambda text: X.truncate_think(text, " Sure.", None), long) == long
 
 
 def test_clip_and_count(spark):

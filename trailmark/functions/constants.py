@@ -95,15 +95,11 @@ CONFIDENT_TAIL_WORDS = [
     "the location is", "coordinates are", "i can identify", "no tool",
     "without needing", "directly", "confident", "i recognize",
 ]
-CONFIDENT_CLOSING = (
-    "\n\nBased on these visual cues, I am confident in identifying "
-    "this location directly without needing external verification."
-)
 TOOL_MENTION_PATTERN = (
     "(image_search|text_search|image_zoom|tool_call|bbox_2d|let me search|let me verify|call.*tool|use.*tool)"
 )
 
-# The fallback builder's own cue list and closing lines.
+# The fallback builder's own cue list.
 FALLBACK_CUE_PATTERN = (
     r"(?:\n+|\.\s+|^)("
     r"Let me (?:try|search|verify|check|use|do)|"
@@ -120,21 +116,6 @@ FALLBACK_TAIL_PATTERN = (
     r"I should (?:try|search|verify|check|use|call)|"
     r"Let'?s (?:try|search|verify|check|use)).*$"
 )
-FALLBACK_CLOSING = (
-    "\n\nThe tool could not provide additional information, but based on these visual "
-    "cues I am confident in my identification."
-)
-FALLBACK_THINK_TEMPLATE = (
-    "The tool did not return useful information. Based on the visual cues I analyzed earlier "
-    "(architectural style, vegetation, cultural markers), I am confident this is %s, %s. "
-    "I will provide my best answer based on these visual priors."
-)
-FALLBACK_TOOL_ERROR = (
-    "<tool_response>\n"
-    "Tool error: the search returned no useful information. "
-    "Please provide your best answer based on visual analysis.\n"
-    "</tool_response>"
-)
 
 # Call budgets per episode.
 CALL_LIMITS = {ZOOM: 5, IMAGE_SEARCH: 3, TEXT_SEARCH: 5}

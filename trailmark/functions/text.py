@@ -202,8 +202,8 @@ def drop_call_blocks(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)<tool_call>.*?(?:</tool_call>|\z)", "")
 
 
-def truncate_think(think: Column, within: int | None = 200) -> Column:
-    """Reasoning without call blocks, cut at the first announced tool use, closed with confidence.
+def truncate_think(think: Column, closing: str, within: int | None = 200) -> Column:
+    """Reasoning without call blocks, cut at the first announced tool use, closed with ``closing``.
 
     A closing word in the last ``within`` characters (None: anywhere) makes a closing sentence needless.
     """
@@ -212,16 +212,16 @@ def truncate_think(think: Column, within: int | None = 200) -> Column:
     def close(cut: Column) -> Column:
         end = F.right(cut, F.lit(within)) if within else cut
         closed = let(F.lower(end), lambda tail: F.exists(words, lambda w: tail.contains(w)))
-        return strip(F.when(closed, cut).otherwise(F.concat(cut, F.lit(K.CONFIDENT_CLOSING))))
+        return strip(F.when(closed, cut).otherwise(F.concat(cut, F.lit(closing))))
 
     return let(_cut_at(drop_call_blocks(think), K.TOOL_INTENT_PATTERN, "[ .]"), close)
 
 
-def trim_closing(think: Column, city: Column) -> Column:
+def trim_closing(think: Column, city: Column, closing: str) -> Column:
     """Closing reasoning cut at the first announced tool use; null when the city is not mentioned."""
     def close(bare: Column) -> Column:
         closed = F.lower(bare).contains("no tool") | F.lower(bare).contains("without")
-        return F.when(closed, bare).otherwise(F.concat(bare, F.lit(K.FALLBACK_CLOSING)))
+        return F.when(closed, bare).otherwise(F.concat(bare, F.lit(closing)))
 
     def finish(cut: Column) -> Column:
         bare = strip(drop_call_blocks(strip(F.regexp_replace(cut, "(?s)<useful>.*?</useful>", ""))))

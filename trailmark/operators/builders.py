@@ -219,8 +219,12 @@ def _final_answer(messages: Column) -> Column:
     ).content
 
 
-def build_fallback(traj: DataFrame, system: str, user: str) -> DataFrame:
-    """Samples from trajectories whose tool calls all failed but whose answer was right."""
+def build_fallback(traj: DataFrame, system: str, user: str, last_words: str, stand_in: str, tool_error: str) -> DataFrame:
+    """Samples from trajectories whose tool calls all failed but whose answer was right.
+
+    ``last_words`` end the last reasoning; ``stand_in`` replaces one that does not name the city (it takes
+    city and country as ``%s``); ``tool_error`` is the text of the tool's answer.
+    """
     messages = F.col("messages")
 
     def succeeded(m: Column) -> Column:
@@ -256,8 +260,8 @@ def build_fallback(traj: DataFrame, system: str, user: str) -> DataFrame:
         F.regexp_replace(F.regexp_replace(opening, "(?is)" + K.FALLBACK_TAIL_PATTERN, ""), r"[ .]+\z", ""), F.lit(".")
     )
     ending = F.coalesce(
-        X.trim_closing(F.col("last_think"), F.col("city")),
-        F.format_string(K.FALLBACK_THINK_TEMPLATE, F.col("city"), F.col("fields")[0]),
+        X.trim_closing(F.col("last_think"), F.col("city"), last_words),
+        F.format_string(stand_in, F.col("city"), F.col("fields")[0]),
     )
     return staged.select(
         "id",
@@ -265,7 +269,7 @@ def build_fallback(traj: DataFrame, system: str, user: str) -> DataFrame:
             say("system", system),
             say("user", user),
             say("assistant", F.concat(F.lit("<think>\n"), opening, F.lit("\n</think>\n<tool_call>"), F.col("call"), F.lit("</tool_call>"))),
-            say("user", K.FALLBACK_TOOL_ERROR),
+            say("user", tool_error),
             say("assistant", F.concat(F.lit("<think>\n"), ending, F.lit("\n</think>\n\n<answer>"), F.col("answer"), F.lit("</answer>"))),
         ).alias("messages"),
         F.array(F.struct(F.col("image").alias("image"))).alias("images"),
@@ -299,7 +303,7 @@ def build_notool_templated(
     )
 
 
-def build_notool_real(traj: DataFrame, system: str, user: str) -> DataFrame:
+def build_notool_real(traj: DataFrame, system: str, user: str, closing: str) -> DataFrame:
     """Samples without tools from confident reasoning of very close predictions."""
     messages = F.col("messages")
     first = F.try_element_at(F.filter(messages, lambda m: (m.role == "assistant") & X.has(m.content, X.THINK)), F.lit(1)).content
@@ -316,7 +320,7 @@ def build_notool_real(traj: DataFrame, system: str, user: str) -> DataFrame:
         .where((F.col("think") != "") & (F.col("answer") != "") & (X.confidence_count(F.col("think")) >= 1))
         .withColumn("city", _named_city(_answer_fields(F.col("answer"))))
         .where(F.col("city").isNotNull() & X.mentions(F.col("think"), F.col("city")))
-        .withColumn("think", X.truncate_think(F.col("think")))
+        .withColumn("think", X.truncate_think(F.col("think"), closing))
         .where(~X.has(F.col("think"), "(?i)" + K.TOOL_MENTION_PATTERN) & (F.coalesce("image", F.lit("")) != ""))
     )
     body = F.concat(F.lit("<think>\n"), F.col("think"), F.lit("\n</think>\n\n<answer>"), F.col("answer"), F.lit("</answer>"))
@@ -348,7 +352,7 @@ def skip_counts(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy(F.coalesce("skip_reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _rl_row(system: str, user: str, root: str, source: str, split: str) -> list[Column]:
+def _rl_row(system: str, user: str, root: str, source: str, split: str, ability: str, agent: str) -> list[Column]:
     image = G.relative_path(F.try_element_at("images", F.lit(1)), root)
     truth = G.ground_truth_text(
         F.col("latitude"), F.col("longitude"), G.default_place(F.col("country")), G.default_place(F.col("city"))
@@ -364,9 +368,9 @@ def _rl_row(system: str, user: str, root: str, source: str, split: str) -> list[
         F.lit(source).alias("data_source"),
         F.array(say("system", system), say("user", user)).alias("prompt"),
         F.array(F.struct(image.alias("image_url"))).alias("images"),
-        F.lit("geoloc").alias("ability"),
+        F.lit(ability).alias("ability"),
         F.struct(truth.alias("ground_truth"), F.lit("rule").alias("style")).alias("reward_model"),
-        F.lit("tool_agent").alias("agent_name"),
+        F.lit(agent).alias("agent_name"),
         F.struct(
             truth.alias("answer"),
             F.lit(None).cast("bigint").alias("index"),
@@ -393,6 +397,9 @@ def build_rl(
     root: str = "",
     difficulties: Sequence[str] | None = None,
     seed: int = 42,
+    source: str = "training",
+    ability: str = "location",
+    agent: str = "tools",
 ) -> DataFrame:
     """Reinforcement samples: metadata joined with trajectories, filtered, nested and re-indexed."""
     messages = F.col("messages")
@@ -403,16 +410,18 @@ def build_rl(
     kept = tag_skips(meta, traj, require_full_coverage).where("skip_reason is null")
     if difficulties:
         kept = B.keep_difficulty(kept, difficulties)
-    rows = kept.select("id", *_rl_row(system, user, root, "coldstart", "train"))
+    rows = kept.select("id", *_rl_row(system, user, root, source, "train", ability, agent))
     indexed = ranked_by_hash(rows, seed, "id")
     return indexed.withColumn("extra_info", F.col("extra_info").withField("index", F.col("rank") - 1)).drop("rank", "id")
 
 
-def build_val(truth: DataFrame, traj: DataFrame, order: Sequence[Column], system: str, user: str, part: str, seed: int = 42) -> DataFrame:
+def build_val(
+    truth: DataFrame, traj: DataFrame, order: Sequence[Column], system: str, user: str, part: str, seed: int = 42, ability: str = "location", agent: str = "tools"
+) -> DataFrame:
     """Validation samples: ground truth joined with the latest trajectory of each id."""
     latest = dedupe_last(traj, "id", order)
     rows = truth.join(latest, "id").where(F.coalesce(F.try_element_at("images", F.lit(1)), F.lit("")) != "")
-    rows = rows.withColumn("part", F.lit(part)).select("id", *_rl_row(system, user, "", part, "val"))
+    rows = rows.withColumn("part", F.lit(part)).select("id", *_rl_row(system, user, "", part, "val", ability, agent))
     indexed = ranked_by_hash(rows, seed, "id")
     return indexed.withColumn("extra_info", F.col("extra_info").withField("index", F.col("rank") - 1)).drop("rank", "id")
 

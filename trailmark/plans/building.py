@@ -470,7 +470,7 @@ NAMED = "regexp_matches({0},'(?i)(^|[^\\p{{L}}\\p{{N}}_])City($|[^\\p{{L}}\\p{{N
     ),
 )
 def fallback_samples(spark, sf):
-    rows = D.build_fallback(trajectories(spark, sf), SYSTEM, USER)
+    rows = D.build_fallback(trajectories(spark, sf), SYSTEM, USER, " The scene settles it.", "The scene shows %s in %s.", "No result.")
     return rows.select("id", F.size("messages").alias("n_messages"), X.first_match(F.element_at("messages", -1).content, X.ANSWER).alias("answer"))
 
 
@@ -506,7 +506,7 @@ def templated_samples(spark, sf):
     ),
 )
 def real_reasoning_samples(spark, sf):
-    rows = D.build_notool_real(trajectories(spark, sf), SYSTEM, USER)
+    rows = D.build_notool_real(trajectories(spark, sf), SYSTEM, USER, " The scene settles it.")
     return rows.select("id", "km", "has_api_error", X.first_match(F.col("messages")[2].content, X.ANSWER).alias("answer"))
 
 

@@ -312,7 +312,8 @@ def confidence_phrases(spark, sf):
 
 
 CUE = K.TOOL_INTENT_PATTERN.replace("'", "''")
-CLOSING = K.CONFIDENT_CLOSING.replace("'", "''")
+CLOSING = " The scene alone settles the place."
+LAST_CLOSING = " No search result was of use; the scene alone settles the place."
 TAILS = ", ".join("'" + w + "'" for w in K.CONFIDENT_TAIL_WORDS)
 STRIP = r"regexp_replace({0},'^\s+|\s+$','','g')"
 
@@ -325,7 +326,7 @@ STRIP = r"regexp_replace({0},'^\s+|\s+$','','g')"
 )
 def truncate_reasoning(spark, sf):
     tail = F.when(F.col("doc_id") % 2 == 0, ". Let me search for it now. Later").otherwise("")
-    cut = X.truncate_think(F.concat("text", tail))
+    cut = X.truncate_think(F.concat("text", tail), CLOSING)
     return table(spark, sf, "documents").select("doc_id", F.length(cut).alias("n"), F.md5(cut).alias("digest"))
 
 
@@ -333,12 +334,12 @@ def truncate_reasoning(spark, sf):
     "trim_closing_reasoning",
     f"""select doc_id, case when regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])the($|[^\\p{{L}}\\p{{N}}_])') then
  md5(case when contains(lower(cut),'no tool') or contains(lower(cut),'without') then cut
- else cut||'{K.FALLBACK_CLOSING.replace("'", "''")}' end) end as digest from (
+ else cut||'{LAST_CLOSING}' end) end as digest from (
  select doc_id, text, {STRIP.format("regexp_replace(text,'[ .\\n]+$','')||'.'")} as cut from documents)""",
 )
 def trim_closing_reasoning(spark, sf):
     text = F.concat("text", F.lit("\nLet me check this. More"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(X.trim_closing(text, F.lit("the"))).alias("digest"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.trim_closing(text, F.lit("the"), LAST_CLOSING)).alias("digest"))
 
 
 @query(
