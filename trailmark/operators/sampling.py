@@ -14,7 +14,6 @@ from trailmark.operators.groups import attach_lookup
 from trailmark.operators.ordering import (
     hash_bucket,
     hash_cutoff,
-    join_null_safe,
     ranked,
     ranked_by_hash,
     ranked_by_value,
@@ -129,7 +128,8 @@ def factorize(df: DataFrame, column: str, name: str = "group_id") -> DataFrame:
         .join(offsets, "__part")
         .select(column, (F.col("__off") + F.col("__at").bitwiseAND(F.lit(2**33 - 1))).alias(name))
     )
-    return join_null_safe(df, ids, [column])
+    rest = [c for c in df.columns if c != column] or [column]
+    return attach_lookup(df.withColumn("__spread", F.xxhash64(*rest)), ids, column, "__spread").drop("__spread")
 
 
 def reweight(df: DataFrame, key: str, score: str, method: str, seed: int, power: float = 2.0, buckets: int = 4096) -> DataFrame:
@@ -236,9 +236,9 @@ def microbatches(df: DataFrame, batch: str, key: str, length: str, budget: int)
 
 def imbalance(df: DataFrame, batch: str, key: str, length: str, k: int) -> DataFrame:
     """Token sums of contiguous slices against those of the assigned ``shard``, per batch."""
-    size = F.floor(F.count(F.lit(1)).over(W.partitionBy(batch)) / k)
-    order = W.partitionBy(batch).orderBy(key)
-    sliced = df.withColumn("__slice", F.floor((F.row_number().over(order) - 1) / size))
+    sizes = df.groupBy(batch).agg(F.floor(F.count(F.lit(1)) / k).alias("__size"))
+    placed = attach_lookup(ranked_by_value(df, key, [batch], "__rank"), sizes, batch, key)
+    sliced = placed.withColumn("__slice", F.floor((F.col("__rank") - 1) / F.col("__size")))
     before = sliced.groupBy(batch, "__slice").agg(F.sum(length).alias("s")).groupBy(batch).agg(
         F.min("s").alias("min"), F.max("s").alias("max"), (F.max("s") - F.min("s")).alias("minmax_diff"), (F.sum("s") / k).alias("mean")
     )
