@@ -175,31 +175,25 @@ def rewrite_messages(turns: Column, useful_results: Column, system: str, user: s
 
 def build_sft(traj: DataFrame, system: str, user: str, root: str = "") -> DataFrame:
     """Supervised samples from trajectories; rows that do not give a usable sample are dropped."""
-    staged = traj.withColumn("__turns", _with_turns(_indexed(F.col("messages"))))
-    turns = F.col("__turns")
-    last = F.try_element_at(turns, F.lit(-1))
-    answered = F.when((last.role == "assistant") & ~last.skip, valid_answer(last.content)).otherwise(True)
-    shown = F.filter(turns, lambda m: (m.role == "user") & ~m.nudge)
-    ids = F.filter(
-        F.transform(shown, lambda m: F.when(m.i == 1, F.lit(0)).otherwise(X.image_id(m.content))), lambda i: i.isNotNull()
-    )
-    picked = F.transform(ids, lambda i: F.try_element_at(F.col("__paths"), i + 1))
-    staged = (
-        staged.where(F.size("messages") > 0)
-        .where(answered)
-        .withColumn("__paths", F.col("images"))
-        .withColumn("messages", rewrite_messages(turns, F.col("useful_results"), system, user))
-        .where(valid_shape(F.col("messages")))
-        .withColumn("__picked", picked)
-        .where(F.forall("__picked", lambda p: p.isNotNull()))
-    )
-    return (
-        staged.withColumn(
-            "images", F.transform("__picked", lambda p: F.struct(G.relative_path(p, root).alias("image")))
+    def sample(turns: Column) -> Column:
+        last = F.try_element_at(turns, F.lit(-1))
+        answered = F.when((last.role == "assistant") & ~last.skip, valid_answer(last.content)).otherwise(True)
+        shown = F.filter(turns, lambda m: (m.role == "user") & ~m.nudge)
+        ids = F.filter(
+            F.transform(shown, lambda m: F.when(m.i == 1, F.lit(0)).otherwise(X.image_id(m.content))), lambda i: i.isNotNull()
         )
-        .where(aligned_media(F.col("messages"), F.col("images")))
-        .select("id", "messages", "images", "km", "n_tool_calls")
-    )
+        picked = F.transform(ids, lambda i: F.try_element_at(F.col("images"), i + 1))
+        written = rewrite_messages(turns, F.col("useful_results"), system, user)
+        return F.when(answered, F.struct(written.alias("messages"), picked.alias("picked")))
+
+    def usable(s: Column) -> Column:
+        return s.isNotNull() & valid_shape(s.messages) & F.forall(s.picked, lambda p: p.isNotNull()) & aligned_media(s.messages, s.picked)
+
+    # A generator is computed once for a row; a filter would copy the whole rewrite into every condition.
+    samples = F.filter(F.array(let(_with_turns(_indexed(F.col("messages"))), sample)), usable)
+    rows = traj.where(F.size("messages") > 0).select("id", "km", "n_tool_calls", F.explode(samples).alias("s"))
+    images = F.transform("s.picked", lambda p: F.struct(G.relative_path(p, root).alias("image")))
+    return rows.select("id", "s.messages", images.alias("images"), "km", "n_tool_calls")
 
 
 def _answer_fields(answer: Column) -> Column:

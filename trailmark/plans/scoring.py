@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from trailmark.functions import answers as A
 from trailmark.functions import constants as K
 from trailmark.functions import geo as G
-from trailmark.operators import extraction as E
 from trailmark.operators import rewards as R
 from trailmark.plans.fixtures import add_view, message, rollout, sql_with, table, token
 from trailmark.plans.registry import query
