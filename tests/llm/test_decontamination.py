@@ -69,3 +69,16 @@ def test_edges(spark, no_docs, awkward, docs):
     bench = spark.createDataFrame([(1, long)], "item_id long, text string")
     assert [r.n_items for r in contamination(twice, bench).collect() if r.doc_id == 1] == [1, 1]
     assert drop_contaminated(twice, bench).count() == 4
+
+
+def test_long_item(spark):
+    """The words of a long item beside each of its seeds are no small table."""
+    from trailmark.llm.decontamination import may_broadcast, word_hashes
+
+    rng = random.Random(5)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(long[:20]))], "item_id long, text string")
+    items = bench.select("item_id", word_hashes("text").alias("item_words"))
+    assert not may_broadcast(items, MASKS, 1_000_000) and may_broadcast(items.where("item_id = 2"), MASKS, 1_000_000)
+    docs = spark.createDataFrame([(1, " ".join(long[1000:1013])), (2, "x " * 30), (3, " ".join(long))], "doc_id long, text string")
+    assert {r.doc_id: r.n_items for r in contamination(docs, bench).collect()} == {1: 1, 2: 0, 3: 2}

@@ -15,6 +15,7 @@ MASKS = ("11010011",)
 WINDOW = 13
 NEEDED = 11
 BROADCAST_SEEDS = 1_000_000
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 128
 
 
 def word_hashes(text: str | Column) -> Column:
@@ -44,6 +45,13 @@ def _agrees(window: int, needed: int) -> Column:
     return F.transform(F.array(equal), enough)[0]
 
 
+def may_broadcast(items: DataFrame, masks: Sequence[str], broadcast_seeds: int) -> bool:
+    """Whether the seeds, each beside all words of its item, are few and take at most BROADCAST_BYTES."""
+    n = sum(F.greatest(F.size("item_words") - (len(m) - 1), F.lit(0)).cast("double") for m in masks)
+    seeds, size = items.agg(F.sum(n), F.sum(n * (F.size("item_words") * 8 + ROW_BYTES))).first()
+    return (seeds or 0) <= broadcast_seeds and (size or 0) <= BROADCAST_BYTES
+
+
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, window: int = WINDOW, needed: int = NEEDED,
     broadcast_seeds: int = BROADCAST_SEEDS,
@@ -53,7 +61,8 @@ def overlaps(
     An alignment counts if at least ``needed`` of ``window`` consecutive words of the item equal the
     words of the document at the same distance: substitutions are tolerated, insertions end a window.
     Candidates are equal hashes of a mask's words in both; each is verified once per alignment.
-    The benchmark's seeds are broadcast only if they are at most ``broadcast_seeds``; beyond that
+    The benchmark's seeds are broadcast with their items' words only if they are at most ``broadcast_seeds`` and
+    BROADCAST_BYTES, which long items exceed by the square of their length; beyond that
     both sides are shuffled by seed, and the words are fetched for the hits alone.
     Words are case-insensitive. Items shorter than the window hold too little to tell and match nothing.
     """
@@ -65,8 +74,7 @@ def overlaps(
     first = F.greatest(F.lit(0), F.col("at") - F.col("item_at"))
     around = F.slice("hashes", first + 1, F.size("item_words"))
     diagonal = (F.col("at") - F.col("item_at")).alias("diagonal")
-    # One row more than the bound is enough to know.
-    if item_seeds.select("seed").limit(broadcast_seeds + 1).count() <= broadcast_seeds:
+    if may_broadcast(items, masks, broadcast_seeds):
         hits = placed.join(F.broadcast(item_seeds), "seed").select(
             "row_key", "item_id", diagonal, lead.alias("lead"), around.alias("near"), "item_words"
         )
