@@ -46,7 +46,8 @@ TOKEN = re.compile(
     r"|</?[a-zA-Z!?][^<>]*(?:>|\Z|(?=<))",
     re.DOTALL | re.IGNORECASE,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+# One attribute: its name and value. Quoted text without a name is passed over.
+ATTRIBUTE = re.compile(r"""(?:"[^"]*"|'[^']*')|([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 NAMES = sorted(VOID | BLOCK | CELLS | INLINE | DROPPED)
 
@@ -72,13 +73,26 @@ class Page:
     elements: list[Element] = field(default_factory=list)
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """Values of class, id, role and what hides an element, by whole names; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(attrs):
+        if name.lower() in ("class", "id", "role", "hidden", "aria-hidden"):
+            found.setdefault(name.lower(), next((v for v in values if v), ""))
+    return found
+
+
+def hidden(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+
+
 def marked(attrs: str) -> bool:
     """Whether class, id or role say that an element is not part of an article."""
-    for name, *values in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), next((v for v in values if v), "")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        for part in value.split():
+    found = attributes(attrs)
+    if hidden(found):
+        return True
+    for attribute in ("class", "id", "role"):
+        for part in found.get(attribute, "").split():
             words = [w for w in re.split(r"[^a-z]+", CAMEL.sub("-", part).lower()) if w]
             if words and words[0] not in ("has", "with", "no", "without", "not") and MARKS.intersection(words):
                 return True
