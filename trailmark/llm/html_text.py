@@ -39,6 +39,10 @@ MARKS = frozenset(
     " recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe"
     " toolbar widget".split()
 )
+# Words that say where or what kind of box a marked element is; headings; containers whose ids are not made from titles.
+PLACES = frozenset("area bar block body bottom box buttons container inner left links list main posts primary right section site top wrap wrapper".split())
+TITLED = frozenset("h1 h2 h3 h4 h5 h6".split())
+UNTITLED = frozenset("div ul ol table".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg)\b[^<>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
@@ -54,12 +58,15 @@ NAMES = sorted(VOID | BLOCK | CELLS | INLINE | DROPPED)
 
 @dataclass
 class Element:
-    """An open element: where it began, and whether it is outside the article."""
+    """An open element: where it began, and whether it is outside the article, by its name or by its marks alone."""
 
     name: str
     first: int
     dropped: bool
     last: int = -1
+    hard: bool = False
+    mark: bool = False
+    inside: bool = False
 
 
 @dataclass
@@ -70,6 +77,7 @@ class Page:
     tag: list[str] = field(default_factory=list)
     words: list[int] = field(default_factory=list)
     dropped: list[bool] = field(default_factory=list)
+    hard: list[bool] = field(default_factory=list)
     elements: list[Element] = field(default_factory=list)
 
 
@@ -86,16 +94,22 @@ def hidden(found: dict[str, str]) -> bool:
     return "hidden" in found or found.get("aria-hidden", "").lower() == "true"
 
 
-def marked(attrs: str) -> bool:
-    """Whether class, id or role say that an element is not part of an article."""
-    found = attributes(attrs)
-    if hidden(found):
-        return True
+def marked(found: dict[str, str], name: str, inside: bool) -> bool:
+    """Whether class, id or role say that an element is not part of an article.
+
+    Inside an article only whole names count, or marks joined with PLACES alone, and only those of containers;
+    ids only of those without a title of their own, from which ids are made.
+    """
+    if inside and name in SMALL:
+        return False
     for attribute in ("class", "id", "role"):
+        if attribute == "id" and (name in TITLED or inside and name not in UNTITLED):
+            continue
         for part in found.get(attribute, "").split():
             words = [w for w in re.split(r"[^a-z]+", CAMEL.sub("-", part).lower()) if w]
             if words and words[0] not in ("has", "with", "no", "without", "not") and MARKS.intersection(words):
-                return True
+                if not inside or MARKS.union(PLACES).issuperset(words):
+                    return True
     return False
 
 
@@ -108,6 +122,7 @@ def parsed(source: str) -> Page:
         page.tag.append(tag)
         page.words.append(len(text.split()))
         page.dropped.append(bool(stack) and stack[-1].dropped)
+        page.hard.append(bool(stack) and stack[-1].hard)
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -134,9 +149,13 @@ def parsed(source: str) -> Page:
             depth = next((i for i, e in enumerate(stack) if e.dropped), None)
             if depth is not None:
                 close(depth)
-        around = bool(stack) and stack[-1].dropped
-        dropped = around or name not in KEPT and (name in DROPPED or marked(m["attrs"]))
-        element = Element(name, len(page.tag), dropped)
+        found = attributes(m["attrs"])
+        above = stack[-1] if stack else None
+        hard = bool(above and above.hard) or name not in KEPT and (name in DROPPED or hidden(found))
+        inside = bool(above and above.inside)
+        mark = name not in KEPT and not hard and marked(found, name, inside)
+        dropped = hard or mark or bool(above and above.dropped)
+        element = Element(name, len(page.tag), dropped, hard=hard, mark=mark, inside=inside or name in CONTENT)
         page.elements.append(element)
         if name in VOID or m["attrs"].endswith("/") and name not in BLOCK:
             put("", name)
@@ -147,9 +166,35 @@ def parsed(source: str) -> Page:
     if at < len(source):
         put(source[at:], "")
     close(0)
+    spare(page)
     return page
 
 
+def spare(page: Page) -> None:
+    """Keeps marked elements that hold most of the words of the page which no element's name drops."""
+    if not any(e.mark for e in page.elements):
+        return
+    upto = [0]
+    for n, hard in zip(page.words, page.hard, strict=True):
+        upto.append(upto[-1] + (0 if hard else n))
+    change = [0] * (len(page.tag) + 1)
+    spared = False
+    for e in page.elements:
+        if e.mark and 2 * (upto[e.last] - upto[e.first]) > upto[-1]:
+            e.mark, spared = False, True
+        elif e.mark:
+            change[e.first + 1] += 1
+            change[e.last] -= 1
+    if not spared:
+        return
+    depth = 0
+    for i, hard in enumerate(page.hard):
+        depth += change[i]
+        page.dropped[i] = hard or depth > 0
+    for e in page.elements:
+        e.dropped = e.hard or e.mark or e.first < len(page.tag) and page.dropped[e.first]
+
+
 def best_region(scores: list[float]) -> tuple[int, int] | None:
     """First and end of the contiguous run with the greatest sum, in one scan; None if none is positive."""
     best, region, total, first = 0.0, None, 0.0, 0
