@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import decontamination, exact_dedup, html_text, jaccard, kneser_ney, mixing, sharding, substring_dedup, suffix_dedup, warc
-from trailmark.llm.common import table
+from trailmark.llm import decontamination, exact_dedup, html_text, jaccard, kneser_ney, mixing, periodic, sharding, substring_dedup, suffix_dedup, warc
+from trailmark.llm.common import table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,63 @@ select page_id, payload_bytes, payload_digest, case when page_id = first_id then
 )
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def crc32_sql(hexed: str, table_of: str = "t") -> str:
+    """SQL for the unsigned crc32 of a text given as hex digits; the column ``table_of`` holds ``CRC_TABLE``."""
+    octets = f"list_transform(range(length({hexed}) // 2), lambda k: cast('0x' || substr({hexed}, cast(2 * k + 1 as int), 2) as bigint))"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda c, b: xor({table_of}[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text of all documents, where one in ten goes on with a period of its own from some word on."""
+    numbered = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    cut = numbered.withColumn("ws", F.when(F.col("h") % 10 == 0, words("text"))).withColumn("n", F.size("ws").cast("long"))
+    placed = cut.withColumn("g", F.expr("h div 10")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    sized = placed.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    word = F.transform("ws", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("ws", F.expr("cast(a as int)") + (i - F.col("a").cast("int")) % F.col("p").cast("int"))))
+    return sized.select("doc_id", F.when(F.col("n") > 0, F.array_join(word, " ")).otherwise(F.col("text")).alias("text"))
+
+
+PERIODS = 12  # doublings above 16 words, so the SQL finds periods up to 65,536 words
+HASH_LEVELS = ",\n ".join(
+    f"h{k + 1} as (select doc_id, n, i, case when i + {2 << k} <= n then hash(g, lead(g, {1 << k}) over (partition by doc_id order by i)) end as g from h{k})" for k in range(PERIODS + 4)
+)
+NEXT_COPIES = " union all ".join(
+    f"select doc_id, i, {1 << k} as g, lead(i) over (partition by doc_id, g order by i) - i as q from h{k} where g is not null" for k in range(4, PERIODS + 5)
+)
+
+
+@query(
+    f"""
+with k as materialized (select {CRC_TABLE} as t),
+ d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as ws, hex(encode(cast(doc_id as varchar))) as x from documents),
+ c as (select doc_id, ws, len(ws) as n, {crc32_sql("x")} as h from d, k),
+ a as (select *, case when h % 10 = 0 and n > 0 then (h // 10) % n end as a, h // 10 as g from c),
+ w as (select doc_id, n, i, case when i >= a then ws[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] else ws[i + 1] end as c from (select *, unnest(range(n)) as i from a)),
+ h0 as materialized (select doc_id, n, i, hash(c) as g from w),
+ {HASH_LEVELS},
+ m as (select * from ({NEXT_COPIES}) where q <= g and (q > g // 2 or g = 16)),
+ s as (select doc_id, g, q, i, i - row_number() over (partition by doc_id, g, q order by i) as island from m),
+ r as materialized (select doc_id, min(i) as start, max(i) + g + q - min(i) as length, q as period from s group by doc_id, g, q, island having max(i) + g + q - min(i) >= greatest(24, 3 * q)),
+ gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from r),
+ kept as (select doc_id, string_agg(c, ' ' order by i) as collapsed from w anti join gone using (doc_id, i) group by doc_id),
+ top as (select *, count(*) over (partition by doc_id) as n_runs from r qualify row_number() over (partition by doc_id order by length / period desc, start, period) = 1),
+ sums as (select doc_id, string_agg(concat(start, ',', length, ',', period, chr(10)), '' order by start, period) as listed from r group by doc_id)
+select doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+ sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(collapsed, '')) as collapsed_sha256
+from documents left join top using (doc_id) left join sums using (doc_id) left join kept using (doc_id)
+"""
+)
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapsed_runs(with_periods(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    top = found.withColumn("top", periodic.most_periods("runs"))
+    return top.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
