@@ -42,7 +42,8 @@ def test_query(spark, sf, name):
     df = QUERIES[name](spark, sf)
     rows = [tuple(r) for r in df.collect()]
     table = "pages" if name in ("op3_html_extraction", "op10_warc") else "documents"
-    assert len(rows) == spark.read.parquet(f"{sf}/{table}.parquet").count()
+    if name != "op13_spelling_variants":  # a row per word
+        assert len(rows) == spark.read.parquet(f"{sf}/{table}.parquet").count()
     if name in ORACLES:
         duck = duckdb.connect()
         for t in TABLES:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import decontamination, exact_dedup, html_text, jaccard, kneser_ney, mixing, periodic, sharding, substring_dedup, suffix_dedup, warc
+from trailmark.llm import decontamination, exact_dedup, html_text, jaccard, kneser_ney, mixing, periodic, sharding, spelling, substring_dedup, suffix_dedup, typos, warc
 from trailmark.llm.common import table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,29 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * top.length div top.period").alias("exponent_milli"),
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query(
+    f"""
+with recursive k as materialized (select {CRC_TABLE} as t),
+ d as (select coalesce(cast(doc_id as varchar), '') as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) as w from documents),
+ c as (select id, w, count(*) as n, hex(encode(concat(id, ':', w))) as x from d where length(w) >= 5 group by id, w),
+ h as (select w, n, {crc32_sql("x")} as h from c, k),
+ e as (select case when h % 97 = 0 then concat(substr(w, 1, cast(h % length(w) as int)), substr(w, cast(h % length(w) + 2 as int))) else w end as word, n from h),
+ v as materialized (select word, cast(sum(n) as bigint) as n from e where length(word) >= 5 group by word having sum(n) >= 3),
+ cut as materialized (select word, i, concat(substr(word, 1, i), substr(word, i + 2)) as rest from (select word, cast(unnest(range(length(word))) as int) as i from v)),
+ pair as materialized (
+  select a.word, b.word as other from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select cut.word, v.word from cut join v on rest = v.word
+  union select v.word, cut.word from cut join v on rest = v.word),
+ best as (select p.word, o.word as form, o.n as form_n, count(*) over (partition by p.word) as n_near from pair p join v o on o.word = p.other
+  qualify row_number() over (partition by p.word order by o.n desc, o.word) = 1),
+ form as materialized (select v.word, n, coalesce(n_near, 0) as n_near, case when form_n >= 2 * n then form end as form, case when form_n >= 2 * n then form_n end as form_n from v left join best using (word)),
+ chain as (select word, form as root, 1 as step from form where form is not null
+  union all select chain.word, form.form, step + 1 from chain join form on form.word = chain.root where form.form is not null),
+ root as (select word, arg_max(root, step) as root from chain group by word)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from form left join root using (word)
+"""
+)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), edit=typos.drop_letters)
