@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import decontamination, exact_dedup, html_text, jaccard, kneser_ney, mixing, periodic, sharding, spelling, substring_dedup, suffix_dedup, typos, warc
+from trailmark.llm import decontamination, divergence, exact_dedup, html_text, jaccard, kneser_ney, mixing, periodic, sharding, spelling, substring_dedup, suffix_dedup, typos, warc
 from trailmark.llm.common import table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,43 @@ select word, form, coalesce(root, word) as root, n, n_near, form_n from form lef
 )
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), edit=typos.drop_letters)
+
+
+@query(
+    r"""
+with d as (select doc_id, lang, coalesce(text, '') as text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws from documents),
+ w as materialized (select doc_id, lang, unnest(ws) as w, unnest(range(len(ws))) as i from d),
+ g as (select doc_id, i, concat(w, ' ', lead(w) over p, ' ', lead(w, 2) over p) as g, lead(w, 2) over p as third from w window p as (partition by doc_id order by i)),
+ twice as (select doc_id, i, count(*) over (partition by doc_id, g) > 1 as hit from g where third is not null),
+ rep as (select doc_id, count(distinct i + k) as n_repeat_words from twice, (select unnest([0, 1, 2]) as k) where hit group by doc_id),
+ lines as (select doc_id, unnest(string_split(text, chr(10))) as line from d),
+ dup as (select doc_id, count(*) - count(distinct line) as n_dup_lines from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+ base as materialized (select doc_id, lang, text, cast(len(ws) as bigint) as n_words, cast(length(text) as bigint) as n_chars, cast(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
+   cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+  from d left join dup using (doc_id) left join rep using (doc_id)),
+ class as materialized (select doc_id, lang, n_chars, unnest(range(8)) as k, unnest([length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')), length(regexp_replace(text, '[^a-z]', '', 'g')), length(regexp_replace(text, '[^A-Z]', '', 'g')),
+   length(regexp_replace(text, '[^0-9]', '', 'g')), length(regexp_replace(text, '[^.,;:!?''"()-]', '', 'g')), length(regexp_replace(text, '[\x20\x09-\x0DA-Za-z0-9.,;:!?''"()-]|[^\x00-\x7F]', '', 'g')),
+   length(regexp_replace(text, '[^\x{80}-\x{7FF}]', '', 'g')), length(regexp_replace(text, '[\x00-\x{7FF}]', '', 'g'))]) as n from base),
+ ids as (select doc_id, lang from (select distinct doc_id, lang from documents where lang is not null) semi join (from labels where quality = 1 and toxic = 0) using (doc_id)
+  qualify row_number() over (partition by lang order by md5(cast(doc_id as varchar))) <= 2000),
+ sample as materialized (select doc_id, lang from ids where lang in (select lang from ids group by lang having count(*) >= 50)),
+ word as (select lang, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as word, count(*) as n from w semi join sample using (doc_id) group by all),
+ common as (select lang, word, n / sum(n) over (partition by lang) as q from word qualify row_number() over (partition by lang order by n desc, word) <= 100),
+ met as (select doc_id, word, count(*) as n from (select doc_id, lang, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as word from w) join common using (lang, word) group by all),
+ bins as (select doc_id, n_words, word, coalesce(n, 0) / n_words as p, q from base join common using (lang) left join met using (doc_id, word) where n_words >= 100),
+ word_bins as (select doc_id, p, q from bins union all select doc_id, 1 - sum(p), 1 - sum(q) from bins group by doc_id),
+ refs as (select lang, k, sum(n) / sum(n_chars) as q from class semi join sample using (doc_id) group by lang, k),
+ char_bins as (select doc_id, n / n_chars as p, q from class join refs using (lang, k) where n_chars >= 200),
+ both_bins as (select doc_id, 'c' as kind, p, q from char_bins union all select doc_id, 'w', greatest(p, 0), greatest(q, 0) from word_bins),
+ js as (select doc_id, kind, cast(round(10000 * sqrt(greatest(sum(case when p > 1e-12 then p * log2(2 * p / (p + q)) else 0 end + case when q > 1e-12 then q * log2(2 * q / (p + q)) else 0 end) / 2, 0))) as bigint) as v from both_bins group by doc_id, kind),
+ dist as materialized (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, cast(floor(log2(greatest(n_words, 1))) as int) as power from base left join (select doc_id, v as char_distance from js where kind = 'c') using (doc_id) left join (select doc_id, v as word_distance from js where kind = 'w') using (doc_id)),
+ held as (select lang, unnest([power, -1]) as power, char_distance as c, word_distance as w from dist semi join sample using (doc_id) where not base_failed),
+ lim as (select lang, power, floor(coalesce(quantile_disc(c, 0.99) * 1.1::double, 10000)) as char_limit, floor(coalesce(quantile_disc(w, 0.99) * 1.1::double, 10000)) as word_limit from held group by lang, power having count(*) >= 100 or power = -1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance,
+ not base_failed and coalesce(char_distance <= coalesce(a.char_limit, b.char_limit), true) and coalesce(word_distance <= coalesce(a.word_limit, b.word_limit), true) as kept
+from dist left join lim a on a.lang = dist.lang and a.power = dist.power left join lim b on b.lang = dist.lang and b.power = -1
+"""
+)
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = divergence.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.drop("lang")
