@@ -40,11 +40,11 @@ def attach_stats(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], sp
     return out.drop("__salt", "__hot", *[f"__hot_{n}" for n in aggs])
 
 
-def attach_lookup(df: DataFrame, lookup: DataFrame, key: str, spread: str) -> DataFrame:
+def attach_lookup(df: DataFrame, lookup: DataFrame, key: str, spread: str | Column) -> DataFrame:
     """Left join with a table of one row per key; a null key matches a null key.
 
     The rows per key are counted first. The lookup rows of hot keys, at most ``HOT_SHARE``, are broadcast
-    and the rows of those keys spread by ``spread`` (a row id); all other keys meet by shuffle.
+    and the rows of those keys spread by ``spread`` (what tells rows apart); all other keys meet by shuffle.
     """
     names = [c for c in lookup.columns if c != key]
     as_key = F.struct(F.col(key).alias("k"))

@@ -12,7 +12,8 @@ from trailmark.functions import constants as K
 from trailmark.functions import geo as G
 from trailmark.functions.core import let
 from trailmark.operators.groups import attach_lookup
-from trailmark.operators.ordering import ordinal_bucket, ranked, running, seed_hash
+from trailmark.operators.ordering import join_null_safe, ordinal_bucket, ranked, running, seed_hash
+from trailmark.session import scratch_path
 
 
 def dedupe_prefer_useful(df: DataFrame, keys: Sequence[str], useful: str = "is_geo_useful", ties: Sequence[str] = ()) -> DataFrame:
@@ -66,25 +67,34 @@ def plain_page(df: DataFrame, image: str, tool: str, max_results: int, base: flo
     return df.withColumns({"shown_pos": F.row_number().over(order), "reward": F.lit(base)})
 
 
-def cursor_join(queries: DataFrame, cache: DataFrame, image: str, episode: str, order: str, valid: Column) -> DataFrame:
+def cursor_join(
+    queries: DataFrame, cache: DataFrame, image: str, episode: str, order: str, valid: Column, copy_rows: int = 100_000
+) -> DataFrame:
     """The k-th valid query of an episode beside cached call k mod n of its image; left join.
 
-    Each query meets exactly one cached call, never all of its image.
+    Each query meets exactly one cached call, never all of its image. An image with q queries and n calls has about q / n
+    queries for each call, so a call is copied once for every ``copy_rows`` of them and the queries are dealt over
+    the copies: an image that holds a third of all queries spreads even if one call is cached for it.
     """
-    numbered = ranked(cache, [F.col("call_idx")], ordinal_bucket("call_idx"), [image], "__slot").withColumn(
-        "__slot", (F.col("__slot") - 1).cast("int")
-    )
-    sizes = cache.groupBy(image).agg(F.count(F.lit(1)).alias("__n"))
+    asked = queries.groupBy(image).agg(F.count(F.lit(1)).alias("__q"))
+    held = cache.groupBy(image).agg(F.count(F.lit(1)).alias("__n"))
+    copies = F.ceil(F.coalesce("__q", F.lit(0)) / (F.col("__n") * F.lit(copy_rows)))
+    sizes = join_null_safe(held, asked, [image], "left").select(image, "__n", F.greatest(copies, F.lit(1)).cast("int").alias("__copies"))
+    slots = ranked(cache, [F.col("call_idx")], ordinal_bucket("call_idx"), [image], "__slot").withColumn("__slot", (F.col("__slot") - 1).cast("int"))
+    copied = attach_lookup(slots, sizes.drop("__n"), image, "call_idx").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     counted = running(
         queries.withColumns({"valid": valid, "__bucket": ordinal_bucket(order)}),
         [episode], "__bucket", [F.col(order)], {"cursor": F.col("valid").cast("int")},
     ).drop("__bucket")
+    row = F.struct(*queries.columns)
     placed = (
-        attach_lookup(counted, sizes, image, order)
+        attach_lookup(counted, sizes, image, row)
         .withColumn("cursor", F.when(F.col("valid"), F.col("cursor") - 1))
         .withColumn("__slot", F.pmod(F.col("cursor"), F.col("__n")).cast("int"))
+        .withColumn("__copy", F.pmod(F.xxhash64(row), F.col("__copies")).cast("int"))
     )
-    return placed.join(numbered.withColumnsRenamed({"bbox": "cached_bbox"}), [image, "__slot"], "left").drop("__slot", "__n")
+    calls = copied.drop("__copies").withColumnsRenamed({"bbox": "cached_bbox"})
+    return placed.join(calls, [image, "__slot", "__copy"], "left").drop("__slot", "__n", "__copy", "__copies")
 
 
 def search_reward(joined: DataFrame, threshold: float = 0.5, coeff: float = K.IOU_COEFF) -> DataFrame:
@@ -121,73 +131,82 @@ def jaccard(a: Column, b: Column) -> Column:
     )
 
 
-def jaccard_best(queries: DataFrame, cache: DataFrame, image: str) -> DataFrame:
+def cached_words(cache: DataFrame, image: str, most_calls: int, distinct: bool) -> DataFrame:
+    """One row per image: its cached calls, or the first of each word set, as an array of at most ``most_calls``.
+
+    An image with more is an error. Ranks are limited before the shuffle, so not even then is a larger array built.
+    """
+    sets = cache.select(image, "call_idx", token_set(F.col("query")).alias("words"))
+    if distinct:
+        sets = sets.groupBy(image, "words").agg(F.min("call_idx").alias("call_idx"))
+    first = sets.withColumn("__rank", F.row_number().over(W.partitionBy(image).orderBy("call_idx"))).where(F.col("__rank") <= most_calls + 1)
+    listed = first.groupBy(image).agg(F.array_sort(F.collect_list(F.struct("call_idx", "words"))).alias("calls"))
+    error = F.raise_error(F.concat(F.lit(f"more than {most_calls} calls are cached for "), F.coalesce(F.col(image).cast("string"), F.lit("null"))))
+    return listed.withColumn("calls", F.when(F.size("calls") <= most_calls, F.col("calls")).otherwise(error))
+
+
+def call_scores(calls: Column, words: Column) -> Column:
+    """Score of every call of an array; equal scores fall to the first call."""
+    return F.transform(calls, lambda c: F.struct(jaccard(words, c.words).alias("score"), (-c.call_idx).alias("neg")))
+
+
+def jaccard_best(queries: DataFrame, cache: DataFrame, image: str, most_calls: int = 256) -> DataFrame:
     """Cached call with the most similar query per query; the earliest call wins ties.
 
-    Equal word sets are joined once per image, and only sets that share a word are paired; an image
-    has at most the text-search budget of cached calls, so that bounds the pairs of a query. A query
-    that shares no word with any call takes the first call with score 0; one whose image has no
+    The calls of an image are a bounded array, so each query is scored in its own row: no pairs are made, and a word
+    that all queries share costs nothing. An image with more than ``most_calls`` different calls is an
+    error. A query that shares no word with any call takes the first call with score 0; one whose image has no
     cached call keeps a null call.
     """
-    asked = queries.withColumn("words", token_set(F.col("query")))
-    kept = cache.withColumn("c_words", token_set(F.col("query"))).groupBy(image, "c_words").agg(F.min("call_idx").alias("call_idx"))
-    q_sets = asked.select(image, "words").distinct()
-    q_terms = q_sets.withColumn("word", F.explode("words"))
-    c_terms = kept.withColumn("word", F.explode("c_words"))
-    shared = (
-        q_terms.join(c_terms, [image, "word"])
-        .groupBy(image, "words", "c_words", "call_idx")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("score", F.col("n") / (F.size("words") + F.size("c_words") - F.col("n")))
-    )
-    empty = (
-        q_sets.where(F.size("words") == 0)
-        .join(kept.where(F.size("c_words") == 0), image)
-        .withColumn("score", F.lit(1.0))
-    )
-    first = kept.groupBy(image).agg(F.min("call_idx").alias("call_idx"))
-    none = q_sets.join(first, image).withColumn("score", F.lit(0.0))
-    columns = [image, "words", "call_idx", "score"]
-    candidates = shared.select(*columns).unionByName(empty.select(*columns)).unionByName(none.select(*columns))
-    best = candidates.groupBy(image, "words").agg(
-        F.max(F.struct("score", (-F.col("call_idx")).alias("neg"))).alias("b")
-    )
-    return asked.join(best, [image, "words"], "left").select(
-        *queries.columns, (-F.col("b.neg")).alias("call_idx"), F.col("b.score").alias("score")
+    met = attach_lookup(queries, cached_words(cache, image, most_calls, True), image, F.struct(*queries.columns))
+    best = let(token_set(F.col("query")), lambda words: F.array_max(call_scores(F.col("calls"), words)))
+    return met.withColumn("__best", best).select(
+        *queries.columns, (-F.col("__best.neg")).alias("call_idx"), F.col("__best.score").alias("score")
     )
 
 
-def jaccard_best_with_memory(queries: DataFrame, cache: DataFrame, image: str, episode: str, order: str, penalty: float = 0.5) -> DataFrame:
+def jaccard_best_with_memory(
+    queries: DataFrame, cache: DataFrame, image: str, episode: str, order: str, penalty: float = 0.5,
+    most_calls: int = 256, most_queries: int = 64,
+) -> DataFrame:
     """As :func:`jaccard_best`, with a penalty for calls the episode has used already.
 
-    The calls cached for one image and the queries of one episode are bounded by the call budget,
-    so both fit in an array; the choice is a fold over the queries in order.
+    Round k chooses for the k-th query of all episodes at once, beside a table of the calls that each episode has
+    used; its choices are written and make the table of the next round. An episode with more than ``most_queries``
+    queries about an image is an error, which bounds the rounds and the used calls.
     """
-    calls = cache.groupBy(image).agg(
-        F.array_sort(F.collect_list(F.struct("call_idx", token_set(F.col("query")).alias("words")))).alias("calls")
+    spark = queries.sparkSession
+    met = attach_lookup(queries, cached_words(cache, image, most_calls, False), image, F.struct(*queries.columns))
+    error = F.raise_error(F.lit(f"an episode has more than {most_queries} queries")).cast("int")
+    scored = (
+        met.withColumn("__scores", let(token_set(F.col("query")), lambda words: call_scores(F.col("calls"), words)))
+        .select(F.col(episode).alias("__e"), F.col(image).alias("__i"), F.col(order).alias("__o"), "__scores")
+        .withColumn("__k", F.row_number().over(W.partitionBy("__e", "__i").orderBy("__o")))
+        .where(F.col("__k") <= most_queries + 1)
+        .withColumn("__k", F.when(F.col("__k") <= most_queries, F.col("__k")).otherwise(error))
     )
-    def scores(words: Column) -> Column:
-        return F.transform("calls", lambda c: F.struct(c.call_idx.alias("call_idx"), jaccard(words, c.words).alias("score")))
-
-    scored = queries.join(calls, image, "left").withColumn("scores", let(token_set(F.col("query")), scores))
-    episodes = scored.groupBy(episode, image).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), "scores"))).alias("asked")
-    )
-    start = F.array().cast("array<struct<k:bigint,call_idx:int,score:double>>")
-
-    def step(done: Column, ask: Column) -> Column:
-        adjusted = F.transform(
-            ask.scores,
-            lambda s: F.struct(
-                (s.score - F.when(F.exists(done, lambda d: d.call_idx == s.call_idx), penalty).otherwise(0.0)).alias("score"),
-                (-s.call_idx).alias("neg"),
-            ),
-        )
-        best = F.array_max(adjusted)
-        picked = F.struct(ask.k.cast("bigint").alias("k"), (-best.neg).cast("int").alias("call_idx"), best.score.alias("score"))
-        return F.concat(done, F.array(picked))
-
-    return episodes.select(episode, image, F.inline(F.aggregate("asked", start, step))).withColumnRenamed("k", order)
+    folder = scratch_path(spark, "asked")
+    scored.write.partitionBy("__k").parquet(folder)
+    asked = spark.read.schema(scored.schema).parquet(folder)
+    rounds, used = [], None
+    for k in range(1, (asked.agg(F.max("__k")).first()[0] or 0) + 1):
+        now = asked.where(F.col("__k") == k)
+        if used is None:
+            now = now.withColumn("__used", F.array().cast("array<int>"))
+        else:
+            now = join_null_safe(now, used, ["__e", "__i"])
+        again = F.transform("__scores", lambda s: F.struct((s.score - F.when(F.array_contains("__used", -s.neg), penalty).otherwise(0.0)).alias("score"), s.neg.alias("neg")))
+        best = now.withColumn("__best", F.array_max(again)).withColumn("__call", -F.col("__best.neg"))
+        path = scratch_path(spark, f"round-{k}")
+        chosen = best.select("__e", "__i", "__o", "__call", F.col("__best.score").alias("__score"), F.when(F.col("__call").isNull(), F.col("__used")).otherwise(F.concat("__used", F.array("__call"))).alias("__used"))
+        chosen.write.parquet(path)
+        rounds.append(path)
+        used = spark.read.schema(chosen.schema).parquet(path).select("__e", "__i", "__used")
+    names = {"__e": episode, "__i": image, "__o": order, "__call": "call_idx", "__score": "score"}
+    out = [F.col(a).alias(b) for a, b in names.items() if not (a == "__i" and image == episode)]
+    if not rounds:
+        return scored.select(*[F.col(a) for a in ("__e", "__i", "__o")], F.lit(None).cast("int").alias("__call"), F.lit(None).cast("double").alias("__score")).limit(0).select(*out)
+    return spark.read.schema(chosen.schema).parquet(*rounds).select(*out)
 
 
 def confusion(pred: Column, truth: Column, n: Column) -> dict[str, Column]:
