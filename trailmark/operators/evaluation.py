@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmark.functions import constants as K
-from trailmark.operators.ordering import join_null_safe, running, seed_hash, with_value_bucket
+from trailmark.functions.core import let
+from trailmark.operators.ordering import BUCKETS, hash_bucket, join_null_safe, ranked, running, seed_hash, unit_interval, with_value_bucket
 from trailmark.operators.profiles import percentile_row
 
 GROUP = ["data_source", "uid", "variable"]
@@ -69,6 +68,34 @@ def extremes(ladder: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     )
 
 
+def at_ranks(ladder: DataFrame, wanted: DataFrame, group: Sequence[str], rank: str = "r", pieces: int = 1024) -> DataFrame:
+    """``wanted`` (group, rank, ...) with the value that the rank has in a :func:`value_ladder`.
+
+    A distinct value owns the ranks from above ``upto - c`` to ``upto``. The ranks of a group are cut into ``pieces`` buckets,
+    and an interval goes to each bucket that it reaches into, so a ladder grows by ``pieces`` rows at most. Within a
+    bucket, ranks and interval ends are put in order, and a rank takes the first value that ends at or after it.
+    """
+    side = F.struct(*group).alias("__g")
+    width = F.greatest(F.ceil(F.col("n") / pieces), F.lit(1))
+    bucket = F.floor((F.col(rank) - 1) / width)
+    reach = F.sequence(F.floor((F.col("upto") - F.col("c")) / width), F.floor((F.col("upto") - 1) / width))
+    ends = ladder.select(side, F.explode(reach).alias("__b"), F.col("upto").alias("__at"), F.lit(1).alias("__end"), F.struct("value").alias("__value"))
+    sizes = ladder.select(side, "n").distinct()
+    named = wanted.withColumn("__row", F.struct(*wanted.columns)).withColumn("__g", F.struct(*group))
+    if "n" not in wanted.columns:
+        named = named.join(sizes, "__g")
+    asked = named.select("__g", bucket.alias("__b"), F.col(rank).alias("__at"), F.lit(0).alias("__end"), "__row")
+    both = asked.unionByName(ends, allowMissingColumns=True)
+    ahead = W.partitionBy("__g", "__b").orderBy("__at", "__end").rowsBetween(W.currentRow, W.unboundedFollowing)
+    found = both.withColumn("__value", F.first("__value", ignorenulls=True).over(ahead)).where(F.col("__end") == 0)
+    return found.select("__row.*", "__value.value")
+
+
+def uniform(seed: int | str, *keys: Column | str) -> Column:
+    """A number in [0, 1) from the md5 of seed and keys: the same in every engine that has md5."""
+    return unit_interval(seed_hash(seed, *keys))
+
+
 def bootstrap_extremes(ladder: DataFrame, seed: int = 42, draws: int = 1000, group: Sequence[str] = GROUP) -> DataFrame:
     """Seeded bootstrap of the best and worst of k draws: the rank of the extreme is drawn directly.
 
@@ -80,16 +107,13 @@ def bootstrap_extremes(ladder: DataFrame, seed: int = 42, draws: int = 1000, gro
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
 
     def rank_of(tag: str) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(f"{seed}{tag}"), *group, "k", "draw"), 11)
-        u = bits / float(2**53)
+        u = uniform(f"{seed}{tag}", *group, "k", "draw")
         largest = F.least(F.floor(n * F.pow(u, 1 / k)) + 1, F.col("n"))
         return largest if tag == "best" else F.col("n") + 1 - largest
 
     sides = F.array(*[F.struct(F.lit(t).alias("side"), rank_of(t).alias("r")) for t in ("best", "worst")])
-    wanted = rows.select(*group, "k", F.inline(sides)).groupBy(*group, "k", "side", "r").agg(F.count(F.lit(1)).alias("w"))
-    # Each distinct value owns the ranks (upto - c, upto]; a rank is one row of the expanded ladder.
-    ranked = ladder.select(*group, "value", F.explode(F.sequence(F.col("upto") - F.col("c") + 1, F.col("upto"))).alias("r"))
-    met = join_null_safe(wanted, ranked, [*group, "r"])
+    wanted = rows.select(*group, "n", "k", F.inline(sides)).groupBy(*group, "n", "k", "side", "r").agg(F.count(F.lit(1)).alias("w"))
+    met = at_ranks(ladder, wanted, group)
     w, v = F.col("w"), F.col("value")
     out = met.groupBy(*group, "k", "side").agg(
         (F.sum(w * v) / F.sum(w)).alias("mean"), (F.sum(w * v * v) / F.sum(w)).alias("sq")
@@ -107,37 +131,91 @@ def majority_value(df: DataFrame, group: Sequence[str], pred: str, value: str, o
     return votes.groupBy(*group).agg(best.alias("b")).select(*group, "b.*")
 
 
+TRIALS = 512
+
+
+def binomial(trials: Column, hits: Column, total: Column, digest: Callable[[Column], Column]) -> Column:
+    """Successes among ``trials`` of chance ``hits / total``, by inverting the distribution at uniforms.
+
+    Trials are taken up to ``TRIALS`` at a time, each time with a uniform of its own (``digest`` of the number of the
+    part), so no probability underflows. The rarer outcome is the one that is counted.
+    """
+    rare = F.least(hits, total - hits) / total
+
+    def part(i: Column) -> Column:
+        t = F.least(trials - i * TRIALS, F.lit(TRIALS).cast("bigint"))
+        start = F.pow(1 - rare, t.cast("double"))
+        given = F.struct(unit_interval(digest(i)).alias("u"), t.alias("t"), rare.alias("p"), start.alias("start"))
+
+        def count(g: Column) -> Column:
+            state = F.struct(g.start.alias("mass"), g.start.alias("upto"), F.lit(0).cast("bigint").alias("x"))
+
+            def step(s: Column, _: Column) -> Column:
+                mass = s.mass * (g.t - s.x) / (s.x + 1) * (g.p / (1 - g.p))
+                more = F.struct(mass.alias("mass"), (s.upto + mass).alias("upto"), (s.x + 1).alias("x"))
+                return F.when(s.upto <= g.u, more).otherwise(s)
+
+            return F.aggregate(F.sequence(F.lit(1).cast("bigint"), g.t), state, step, lambda s: s.x)
+
+        counted = let(given, count)
+        return F.when(2 * hits > total, t - counted).otherwise(counted)
+
+    parts = F.sequence(F.lit(0).cast("bigint"), F.floor((trials - 1) / TRIALS))
+    drawn = F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, i: n + part(i))
+    return F.when((hits == 0) | (trials == 0), F.lit(0).cast("bigint")).when(hits == total, trials.cast("bigint")).otherwise(drawn)
+
+
+def multinomial_draws(votes: DataFrame, group: Sequence[str], seed: int, draws: int) -> DataFrame:
+    """group, k, draw, r, x: how often prediction number r is drawn among k draws, where at all.
+
+    ``votes`` has a row for each prediction of a group with its place ``r`` (from 1) and count ``c``. The
+    predictions are the leaves of a binary tree, whose level b splits them by bit b of their place. The draws of a node
+    are split between its halves by a binomial with the share of the votes on the left; a half without draws ends
+    there. Each level is one join with the nodes.
+    """
+    depth = max(0, int(votes.agg(F.max("r")).first()[0] or 1) - 1).bit_length()
+    sizes = votes.groupBy(*group).agg(F.sum("c").alias("n"))
+    sizes = sizes.where("n > 1").withColumn("k", F.explode(draw_sizes(F.col("n"))))
+    rows = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    rows = rows.select(*group, "k", "draw", F.lit(0).cast("bigint").alias("j"), F.col("k").alias("x"))
+    leaf = (F.col("r") - 1).cast("bigint")
+    for level in range(depth):
+        right = F.shiftright(leaf, level).bitwiseAND(F.lit(1).cast("bigint"))
+        nodes = votes.groupBy(*group, leaf.bitwiseAND(F.lit((1 << level) - 1).cast("bigint")).alias("j")).agg(
+            F.sum(F.when(right == 0, F.col("c")).otherwise(0)).alias("left"), F.sum("c").alias("total")
+        )
+        met = join_null_safe(rows, nodes, [*group, "j"])
+        to_left = binomial(F.col("x"), F.col("left"), F.col("total"), lambda i: seed_hash(seed, *group, "k", "draw", F.lit(level), "j", i))
+        split = met.withColumn("__left", to_left)
+        halves = F.array(
+            F.struct(F.col("j").alias("j"), F.col("__left").alias("x")),
+            F.struct((F.col("j") + F.lit(1 << level)).alias("j"), (F.col("x") - F.col("__left")).alias("x")),
+        )
+        rows = split.select(*group, "k", "draw", F.inline(halves)).where("x > 0")
+    return rows.select(*group, "k", "draw", (F.col("j") + 1).alias("r"), "x")
+
+
 def majority_draws(df: DataFrame, group: Sequence[str], pred: str, value: str, seed: int = 42, draws: int = 1000) -> DataFrame:
     """Mean and deviation of the majority value of k draws with replacement.
 
     Only the counts of each prediction decide the vote, so they are drawn (multinomial) instead of
     samples; tied predictions are equally likely to come first, and the first value within the
-    winner is any of its values. A group is reduced to its distinct predictions beforehand.
+    winner is any of its values. A group is reduced to its distinct predictions beforehand, the frequent ones first.
     """
     votes = df.groupBy(*group, pred).agg(
         F.count(F.lit(1)).alias("c"), F.avg(value).alias("m"), F.avg(F.col(value) * F.col(value)).alias("q")
     )
-    packed = votes.groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(pred).cast("string").alias("p"), "c", "m", "q"))).alias("__v"), F.sum("c").alias("n")
-    )
-    rows = packed.where("n > 1").withColumn("k", F.explode(draw_sizes(F.col("n"))))
-    rows = rows.select(*group, "n", "k", F.col("__v.c").alias("c"), F.col("__v.m").alias("m"), F.col("__v.q").alias("q"))
-    seeded = rows.withColumn("__seed", F.conv(F.substr(seed_hash(seed, *group, "k"), F.lit(1), F.lit(8)), 16, 10).cast("bigint"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            means, stds = [], []
-            for c, m, q, k, s in zip(batch["c"], batch["m"], batch["q"], batch["k"], batch["__seed"]):
-                counts = np.random.default_rng(int(s)).multinomial(int(k), np.asarray(c, float) / np.sum(c), size=draws)
-                wins = counts == counts.max(axis=1, keepdims=True)
-                share = (wins / wins.sum(axis=1, keepdims=True)).mean(axis=0)
-                mean, square = float(share @ np.asarray(m)), float(share @ np.asarray(q))
-                means.append(mean)
-                stds.append(max(square - mean * mean, 0.0) ** 0.5)
-            yield batch[[*group, "k"]].assign(maj_mean=means, maj_std=stds)
-
-    types = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
-    return seeded.mapInPandas(run, f"{types}, k bigint, maj_mean double, maj_std double")
+    digest = F.md5(F.coalesce(F.col(pred).cast("string"), F.lit("")))
+    halving = -F.floor(F.log2("c"))
+    bucket = halving * BUCKETS + hash_bucket(digest)
+    votes = ranked(votes, [digest, F.col(pred)], bucket, list(group), "r")
+    drawn = multinomial_draws(votes, group, seed, draws)
+    named = join_null_safe(drawn, votes.select(*group, "r", "m", "q"), [*group, "r"])
+    level = named.groupBy(*group, "k", "draw", "x").agg(F.avg("m").alias("m"), F.avg("q").alias("q"))
+    won = level.groupBy(*group, "k", "draw").agg(F.max_by(F.struct("m", "q"), "x").alias("b"))
+    out = won.groupBy(*group, "k").agg(F.avg("b.m").alias("maj_mean"), F.avg("b.q").alias("sq"))
+    variance = F.col("sq") - F.col("maj_mean") * F.col("maj_mean")
+    return out.select(*group, "k", "maj_mean", F.sqrt(F.when(variance > 0, variance).otherwise(0.0)).alias("maj_std"))
 
 
 def validation_metrics(df: DataFrame, variables: Sequence[str], source: str = "data_source", uid: str = "uid", pred: str | None = None, seed: int = 42) -> DataFrame:

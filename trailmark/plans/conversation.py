@@ -85,9 +85,9 @@ for short, tool in (("image", K.IMAGE_SEARCH), ("text", K.TEXT_SEARCH)):
     )
 
 
-@query("tool_call_table", sql_with("select conv_id, msg_idx, call_no, name from named_call", "named_call"))
+@query("tool_call_table", sql_with("select conv_id, msg_idx, call_no, name, cast(json_extract(raw, '$.arguments') as varchar) as arguments from named_call", "named_call"))
 def tool_call_table(spark, sf):
-    return E.tool_calls(message(spark, sf)).select("conv_id", "msg_idx", "call_no", "name")
+    return E.tool_calls(message(spark, sf))
 
 
 @query(

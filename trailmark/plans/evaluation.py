@@ -39,9 +39,24 @@ def exact_extremes(spark, sf):
     return out.select("data_source", "uid", "k", *[(F.round(c, 7) + 0.0).alias(c) for c in ("best_mean", "best_std", "worst_mean", "worst_std")])
 
 
-@query("bootstrap_extremes")
+def uniform_sql(*keys):
+    return f"cast('0x'||substr(md5(concat_ws('|',{','.join(keys)})),1,13) as bigint)/power(16,13)"
+
+
+@query(
+    "bootstrap_extremes",
+    sql_with("", "rollout").rstrip()
+    + f""",
+ ladder as (select *, sum(c) over(partition by data_source, uid order by value) as upto, sum(c) over(partition by data_source, uid) as n from (select data_source, uid, score*0.7310585786 as value, count(*) as c from rollout group by 1,2,3)),
+ sized as (select data_source, uid, n, unnest(list_append([x for x in [2,4,8,16,32,64,128,256,512] if x<n], n)) as k from (select distinct data_source, uid, n from ladder where n>1)),
+ ranked as (select data_source, uid, n, k, side, least(floor(n*power({uniform_sql("'42'||side", 'data_source', 'uid', "'score'", 'k', 'draw')}, 1.0/k))+1, n) as r from (
+  select data_source, uid, n, k, draw, s.side from sized, (select unnest(range(1,1001)) as draw) d, (select unnest(['best','worst']) as side) s)),
+ met as (select w.data_source, w.uid, k, side, value from (select * exclude(r), case when side='best' then r else n+1-r end as r from ranked) w join ladder l on l.data_source=w.data_source and l.uid=w.uid and r>upto-c and r<=upto)
+select data_source, uid, 'score' as variable, cast(k as bigint) as k, side, round(avg(value),6) as mean, round(sqrt(greatest(avg(value*value)-avg(value)*avg(value),0)),5) as std from met group by 1,2,4,5""",
+)
 def bootstrap_extremes(spark, sf):
-    return V.bootstrap_extremes(V.value_ladder(V.melt(scores(spark, sf), ["score"], ["data_source", "uid"])))
+    drawn = V.bootstrap_extremes(V.value_ladder(V.melt(scores(spark, sf), ["score"], ["data_source", "uid"])))
+    return drawn.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 5) + 0.0})
 
 
 @query(
@@ -59,9 +74,41 @@ def validation_metrics(spark, sf):
     return out.withColumn("value", F.round("value", 7) + 0.0)
 
 
-@query("validation_with_majority")
+def level_sql(level):
+    """One level of the tree of predictions; there are at most eight predictions, and few draws."""
+    u = uniform_sql("'42'", "data_source", "uid", "'score'", "k", "draw", f"'{level}'", "j", "'0'")
+    mass = "cast(factorial(cast(x as int)) as double)/(factorial(cast(m as int))*factorial(cast(x-m as int)))*power(p,m)*power(1-p,x-m)"
+    return f"""node{level} as (select data_source, uid, (r-1)&{(1 << level) - 1} as j, sum(c) as total, sum(case when ((r-1)>>{level})&1=0 then c else 0 end) as hits from vote group by all),
+ chance{level} as (select *, least(hits,total-hits)/cast(total as double) as p, {u} as u from draw{level} join node{level} using (data_source, uid, j)),
+ count{level} as (select *, len(list_filter(range(x), lambda i: list_sum(list_transform(range(i+1), lambda m: {mass}))<=u)) as y from chance{level}),
+ split{level} as (select data_source, uid, k, draw, j, x, case when hits=0 then 0 when hits=total then x when 2*hits>total then x-y else y end as y from count{level}),
+ draw{level + 1} as (select data_source, uid, k, draw, j, y as x from split{level} where y>0 union all select data_source, uid, k, draw, j+{1 << level}, x-y from split{level} where x>y)"""
+
+
+@query(
+    "validation_with_majority",
+    ladder_sql("").rstrip()
+    + f""",
+ vote as (select *, row_number() over(partition by data_source, uid order by floor(log2(c)) desc, md5(cast(pred as varchar)), pred) as r from (
+  select data_source, uid, pred, count(*) as c, avg(score*0.7310585786) as m, avg(score*0.7310585786*score*0.7310585786) as q from rollout group by 1,2,3)),
+ draw0 as (select data_source, uid, k, unnest(range(1,1001)) as draw, cast(0 as bigint) as j, cast(k as bigint) as x from (select data_source, uid, unnest(list_append([x for x in [2,4,8,16,32,64,128,256,512] if x<n], n)) as k
+  from (select data_source, uid, count(*) as n from rollout group by 1,2) where n>1)),
+ {level_sql(0)},
+ {level_sql(1)},
+ {level_sql(2)},
+ tied as (select data_source, uid, k, draw, x, avg(m) as m, avg(q) as q from draw3 d join (select data_source, uid, r-1 as j, m, q from vote) using (data_source, uid, j) group by 1,2,3,4,5),
+ won as (select data_source, uid, k, draw, arg_max(m,x) as m, arg_max(q,x) as q from tied group by 1,2,3,4),
+ maj as (select data_source, uid, k, avg(m) as mm, sqrt(greatest(avg(q)-avg(m)*avg(m),0)) as ms from won group by 1,2,3)
+select data_source, 'score' as variable, metric, round(avg(v),5)+0.0 as value from (
+ select data_source, 'mean@'||count(*) as metric, avg(score*0.7310585786) as v from rollout group by data_source, uid
+ union all select data_source, 'std@'||count(*), stddev_pop(score*0.7310585786) from rollout group by data_source, uid having count(*)>1
+ union all select data_source, 'best@'||k||'/mean', bm from drawn union all select data_source, 'best@'||k||'/std', sqrt(greatest(bq-bm*bm,0)) from drawn
+ union all select data_source, 'worst@'||k||'/mean', wm from drawn union all select data_source, 'worst@'||k||'/std', sqrt(greatest(wq-wm*wm,0)) from drawn
+ union all select data_source, 'maj@'||k||'/mean', mm from maj union all select data_source, 'maj@'||k||'/std', ms from maj) group by 1,2,3""",
+)
 def validation_with_majority(spark, sf):
-    return V.validation_metrics(scores(spark, sf), ["score"], pred="pred")
+    out = V.validation_metrics(scores(spark, sf), ["score"], pred="pred")
+    return out.withColumn("value", F.round("value", 5) + 0.0)
 
 
 @query(

@@ -8,6 +8,7 @@ from trailmark import registry as L
 from trailmark.functions import constants as K
 from trailmark.functions import text as X
 from trailmark.operators import builders as D
+from trailmark.operators import evaluation as V
 from trailmark.operators import extraction as E
 from trailmark.operators import joins as J
 from trailmark.operators import sampling as H
@@ -237,18 +238,18 @@ def registered_generator(spark, sf):
     return D.append_generated(docs, L.generate(docs, "mirror"), 150, text="text").select("doc_id", "n_chars")
 
 
-@query("tool_call_function", sql_with("select conv_id, msg_idx, call_no, name from named_call", "named_call"))
+@query("tool_call_function", sql_with("select conv_id, msg_idx, call_no, name, cast(json_extract(raw, '$.arguments') as varchar) as arguments from named_call", "named_call"))
 def tool_call_function(spark, sf):
     L.register_sql(spark)
     message(spark, sf).where("role = 'assistant'").createOrReplaceTempView("assistant_message")
-    return spark.sql("select conv_id, msg_idx, c.call_no, c.name from assistant_message, lateral tool_calls(content) c")
+    return spark.sql("select conv_id, msg_idx, inline(calls) from (select conv_id, msg_idx, tool_calls(content) as calls from assistant_message)")
 
 
 @query("search_result_function", sql_with("select conv_id, call_idx, result_pos as pos, result_title as title, result_source as source, result_link as link from image_result where result_pos>=0", "image_result"))
 def search_result_function(spark, sf):
     L.register_sql(spark)
     E.pair_calls(message(spark, sf), K.IMAGE_SEARCH).createOrReplaceTempView("image_pair")
-    return spark.sql("select conv_id, call_idx, r.pos, r.title, r.source, r.link from image_pair, lateral search_results(response) r")
+    return spark.sql("select conv_id, call_idx, inline(results) from (select conv_id, call_idx, search_results(response) as results from image_pair)")
 
 
 @query(
@@ -260,12 +261,19 @@ def search_result_function(spark, sf):
 )
 def majority_aggregate(spark, sf):
     votes = rollout(spark, sf).groupBy("uid", "pred").agg(F.count(F.lit(1)).alias("n"), F.min("sample_id").alias("first"), F.min_by("score", "sample_id").alias("value"))
-    return votes.groupBy("uid").agg(L.majority("n", "first", "value").alias("value"))
+    return votes.groupBy("uid").agg(L.majority(F.col("n"), F.col("first"), F.col("value")).alias("value"))
 
 
-@query("bootstrap_aggregate")
+@query(
+    "bootstrap_aggregate",
+    sql_with(
+        """select uid, round(sum(score*hits)/1000,6) as best_of_4 from (
+ select uid, score, count(u) as hits from (select uid, score, cast(sum(c) over(partition by uid order by score) as double) as upto, c, cast(sum(c) over(partition by uid) as double) as n from (select uid, score, count(*) as c from rollout group by 1,2))
+ left join (select cast('0x'||substr(md5('42|'||i),1,13) as bigint)/power(16,13) as u from range(1000) t(i)) on u<power(upto/n,4) and u>=power((upto-c)/n,4) group by uid, score) group by 1""",
+        "rollout",
+    ),
+)
 def bootstrap_aggregate(spark, sf):
-    ladder = rollout(spark, sf).groupBy("uid", "score").agg(F.count(F.lit(1)).alias("c"))
-    return ladder.groupBy("uid").agg(L.bootstrap_best("score", "c", F.lit(4)).alias("best_of_4"))
-
-
+    ladder = V.value_ladder(rollout(spark, sf).select("uid", F.col("score").alias("value")), ["uid"])
+    best = L.bootstrap_best(F.col("value"), F.col("c"), F.col("upto"), F.col("n"), F.lit(4))
+    return ladder.groupBy("uid").agg(F.round(best, 6).alias("best_of_4"))

@@ -1,19 +1,17 @@
-"""User-defined rewards, advantages and generators, and table functions for SQL."""
+"""User-defined rewards, advantages and generators, and functions for SQL."""
 
 from __future__ import annotations
 
-import json
-import re
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from trailmark.functions import text as X
 from trailmark.operators import advantages
 
 # A reward returns a number, or a dict whose keys are given when it is registered.
@@ -107,61 +105,81 @@ def generate(df: DataFrame, name: str) -> DataFrame:
     return GENERATORS[name](df)
 
 
-def _row(**kinds: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
-
-
-# Type objects, as a type text needs a running session.
-CALL_ROW = _row(call_no=T.IntegerType(), name=T.StringType(), arguments=T.StringType())
-RESULT_ROW = _row(pos=T.IntegerType(), title=T.StringType(), source=T.StringType(), link=T.StringType())
-
-
-@F.udtf(returnType=CALL_ROW)
-class ToolCalls:
-    """Calls of a message text; bodies that are not JSON objects are dropped."""
-
-    def eval(self, text: str):
-        for number, raw in enumerate(re.findall(r"<tool_call>(.*?)</tool_call>", text or "", re.DOTALL)):
-            try:
-                call = json.loads(raw)
-            except ValueError:
-                continue
-            if isinstance(call, dict):
-                yield number, call.get("name"), json.dumps(call.get("arguments"))
+# SQL functions over JVM expressions: they are inlined where they are used, so no row goes to Python and nothing is shuffled.
+# Arrays of structs become rows by ``select inline(calls) from (select tool_calls(text) as calls from ...)``.
+SQL_FUNCTIONS = {
+    "tool_calls": """(text string) returns array<struct<call_no int, name string, arguments string>>
+        comment 'calls of a message text; bodies that are not JSON objects are dropped'
+        return transform(
+         filter(
+          transform(
+           regexp_extract_all(text, r'(?s)<tool_call>(.*?)</tool_call>', 1),
+           (raw, i) -> struct(i as call_no, case when raw rlike r'(?s)\\A\\s*\\{.*\\}\\s*\\z' then try_parse_json(raw) end as call)),
+          c -> startswith(schema_of_variant(c.call), 'OBJECT')),
+         c -> struct(c.call_no as call_no, try_variant_get(c.call, '$.name', 'string') as name, try_variant_get(c.call, '$.arguments', 'string') as arguments))""",
+    "search_results": f"""(text string) returns array<struct<pos int, title string, source string, link string>>
+        comment 'results of an image-search response text'
+        return transform(
+         regexp_extract_all(text, r'{X.IMAGE_RESULT}', 0),
+         hit -> struct(
+          cast(regexp_extract(hit, r'{X.IMAGE_RESULT}', 1) as int) as pos,
+          regexp_replace(regexp_extract(hit, r'{X.IMAGE_RESULT}', 2), r'(?U)\\A\\s+|\\s+\\z', '') as title,
+          regexp_replace(regexp_extract(hit, r'{X.IMAGE_RESULT}', 3), r'(?U)\\A\\s+|\\s+\\z', '') as source,
+          regexp_extract(hit, r'{X.IMAGE_RESULT}', 4) as link))""",
+    # How many of the draws of bootstrap_best have their best among the first ``upto`` of n ranked samples.
+    "bootstrap_hits": """(upto bigint, n bigint, size bigint) returns bigint
+        comment 'number of seeded draws of size samples out of n whose best has rank upto or less'
+        return {hits}""",
+}
+
+DRAWS = 1000
+
+
+def uniforms(seed: int, draws: int) -> list[float]:
+    """The uniforms of the draws in order, from md5 as in the SQL expressions."""
+    return sorted(int(hashlib.md5(f"{seed}|{i}".encode()).hexdigest()[:13], 16) / 16**13 for i in range(draws))
+
+
+def bootstrap_hits(upto: Column, n: Column, size: Column, seed: int = 42, draws: int = DRAWS) -> Column:
+    """Number of draws whose best of ``size`` has rank ``upto`` or less of n.
+
+    The best rank is floor(n * u ** (1 / size)) + 1, so these are the uniforms below (upto / n) ** size; they are
+    constants in order, and their number is found by halving.
+    """
+    held = F.lit(uniforms(seed, draws))
+    below = F.pow(upto / n, size)
+    steps = F.lit([1 << b for b in range(draws.bit_length() - 1, -1, -1)])
 
+    def step(found: Column, more: Column) -> Column:
+        at = found + more
+        return F.when((at <= draws) & (F.get(held, F.least(at, F.lit(draws)) - 1) < below), at).otherwise(found)
 
-@F.udtf(returnType=RESULT_ROW)
-class SearchResults:
-    """Results of an image-search response text."""
+    return F.aggregate(steps, F.lit(0), step).cast("bigint")
 
-    def eval(self, text: str):
-        block = r"\[(\d+)\]\s*(.*?)\n\s*Source:\s*(.*?)\n\s*Link:\s*(https?://\S+)"
-        for pos, title, source, link in re.findall(block, text or "", re.DOTALL):
-            yield int(pos), title.strip(), source.strip(), link.strip()
 
+def bootstrap_best(value: Column, count: Column, upto: Column, n: Column, size: Column, seed: int = 42, draws: int = DRAWS) -> Column:
+    """Aggregate: seeded bootstrap mean of the best of ``size`` draws, over the distinct values of a group.
 
-@F.pandas_udf(T.DoubleType())
-def majority(n: pd.Series, first: pd.Series, value: pd.Series) -> float:
-    """Value of the most frequent prediction. Aggregates votes (one row per prediction), not samples."""
-    order = np.lexsort((first.to_numpy(), -n.to_numpy()))
-    return float(value.iloc[order[0]])
+    ``count`` is how often a value occurs, ``upto`` the samples up to it and ``n`` all samples (see
+    ``evaluation.value_ladder``). It is a sum, so it is combined before the shuffle, and no group gathers in one call.
+    """
+    hits = bootstrap_hits(upto, n, size, seed, draws) - bootstrap_hits(upto - count, n, size, seed, draws)
+    return F.sum(value * hits) / draws
 
 
-@F.pandas_udf(T.DoubleType())
-def bootstrap_best(value: pd.Series, count: pd.Series, size: pd.Series) -> float:
-    """Seeded bootstrap mean of the best of ``size`` draws. Aggregates distinct values with counts."""
-    order = np.argsort(value.to_numpy())
-    values, counts = value.to_numpy()[order], count.to_numpy()[order]
-    upto = np.cumsum(counts)
-    draws = np.random.default_rng(42).random(1000)
-    # The best of k draws has the distribution (rank / n) ** k.
-    rank = np.minimum(np.floor(upto[-1] * draws ** (1.0 / size.iloc[0])), upto[-1] - 1)
-    return float(values[np.searchsorted(upto, rank, side="right")].mean())
+def majority(n: Column, first: Column, value: Column) -> Column:
+    """Aggregate over votes (one row per prediction): value of the most frequent one, of equals the first seen."""
+    return F.max_by(value, F.struct(n, -first))
 
 
 def register_sql(spark: SparkSession) -> None:
-    """Names for SQL users: table functions and aggregates."""
-    spark.udtf.register("tool_calls", ToolCalls)
-    spark.udtf.register("search_results", SearchResults)
-    spark.udf.register("majority", majority)
-    spark.udf.register("bootstrap_best", bootstrap_best)
+    """Names for SQL users, as temporary functions. In SQL, a majority is ``max_by(value, struct(n, -first))`` and the
+    bootstrap mean ``sum(value * (bootstrap_hits(upto, n, k) - bootstrap_hits(upto - c, n, k))) / 1000``."""
+    held = "array(" + ", ".join(f"{u!r}D" for u in uniforms(42, DRAWS)) + ")"
+    steps = ", ".join(str(1 << b) for b in range(DRAWS.bit_length() - 1, -1, -1))
+    hits = (
+        f"cast(aggregate(array({steps}), 0, (found, more) -> case when found + more <= {DRAWS} "
+        f"and get({held}, least(found + more, {DRAWS}) - 1) < power(upto / n, size) then found + more else found end) as bigint)"
+    )
+    for name, text in SQL_FUNCTIONS.items():
+        spark.sql(f"create or replace temporary function {name}{text.replace('{hits}', hits)}")
