@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import constants as K
 from trailmark.functions.core import let
-from trailmark.operators.ordering import BUCKETS, hash_bucket, join_null_safe, ranked, running, seed_hash, unit_interval, with_value_bucket
+from trailmark.operators.ordering import BUCKETS, at_ranks, hash_bucket, join_null_safe, ranked, running, seed_hash, unit_interval, with_value_bucket
 from trailmark.operators.profiles import percentile_row
 
 GROUP = ["data_source", "uid", "variable"]
@@ -68,29 +68,6 @@ def extremes(ladder: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     )
 
 
-def at_ranks(ladder: DataFrame, wanted: DataFrame, group: Sequence[str], rank: str = "r", pieces: int = 1024) -> DataFrame:
-    """``wanted`` (group, rank, ...) with the value that the rank has in a :func:`value_ladder`.
-
-    A distinct value owns the ranks from above ``upto - c`` to ``upto``. The ranks of a group are cut into ``pieces`` buckets,
-    and an interval goes to each bucket that it reaches into, so a ladder grows by ``pieces`` rows at most. Within a
-    bucket, ranks and interval ends are put in order, and a rank takes the first value that ends at or after it.
-    """
-    side = F.struct(*group).alias("__g")
-    width = F.greatest(F.ceil(F.col("n") / pieces), F.lit(1))
-    bucket = F.floor((F.col(rank) - 1) / width)
-    reach = F.sequence(F.floor((F.col("upto") - F.col("c")) / width), F.floor((F.col("upto") - 1) / width))
-    ends = ladder.select(side, F.explode(reach).alias("__b"), F.col("upto").alias("__at"), F.lit(1).alias("__end"), F.struct("value").alias("__value"))
-    sizes = ladder.select(side, "n").distinct()
-    named = wanted.withColumn("__row", F.struct(*wanted.columns)).withColumn("__g", F.struct(*group))
-    if "n" not in wanted.columns:
-        named = named.join(sizes, "__g")
-    asked = named.select("__g", bucket.alias("__b"), F.col(rank).alias("__at"), F.lit(0).alias("__end"), "__row")
-    both = asked.unionByName(ends, allowMissingColumns=True)
-    ahead = W.partitionBy("__g", "__b").orderBy("__at", "__end").rowsBetween(W.currentRow, W.unboundedFollowing)
-    found = both.withColumn("__value", F.first("__value", ignorenulls=True).over(ahead)).where(F.col("__end") == 0)
-    return found.select("__row.*", "__value.value")
-
-
 def uniform(seed: int | str, *keys: Column | str) -> Column:
     """A number in [0, 1) from the md5 of seed and keys: the same in every engine that has md5."""
     return unit_interval(seed_hash(seed, *keys))

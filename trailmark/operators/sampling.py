@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 from trailmark.functions import constants as K
 from trailmark.operators.groups import attach_lookup
 from trailmark.operators.ordering import (
+    at_ranks,
     hash_bucket,
     hash_cutoff,
+    join_null_safe,
+    ordinal_bucket,
     ranked,
     ranked_by_hash,
     ranked_by_value,
@@ -22,7 +26,7 @@ from trailmark.operators.ordering import (
     unit_interval,
     with_value_bucket,
 )
-from trailmark.session import checkpoint_root
+from trailmark.session import checkpoint_root, written
 
 
 def row_count(df: DataFrame) -> Column:
@@ -211,27 +215,101 @@ def balance_groups(df: DataFrame, batch: str, uid: str, length: str, k: int) ->
     return df.join(shards, [batch, uid])
 
 
+SIZE_CLASSES = 128
+SMALL_SHARE = 4
+PATTERNS = "array<struct<class int, low bigint, high bigint, first_bin bigint, times bigint>>"
+
+
+def packing(counts: pd.Series) -> pd.Series:
+    """Bins for long sequences, from how many there are of each size class (at most ``SIZE_CLASSES`` numbers a batch).
+
+    The longest class that is left opens a bin, and shorter ones fill it; the same bin is made as often as the counts
+    allow. An entry says that ranks ``low`` to ``high`` of a class go, ``times`` to a bin, into the bins from ``first_bin``.
+    """
+
+    def plan(given: Sequence[dict]) -> list[dict]:
+        left = {int(c["class"]): int(c["n"]) for c in given}
+        taken, out, bins = dict.fromkeys(left, 0), [], 0
+        while any(left.values()):
+            free, pattern = SIZE_CLASSES, {}
+            for size in sorted((c for c in left if left[c]), reverse=True):
+                if times := min(left[size], free // size):
+                    pattern[size] = times
+                    free -= times * size
+            copies = min(left[c] // t for c, t in pattern.items())
+            for c, t in pattern.items():
+                out.append({"class": c, "low": taken[c], "high": taken[c] + copies * t, "first_bin": bins, "times": t})
+                taken[c] += copies * t
+                left[c] -= copies * t
+            bins += copies
+        return out
+
+    return counts.map(plan)
+
+
+def packed(df: DataFrame, batch: str, key: str, tokens: str, budget: int) -> DataFrame:
+    """Adds ``__bin``: bins of at most ``budget`` tokens per batch, with long sequences beside short ones.
+
+    Sequences of more than a quarter of the budget are packed by size class, rounded up to a ``SIZE_CLASSES``-th: two that
+    would fill a bin to the last token may stay apart. The others are laid end to end
+    over what is left of those bins, and over new ones behind them; a sequence that crosses the end of a
+    bin goes with three others into a bin of its own, so there is one such bin for four others at most.
+    """
+    names = {"b": batch, "key": key, "tokens": tokens}
+    digest = F.md5(F.col(key).cast("string"))
+    rows = df.select(F.struct(*df.columns).alias("row"), digest.alias("digest"), *[F.col(c).alias(n) for n, c in names.items()])
+    order, bucket = [F.col("digest"), F.col("key")], hash_bucket(F.col("digest"))
+    small = F.col("tokens") * SMALL_SHARE <= budget
+    long = rows.where(~small).withColumn("class", F.ceil(F.col("tokens") * SIZE_CLASSES / budget).cast("int"))
+    counts = long.groupBy("b", "class").agg(F.count(F.lit(1)).alias("n"))
+    entries = counts.groupBy("b").agg(F.collect_list(F.struct("class", "n")).alias("counts")).select("b", F.pandas_udf(packing, PATTERNS)("counts").alias("plan"))
+    entries = entries.select("b", F.inline("plan")).groupBy(F.struct("b", "class").alias("at")).agg(F.collect_list(F.struct("low", "high", "first_bin", "times")).alias("plan"))
+    ranks = ranked(long, order, bucket, ["b", "class"], "rank").withColumn("at", F.struct("b", "class"))
+    place = F.col("rank") - 1
+    entry = F.filter("plan", lambda p: (p.low <= place) & (place < p.high))[0]
+    met = attach_lookup(ranks, entries, "at", "key").withColumn("e", entry)
+    placed = met.select("b", "tokens", "row", (F.col("e.first_bin") + F.floor((place - F.col("e.low")) / F.col("e.times"))).alias("bin"))
+    placed = written(placed, "long")
+    bins = placed.groupBy("b", "bin").agg((F.lit(budget).cast("bigint") - F.sum("tokens")).alias("c"))
+    room = bins.groupBy("b").agg(F.count(F.lit(1)).alias("bins"), F.sum("c").alias("n"))
+    line = running(bins.withColumn("part", ordinal_bucket("bin")), ["b"], "part", [F.col("bin")], {"upto": F.col("c")})
+    ladder = join_null_safe(line.withColumnRenamed("bin", "value"), room.select("b", "n"), ["b"])
+
+    laid = running(rows.where(small).withColumn("part", bucket), ["b"], "part", order, {"end": F.col("tokens")})
+    laid = attach_lookup(laid, room, "b", "key").na.fill(0, ["bins", "n"]).withColumn("start", F.col("end") - F.col("tokens"))
+    laid = written(laid.withColumn("r", F.col("start") + 1), "short")
+    inside = at_ranks(ladder.select("b", "value", "c", "upto", "n"), laid.where("r <= n"), ["b"], extra=["upto"])
+    inside = inside.withColumnRenamed("value", "bin").withColumn("crosses", F.col("end") > F.col("upto")).drop("upto")
+    stretch = F.floor((F.col("start") - F.col("n")) / budget)
+    behind = laid.where("r > n").withColumns({"bin": F.col("bins") + stretch, "crosses": F.col("end") - F.col("n") > (stretch + 1) * budget})
+    both = written(inside.unionByName(behind), "laid")
+    crossing = ranked(both.where("crosses"), order, bucket, ["b"], "rank")
+    parts = [
+        placed.select("row", "bin"),
+        both.where(~F.col("crosses")).select("row", "bin"),
+        # Numbers below zero are bins of their own.
+        crossing.select("row", (-1 - F.floor((F.col("rank") - 1) / SMALL_SHARE)).alias("bin")),
+    ]
+    return reduce(lambda x, y: x.unionByName(y), parts).select("row.*", F.col("bin").cast("bigint").alias("__bin"))
+
+
 def microbatches(df: DataFrame, batch: str, key: str, length: str, budget: int) -> DataFrame:
     """Adds ``micro``: micro-batches within the token budget, the light ones at both ends.
 
-    Sequences lie end to end from long to short, and a micro-batch takes those that begin in one stretch
-    of budget minus the longest length, so none exceeds the budget. A longer sequence is an error.
+    See :func:`packed`: their number is near total tokens over budget where the lengths allow it. A sequence longer than
+    the budget is an error.
     """
     tokens = F.col(length).cast("long")
-    longest = df.agg(F.max(tokens)).scalar()
-    fits = F.when(longest <= budget, True).otherwise(F.raise_error(F.lit("a sequence is longer than the token budget")))
-    placed = with_value_bucket(df.where(fits), length, ascending=False)
-    laid = running(placed, [batch], "__bucket", [tokens.desc(), F.col(key)], {"__end": tokens}).drop("__bucket")
-    stretch = F.floor((F.col("__end") - tokens) / F.greatest(F.lit(budget) - longest, F.lit(1)))
-    laid = laid.withColumn("__bin", stretch.cast("long")).drop("__end")
-    bins = laid.groupBy(batch, "__bin").agg(F.sum(workload(tokens)).alias("__load"))
+    fits = F.when(tokens <= budget, tokens).otherwise(F.raise_error(F.lit("a sequence is longer than the token budget")).cast("bigint"))
+    laid = written(packed(df.withColumn("__tokens", fits), batch, key, "__tokens", budget), "packed")
+    bins = laid.groupBy(batch, "__bin").agg(F.sum(workload(F.col("__tokens"))).alias("__load"))
     heavy = running(with_value_bucket(bins, "__load", ascending=False), [batch], "__bucket", [F.col("__load").desc(), F.col("__bin")], {"__rank": F.lit(1)})
     counts = bins.groupBy(batch).agg(F.count(F.lit(1)).alias("__n"))
     rank, middle = F.col("__rank") - 1, F.floor((F.col("__n") + 1) / 2)
     # The heaviest goes to the middle, the next ones right and left of it in turn.
     place = F.when(rank % 2 == 1, middle + F.floor(rank / 2)).otherwise(middle - 1 - F.floor(rank / 2))
-    places = heavy.join(counts, batch).select(batch, "__bin", place.cast("int").alias("micro"))
-    return laid.join(places, [batch, "__bin"]).drop("__bin")
+    places = join_null_safe(heavy, counts, [batch]).select(batch, "__bin", place.cast("int").alias("micro"))
+    return join_null_safe(laid, places, [batch, "__bin"]).drop("__bin", "__tokens")
 
 
 def imbalance(df: DataFrame, batch: str, key: str, length: str, k: int) -> DataFrame:

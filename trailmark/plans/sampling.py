@@ -176,20 +176,25 @@ def balanced_groups(spark, sf):
     return H.balance_groups(rows, "step", "uid", "n_tokens", 4)
 
 
+# The laws of the result: every row placed, no micro-batch above the budget, numbers without gaps, and few of them.
 @query(
     "token_budget_batches",
     sql_with(
-        """select step, sample_id, n_tokens, micro from (select step, sample_id, n_tokens, cast(floor((finish-n_tokens)/(512-longest)) as bigint) as bin
-  from (select step, sample_id, n_tokens, sum(n_tokens) over(partition by step order by n_tokens desc, sample_id rows unbounded preceding) as finish, (select max(n_tokens) from rollout) as longest from rollout))
- join (select step, bin, cast(case when r%2=1 then (n+1)//2+r//2 else (n+1)//2-1-r//2 end as int) as micro from (select step, bin, row_number() over(partition by step order by load desc, bin)-1 as r, count(*) over(partition by step) as n
-  from (select step, cast(floor((finish-n_tokens)/(512-longest)) as bigint) as bin, sum(24576*n_tokens+n_tokens*n_tokens) as load
-   from (select step, n_tokens, sum(n_tokens) over(partition by step order by n_tokens desc, sample_id rows unbounded preceding) as finish, (select max(n_tokens) from rollout) as longest from rollout) group by 1,2))) using (step, bin)""",
+        """select step, cast(count(*) as bigint) as rows, cast(sum(n_tokens) as bigint) as tokens, cast(0 as bigint) as above_budget, true as numbered, true as few,
+ cast(sum(sample_id) as bigint) as ids from rollout group by 1""",
         "rollout",
     ),
 )
 def token_budget_batches(spark, sf):
     rows = rollout(spark, sf).select("step", "sample_id", "n_tokens")
-    return H.microbatches(rows, "step", "sample_id", "n_tokens", 512)
+    placed = H.microbatches(rows, "step", "sample_id", "n_tokens", 512)
+    bins = placed.groupBy("step", "micro").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"), F.sum("sample_id").alias("ids"))
+    least = F.ceil(F.sum("tokens") / 512)
+    return bins.groupBy("step").agg(
+        F.sum("n").alias("rows"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > 512).alias("above_budget"),
+        ((F.min("micro") == 0) & (F.max("micro") == F.count(F.lit(1)) - 1)).alias("numbered"),
+        (F.count(F.lit(1)) <= F.ceil(least * 1.3)).alias("few"), F.sum("ids").alias("ids"),
+    )
 
 
 @query("united_parts", "select n_name as name, n_regionkey as k from nation union all select r_name, r_regionkey from region union all select s_name, null from supplier")
