@@ -25,9 +25,11 @@ INLINE = frozenset(
     " sub sup time tt u var wbr".split()
 )
 DROPPED = frozenset(
-    "head title nav header footer aside form button select option textarea input script style noscript template iframe svg"
-    " canvas object audio video menu dialog label".split()
+    "head title nav header footer aside button select option textarea input script style noscript template iframe svg"
+    " canvas object audio video menu".split()
 )
+# These may wrap a whole page; then only their controls go.
+WRAPPERS = frozenset("form dialog label".split())
 CONTENT = frozenset("article main".split())
 KEPT = frozenset("html body article main".split())
 SMALL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre tr".split())
@@ -39,6 +41,7 @@ MARKS = frozenset(
     " recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe"
     " toolbar widget".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond thread".split())
 # Words that say where or what kind of box a marked element is; headings; containers whose ids are not made from titles.
 PLACES = frozenset("area bar block body bottom box buttons container inner left links list main posts primary right section site top wrap wrapper".split())
 TITLED = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -53,20 +56,23 @@ TOKEN = re.compile(
 # One attribute: its name and value. Quoted text without a name is passed over.
 ATTRIBUTE = re.compile(r"""(?:"[^"]*"|'[^']*')|([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
-NAMES = sorted(VOID | BLOCK | CELLS | INLINE | DROPPED)
+NAMES = sorted(VOID | BLOCK | CELLS | INLINE | DROPPED | WRAPPERS)
+
+
+NONE, PARTLY, WHOLLY, READERS = range(4)
 
 
 @dataclass
 class Element:
-    """An open element: where it began, and whether it is outside the article, by its name or by its marks alone."""
+    """An open element: where it began, and whether it is outside the article, by its name (``hard``) or by its marks."""
 
     name: str
     first: int
+    hard: bool
+    mark: int
+    inside: bool
     dropped: bool
     last: int = -1
-    hard: bool = False
-    mark: bool = False
-    inside: bool = False
 
 
 @dataclass
@@ -76,11 +82,39 @@ class Page:
     text: list[str] = field(default_factory=list)
     tag: list[str] = field(default_factory=list)
     words: list[int] = field(default_factory=list)
-    dropped: list[bool] = field(default_factory=list)
     hard: list[bool] = field(default_factory=list)
+    dropped: list[bool] = field(default_factory=list)
     elements: list[Element] = field(default_factory=list)
 
 
+class Stack(list):
+    """Open elements, with the places of each name and of the blocks among them, so that no lookup scans."""
+
+    def __init__(self):
+        super().__init__()
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.first_dropped: int | None = None
+
+    def put(self, element: Element) -> None:
+        self.places.setdefault(element.name, []).append(len(self))
+        if element.name in BLOCK:
+            self.blocks.append(len(self))
+        if element.dropped and self.first_dropped is None:
+            self.first_dropped = len(self)
+        self.append(element)
+
+    def close(self, depth: int, at: int) -> None:
+        while len(self) > depth:
+            element = self.pop()
+            element.last = at
+            self.places[element.name].pop()
+            if element.name in BLOCK:
+                self.blocks.pop()
+        if self.first_dropped is not None and self.first_dropped >= depth:
+            self.first_dropped = None
+
+
 def attributes(attrs: str) -> dict[str, str]:
     """Values of class, id, role and what hides an element, by whole names; the first of a name counts."""
     found: dict[str, str] = {}
@@ -94,40 +128,45 @@ def hidden(found: dict[str, str]) -> bool:
     return "hidden" in found or found.get("aria-hidden", "").lower() == "true"
 
 
-def marked(found: dict[str, str], name: str, inside: bool) -> bool:
-    """Whether class, id or role say that an element is not part of an article.
+def marked(found: dict[str, str], name: str, inside: bool) -> int:
+    """Whether class, id or role say that an element is not part of an article: wholly, partly, or as readers' comments.
 
-    Inside an article only whole names count, or marks joined with PLACES alone, and only those of containers;
-    ids only of those without a title of their own, from which ids are made.
+    A name does so wholly if it consists of marks, or of marks joined with PLACES. Inside an article a name that holds
+    other words does not count, and only those of containers; ids only of those without a title of their
+    own, from which ids are made, unless they name comments. Outside, other words leave it to the content. An
+    article is marked as a comment alone.
     """
     if inside and name in SMALL:
-        return False
+        return NONE
+    most = NONE
     for attribute in ("class", "id", "role"):
-        if attribute == "id" and (name in TITLED or inside and name not in UNTITLED):
+        if attribute == "id" and name in TITLED:
             continue
         for part in found.get(attribute, "").split():
             words = [w for w in re.split(r"[^a-z]+", CAMEL.sub("-", part).lower()) if w]
-            if words and words[0] not in ("has", "with", "no", "without", "not") and MARKS.intersection(words):
-                if not inside or MARKS.union(PLACES).issuperset(words):
-                    return True
-    return False
+            if not words or words[0] in ("has", "with", "no", "without", "not") or not MARKS.union(COMMENTS).intersection(words):
+                continue
+            if COMMENTS.intersection(words) and (COMMENTS | PLACES).issuperset(words):
+                return READERS
+            if name in KEPT or attribute == "id" and inside and name not in UNTITLED:
+                continue
+            if MARKS.union(PLACES).issuperset(words):
+                most = WHOLLY
+            elif not inside and MARKS.intersection(words):
+                most = max(most, PARTLY)
+    return most
 
 
 def parsed(source: str) -> Page:
     """Tokens of a page in one pass. Elements left open end with the element around them."""
-    page, stack, at = Page(), [], 0
+    page, stack, at = Page(), Stack(), 0
 
     def put(text: str, tag: str) -> None:
         page.text.append(text)
         page.tag.append(tag)
         page.words.append(len(text.split()))
-        page.dropped.append(bool(stack) and stack[-1].dropped)
         page.hard.append(bool(stack) and stack[-1].hard)
 
-    def close(depth: int) -> None:
-        while len(stack) > depth:
-            stack.pop().last = len(page.tag)
-
     for m in TOKEN.finditer(source):
         if m.start() > at:
             put(source[at : m.start()], "")
@@ -136,63 +175,67 @@ def parsed(source: str) -> Page:
         if not name:
             continue
         if m["end"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
+            places = stack.places.get(name)
             put("", name)
-            if depth is not None:
-                close(depth)
+            if places:
+                stack.close(places[-1], len(page.tag))
             continue
-        if name in BLOCK:  # a paragraph ends where the next block begins
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name in BLOCK), None)
-            if depth is not None and (stack[depth].name == "p" or name == stack[depth].name == "li"):
-                close(depth)
-        if name in CONTENT or name == "body":  # what was left open before the article does not hold it
-            depth = next((i for i, e in enumerate(stack) if e.dropped), None)
-            if depth is not None:
-                close(depth)
+        if name in BLOCK and stack.blocks:  # a paragraph ends where the next block begins
+            around = stack[stack.blocks[-1]].name
+            if around == "p" or name == around == "li":
+                stack.close(stack.blocks[-1], len(page.tag))
+        if (name in CONTENT or name == "body") and stack.first_dropped is not None:
+            # What was left open before the article does not hold it, but comments may be articles.
+            if name == "body" or stack[stack.first_dropped].mark != READERS:
+                stack.close(stack.first_dropped, len(page.tag))
         found = attributes(m["attrs"])
         above = stack[-1] if stack else None
         hard = bool(above and above.hard) or name not in KEPT and (name in DROPPED or hidden(found))
         inside = bool(above and above.inside)
-        mark = name not in KEPT and not hard and marked(found, name, inside)
-        dropped = hard or mark or bool(above and above.dropped)
-        element = Element(name, len(page.tag), dropped, hard=hard, mark=mark, inside=inside or name in CONTENT)
+        mark = NONE if hard or name in ("html", "body", "main") else marked(found, name, inside)
+        if name in WRAPPERS and not hard:
+            mark = max(mark, WHOLLY)
+        element = Element(name, len(page.tag), hard, mark, inside or name in CONTENT, hard or mark >= WHOLLY or bool(above and above.dropped))
         page.elements.append(element)
         if name in VOID or m["attrs"].endswith("/") and name not in BLOCK:
             put("", name)
             element.last = len(page.tag)
         else:
-            stack.append(element)
+            stack.put(element)
             put("", name)
     if at < len(source):
         put(source[at:], "")
-    close(0)
-    spare(page)
+    stack.close(0, len(page.tag))
     return page
 
 
-def spare(page: Page) -> None:
-    """Keeps marked elements that hold most of the words of the page which no element's name drops."""
-    if not any(e.mark for e in page.elements):
-        return
-    upto = [0]
-    for n, hard in zip(page.words, page.hard, strict=True):
-        upto.append(upto[-1] + (0 if hard else n))
+def settle(page: Page, weights: dict[str, float] | None) -> Page:
+    """Decides which tokens and elements are outside the article.
+
+    A partly marked element is, unless its own words outweigh its tags; without weights it is not. A wholly marked one is,
+    unless it wraps the page: it holds most of the words that no name drops. Comments always are.
+    """
+    marks = [e for e in page.elements if e.mark]
+    words, worth = [0], [0.0]
+    for t, n, hard in zip(page.tag, page.words, page.hard, strict=True):
+        words.append(words[-1] + (0 if hard else n))
+        if weights and marks:
+            worth.append(worth[-1] + ((0.0 if hard else n * weights["#word"]) if not t else weights.get(t, weights["#tag"])))
     change = [0] * (len(page.tag) + 1)
-    spared = False
-    for e in page.elements:
-        if e.mark and 2 * (upto[e.last] - upto[e.first]) > upto[-1]:
-            e.mark, spared = False, True
-        elif e.mark:
-            change[e.first + 1] += 1
-            change[e.last] -= 1
-    if not spared:
-        return
-    depth = 0
-    for i, hard in enumerate(page.hard):
-        depth += change[i]
-        page.dropped[i] = hard or depth > 0
+    for e in marks:
+        if e.mark == PARTLY and (weights is None or worth[e.last] > worth[e.first]):
+            continue
+        if e.mark == WHOLLY and 2 * (words[e.last] - words[e.first]) > words[-1]:
+            continue
+        change[e.first] += 1
+        change[e.last] -= 1
+    depth, page.dropped = 0, []
+    for more, hard in zip(change, page.hard):
+        depth += more
+        page.dropped.append(hard or depth > 0)
     for e in page.elements:
-        e.dropped = e.hard or e.mark or e.first < len(page.tag) and page.dropped[e.first]
+        e.dropped = e.hard or e.first < len(page.dropped) and page.dropped[e.first]
+    return page
 
 
 def best_region(scores: list[float]) -> tuple[int, int] | None:
@@ -238,7 +281,7 @@ def blocks(page: Page, first: int, end: int) -> Iterator[str]:
 
 
 def main_text(source: str | None, weights: dict[str, float]) -> str:
-    page = parsed(source or "")
+    page = settle(parsed(source or ""), weights)
     region = content_of(page, weights)
     if region is None:
         return ""
@@ -251,8 +294,8 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     inside, outside = Counter(), Counter()
     for batch in batches:
         for source in batch["html"].to_pylist():
-            page = parsed(source or "")
-            articles = [e for e in page.elements if e.name in CONTENT]
+            page = settle(parsed(source or ""), None)
+            articles = [e for e in page.elements if e.name in CONTENT and not e.dropped]
             if len(articles) != 1:
                 continue
             first, last = articles[0].first, articles[0].last
