@@ -82,3 +82,19 @@ def test_long_item(spark):
     assert not may_broadcast(items, MASKS, 1_000_000) and may_broadcast(items.where("item_id = 2"), MASKS, 1_000_000)
     docs = spark.createDataFrame([(1, " ".join(long[1000:1013])), (2, "x " * 30), (3, " ".join(long))], "doc_id long, text string")
     assert {r.doc_id: r.n_items for r in contamination(docs, bench).collect()} == {1: 1, 2: 0, 3: 2}
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_whole_short_items(spark, leaks, bound):
+    docs, items = leaks
+    short = ["who wrote this", "a b", "Same question, in six short words?", "x y z w", None, "zz " * 12]
+    texts = ["Who Wrote\nTHIS", "who wrote it", "a b", "is it the same question, in six short words? yes", "x y z", "w x y z w x y z w", "zz " * 11, "zz " * 30]
+    docs = docs + [(200 + i, t) for i, t in enumerate(texts)]
+    bench = spark.createDataFrame(list(enumerate(items + short)), "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_items for r in contamination(frame, bench, broadcast_seeds=bound, whole_from=3).collect()}
+    whole = lambda t: sum(3 <= len((s or "").split()) < 13 and f" {' '.join(s.lower().split())} " in f" {' '.join((t or '').lower().split())} " for s in items + short)
+    assert got == {i: n + whole(t) for (i, t), (_, n) in zip(docs, brute(docs, items + [s or "" for s in short]).values())}
+    assert [got[200 + i] for i in range(8)] == [1, 0, 0, 1, 0, 1, 0, 1]
+    kept = {r.doc_id for r in drop_contaminated(frame, bench, broadcast_seeds=bound, whole_from=3).collect()}
+    assert kept == {i for i, n in got.items() if not n}

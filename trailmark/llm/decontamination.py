@@ -54,7 +54,7 @@ def may_broadcast(items: DataFrame, masks: Sequence[str], broadcast_seeds: int)
 
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, window: int = WINDOW, needed: int = NEEDED,
-    broadcast_seeds: int = BROADCAST_SEEDS,
+    broadcast_seeds: int = BROADCAST_SEEDS, whole_from: int | None = None,
 ) -> DataFrame:
     """row_key, item_id, diagonal of every alignment in which a document overlaps a benchmark item.
 
@@ -64,9 +64,11 @@ def overlaps(
     The benchmark's seeds are broadcast with their items' words only if they are at most ``broadcast_seeds`` and
     BROADCAST_BYTES, which long items exceed by the square of their length; beyond that
     both sides are shuffled by seed, and the words are fetched for the hits alone.
-    Words are case-insensitive. Items shorter than the window hold too little to tell and match nothing.
+    Words are case-insensitive. Items shorter than the window match nothing by seeds; with ``whole_from``, those of so
+    many words or more count where all of their words follow each other in a document.
     """
-    items = benchmark.select("item_id", word_hashes("text").alias("item_words")).where(F.size("item_words") >= window)
+    every = benchmark.select("item_id", word_hashes("text").alias("item_words"))
+    items = every.where(F.size("item_words") >= window)
     item_seeds = with_seeds(items, "item_words", masks, "item_at").select("item_id", "item_at", "seed", "item_words")
     keyed = docs.select(row_key().alias("row_key"), word_hashes("text").alias("hashes"))
     placed = with_seeds(keyed, "hashes", masks, "at")
@@ -85,7 +87,25 @@ def overlaps(
         hits = narrow.join(items, "item_id").join(keyed.dropDuplicates(["row_key"]), "row_key").select(
             "row_key", "item_id", "diagonal", "lead", F.slice("hashes", F.col("first") + 1, F.size("item_words")).alias("near"), "item_words"
         )
-    return hits.where(_agrees(window, needed)).select("row_key", "item_id", "diagonal").distinct()
+    found = hits.where(_agrees(window, needed)).select("row_key", "item_id", "diagonal")
+    if whole_from:
+        short = every.where((F.size("item_words") < window) & (F.size("item_words") >= whole_from))
+        found = found.unionByName(whole_items(keyed, short, whole_from, broadcast_seeds))
+    return found.distinct()
+
+
+def whole_items(keyed: DataFrame, items: DataFrame, first: int, broadcast_seeds: int) -> DataFrame:
+    """row_key, item_id, diagonal of every place at which a document holds all words of an item in turn.
+
+    The first words of an item are its seed, and the others are compared at the hits. Without items no document is read.
+    """
+    seeds = with_seeds(items, "item_words", ("1" * first,), "item_at").where("item_at = 0").select("item_id", "seed", "item_words")
+    if seeds.isEmpty():
+        return keyed.limit(0).select("row_key", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("diagonal"))
+    side = F.broadcast(seeds) if may_broadcast(items, ("1" * first,), broadcast_seeds) else seeds
+    met = with_seeds(keyed, "hashes", ("1" * first,), "at").join(side, "seed")
+    same = F.slice("hashes", F.col("at") + 1, F.size("item_words")) == F.col("item_words")
+    return met.where(same).select("row_key", "item_id", F.col("at").alias("diagonal"))
 
 
 def row_key() -> Column:

@@ -91,16 +91,18 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 with item as (select item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as ws from benchmark),
  item_word as (select item_id, unnest(ws) as w, unnest(range(len(ws))) as i from item where len(ws) >= 13),
+ short as (select item_id, ws, ws[1] as w from item where len(ws) between 3 and 12),
  doc as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as ws from documents),
  doc_word as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as p from doc),
  hit as (select doc_id, item_id, p - i as diagonal, i from doc_word join item_word using (w)),
  run as (select doc_id, item_id, count(*) over (partition by doc_id, item_id, diagonal order by i range between 12 preceding and current row) as n from hit),
- found as (select doc_id, count(distinct item_id) as n_items from run where n >= 11 group by doc_id)
+ whole as (select d.doc_id, item_id from doc_word d join short using (w) join doc on doc.doc_id = d.doc_id where doc.ws[p + 1:p + len(short.ws)] = short.ws),
+ found as (select doc_id, count(distinct item_id) as n_items from (select doc_id, item_id from run where n >= 11 union select doc_id, item_id from whole) group by doc_id)
 select d.doc_id, coalesce(n_items, 0) > 0 as contaminated, coalesce(n_items, 0) as n_items from documents d left join found using (doc_id)
 """
 )
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole_from=3)
 
 
 @query(
