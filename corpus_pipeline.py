@@ -17,7 +17,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), whole_from=3)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shards of ``documents``; each stage is written as Parquet and read again by the next."""
+    """The shards of ``documents``; each stage is written as Parquet and read again by the next.
+
+    A null or empty text has no words, so no stage finds anything in it, and it keeps its place in a shard; a null id or source
+    is a value like any other, and repeated rows are judged one by one except as copies of each other. Without documents
+    there are no rows; other columns of the documents go through all stages but the last.
+    """
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
