@@ -338,3 +338,27 @@ def test_reduce_metrics(spark):
     uneven = df.unionByName(spark.createDataFrame([("a", "mean", 1, 0, 5.0)], df.schema))
     with pytest.raises(Exception, match="replicas differ in length"):
         V.reduce_metrics(uneven).collect()
+
+
+def test_a_value_with_most_rows_is_ranked_by_key(spark):
+    from trailmark.operators.ordering import ranked_with_ties
+
+    loads = [None if i % 3 == 0 else 7 if i % 3 == 1 else i % 11 for i in range(3000)]
+    df = spark.createDataFrame([(i % 2, i, v) for i, v in enumerate(loads)], "g int, k long, v int")
+    out = ranked_with_ties(df, "v", "k", ["g"])
+    got = {r.k: r["rank"] for r in out.collect()}
+    for g in (0, 1):
+        order = sorted((i for i in range(3000) if i % 2 == g), key=lambda i: (loads[i] is None, -(loads[i] or 0), i))
+        assert [got[i] for i in order] == list(range(1, 1501))
+    # The rows of the load that holds a third, and of the null, lie in many groups of the ranking.
+    from trailmark.operators.ordering import with_value_bucket
+
+    sizes = with_value_bucket(df, "k").groupBy("g", "v", "__bucket").count().toPandas()["count"]
+    assert sizes.max() <= 3000 / 100
+
+
+def test_describe_of_any_number_of_columns(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (5, None, 2.0), (None, None, 9.0)], "a int, b int, c double")
+    got = {r.column: r for r in profiles.describe(df, ["a", "b", "c"]).collect()}
+    assert (got["a"].n, got["a"].p50, got["b"].n, got["b"].mean, got["c"].p75) == (2, 3.0, 0, None, 5.5)
+    assert {r.n for r in profiles.describe(df.limit(0), ["a", "c"]).collect()} == {0}

@@ -80,6 +80,21 @@ def test_status_equals_batch(spark, folder):
     assert got.time_avg.tolist() == pytest.approx(want.avg.tolist())
 
 
+def test_status_has_exact_percentiles(spark, folder):
+    staged = stream(spark, folder).select(
+        "ts", F.when(F.col("id") % 3 > 0, F.col("cost")).alias("processing_time"), F.lit(1).alias("param_version_start"), (F.col("id") % 2).alias("param_version_end")
+    )
+    out, checkpoint = K.fresh(spark, "t")
+    K.each_batch(K.stream_value_counts(staged, "ts", "1 minute"), out, checkpoint, "complete", K.status_of)
+    got = K.latest_batch(spark, out).toPandas().set_index("start").sort_index()
+    rows = pd.DataFrame(folder[1], columns=["id", "key", "ts", "cost"])
+    rows.loc[rows.id % 3 == 0, "cost"] = None
+    by = rows.groupby(rows.ts.dt.floor("1min")).cost
+    assert got.n.tolist() == by.size().tolist() and got.time_avg.tolist() == pytest.approx(by.mean().tolist(), nan_ok=True)
+    for name, p in (("time_p50", 0.5), ("time_p95", 0.95), ("time_p99", 0.99)):
+        assert got[name].tolist() == pytest.approx(by.quantile(p).tolist(), nan_ok=True)
+
+
 def test_cache_log_takes_the_newest(spark, folder):
     from trailmark.sources.writers import read_cache_log
 

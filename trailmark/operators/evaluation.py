@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import constants as K
 from trailmark.functions.core import let
-from trailmark.operators.ordering import BUCKETS, at_ranks, hash_bucket, join_null_safe, ranked, running, seed_hash, unit_interval, with_value_bucket
+from trailmark.operators.ordering import BUCKETS, at_ranks, hash_bucket, join_null_safe, ranked, seed_hash, unit_interval, value_ladder
 from trailmark.operators.profiles import percentile_row
 
 GROUP = ["data_source", "uid", "variable"]
@@ -34,17 +34,6 @@ def draw_sizes(n: Column) -> Column:
     return F.when(n > 1, F.concat(below, F.array(n.cast("bigint")))).otherwise(F.array().cast("array<bigint>"))
 
 
-def value_ladder(long: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
-    """Distinct values of each group with their count, the count up to them and the group size.
-
-    Values are counted first and cumulated over value buckets, so a large group spreads.
-    """
-    counted = long.where("value is not null").groupBy(*group, "value").agg(F.count(F.lit(1)).alias("c"))
-    upto = running(with_value_bucket(counted, "value"), group, "__bucket", [F.col("value")], {"upto": F.col("c")})
-    sizes = counted.groupBy(*group).agg(F.sum("c").alias("n"))
-    return join_null_safe(upto.drop("__bucket"), sizes, group)
-
-
 def extremes(ladder: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     """Exact mean and deviation of the best and worst of k draws with replacement, for each draw size."""
     rows = ladder.withColumn("k", F.explode(draw_sizes(F.col("n"))))

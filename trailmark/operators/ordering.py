@@ -171,3 +171,55 @@ def at_ranks(ladder: DataFrame, wanted: DataFrame, group: Sequence[str], rank: s
     ahead = W.partitionBy("__g", "__b").orderBy("__at", "__end").rowsBetween(W.currentRow, W.unboundedFollowing)
     found = both.withColumn("__value", F.first("__value", ignorenulls=True).over(ahead)).where(F.col("__end") == 0)
     return found.select("__row.*", "__value.*")
+
+
+def value_ladder(long: DataFrame, group: Sequence[str] = ("data_source", "uid", "variable")) -> DataFrame:
+    """Distinct values of each group with their count, the count up to them and the group size.
+
+    Values are counted first and cumulated over value buckets, so a large group spreads.
+    """
+    return counted_ladder(long.where("value is not null").groupBy(*group, "value").agg(F.count(F.lit(1)).alias("c")), group)
+
+
+def counted_ladder(counted: DataFrame, group: Sequence[str]) -> DataFrame:
+    """A ladder from distinct values (group, value, c) with their counts."""
+    upto = running(with_value_bucket(counted, "value"), group, "__bucket", [F.col("value")], {"upto": F.col("c")})
+    sizes = counted.groupBy(*group).agg(F.sum("c").alias("n"))
+    return join_null_safe(upto.drop("__bucket"), sizes, group)
+
+
+def ladder_percentiles(ladder: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact percentiles (linear interpolation) of every group of a ladder, one column for each."""
+
+    def below(position: Column) -> Column:
+        return F.min(F.when(F.col("upto") > position, F.col("value")))
+
+    ends = []
+    for i, p in enumerate(probs):
+        spot = (F.col("n") - 1) * F.lit(float(p))
+        ends += [below(F.floor(spot)).alias(f"lo{i}"), below(F.ceil(spot)).alias(f"hi{i}"), F.max(spot - F.floor(spot)).alias(f"f{i}")]
+    at = [(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}")).alias(f"p{p * 100:g}") for i, p in enumerate(probs)]
+    return ladder.groupBy(*group).agg(*ends).select(*group, *at)
+
+
+def ranked_with_ties(df: DataFrame, value: str, key: str, group: Sequence[str] = (), name: str = "rank") -> DataFrame:
+    """Row number within each group in the order of ``value`` from large to small, nulls last, then of a unique numeric key.
+
+    Values are counted first and ranked among each other; the rows of one value are ranked by key, in buckets of the
+    key. So neither a value nor a null that holds a third of the rows meets in one task.
+    """
+    group = list(group)
+    given = df.withColumn("__value", F.struct(*group, F.col(value).alias("__v")))
+    counted = given.groupBy("__value").agg(F.count(F.lit(1)).alias("__c")).withColumn("__load", F.col("__value.__v"))
+    named = counted.select("*", *[F.col("__value")[g].alias(g) for g in group])
+    placed = with_value_bucket(named.na.drop(subset=["__load"]), "__load", ascending=False)
+    placed = placed.unionByName(named.where("__load is null").withColumn("__bucket", F.lit(2**30)))
+    upto = running(placed, group, "__bucket", [F.col("__load").desc()], {"__upto": F.col("__c")})
+    before = upto.select("__value", (F.col("__upto") - F.col("__c")).alias("__before"))
+    rows = with_value_bucket(given, key)
+    at = ["__value", "__bucket"]
+    earlier = W.partitionBy("__value").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    sizes = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("__c")).withColumn("__sum", F.coalesce(F.sum("__c").over(earlier), F.lit(0)))
+    offsets = sizes.join(before, "__value").select(*at, (F.col("__sum") + F.col("__before")).alias("__before"))
+    inside = rows.withColumn("__in", F.row_number().over(W.partitionBy(*at).orderBy(key)))
+    return inside.join(offsets, at).withColumn(name, F.col("__in") + F.col("__before")).drop("__value", "__bucket", "__in", "__before")

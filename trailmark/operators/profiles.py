@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.operators.ordering import running, with_value_bucket
+from trailmark.operators.ordering import ladder_percentiles, value_ladder
 
 
 def percentile_row(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
@@ -16,27 +16,10 @@ def percentile_row(df: DataFrame, value: str, probs: Sequence[float]) -> DataFra
     Values are counted first, so a value that holds a third of the rows is one row from then on,
     and the cumulative counts are taken over value buckets instead of in one task.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    ordered = running(with_value_bucket(counted, "v"), [], "__bucket", [F.col("v")], {"upto": F.col("n")})
-    n = counted.agg(F.sum("n")).scalar()
-    at = ordered.withColumn("__last", n - 1)
-
-    def below(position: Column) -> Column:
-        return F.min(F.when(F.col("upto") > position, F.col("v")))
-
-    ends = []
-    for i, p in enumerate(probs):
-        spot = F.col("__last") * float(p)
-        ends += [
-            below(F.floor(spot)).alias(f"lo{i}"),
-            below(F.ceil(spot)).alias(f"hi{i}"),
-            F.max(spot - F.floor(spot)).alias(f"f{i}"),
-        ]
-    return at.agg(*ends).select(
-        *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}")).alias(f"p{p * 100:g}") for i, p in enumerate(probs)]
-    )
+    ladder = value_ladder(df.select(F.lit(0).alias("__all"), F.col(value).cast("double").alias("value")), ["__all"])
+    row = ladder_percentiles(ladder, ["__all"], probs).drop("__all")
+    # One row of nulls if there is no value.
+    return row.agg(*[F.first(c).alias(c) for c in row.columns])
 
 
 def length_profile(df: DataFrame, length: str, max_length: int) -> DataFrame:
@@ -61,25 +44,17 @@ def length_profile(df: DataFrame, length: str, max_length: int) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, extremes and quartiles; one row per column."""
-    def one(column: str) -> DataFrame:
-        value = F.col(column).cast("double")
-        quartiles = percentile_row(df, column, [0.25, 0.5, 0.75]).select(F.struct("*").alias("p")).scalar()
-        return (
-            df.agg(
-                F.lit(column).alias("column"),
-                F.count(value).alias("n"),
-                F.avg(value).alias("mean"),
-                F.stddev_samp(value).alias("std"),
-                F.min(value).alias("min"),
-                F.max(value).alias("max"),
-            )
-            .withColumn("__p", quartiles)
-            .select("*", "__p.*")
-            .drop("__p")
-        )
+    """Count, mean, sample deviation, extremes and quartiles; one row per column.
 
-    out = one(columns[0])
-    for column in columns[1:]:
-        out = out.unionByName(one(column))
-    return out
+    All columns are melted and read together, once for the moments and once for one ladder of all their values,
+    whatever their number.
+    """
+    lines = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = df.select(F.inline(lines))
+    moments = long.groupBy("column").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
+    )
+    quartiles = ladder_percentiles(value_ladder(long, ["column"]), ["column"], [0.25, 0.5, 0.75])
+    # A row for each column, also of an empty table.
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(F.broadcast(moments), "column", "left").join(F.broadcast(quartiles), "column", "left").na.fill(0, ["n"])

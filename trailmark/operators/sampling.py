@@ -21,6 +21,7 @@ from trailmark.operators.ordering import (
     ranked,
     ranked_by_hash,
     ranked_by_value,
+    ranked_with_ties,
     running,
     seed_hash,
     unit_interval,
@@ -186,8 +187,7 @@ def snake(df: DataFrame, load: str, key: str, k: int | str, group: Sequence[str]
     ``k`` is a number or the name of a column that holds it.
     """
     shards = F.col(k) if isinstance(k, str) else F.lit(k)
-    placed = with_value_bucket(df, load, ascending=False)
-    out = running(placed, list(group), "__bucket", [F.col(load).desc(), F.col(key)], {"__rank": F.lit(1)}).drop("__bucket")
+    out = ranked_with_ties(df, load, key, group, "__rank")
     spot = F.pmod(F.col("__rank") - 1, 2 * shards)
     return out.withColumn("shard", F.when(spot < shards, spot).otherwise(2 * shards - 1 - spot).cast("int")).drop("__rank")
 
@@ -212,7 +212,9 @@ def balance_groups(df: DataFrame, batch: str, uid: str, length: str, k: int) ->
     """Shards that keep the rows of a prompt together, with as many prompts each."""
     loads = df.groupBy(batch, uid).agg(F.sum(workload(F.col(length))).alias("__load"))
     shards = snake(loads, "__load", uid, k, [batch]).where(_divides(loads, batch, k)).drop("__load")
-    return df.join(shards, [batch, uid])
+    # A prompt may have many rows, so they meet its shard spread by all their columns.
+    pair = F.struct(batch, uid)
+    return attach_lookup(df.withColumn("__pair", pair), shards.select(pair.alias("__pair"), "shard"), "__pair", F.struct(*df.columns)).drop("__pair")
 
 
 SIZE_CLASSES = 128

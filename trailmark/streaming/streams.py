@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trailmark.operators.evaluation import combine_steps
+from trailmark.operators.ordering import counted_ladder, ladder_percentiles
 from trailmark.session import scratch_path
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -146,7 +147,7 @@ def staleness_counts(flagged: DataFrame) -> DataFrame:
 
 
 def stream_status(stream: DataFrame, ts: str, length: str, late: str = "1 hour") -> DataFrame:
-    """Processing times and partial samples per tumbling window."""
+    """Processing times and partial samples per tumbling window; for percentiles see :func:`stream_value_counts`."""
     span = F.abs(F.col("param_version_end") - F.col("param_version_start"))
     return (
         stream.withWatermark(ts, late)
@@ -154,13 +155,37 @@ def stream_status(stream: DataFrame, ts: str, length: str, late: str = "1 hour")
         .agg(
             F.count(F.lit(1)).alias("n"), F.avg("processing_time").alias("time_avg"), F.max("processing_time").alias("time_max"),
             F.min("processing_time").alias("time_min"), F.count(F.when(span != 0, 1)).alias("n_partial"), F.max(span).alias("max_partial_span"),
-            F.percentile_approx("processing_time", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.lit(10000)).alias("time_percentiles"),
         )
         .select(F.col("window.start").alias("start"), "*")
         .drop("window")
     )
 
 
+def stream_value_counts(stream: DataFrame, ts: str, length: str, late: str = "1 hour") -> DataFrame:
+    """Value counts of processing times per tumbling window, with the partial samples among them.
+
+    The state has a row for each window and processing time, so it merges exactly, and a window that holds most of the
+    samples spreads over its values. :func:`status_of` turns a result into one row per window.
+    """
+    span = F.abs(F.col("param_version_end") - F.col("param_version_start"))
+    counted = stream.withWatermark(ts, late).groupBy(F.window(ts, length), F.col("processing_time").alias("value")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(span != 0, 1)).alias("partial"), F.max(span).alias("span")
+    )
+    return counted.select(F.col("window.start").alias("start"), "value", "rows", "partial", "span")
+
+
+def status_of(counts: DataFrame) -> DataFrame:
+    """Processing times, their exact percentiles and partial samples of each window, from the counts of a batch."""
+    value, rows = F.col("value"), F.col("rows")
+    base = counts.groupBy("start").agg(
+        F.sum(rows).alias("n"), (F.sum(value * rows) / F.sum(F.when(value.isNotNull(), rows))).alias("time_avg"), F.max(value).alias("time_max"),
+        F.min(value).alias("time_min"), F.sum("partial").alias("n_partial"), F.max("span").alias("max_partial_span"),
+    )
+    points = ladder_percentiles(counted_ladder(counts.where("value is not null").select("start", "value", rows.alias("c")), ["start"]), ["start"], [0.5, 0.95, 0.99])
+    times = {"p50": "time_p50", "p95": "time_p95", "p99": "time_p99"}
+    return base.join(points.withColumnsRenamed(times), "start", "left")
+
+
 def stream_step_metrics(stream: DataFrame, ts: str, length: str, late: str = "1 hour") -> DataFrame:
     """Metric rows (``step, metric, value``) combined per tumbling window by the routing rule."""
     windowed = combine_steps(stream.withWatermark(ts, late), [F.window(ts, length).alias("window")])
