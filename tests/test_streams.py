@@ -104,6 +104,46 @@ def test_cache_log_takes_the_newest(spark, folder):
     assert got == pd.DataFrame(folder[1], columns=["id", "key", "ts", "cost"]).groupby("key").id.max().to_dict()
 
 
+def test_compaction_and_a_crash_in_it(spark, folder):
+    from trailmark.sources import writers as Wr
+
+    def current(path):
+        return {r.key: (r.id, r.v) for r in Wr.read_cache_log(spark, path, "key", "id").collect()}
+
+    def append(path, number, rows):
+        spark.createDataFrame(rows, "key string, id long, v string").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    path, _ = K.fresh(spark, "log")
+    append(path, 0, [("a", 1, "a1"), ("b", 1, "b1")])
+    append(path, 1, [("a", 2, "a2"), ("c", 1, "c1")])
+    Wr.compact_cache_log(spark, path, "key", "id")
+    assert current(path) == {"a": (2, "a2"), "b": (1, "b1"), "c": (1, "c1")}
+    assert not [n for n in Wr._children(spark, path) if n.startswith("batch=")]
+    append(path, 2, [("b", 1, "same order, later batch"), ("d", 5, "d5")])
+    want = {"a": (2, "a2"), "b": (1, "same order, later batch"), "c": (1, "c1"), "d": (5, "d5")}
+    # The snapshot is written, but the writer ends before the manifest is.
+    assert Wr.write_snapshot(spark, path, "key", "id") is not None
+    assert current(path) == want and Wr.cache_manifest(spark, path)[2] == 1
+    # A batch that is in force already comes again, and a manifest without its file.
+    spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest/version=9").getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest/version=9"))
+    append(path, 1, [("a", 2, "again"), ("c", 1, "again")])
+    assert current(path) == want
+    for _ in range(2):
+        Wr.compact_cache_log(spark, path, "key", "id")
+        assert current(path) == want
+    assert len(spark.read.parquet(Wr.cache_manifest(spark, path)[1]).inputFiles()) > 0 and Wr.cache_manifest(spark, path)[2] == 2
+
+
+def test_upsert_with_compaction(spark, folder):
+    from trailmark.sources import writers as Wr
+
+    out, checkpoint = K.fresh(spark, "t")
+    K.stream_upsert(stream(spark, folder).select("key", "id", "cost"), out, checkpoint, lambda path: Wr.compact_cache_log(spark, path, "key", "id"), every=2)
+    got = {r.key: r.id for r in Wr.read_cache_log(spark, out, "key", "id").collect()}
+    assert got == pd.DataFrame(folder[1], columns=["id", "key", "ts", "cost"]).groupby("key").id.max().to_dict()
+    assert Wr.cache_manifest(spark, out)[0] >= 1
+
+
 def test_registries(spark):
     df = spark.createDataFrame([("s", "abc", "abc"), ("s", "x", "y")], "s string, a string, t string")
     L.register_reward("same", lambda s, a, t, extra, bonus: {"score": float(a == t), "extra": bonus}, fields=["score", "extra"], bonus=2.0)

@@ -260,6 +260,15 @@ def tool_stats(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def total_tool_reward(df: DataFrame, rewards: str = "tool_rewards") -> DataFrame:
+    """``tool/total_reward/mean``: mean over the samples of their summed tool rewards.
+
+    A sample with an empty list counts as 0; one without a list does not count, and null rewards in a list are nothing.
+    """
+    total = F.aggregate(F.filter(F.col(rewards), lambda r: r.isNotNull()), F.lit(0.0), lambda a, r: a + r.cast("double"))
+    return df.agg(F.count(rewards).alias("n_samples"), F.avg(total).alias("total_reward_mean"))
+
+
 def sample_tool_rollup(samples: DataFrame, calls: DataFrame, key: str) -> DataFrame:
     """Per-sample tool counters with every key filled, zero where a tool was not used."""
     image, text, zoom = (F.col("tool_name") == t for t in (K.IMAGE_SEARCH, K.TEXT_SEARCH, K.ZOOM))

@@ -328,6 +328,22 @@ def tool_statistics(spark, sf):
     return out.select("tool_name", "call_count", *[(F.round(c, 6) + 0.0).alias(c) for c in out.columns[2:]])
 
 
+@query(
+    "tool_total_reward",
+    sql_with(
+        "select count(*) as n_samples, round(avg(total),6)+0.0 as total_reward_mean from (select c.conv_id, coalesce(sum(reward),0) as total from (select distinct conv_id from conversations where conv_id%7<>0) c left join call_meta m on m.conv_id=c.conv_id group by 1)",
+        "call_meta",
+    ),
+)
+def tool_total_reward(spark, sf):
+    # Rewards of one conversation: as many as it has calls. One conversation in seven has no list.
+    lists = call_metas(spark, sf).groupBy("conv_id").agg(F.collect_list("reward").alias("tool_rewards"))
+    empty = F.array().cast("array<double>")
+    samples = message(spark, sf).select("conv_id").distinct().join(lists, "conv_id", "left")
+    listed = samples.withColumn("tool_rewards", F.when(F.col("conv_id") % 7 != 0, F.coalesce("tool_rewards", empty)))
+    return S.total_tool_reward(listed).withColumn("total_reward_mean", F.round("total_reward_mean", 6) + 0.0)
+
+
 @query(
     "sample_tool_rollup",
     sql_with(

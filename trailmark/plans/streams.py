@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmark.plans.fixtures import table
 from trailmark.plans.registry import query
-from trailmark.sources.writers import read_cache_log
+from trailmark.sources.writers import compact_cache_log, read_cache_log
 from trailmark.streaming import streams as K
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -120,7 +120,7 @@ def stream_growth(spark, sf):
 def stream_cache_upsert(spark, sf):
     out, checkpoint = K.fresh(spark, "cache")
     updates = events(spark, sf).select(F.col("user_id").alias("key"), F.col("processing_time").alias("value"), F.col("event_id").alias("created"))
-    K.stream_upsert(updates, out, checkpoint)
+    K.stream_upsert(updates, out, checkpoint, lambda path: compact_cache_log(spark, path, "key", "created"), every=1)
     return read_cache_log(spark, out, "key", "created").select("key", "value", "created")
 
 

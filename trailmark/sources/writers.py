@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,75 @@ def upsert_latest(cache: DataFrame, updates: DataFrame, key: str, order: str, ti
     return dedupe_last(both, key, [F.col(order).desc(), F.col("__new").desc(), *ties]).drop("__new")
 
 
+# A cache log holds one folder of updates per batch, and beside them, hidden from readers of the updates, snapshots and
+# the manifest. The newest version of the manifest names the snapshot in force and the last batch that is in it.
+MANIFEST = "snapshot string, upto bigint"
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def cache_manifest(spark: SparkSession, path: str) -> tuple[int, str | None, int]:
+    """Version, snapshot and last batch in it; version 0 without a snapshot. A version without its file does not count."""
+    versions = sorted((int(n.split("=")[1]) for n in _children(spark, f"{path}/_manifest") if n.startswith("version=")), reverse=True)
+    for version in versions:
+        folder = f"{path}/_manifest/version={version}"
+        if "_SUCCESS" in _children(spark, folder):
+            row = spark.read.schema(MANIFEST).parquet(folder).first()
+            return version, row.snapshot, row.upto
+    return 0, None, -1
+
+
 def read_cache_log(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
-    """Current rows of a cache kept as an append-only log of updates (one folder per batch)."""
-    return dedupe_last(spark.read.parquet(path), key, [F.col(order).desc(), F.col("batch").desc()])
+    """Current rows of a cache kept as a log of updates (one folder per batch) on top of a snapshot.
+
+    Read are the snapshot in force and the batches after it. Of equal orders the later batch wins.
+    """
+    _, snapshot, upto = cache_manifest(spark, path)
+    after = sorted(n for n in _children(spark, path) if n.startswith("batch=") and int(n.split("=")[1]) > upto)
+    parts = [spark.read.parquet(snapshot)] if snapshot else []
+    if after or not parts:
+        parts.append(spark.read.option("basePath", path).parquet(*[f"{path}/{n}" for n in after] or [path]))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return dedupe_last(rows, key, [F.col(order).desc(), F.col("batch").desc()])
+
+
+def write_snapshot(spark: SparkSession, path: str, key: str, order: str) -> tuple[str, int] | None:
+    """Writes the current rows aside, in force for nobody yet; None if no batch has come since the last snapshot."""
+    batches = [int(n.split("=")[1]) for n in _children(spark, path) if n.startswith("batch=")]
+    upto = max(batches, default=-1)
+    if upto <= cache_manifest(spark, path)[2]:
+        return None
+    snapshot = f"{path}/_snapshots/{uuid.uuid4().hex}"
+    read_cache_log(spark, path, key, order).write.parquet(snapshot)
+    return snapshot, upto
+
+
+def commit_snapshot(spark: SparkSession, path: str, snapshot: str, upto: int) -> None:
+    """Puts a snapshot in force, then removes the batches in it and the snapshot before it."""
+    version, old, _ = cache_manifest(spark, path)
+    spark.createDataFrame([(snapshot, upto)], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest/version={version + 1}")
+    for name in _children(spark, path):
+        if name.startswith("batch=") and int(name.split("=")[1]) <= upto:
+            _remove(spark, f"{path}/{name}")
+    if old:
+        _remove(spark, old)
+
+
+def compact_cache_log(spark: SparkSession, path: str, key: str, order: str) -> None:
+    """Folds the updates so far into a new snapshot, so that a read costs the cache and the updates since.
+
+    The manifest is written when the snapshot is complete. A failure before leaves the old snapshot and all updates in
+    force; one after leaves folders that nobody reads and that the next compaction removes. One writer compacts at a time.
+    """
+    written = write_snapshot(spark, path, key, order)
+    if written:
+        commit_snapshot(spark, path, *written)

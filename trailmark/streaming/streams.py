@@ -34,11 +34,13 @@ def append_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def each_batch(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", transform: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Writes every micro-batch to its own folder, so that a repeated batch replaces itself."""
+def each_batch(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", transform: Callable[[DataFrame], DataFrame] | None = None, after: Callable[[int], None] | None = None) -> None:
+    """Writes every micro-batch to its own folder, so that a repeated batch replaces itself; then ``after`` has its number."""
     def write(batch: DataFrame, number: int) -> None:
         rows = transform(batch) if transform else batch
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if after:
+            after(number)
 
     query = (
         stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
@@ -205,12 +207,17 @@ def stream_append(stream: DataFrame, generate: Callable[[DataFrame], DataFrame],
     each_batch(stream, path, checkpoint, transform=lambda batch: batch.unionByName(generate(batch), allowMissingColumns=True))
 
 
-def stream_upsert(stream: DataFrame, path: str, checkpoint: str) -> None:
+def stream_upsert(stream: DataFrame, path: str, checkpoint: str, compact: Callable[[str], None] | None = None, every: int = 100) -> None:
     """Cache updates appended to a log, one folder per batch; readers take the newest row per key.
 
-    Appending keeps the cost of a batch in the size of the batch, not of the cache.
+    Appending keeps the cost of a batch in the size of the batch, not of the cache. ``compact`` (of the path, see
+    ``writers.compact_cache_log``) runs after every so many batches and bounds what a reader has to read.
     """
-    each_batch(stream, path, checkpoint)
+    def folded(number: int) -> None:
+        if compact and (number + 1) % every == 0:
+            compact(path)
+
+    each_batch(stream, path, checkpoint, after=folded)
 
 
 def fresh(spark: SparkSession, name: str) -> tuple[str, str]:
