@@ -289,8 +289,11 @@ def importance_weights(spark, sf):
     sql_with(
         """select level, round(sum(s)/(sum(n)+1e-8),6) as rollout_is_mean, round(case when level='token' then max(hi) else exp(least(20,max(lw))) end,6) as rollout_is_max, round(case when level='token' then min(lo) else exp(min(lw)) end,6) as rollout_is_min,
  round(case when level='token' then sum(above)/(sum(n)+1e-8) else avg(case when lw>ln(1.02) then 1.0 else 0.0 end) end,6) as rollout_is_ratio_fraction_high,
- round(1/(sum(bq)/(sum(n)+1e-8)/pow(sum(bs)/(sum(n)+1e-8)+1e-8,2)),6) as rollout_is_eff_sample_size, round(stddev_samp(s/(n+1e-8)),6) as rollout_is_seq_std, round(max(abs(s/(n+1e-8)-1)),6) as rollout_is_seq_max_deviation
- from (select level, sample_id, sum(mask) as n, sum(w*mask) as s, sum(b*mask) as bs, sum(b*b*mask) as bq, max(case when mask<>0 then w end) as hi, min(case when mask<>0 then w end) as lo, count(case when mask<>0 and w>1.02 then 1 end) as above, max(lrs) as lw
+ round(1/(sum(bq)/(sum(n)+1e-8)/pow(sum(bs)/(sum(n)+1e-8)+1e-8,2)),6) as rollout_is_eff_sample_size, round(stddev_samp(s/(n+1e-8)),6) as rollout_is_seq_std, round(max(abs(s/(n+1e-8)-1)),6) as rollout_is_seq_max_deviation,
+ round(case when level='token' then sum(below)/(sum(n)+1e-8) else avg(case when lw<ln(1/1.02) then 1.0 else 0.0 end) end,6) as rollout_is_ratio_fraction_low,
+ round(sqrt(greatest(sum(bq)/(sum(n)+1e-8)-pow(sum(bs)/(sum(n)+1e-8),2),0)),6) as rollout_is_std, round(avg(s/(n+1e-8)),6) as rollout_is_seq_mean, round(max(s/(n+1e-8)),6) as rollout_is_seq_max,
+ round(min(s/(n+1e-8)),6) as rollout_is_seq_min, round(avg(case when s/(n+1e-8)>1.02 then 1.0 else 0.0 end),6) as rollout_is_seq_fraction_high, round(avg(case when s/(n+1e-8)<1/1.02 then 1.0 else 0.0 end),6) as rollout_is_seq_fraction_low
+ from (select level, sample_id, sum(mask) as n, sum(w*mask) as s, sum(b*mask) as bs, sum(b*b*mask) as bq, max(case when mask<>0 then w end) as hi, min(case when mask<>0 then w end) as lo, count(case when mask<>0 and w>1.02 then 1 end) as above, count(case when mask<>0 and w<1/1.02 then 1 end) as below, max(lrs) as lw
  from (select *, greatest(1/1.02,least(1.02,w)) as b from (select 'token' as level, *, exp(lr) as w from ratioed union all select 'sequence', *, exp(lrs) from ratioed)) group by 1,2) group by 1""",
         "ratioed",
     ),
@@ -300,8 +303,7 @@ def importance_weight_stats(spark, sf):
     for level in ("token", "sequence"):
         one = P.weight_stats(P.is_weights(token(spark, sf), level, 1.02), 1.02, level).withColumn("level", F.lit(level))
         out = one if out is None else out.unionByName(one)
-    names = ["mean", "max", "min", "ratio_fraction_high", "eff_sample_size", "seq_std", "seq_max_deviation"]
-    return out.select("level", *[F.round(f"rollout_is_{n}", 6).alias(f"rollout_is_{n}") for n in names])
+    return out.select("level", *[F.round(c, 6).alias(c) for c in out.columns if c != "level"])
 
 
 OPTIONS = ["token_k1", "token_k3", "seq_sum_k1", "seq_mean_k2", "seq_max_k3"]
@@ -337,23 +339,77 @@ def rejection_fractions(spark, sf):
     return out.select("option", *[F.round(c, 6).alias(c) for c in ("masked_fraction", "seq_masked_fraction")])
 
 
+# Every option with its bounds, the statistic as SQL on the tokens of ``ratioed``.
+EVERY_SPEC = {
+    "token_k1": "0.95_1.06", "token_k2": "0.0015", "token_k3": "0.002", "seq_sum_k1": "0.9_1.1", "seq_sum_k2": "0.02", "seq_sum_k3": "0.02",
+    "seq_mean_k1": "0.99_1.01", "seq_mean_k2": "0.0015", "seq_mean_k3": "0.0015", "seq_max_k2": "0.003", "seq_max_k3": "0.003",
+}
+
+
+def statistic_sql(option):
+    token_value = {"k1": "-lr", "k2": "0.5*lr*lr", "k3": "exp(lr)-1-lr"}[option[-2:]]
+    by_sample = "over(partition by sample_id)"
+    if option.startswith("token"):
+        return token_value
+    if option.startswith("seq_max"):
+        return f"coalesce(max(case when mask<>0 then {token_value} end) {by_sample},0)"
+    total = f"sum(({token_value})*mask) {by_sample}"
+    return total if option.startswith("seq_sum") else f"{total}/(sum(mask) {by_sample}+1e-8)"
+
+
+def bounds_sql(option):
+    given = EVERY_SPEC[option].split("_")
+    return (f"ln({given[0]})", f"ln({given[1]})") if len(given) == 2 else ("0.0", given[0])
+
+
+def statistics_sql(option):
+    low, high = bounds_sql(option)
+    whole = not option.startswith("token")
+    two_sided = option.endswith("k1")
+    share = lambda side, name: f"avg(case when q{side} then 1.0 when q is not null then 0.0 end)" if whole else f"sum({name})/(sum(n)+1e-8)"
+    seq_share = lambda side: f"coalesce(avg(case when q{side} then 1.0 when q is not null then 0.0 end),0)"
+    columns = {
+        "mean": "sum(s)/(sum(n)+1e-8)", "max": "max(q)" if whole else "max(hi)", "min": "min(q)" if whole else "min(lo)",
+        "fraction_high": share(f">{high}", "above"), "fraction_low": share(f"<{low}", "below") if two_sided else "0.0",
+        "std": "case when sum(n)>1 then sqrt(greatest(sum(hq)/(sum(n)+1e-8)-pow(sum(hs)/(sum(n)+1e-8),2),0)) else 0 end",
+        "seq_mean": "coalesce(avg(q),0)", "seq_std": "coalesce(stddev_samp(q),0)", "seq_max": "coalesce(max(q),0)", "seq_min": "coalesce(min(q),0)",
+        "seq_max_deviation": "coalesce(max(abs(q)),0)", "seq_fraction_high": seq_share(f">{high}"), "seq_fraction_low": seq_share(f"<{low}") if two_sided else "0.0",
+    }
+    shown = ", ".join(f"round(cast({e} as double),6)+0.0 as {n}" for n, e in columns.items())
+    return f"""select '{option}' as option, {shown} from (select *, case when n>0 then {"whole" if whole else "s/(n+1e-8)"} end as q from (
+ select sample_id, sum(mask) as n, sum(k*mask) as s, sum(h*mask) as hs, sum(h*h*mask) as hq, max(case when mask<>0 then k end) as hi, min(case when mask<>0 then k end) as lo,
+ count(case when mask<>0 and k>{high} then 1 end) as above, count(case when mask<>0 and k<{low} then 1 end) as below, any_value(k) as whole
+ from (select *, greatest({low},least({high},k)) as h from (select *, {statistic_sql(option)} as k from ratioed)) group by 1))"""
+
+
+@query("rejection_statistics", sql_with(" union all ".join(map(statistics_sql, EVERY_SPEC)), "ratioed"))
+def rejection_statistics(spark, sf):
+    tok = token(spark, sf)
+    out = None
+    for option, spec in EVERY_SPEC.items():
+        one = P.rejection_stats(tok, option, spec)
+        out = one if out is None else out.unionByName(one)
+    return out.select("option", *[(F.round(F.col(c).cast("double"), 6) + 0.0).alias(c) for c in out.columns if c != "option"])
+
+
+def kept_sql(option):
+    low, high = bounds_sql(option)
+    return f"({statistic_sql(option)}) between {low} and {high}" if option.endswith("k1") else f"({statistic_sql(option)})<={high}"
+
+
+EVERY_KEEP = ", ".join(f"{kept_sql(o)} as keep_{o}" for o in EVERY_SPEC)
+
+
 @query(
-    "rejection_statistics",
+    "rejection_by_every_option",
     sql_with(
-        """select 'token_k3' as option, round(sum(k*mask)/(sum(mask)+1e-8),6) as mean, round(max(case when mask<>0 then k end),6) as max, round(sum(case when k>0.002 then mask else 0 end)/(sum(mask)+1e-8),6) as fraction_high,
- round(sqrt(sum(pow(least(k,0.002),2)*mask)/(sum(mask)+1e-8)-pow(sum(least(k,0.002)*mask)/(sum(mask)+1e-8),2)),6) as std, 0.0 as fraction_low,
- (select round(avg(s),6) from (select sum((exp(lr)-1-lr)*mask)/(sum(mask)+1e-8) as s from ratioed group by sample_id having sum(mask)>0)) as seq_mean from (select mask, exp(lr)-1-lr as k from ratioed)
- union all select 'seq_sum_k1', round(sum(k*mask)/(sum(mask)+1e-8),6)+0.0, (select round(max(-lrs),6) from ratioed where sample_id in (select sample_id from ratioed where mask<>0)), (select round(avg(case when k>ln(1.1) then 1.0 else 0.0 end),6) from (select max(-lrs) as k from ratioed group by sample_id having sum(mask)>0)),
- round(sqrt(sum(pow(greatest(ln(0.9),least(k,ln(1.1))),2)*mask)/(sum(mask)+1e-8)-pow(sum(greatest(ln(0.9),least(k,ln(1.1)))*mask)/(sum(mask)+1e-8),2)),6),
- (select round(avg(case when k<ln(0.9) then 1.0 else 0.0 end),6) from (select max(-lrs) as k from ratioed group by sample_id having sum(mask)>0)),
- (select round(avg(k),6)+0.0 from (select max(-lrs) as k from ratioed group by sample_id having sum(mask)>0)) from (select mask, -lrs as k from ratioed)""",
+        f"select sample_id, t, cast(case when {' and '.join('keep_' + o for o in EVERY_SPEC)} then mask else 0 end as int) as new_mask, {', '.join('keep_' + o for o in EVERY_SPEC)} from (select *, {EVERY_KEEP} from ratioed)",
         "ratioed",
     ),
 )
-def rejection_statistics(spark, sf):
-    tok = token(spark, sf)
-    out = P.rejection_stats(tok, "token_k3", 0.002).unionByName(P.rejection_stats(tok, "seq_sum_k1", "0.9_1.1"))
-    return out.select("option", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mean", "max", "fraction_high", "std", "fraction_low", "seq_mean")])
+def rejection_by_every_option(spark, sf):
+    out = P.rejection_mask(token(spark, sf), list(EVERY_SPEC), ", ".join(EVERY_SPEC.values()))
+    return out.select("sample_id", "t", "new_mask", *[f"keep_{o}" for o in EVERY_SPEC])
 
 
 @query(
