@@ -220,23 +220,23 @@ def optimal_token_baseline(
     staged = staged.withColumn("__at", F.when(mask != 0, position).otherwise(-F.col("t")) if compact else position)
     live = F.when(mask != 0, F.col("__w")).otherwise(0.0)
     # Lengths of the sequences of each prompt: distinct lengths are bounded by the response length.
-    lengths = tok.groupBy("uid", "sample_id").agg(F.sum("mask").alias("len"))
+    lengths = tok.groupBy("uid", "sample_id").agg(F.sum("mask").alias("len"), F.count(F.lit(1)).alias("rows"))
     if compact:
         lengths = lengths.where("len > 0")
     longest = (
         lengths.groupBy("uid", "len")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
         .groupBy("uid")
-        .agg(F.sum("n").alias("__n"), F.sort_array(F.collect_list(F.struct("len", "n")), asc=False).alias("__l"))
+        .agg(F.sum("n").alias("__n"), F.sum("rows").alias("__rows"), F.sort_array(F.collect_list(F.struct("len", "n")), asc=False).alias("__l"))
         .select(
-            "uid", "__n", F.col("__l")[0]["len"].alias("__max"),
+            "uid", "__n", "__rows", F.col("__l")[0]["len"].alias("__max"),
             F.when((F.col("__l")[0]["n"] == 1) & (F.size("__l") > 1), F.col("__l")[1]["len"]).alias("__second"),
         )
     )
     based = attach_stats(
         staged, ["uid", "__at"], {"__num": F.sum(F.col("returns") * live), "__den": F.sum(live)}, "sample_id"
     )
-    based = attach_lookup(based, longest, "uid", "sample_id")
+    based = attach_lookup(based, longest, "uid", "sample_id", rows="__rows")
     tail = (F.col("__len") == F.col("__max")) & F.col("__second").isNotNull() & (F.col("__at") > F.col("__second"))
     base = F.when(F.col("__n") > 1, F.col("__num") / (F.col("__den") + eps)).otherwise(0.0)
     if zero_tail:

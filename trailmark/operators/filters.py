@@ -58,12 +58,12 @@ def assistant_calls(messages: Column) -> Column:
     )
 
 
-def has_full_image_search(messages: Column) -> Column:
-    """An image search whose box covers nearly the whole image."""
+def has_full_image_search(messages: Column, margin: int = 5) -> Column:
+    """An image search whose box covers the whole image, of 1000 by 1000, but for ``margin`` on each side."""
     def full(call: Column) -> Column:
         box = X.call_field(call, "$.arguments.bbox_2d", "array<double>")
         corners = [F.try_element_at(box, F.lit(i)) for i in (1, 2, 3, 4)]
-        whole = (corners[0] <= 5) & (corners[1] <= 5) & (corners[2] >= 995) & (corners[3] >= 995)
+        whole = (corners[0] <= margin) & (corners[1] <= margin) & (corners[2] >= 1000 - margin) & (corners[3] >= 1000 - margin)
         return (X.call_field(call, "$.name") == K.IMAGE_SEARCH) & whole
 
     return F.exists(assistant_calls(messages), lambda c: F.coalesce(full(c), F.lit(False)))

@@ -123,7 +123,7 @@ def ranked_by_value(df: DataFrame, key: str, group: Sequence[str] = (), name: st
 
 
 def hash_cutoff(df: DataFrame, seed: int | str, key: str, n: int | Column, group: Sequence[str] = ()) -> DataFrame:
-    """Per group, the digest of the n-th row of a seeded shuffle, for groups with more than n rows.
+    """Per group, the digest of the n-th row of a seeded shuffle, for groups with more than n rows, and their ``__rows``.
 
     Reads only the key columns: one count per bucket, then a rank inside the single bucket that
     holds the n-th row. Filtering by the cut-off needs no shuffle of the rows themselves.
@@ -136,17 +136,17 @@ def hash_cutoff(df: DataFrame, seed: int | str, key: str, n: int | Column, group
     counts = keyed.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     by_bucket = W.partitionBy(*group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     edge = (
-        counts.withColumn("__upto", F.sum("__n").over(by_bucket))
+        counts.withColumns({"__upto": F.sum("__n").over(by_bucket), "__rows": F.sum("__n").over(W.partitionBy(*group))})
         .withColumn("__before", F.col("__upto") - F.col("__n"))
         .where((F.col("__before") < limit) & (F.col("__upto") >= limit))
-        .select(*group, "__bucket", "__before")
+        .select(*group, "__bucket", "__before", "__rows")
     )
     inside = W.partitionBy(*group, "__bucket").orderBy("__digest", "__key")
     return (
         join_null_safe(keyed, edge if group else F.broadcast(edge), [*group, "__bucket"])
         .withColumn("__rank", F.row_number().over(inside) + F.col("__before"))
         .where(F.col("__rank") == limit)
-        .select(*group, F.col("__digest").alias("cutoff"))
+        .select(*group, F.col("__digest").alias("cutoff"), "__rows")
     )
 
 

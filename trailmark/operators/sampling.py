@@ -47,7 +47,7 @@ def cap_per_class(df: DataFrame, column: str, n: int, seed: int, key: str) -> Da
     """At most n rows per class, seeded; classes at or below n keep all rows."""
     cutoffs = hash_cutoff(df, seed, key, n, [column])
     # At most one class per n rows is above the cap, so n copies of the cut-offs are no more than the rows.
-    joined = attach_lookup(df, cutoffs, column, key)
+    joined = attach_lookup(df, cutoffs, column, key, rows="__rows")
     return joined.where(F.col("cutoff").isNull() | (seed_hash(seed, key) <= F.col("cutoff"))).drop("cutoff")
 
 

@@ -153,20 +153,16 @@ add_view(
 @query(
     "full_image_search",
     sql_with(
-        """select t.id, coalesce(bool_or(c.name='image_search_tool' and c.bbox[1]%100<=5 and c.bbox[2]%100<=50 and c.bbox[3]>=595),false) as loose, false as strict from traj t left join traj_call c on c.id=t.id group by 1""",
+        " select t.id, "
+        + ", ".join(f"coalesce(bool_or(c.name='image_search_tool' and c.bbox[1]<={m} and c.bbox[2]<={m} and c.bbox[3]>={1000 - m} and c.bbox[4]>={1000 - m}),false) as margin_{m}" for m in (5, 200, 350, 450))
+        + " from traj t left join traj_call c on c.id=t.id group by 1",
         "traj", "traj_call",
     ),
 )
 def full_image_search(spark, sf):
-    # The fixture boxes never cover the image, so a looser test of the same calls is shown beside it.
-    def loose(call):
-        box = X.call_field(call, "$.arguments.bbox_2d", "array<double>")
-        return F.coalesce((X.call_field(call, "$.name") == K.IMAGE_SEARCH) & (box[0] % 100 <= 5) & (box[1] % 100 <= 50) & (box[2] >= 595), F.lit(False))
-
-    rows = trajectories(spark, sf)
-    return rows.select(
-        "id", F.exists(B.assistant_calls(F.col("messages")), loose).alias("loose"), B.has_full_image_search(F.col("messages")).alias("strict")
-    )
+    # The boxes of the tables never cover the whole image, so wider margins are shown beside the usual one.
+    wide = [B.has_full_image_search(F.col("messages"), m).alias(f"margin_{m}") for m in (5, 200, 350, 450)]
+    return trajectories(spark, sf).select("id", *wide)
 
 
 @query("masked_without_tools", sql_with("select id from traj where not (coalesce(masked,0)<>0 and coalesce(nullif(n_tool_calls,0), n_crop_calls)=0)", "traj"))
@@ -424,12 +420,13 @@ def shape_validation(spark, sf):
 
 @query(
     "media_alignment",
-    sql_with("select s.id, s.n_tokens=case when t.has_image then 2 else 0 end as aligned from sft_row s join traj t on t.id=s.id where t.has_image", "sft_row", "traj"),
+    sql_with("select s.id, s.n_tokens=case when t.has_image then 2 else 0 end as aligned from sft_row s join traj t on t.id=s.id where t.has_image and cast('0x'||left(md5(cast(t.id as varchar)),2) as int)%4<>0", "sft_row", "traj"),
 )
 def media_alignment(spark, sf):
     rows = turned(spark, sf).select("id", F.transform("images", lambda p: F.struct(p.alias("image"))).alias("images"), D.rewrite_messages(F.col("turns"), F.col("useful_results"), SYSTEM, USER).alias("m"))
-    # The listing holds every picture of the trajectories that have any.
-    listing = trajectories(spark, sf).select(F.explode("images").alias("path"))
+    # One trajectory in four lacks the second of its two pictures.
+    gone = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 2), 16, 10).cast("int") % 4 == 0
+    listing = trajectories(spark, sf).select(F.explode(F.when(gone, F.slice("images", 1, 1)).otherwise(F.col("images"))).alias("path"))
     kept = D.drop_missing_media(rows.where(F.size("images") > 0), listing, "id")
     return kept.select("id", D.aligned_media(F.col("m"), F.col("images")).alias("aligned"))
 
