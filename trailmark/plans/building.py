@@ -11,6 +11,7 @@ from trailmark.operators import builders as D
 from trailmark.operators import extraction as E
 from trailmark.operators import filters as B
 from trailmark.operators.accuracy import value_counts
+from trailmark.plans.conversation import CUE, STRIP, TAILS
 from trailmark.plans.fixtures import add_view, geo_scored, geo_truth, message, sql_with, table
 from trailmark.plans.registry import query
 
@@ -451,24 +452,34 @@ add_view(
     "traj_parts",
     r"""select t.id, trim(regexp_extract(arg_min(content,pos) filter (where role='assistant' and regexp_matches(content,'<think>(.*?)</think>','s') and regexp_matches(content,'<tool_call>\s*(\{.*?\})\s*</tool_call>','s')),'<think>(.*?)</think>',1,'s')) as call_think,
  trim(regexp_extract(arg_min(content,pos) filter (where role='assistant' and regexp_matches(content,'<think>(.*?)</think>','s')),'<think>(.*?)</think>',1,'s')) as first_think,
+ trim(regexp_extract(arg_min(content,pos) filter (where role='assistant' and regexp_matches(content,'<think>(.*?)</think>','s') and regexp_matches(content,'<tool_call>\s*(\{.*?\})\s*</tool_call>','s')),'<tool_call>\s*(\{.*?\})\s*</tool_call>',1,'s')) as call,
  arg_max(content,pos) filter (where role='assistant' and regexp_matches(content,'<answer>(.*?)</answer>','s')) as last,
  bool_or(contains(lower(content),'search failed')) as failed, bool_or(role='user' and contains(lower(content),'search results')) as succeeded from traj_message t group by 1""",
     "traj_message",
 )
+FALLBACK_TAIL, FALLBACK_CUE = K.FALLBACK_TAIL_PATTERN.replace("'", "''"), K.FALLBACK_CUE_PATTERN.replace("'", "''")
 NAMED = "regexp_matches({0},'(?i)(^|[^\\p{{L}}\\p{{N}}_])City($|[^\\p{{L}}\\p{{N}}_])')"
 
 
 @query(
     "fallback_samples",
     sql_with(
-        rf"""select p.id, cast(5 as int) as n_messages, regexp_extract(last,'<answer>(.*?)</answer>',1,'s') as answer from traj_parts p join traj t on t.id=p.id
- where coalesce(masked,1)=0 and km<=200 and n_tool_calls>=1 and failed and not succeeded and call_think is not null and last is not null and t.has_image and {NAMED.format('call_think')}""",
+        rf"""select id, cast(5 as int) as n_messages, answer, md5('<think>'||chr(10)||opening||chr(10)||'</think>'||chr(10)||'<tool_call>'||call||'</tool_call>') as call_digest,
+ md5('<think>'||chr(10)||case when not {NAMED.format('cut')} then 'The scene shows '||trim(string_split(answer,',')[2])||' in '||trim(string_split(answer,',')[1])||'.'
+  when contains(lower(bare),'no tool') or contains(lower(bare),'without') then bare else bare||' The scene settles it.' end||chr(10)||'</think>'||chr(10)||chr(10)||'<answer>'||answer||'</answer>') as answer_digest from (
+ select *, {STRIP.format("regexp_replace(cut,'(?s)<useful>.*?</useful>','','g')")} as bare, regexp_replace(regexp_replace({STRIP.format("regexp_replace(call_think,'(?s)<useful>.*?</useful>','','g')")},'(?is){FALLBACK_TAIL}',''),'[ .]+$','')||'.' as opening from (
+ select *, case when regexp_matches(last_think,'(?i){FALLBACK_CUE}') then regexp_replace(regexp_extract(last_think,'(?is)^(.*?){FALLBACK_CUE}',1),'[ .\n]+$','')||'.' else last_think end as cut from (
+ select p.id, trim(regexp_extract(last,'<answer>(.*?)</answer>',1,'s')) as answer, call_think, call, coalesce({STRIP.format("regexp_extract(last,'<think>(.*?)</think>',1,'s')")},'') as last_think from traj_parts p join traj t on t.id=p.id
+ where coalesce(masked,1)=0 and km<=200 and n_tool_calls>=1 and failed and not succeeded and call_think is not null and last is not null and t.has_image and {NAMED.format('call_think')})))""",
         "traj_parts", "traj",
     ),
 )
 def fallback_samples(spark, sf):
     rows = D.build_fallback(trajectories(spark, sf), SYSTEM, USER, " The scene settles it.", "The scene shows %s in %s.", "No result.")
-    return rows.select("id", F.size("messages").alias("n_messages"), X.first_match(F.element_at("messages", -1).content, X.ANSWER).alias("answer"))
+    return rows.select(
+        "id", F.size("messages").alias("n_messages"), X.first_match(F.element_at("messages", -1).content, X.ANSWER).alias("answer"),
+        F.md5(F.col("messages")[2].content).alias("call_digest"), F.md5(F.col("messages")[4].content).alias("answer_digest"),
+    )
 
 
 TEMPLATES = ["This looks like {city} in {country}.", "The style of {region} points to {city}."]
@@ -497,14 +508,16 @@ def templated_samples(spark, sf):
 @query(
     "real_reasoning_samples",
     sql_with(
-        rf"""select p.id, km, failed as has_api_error, trim(regexp_extract(last,'<answer>(.*?)</answer>',1,'s')) as answer from traj_parts p join traj t on t.id=p.id
- where coalesce(masked,1)=0 and km<1 and t.has_image and first_think<>'' and last is not null and regexp_matches(first_think,'(?i)this is the famous') and {NAMED.format('first_think')}""",
+        rf"""select id, km, has_api_error, answer, md5('<think>'||chr(10)||{STRIP.format(f"case when list_bool_or([contains(lower(right(cut,200)),w) for w in [{TAILS}]]) then cut else cut||' The scene settles it.' end")}||chr(10)||'</think>'||chr(10)||chr(10)||'<answer>'||answer||'</answer>') as digest from (
+ select *, case when regexp_matches(first_think,'(?i){CUE}') then regexp_replace(regexp_extract(first_think,'(?is)^(.*?){CUE.replace("|^)", "|^)", 1)}',1),'[ .]+$','')||'.' else first_think end as cut from (
+ select p.id, km, failed as has_api_error, first_think, trim(regexp_extract(last,'<answer>(.*?)</answer>',1,'s')) as answer from traj_parts p join traj t on t.id=p.id
+ where coalesce(masked,1)=0 and km<1 and t.has_image and first_think<>'' and last is not null and regexp_matches(first_think,'(?i)this is the famous') and {NAMED.format('first_think')}))""",
         "traj_parts", "traj",
     ),
 )
 def real_reasoning_samples(spark, sf):
     rows = D.build_notool_real(trajectories(spark, sf), SYSTEM, USER, " The scene settles it.")
-    return rows.select("id", "km", "has_api_error", X.first_match(F.col("messages")[2].content, X.ANSWER).alias("answer"))
+    return rows.select("id", "km", "has_api_error", X.first_match(F.col("messages")[2].content, X.ANSWER).alias("answer"), F.md5(F.col("messages")[2].content).alias("digest"))
 
 
 RL_JOIN = """(select m.*, t.km, t.part, t.id is null or not t.has_image as no_traj, coalesce(masked,0)<>0 and coalesce(nullif(n_tool_calls,0), n_crop_calls)=0 as no_tools, v.covered
