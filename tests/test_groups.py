@@ -362,3 +362,16 @@ def test_describe_of_any_number_of_columns(spark):
     got = {r.column: r for r in profiles.describe(df, ["a", "b", "c"]).collect()}
     assert (got["a"].n, got["a"].p50, got["b"].n, got["b"].mean, got["c"].p75) == (2, 3.0, 0, None, 5.5)
     assert {r.n for r in profiles.describe(df.limit(0), ["a", "c"]).collect()} == {0}
+
+
+def test_tiny_weights_and_a_heavy_row_spread(spark):
+    n = 40_000
+    # One row has half of the weight, and nearly all others next to none.
+    df = spark.range(n).select("id", F.when(F.col("id") == 7, 5.0).when(F.col("id") == 8, -5.0).otherwise(0.0).alias("s"))
+    out = H.reweight(df, "id", "s", "max_min", 3)
+    counts = out.groupBy("id").count().toPandas().set_index("id")["count"]
+    assert counts.sum() == n and abs(counts[7] - n / 2) < 1000 and counts[7] + counts[8] > n - 100
+    # The draws of the two rows are dealt over many copies of their buckets.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__copy" in plan
+    assert out.select(F.countDistinct("draw")).first()[0] == n

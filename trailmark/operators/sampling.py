@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import constants as K
 from trailmark.operators.groups import attach_lookup
 from trailmark.operators.ordering import (
+    BUCKETS,
     at_ranks,
     hash_bucket,
     hash_cutoff,
@@ -137,12 +138,13 @@ def factorize(df: DataFrame, column: str, name: str = "group_id") -> DataFrame:
     return attach_lookup(df.withColumn("__spread", F.xxhash64(*rest)), ids, column, "__spread").drop("__spread")
 
 
-def reweight(df: DataFrame, key: str, score: str, method: str, seed: int, power: float = 2.0, buckets: int = 4096) -> DataFrame:
+def reweight(df: DataFrame, key: str, score: str, method: str, seed: int, power: float = 2.0, share: int = 1024) -> DataFrame:
     """As many draws as rows, with replacement, by a weight of the score; adds ``draw`` (the draw's key).
 
-    Each row owns an interval of the total weight. Intervals and draws meet in equal slices of
-    that weight: an interval is copied to every slice it touches (rows + slices copies at most), and
-    a draw takes the last interval that starts at or before it.
+    Each row owns an interval of the total weight. Rows lie in ``BUCKETS`` of equally many, whatever their weights. The
+    draws of a bucket are counted, and a bucket that gets more than a ``share``-th of them is copied that many times and
+    its draws dealt over the copies; so neither rows of tiny weight nor draws of a heavy row share one task, and the
+    copies are no more than ``1 + share / BUCKETS`` times the rows. A draw takes the last interval that starts at or before it.
     """
     value = F.col(score)
     top, bottom = df.agg(F.max(score)).scalar(), df.agg(F.min(score)).scalar()
@@ -157,22 +159,37 @@ def reweight(df: DataFrame, key: str, score: str, method: str, seed: int, power:
         [], "__bucket", [digest, F.col(key)], {"__hi": F.col("__w")},
     ).withColumn("__lo", F.col("__hi") - F.col("__w"))
     total = df.agg(F.sum(weight)).scalar()
-    slice_no = lambda pos: F.least(F.floor(pos / total * buckets), F.lit(buckets - 1)).cast("int")
+    # One row for each bucket, at most BUCKETS: where it ends.
+    ends = placed.groupBy("__bucket").agg(F.max("__hi").alias("__end"))
+    listed = ends.agg(F.array_sort(F.collect_list(F.struct("__end", "__bucket")))).scalar()
+    at, bounds = F.col("__pos"), F.col("__listed")
+
+    def step(low: Column, more: Column) -> Column:
+        """The first bucket that ends beyond the position, by halving."""
+        return F.when(F.coalesce(F.get(bounds, low + more - 1)["__end"] <= at, F.lit(False)), low + more).otherwise(low)
+
+    halves = F.array(*[F.lit(1 << b) for b in range(BUCKETS.bit_length() - 1, -1, -1)])
+    found = F.least(F.aggregate(halves, F.lit(0), step), F.size(bounds) - 1)
+    drawn = df.select(F.col(key).alias("draw")).withColumn("__pos", unit_interval(seed_hash(f"{seed}d", "draw")) * total)
+    drawn = drawn.withColumn("__listed", listed).withColumn("__bucket", F.get(bounds, found)["__bucket"]).drop("__listed")
+    hits = drawn.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    copies = F.greatest(F.lit(1), F.ceil(F.col("__n") * share / df.agg(F.count(F.lit(1))).scalar())).cast("int")
+    copies = F.broadcast(hits.select("__bucket", copies.alias("__copies")))
     columns = df.columns
-    owners = placed.select(
-        F.explode(F.sequence(slice_no(F.col("__lo")), F.greatest(slice_no(F.col("__hi")), slice_no(F.col("__lo"))))).alias("__slice"),
-        F.col("__lo").alias("__pos"),
-        F.lit(0).alias("__kind"),
-        F.struct(*columns).alias("__row"),
-        F.lit(None).cast(df.schema[key].dataType).alias("draw"),
+    # A bucket without draws is needed by none.
+    owners = placed.join(copies, "__bucket").select(
+        "__bucket", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("__copy"), F.col("__lo").alias("__pos"), F.lit(0).alias("__kind"),
+        F.struct(*columns).alias("__row"), F.lit(None).cast(df.schema[key].dataType).alias("draw"),
     )
-    drawn = df.select(F.col(key).alias("draw")).withColumn("__pos", unit_interval(seed_hash(f"{seed}d", "draw")) * total)
-    draws = drawn.select(
-        slice_no(F.col("__pos")).alias("__slice"), "__pos", F.lit(1).alias("__kind"),
+    draws = drawn.join(copies, "__bucket").select(
+        "__bucket", F.pmod(F.xxhash64("draw"), F.col("__copies")).cast("int").alias("__copy"), "__pos", F.lit(1).alias("__kind"),
         F.lit(None).cast(owners.schema["__row"].dataType).alias("__row"), "draw",
     )
-    order = W.partitionBy("__slice").orderBy("__pos", "__kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    met = owners.unionByName(draws).withColumn("__row", F.last("__row", ignorenulls=True).over(order))
+    order = W.partitionBy("__bucket", "__copy").orderBy("__pos", "__kind")
+    before = F.last("__row", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    after = F.first("__row", ignorenulls=True).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    # Sums of weights differ in their last digits, so a position may lie just before the first interval of its bucket.
+    met = owners.unionByName(draws).withColumn("__row", F.coalesce(before, after))
     return met.where("__kind = 1").select("draw", *[F.col("__row")[c].alias(c) for c in columns])
 
 
