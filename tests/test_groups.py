@@ -375,3 +375,13 @@ def test_tiny_weights_and_a_heavy_row_spread(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "__copy" in plan
     assert out.select(F.countDistinct("draw")).first()[0] == n
+
+
+def test_slices_by_rank_filter_only(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 1009).alias("k"))
+    keys = sorted(i * 37 % 1009 for i in range(1000))
+    for first, last in ((1, 10), (1, 1000), (1, 2000), (101, 200), (990, 5000), (1001, 1005)):
+        assert sorted(r.k for r in H.rank_slice(df, "k", first, last).collect()) == keys[first - 1 : last]
+    assert H.rank_slice(df.limit(0), "k", 1, 5).count() == 0
+    pool = {r.k for r in H.replay_sample(df, "k", 30, 30, 1).collect()}
+    assert pool == set(keys[-30:])

@@ -150,6 +150,22 @@ def hash_cutoff(df: DataFrame, seed: int | str, key: str, n: int | Column, group
     )
 
 
+def value_cutoff(df: DataFrame, key: str, n: int, ascending: bool = True) -> DataFrame:
+    """One row with the n-th key in the order of a unique numeric key (``cutoff``); none if there are fewer rows.
+
+    As :func:`hash_cutoff`: keys are counted by bucket, and only the bucket that holds the n-th is ranked.
+    """
+    keyed = with_value_bucket(df.select(F.col(key).alias("__key")), "__key", ascending=ascending)
+    counts = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow))
+    edge = counts.withColumn("__upto", upto).withColumn("__before", F.col("__upto") - F.col("__n"))
+    edge = edge.where((F.col("__before") < n) & (F.col("__upto") >= n)).select("__bucket", "__before")
+    order = F.col("__key") if ascending else F.col("__key").desc()
+    inside = keyed.join(F.broadcast(edge), "__bucket")
+    placed = inside.withColumn("__rank", F.row_number().over(W.partitionBy("__bucket").orderBy(order)) + F.col("__before"))
+    return placed.where(F.col("__rank") == n).select(F.col("__key").alias("cutoff"))
+
+
 def at_ranks(ladder: DataFrame, wanted: DataFrame, group: Sequence[str], rank: str = "r", pieces: int = 1024, extra: Sequence[str] = ()) -> DataFrame:
     """``wanted`` (group, rank, ...) with the value that the rank has in a ladder (group, value, c, upto, n).
 

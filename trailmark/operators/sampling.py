@@ -26,6 +26,7 @@ from trailmark.operators.ordering import (
     running,
     seed_hash,
     unit_interval,
+    value_cutoff,
     with_value_bucket,
 )
 from trailmark.session import checkpoint_root, written
@@ -68,7 +69,21 @@ def max_samples(df: DataFrame, n: int, key: str, shuffle: bool = False, seed: in
     """A seeded choice of n rows, or the first n rows in key order."""
     if shuffle:
         return sample_n(df, n, seed, key)
-    return ranked_by_value(df, key).where(F.col("rank") <= n).drop("rank")
+    return rank_slice(df, key, 1, n)
+
+
+def rank_slice(df: DataFrame, key: str, first: int, last: int) -> DataFrame:
+    """The rows numbered ``first`` to ``last`` in the order of a unique numeric key.
+
+    The keys at both ends are found first, so the rows themselves are only filtered.
+    """
+    kept = df
+    upper = value_cutoff(df, key, last).scalar()
+    kept = kept.where(F.coalesce(F.col(key) <= upper, F.lit(True)))
+    if first > 1:  # with fewer rows than that, none is left
+        lower = value_cutoff(df, key, first - 1).scalar()
+        kept = kept.where(F.coalesce(F.col(key) > lower, F.lit(False)))
+    return kept
 
 
 def reindex(df: DataFrame, key: str, name: str = "index") -> DataFrame:
@@ -92,9 +107,9 @@ def preview(df: DataFrame, group: str, order: Sequence[Column], n: int = 20) ->
 
 def replay_sample(df: DataFrame, order: str, capacity: int, n: int, seed: int) -> DataFrame:
     """Seeded sample of n rows from the newest ``capacity`` rows; a shorter pool is an error."""
-    newest = ranked_by_value(df, order)
     size = row_count(df)
-    pool = newest.where(F.col("rank") > size - capacity).drop("rank")
+    oldest = value_cutoff(df, order, capacity, ascending=False).scalar()
+    pool = df.where(F.coalesce(F.col(order) >= oldest, F.lit(True)))
     enough = F.when(F.least(size, F.lit(capacity)) >= n, F.lit(True)).otherwise(
         F.raise_error(F.lit("not enough rows in the pool")).cast("boolean")
     )

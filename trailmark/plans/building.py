@@ -605,7 +605,7 @@ def repeated_by_count(spark, sf):
  union all select n+place, o_orderkey, true from (select row_number() over(order by o_orderkey) as place, o_orderkey, count(*) over() as n from orders) where place<=(7-n%7)%7""",
 )
 def padded_rows(spark, sf):
-    from trailmark.operators.ordering import ranked_by_value
+    from trailmark.operators.sampling import rank_slice
 
     rows = ranked_by_value(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", name="place")
     return D.pad_to_divisor(rows, "place", 7)
@@ -641,11 +641,10 @@ def appended_batch(spark, sf):
 
 @query("batch_projection", "select o_orderkey as order_id, o_custkey as customer from (select *, row_number() over(order by o_orderkey) as k from orders) where k between 101 and 200")
 def batch_projection(spark, sf):
-    from trailmark.operators.ordering import ranked_by_value
+    from trailmark.operators.sampling import rank_slice
 
     rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").drop("o_orderstatus")
-    sliced = ranked_by_value(rows, "o_orderkey").where(F.col("rank").between(101, 200))
-    return sliced.withColumnsRenamed({"o_orderkey": "order_id", "o_custkey": "customer"}).drop("rank")
+    return rank_slice(rows, "o_orderkey", 101, 200).withColumnsRenamed({"o_orderkey": "order_id", "o_custkey": "customer"})
 
 
 @query("difficulty_of_samples", sql_with("select case when km is null then 'unknown' when km<=25 then 'easy' when km<=200 then 'medium' else 'hard' end as difficulty, count(*) as n from traj group by 1", "traj"))
