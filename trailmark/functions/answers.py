@@ -146,13 +146,6 @@ def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return text
 
 
-LATEX_SPACING = [
-    ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""),
-    ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""),
-]
-LATEX_NUMBERS = [("\\\\%", ""), ("\\%", ""), (" .", " 0."), ("{.", "{0.")]
-
-
 def _fractions(text: Column) -> Column:
     """Short fractions with braces; one without two parts leaves the text as it was."""
     both = F.regexp_replace(text, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}")
@@ -168,8 +161,8 @@ def clean_latex(text: Column) -> Column:
 
     slash = r"\A(-?(?:0|[1-9]\d*))/(-?(?:0|[1-9]\d*))\z"
     # A unit stands on the right.
-    out = F.substring_index(_replace_all(text, LATEX_SPACING), "\\text{ ", 1)
-    out = F.regexp_replace(_replace_all(out, LATEX_NUMBERS), r"\A\.", "0.")
+    out = F.substring_index(_replace_all(text, K.LATEX_SPACING), "\\text{ ", 1)
+    out = F.regexp_replace(_replace_all(out, K.LATEX_NUMBERS), r"\A\.", "0.")
     out = F.regexp_replace(let(out, after_equals), r"\\sqrt([^{])", r"\\sqrt{$1}")
     out = let(F.replace(out, F.lit(" "), F.lit("")), _fractions)
     out = F.regexp_replace(out, r"\A0\.5\z", r"\\frac{1}{2}")

@@ -190,3 +190,10 @@ EXPLICIT_RULES = {
         "training/global_step",
     ],
 }
+
+# LaTeX texts that are replaced before answers are compared, in this order.
+LATEX_SPACING = [
+    ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""),
+    ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""),
+]
+LATEX_NUMBERS = [("\\\\%", ""), ("\\%", ""), (" .", " 0."), ("{.", "{0.")]
