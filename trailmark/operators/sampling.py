@@ -174,19 +174,20 @@ def reweight(df: DataFrame, key: str, score: str, method: str, seed: int, power:
         [], "__bucket", [digest, F.col(key)], {"__hi": F.col("__w")},
     ).withColumn("__lo", F.col("__hi") - F.col("__w"))
     total = df.agg(F.sum(weight)).scalar()
-    # One row for each bucket, at most BUCKETS: where it ends.
+    # One row for each bucket, at most BUCKETS: its interval, copied to each equal slice of the weight that it reaches into.
+    # A slice has as many draws as any other, so the buckets of a slice that a draw is held against are two on average.
+    slice_no = lambda pos: F.least(F.floor(pos / total * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
     ends = placed.groupBy("__bucket").agg(F.max("__hi").alias("__end"))
-    listed = ends.agg(F.array_sort(F.collect_list(F.struct("__end", "__bucket")))).scalar()
-    at, bounds = F.col("__pos"), F.col("__listed")
-
-    def step(low: Column, more: Column) -> Column:
-        """The first bucket that ends beyond the position, by halving."""
-        return F.when(F.coalesce(F.get(bounds, low + more - 1)["__end"] <= at, F.lit(False)), low + more).otherwise(low)
-
-    halves = F.array(*[F.lit(1 << b) for b in range(BUCKETS.bit_length() - 1, -1, -1)])
-    found = F.least(F.aggregate(halves, F.lit(0), step), F.size(bounds) - 1)
+    order = W.orderBy("__bucket")
+    spans = ends.select(
+        "__bucket", F.coalesce(F.lag("__end").over(order), F.lit(0.0)).alias("__from"),
+        F.when(F.lead("__end").over(order).isNotNull(), F.col("__end")).otherwise(F.lit(float("inf"))).alias("__to"), "__end",
+    )
+    reach = F.sequence(slice_no(F.col("__from")), F.when(F.col("__to") == float("inf"), F.lit(BUCKETS - 1)).otherwise(slice_no(F.col("__end"))))
+    spans = F.broadcast(spans.select("__bucket", "__from", "__to", F.explode(reach).alias("__slice")))
     drawn = df.select(F.col(key).alias("draw")).withColumn("__pos", unit_interval(seed_hash(f"{seed}d", "draw")) * total)
-    drawn = drawn.withColumn("__listed", listed).withColumn("__bucket", F.get(bounds, found)["__bucket"]).drop("__listed")
+    drawn = drawn.withColumn("__slice", slice_no(F.col("__pos"))).join(spans, "__slice")
+    drawn = drawn.where((F.col("__from") <= F.col("__pos")) & (F.col("__pos") < F.col("__to"))).select("draw", "__pos", "__bucket")
     hits = drawn.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     copies = F.greatest(F.lit(1), F.ceil(F.col("__n") * share / df.agg(F.count(F.lit(1))).scalar())).cast("int")
     copies = F.broadcast(hits.select("__bucket", copies.alias("__copies")))
