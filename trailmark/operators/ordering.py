@@ -184,8 +184,9 @@ def at_ranks(ladder: DataFrame, wanted: DataFrame, group: Sequence[str], rank: s
         named = named.join(sizes, "__g")
     asked = named.select("__g", bucket.alias("__b"), F.col(rank).alias("__at"), F.lit(0).alias("__end"), "__row")
     both = asked.unionByName(ends, allowMissingColumns=True)
-    ahead = W.partitionBy("__g", "__b").orderBy("__at", "__end").rowsBetween(W.currentRow, W.unboundedFollowing)
-    found = both.withColumn("__value", F.first("__value", ignorenulls=True).over(ahead)).where(F.col("__end") == 0)
+    # Backwards, as a frame that starts at the first row of its order is summed up in one pass.
+    ahead = W.partitionBy("__g", "__b").orderBy(F.desc("__at"), F.desc("__end")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn("__value", F.last("__value", ignorenulls=True).over(ahead)).where(F.col("__end") == 0)
     return found.select("__row.*", "__value.*")
 
 

@@ -177,8 +177,9 @@ def reweight(df: DataFrame, key: str, score: str, method: str, seed: int, power:
     # One row for each bucket, at most BUCKETS: its interval, copied to each equal slice of the weight that it reaches into.
     # A slice has as many draws as any other, so the buckets of a slice that a draw is held against are two on average.
     slice_no = lambda pos: F.least(F.floor(pos / total * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-    ends = placed.groupBy("__bucket").agg(F.max("__hi").alias("__end"))
     order = W.orderBy("__bucket")
+    sums = df.groupBy(hash_bucket(digest).alias("__bucket")).agg(F.sum(weight).alias("__w"))
+    ends = sums.withColumn("__end", F.sum("__w").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     spans = ends.select(
         "__bucket", F.coalesce(F.lag("__end").over(order), F.lit(0.0)).alias("__from"),
         F.when(F.lead("__end").over(order).isNotNull(), F.col("__end")).otherwise(F.lit(float("inf"))).alias("__to"), "__end",
@@ -203,7 +204,8 @@ def reweight(df: DataFrame, key: str, score: str, method: str, seed: int, power:
     )
     order = W.partitionBy("__bucket", "__copy").orderBy("__pos", "__kind")
     before = F.last("__row", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    after = F.first("__row", ignorenulls=True).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    backwards = W.partitionBy("__bucket", "__copy").orderBy(F.desc("__pos"), F.desc("__kind"))
+    after = F.last("__row", ignorenulls=True).over(backwards.rowsBetween(W.unboundedPreceding, W.currentRow))
     # Sums of weights differ in their last digits, so a position may lie just before the first interval of its bucket.
     met = owners.unionByName(draws).withColumn("__row", F.coalesce(before, after))
     return met.where("__kind = 1").select("draw", *[F.col("__row")[c].alias(c) for c in columns])
