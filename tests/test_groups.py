@@ -1,17 +1,27 @@
 """Ranks, samples, advantages and diagnostics against brute force, with a key that holds a third of the rows."""
 
+import hashlib
+from bisect import bisect_right
+from fractions import Fraction
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from trailmark.operators import advantages as G
+from trailmark.operators import builders as D
 from trailmark.operators import evaluation as V
 from trailmark.operators import ordering as O
 from trailmark.operators import policy as P
 from trailmark.operators import profiles
 from trailmark.operators import sampling as H
 from trailmark.operators.groups import attach_stats
+from trailmark.plans import QUERIES, load_all
+from trailmark.plans.building import trajectories
+
+load_all()
 
 RNG = np.random.default_rng(5)
 
@@ -282,6 +292,38 @@ def test_reweight_follows_the_weights(spark):
     assert (drawn.k == 3).mean() == pytest.approx(100 / (100 + 1999 * 0.01), abs=0.03)
 
 
+def test_reweight_draws_by_eight_digits_and_never_by_no_weight(spark):
+    n = 3000
+    scores = [0.0 if i % 2 else 1e4 + i for i in range(n)]
+    drawn = H.reweight(spark.createDataFrame(list(enumerate(scores)), "k int, s double"), "k", "s", "pow", 6).collect()
+    rows = sorted((hashlib.md5(f"6|{k}".encode()).hexdigest(), k, Fraction(s**2 + 1e-8)) for k, s in enumerate(scores))
+    starts = list(accumulate((w for *_, w in rows), initial=Fraction(0)))
+    total = starts.pop()
+    want = {}
+    for k in range(n):
+        u = Fraction(int(hashlib.md5(f"6d|{k}".encode()).hexdigest()[:8], 16), 2**32)
+        want[k] = rows[bisect_right(starts, u * total) - 1][1]
+    assert {r.draw: r.k for r in drawn} == want
+
+
+def test_positions_have_eight_digits(spark):
+    digest = F.lit("0123456789abcdef" * 2)
+    row = spark.range(1).select(O.unit_interval(digest, 8).alias("eight"), O.unit_interval(digest).alias("thirteen")).first()
+    assert row.eight == 0x01234567 / 2**32 and row.thirteen == 0x0123456789ABC / 16**13
+
+
+def test_missing_pictures_drop_their_rows(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"]), (3, ["d", "e"])], "id int, p array<string>")
+    rows = rows.select("id", F.transform("p", lambda p: F.struct(p.alias("image"))).alias("images"))
+    listing = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "path string")
+    assert sorted(r.id for r in D.drop_missing_media(rows, listing, "id").collect()) == [1, 2]
+
+
+def test_media_alignment_answers_for_every_trajectory_with_pictures(spark, sf):
+    whole = sum(1 for r in trajectories(spark, sf).select(F.size("images").alias("n")).collect() if r.n > 0)
+    assert whole and QUERIES["media_alignment"](spark, sf).count() == whole
+
+
 def test_factorize(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("c",)], "u string")
     assert sorted((r.u or "", r.group_id) for r in H.factorize(df, "u").collect()) == [("", 0), ("a", 1), ("b", 2), ("b", 2), ("c", 3)]

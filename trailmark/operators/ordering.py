@@ -25,9 +25,9 @@ def seed_hash(seed: int | str, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]))
 
 
-def unit_interval(digest: Column) -> Column:
-    """A number in [0, 1) with 52 bits, from the first thirteen hex digits of a digest."""
-    return F.conv(F.substr(digest, F.lit(1), F.lit(13)), 16, 10).cast("double") / float(16**13)
+def unit_interval(digest: Column, digits: int = 13) -> Column:
+    """A number in [0, 1) from the first hex digits of a digest, four bits each: 52 bits unless given."""
+    return F.conv(F.substr(digest, F.lit(1), F.lit(digits)), 16, 10).cast("double") / float(16**digits)
 
 
 def hash_bucket(digest: Column) -> Column:
@@ -67,8 +67,9 @@ def running(
     bucket: str,
     order: Sequence[Column],
     measures: dict[str, Column],
+    before: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums within each group in the order (bucket, order).
+    """Running sums within each group in the order (bucket, order), up to each row or, with ``before``, ahead of it.
 
     ``bucket`` must follow ``order``. Rows are shuffled once, on group and bucket, so a hot group
     spreads over its buckets.
@@ -77,8 +78,8 @@ def running(
     # finds the rows where the window has put them.
     grouped = df.withColumn("__group", F.struct(*group) if group else F.lit(0))
     keys = ["__group", bucket]
-    local = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = grouped.withColumns({f"__in_{m}": F.sum(c).over(local) for m, c in measures.items()})
+    local = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else W.currentRow)
+    inside = grouped.withColumns({f"__in_{m}": F.coalesce(F.sum(c).over(local), F.lit(0)) if before else F.sum(c).over(local) for m, c in measures.items()})
     totals = grouped.groupBy(*keys).agg(*[F.sum(c).alias(f"__sum_{m}") for m, c in measures.items()])
     earlier = W.partitionBy("__group").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(

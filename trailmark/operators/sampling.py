@@ -62,7 +62,7 @@ def split_count(df: DataFrame, ratio: float, seed: int, key: str) -> DataFrame:
 
 def split_prob(df: DataFrame, ratio: float, seed: int, key: str) -> DataFrame:
     """Adds ``split``: each row is ``test`` with the given probability, seeded."""
-    return df.withColumn("split", F.when(unit_interval(seed_hash(seed, key)) < ratio, "test").otherwise("train"))
+    return df.withColumn("split", F.when(unit_interval(seed_hash(seed, key), 8) < ratio, "test").otherwise("train"))
 
 
 def max_samples(df: DataFrame, n: int, key: str, shuffle: bool = False, seed: int = 1) -> DataFrame:
@@ -159,7 +159,8 @@ def reweight(df: DataFrame, key: str, score: str, method: str, seed: int, power:
     Each row owns an interval of the total weight. Rows lie in ``BUCKETS`` of equally many, whatever their weights. The
     draws of a bucket are counted, and a bucket that gets more than a ``share``-th of them is copied that many times and
     its draws dealt over the copies; so neither rows of tiny weight nor draws of a heavy row share one task, and the
-    copies are no more than ``1 + share / BUCKETS`` times the rows. A draw takes the last interval that starts at or before it.
+    copies are no more than ``1 + share / BUCKETS`` times the rows. A draw takes the last interval that starts at or before it;
+    of rows too light to move the sum of weights, that start together, the last in digest order.
     """
     value = F.col(score)
     top, bottom = df.agg(F.max(score)).scalar(), df.agg(F.min(score)).scalar()
@@ -171,8 +172,8 @@ def reweight(df: DataFrame, key: str, score: str, method: str, seed: int, power:
     digest = seed_hash(seed, key)
     placed = running(
         df.withColumn("__w", weight).withColumn("__bucket", hash_bucket(digest)),
-        [], "__bucket", [digest, F.col(key)], {"__hi": F.col("__w")},
-    ).withColumn("__lo", F.col("__hi") - F.col("__w"))
+        [], "__bucket", [digest, F.col(key)], {"__lo": F.col("__w")}, before=True,
+    )
     total = df.agg(F.sum(weight)).scalar()
     # One row for each bucket, at most BUCKETS: its interval, copied to each equal slice of the weight that it reaches into.
     # A slice has as many draws as any other, so the buckets of a slice that a draw is held against are two on average.
@@ -186,7 +187,7 @@ def reweight(df: DataFrame, key: str, score: str, method: str, seed: int, power:
     )
     reach = F.sequence(slice_no(F.col("__from")), F.when(F.col("__to") == float("inf"), F.lit(BUCKETS - 1)).otherwise(slice_no(F.col("__end"))))
     spans = F.broadcast(spans.select("__bucket", "__from", "__to", F.explode(reach).alias("__slice")))
-    drawn = df.select(F.col(key).alias("draw")).withColumn("__pos", unit_interval(seed_hash(f"{seed}d", "draw")) * total)
+    drawn = df.select(F.col(key).alias("draw")).withColumn("__pos", unit_interval(seed_hash(f"{seed}d", "draw"), 8) * total)
     drawn = drawn.withColumn("__slice", slice_no(F.col("__pos"))).join(spans, "__slice")
     drawn = drawn.where((F.col("__from") <= F.col("__pos")) & (F.col("__pos") < F.col("__to"))).select("draw", "__pos", "__bucket")
     hits = drawn.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
@@ -196,15 +197,15 @@ def reweight(df: DataFrame, key: str, score: str, method: str, seed: int, power:
     # A bucket without draws is needed by none.
     owners = placed.join(copies, "__bucket").select(
         "__bucket", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("__copy"), F.col("__lo").alias("__pos"), F.lit(0).alias("__kind"),
-        F.struct(*columns).alias("__row"), F.lit(None).cast(df.schema[key].dataType).alias("draw"),
+        F.struct(*columns).alias("__row"), F.lit(None).cast(df.schema[key].dataType).alias("draw"), F.struct(digest, F.col(key)).alias("__tie"),
     )
     draws = drawn.join(copies, "__bucket").select(
         "__bucket", F.pmod(F.xxhash64("draw"), F.col("__copies")).cast("int").alias("__copy"), "__pos", F.lit(1).alias("__kind"),
-        F.lit(None).cast(owners.schema["__row"].dataType).alias("__row"), "draw",
+        F.lit(None).cast(owners.schema["__row"].dataType).alias("__row"), "draw", F.lit(None).cast(owners.schema["__tie"].dataType).alias("__tie"),
     )
-    order = W.partitionBy("__bucket", "__copy").orderBy("__pos", "__kind")
+    order = W.partitionBy("__bucket", "__copy").orderBy("__pos", "__kind", "__tie")
     before = F.last("__row", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    backwards = W.partitionBy("__bucket", "__copy").orderBy(F.desc("__pos"), F.desc("__kind"))
+    backwards = W.partitionBy("__bucket", "__copy").orderBy(F.desc("__pos"), F.desc("__kind"), F.desc("__tie"))
     after = F.last("__row", ignorenulls=True).over(backwards.rowsBetween(W.unboundedPreceding, W.currentRow))
     # Sums of weights differ in their last digits, so a position may lie just before the first interval of its bucket.
     met = owners.unionByName(draws).withColumn("__row", F.coalesce(before, after))
