@@ -324,6 +324,15 @@ def test_media_alignment_answers_for_every_trajectory_with_pictures(spark, sf):
     assert whole and QUERIES["media_alignment"](spark, sf).count() == whole
 
 
+def test_kl_schedule_with_negative_factors(spark):
+    steps = spark.createDataFrame([(0, 0.021, 100), (1, 0.0, 90000), (2, 0.021, 100), (3, 0.0, 90000)], "step long, kl double, n long")
+    at = lambda signed: [r.coefficient for r in P.kl_schedule(steps, 0.2, 0.02, 10000, signed=signed).orderBy("step").collect()]
+    first = 0.2 * 1.0005
+    assert at(True) == pytest.approx([first, -0.8 * first, -0.8 * first * 1.0005, 0.64 * first * 1.0005])
+    # As exp(sum(ln(factor))) has it in SQL.
+    assert at(False) == pytest.approx([first] + [float("nan")] * 3, nan_ok=True)
+
+
 def test_factorize(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("c",)], "u string")
     assert sorted((r.u or "", r.group_id) for r in H.factorize(df, "u").collect()) == [("", 0), ("a", 1), ("b", 2), ("b", 2), ("c", 3)]

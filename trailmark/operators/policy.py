@@ -80,10 +80,12 @@ def mean_sequence_kl(penalised: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return per_sequence.groupBy(*by).agg(F.avg("k").alias("mean_kl"))
 
 
-def kl_schedule(steps: DataFrame, init: float, target: float, horizon: float) -> DataFrame:
+def kl_schedule(steps: DataFrame, init: float, target: float, horizon: float, signed: bool = True) -> DataFrame:
     """Coefficient before and after each step: each step multiplies it by a clipped relative error.
 
-    The running product is a running sum of logarithms; signs and zeros are counted apart.
+    The running product is a running sum of logarithms; signs and zeros are counted apart. A step of more than
+    ``horizon / 0.2`` sequences can have a negative factor: the coefficient then changes its sign or, unless
+    ``signed``, is no number from there on.
     """
     factor = 1 + clamp(F.col("kl") / target - 1, -0.2, 0.2) * F.col("n") / horizon
     staged = with_value_bucket(steps.withColumn("__f", factor), "step")
@@ -96,7 +98,8 @@ def kl_schedule(steps: DataFrame, init: float, target: float, horizon: float) ->
         },
     )
     size = F.when(F.col("__zero") > 0, 0.0).otherwise(init * F.exp("__log"))
-    after = F.when(F.col("__neg") % 2 == 1, -size).otherwise(size)
+    turned = F.when(F.col("__neg") % 2 == 1, -size).otherwise(size) if signed else F.lit(float("nan"))
+    after = F.when(F.col("__neg") > 0, turned).otherwise(size)
     return out.withColumn("coefficient", after).drop("__f", "__log", "__neg", "__zero", "__bucket")
 
 
