@@ -1,6 +1,7 @@
 """Ranks, samples, advantages and diagnostics against brute force, with a key that holds a third of the rows."""
 
 import hashlib
+import math
 from bisect import bisect_right
 from fractions import Fraction
 from itertools import accumulate
@@ -436,3 +437,31 @@ def test_slices_by_rank_filter_only(spark):
     assert H.rank_slice(df.limit(0), "k", 1, 5).count() == 0
     pool = {r.k for r in H.replay_sample(df, "k", 30, 30, 1).collect()}
     assert pool == set(keys[-30:])
+
+
+def test_binomials_invert_the_distribution():
+    u = RNG.random(400)
+    trials = RNG.integers(0, 1300, 400).astype(np.int32)
+    got = V.binomial(trials, 3, 7, lambda at, part: (u[at] + part * 0.37) % 1)
+    want = np.zeros(400, int)
+    for i, t in enumerate(trials.tolist()):
+        for part, size in enumerate([512] * (t // 512) + ([t % 512] if t % 512 else [])):
+            chances = np.cumsum([float(Fraction(math.comb(size, m) * 3**m * 4 ** (size - m), 7**size)) for m in range(size)])
+            want[i] += int((chances <= (u[i] + part * 0.37) % 1).sum())
+    assert (got == want).all()
+
+
+def test_many_predictions_are_merged_in_steps(spark):
+    rows = [("a", i % 700 if i % 3 else 5, float(i % 700 if i % 3 else 5)) for i in range(2100)] + [("b", None, 1.0), ("b", 2, None), ("b", 2, None)]
+    df = spark.createDataFrame(rows, "uid string, p int, v double")
+    got = {(r.uid, r.k): r for r in V.majority_draws(df, ["uid"], "p", "v", draws=300).collect()}
+    assert got["a", 2100].maj_mean == 5 and got["a", 2100].maj_std == 0 and abs(got["a", 2].maj_mean - 233) < 60
+    assert got["b", 3].maj_mean == 1.0
+
+
+def test_draws_do_not_wait_in_one_task(spark):
+    long = spark.createDataFrame([("s", f"u{i % 40}", "x", float(i)) for i in range(120)], "data_source string, uid string, variable string, value double")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for out in (V.bootstrap_extremes(V.value_ladder(long)), V.majority_draws(long.withColumn("p", F.col("value") % 3), V.GROUP, "p", "value")):
+        dealt = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in line]
+        assert dealt and all(f", {n})" in line for line in dealt)

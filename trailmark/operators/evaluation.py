@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from trailmark.functions import constants as K
-from trailmark.functions.core import let
-from trailmark.operators.ordering import BUCKETS, at_ranks, hash_bucket, join_null_safe, ranked, seed_hash, unit_interval, value_ladder
+from trailmark.operators.ordering import BUCKETS, at_ranks, hash_bucket, ranked, value_ladder
 from trailmark.operators.profiles import percentile_row
+from trailmark.session import written
 
 GROUP = ["data_source", "uid", "variable"]
 
@@ -57,9 +61,39 @@ def extremes(ladder: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     )
 
 
-def uniform(seed: int | str, *keys: Column | str) -> Column:
-    """A number in [0, 1) from the md5 of seed and keys: the same in every engine that has md5."""
-    return unit_interval(seed_hash(seed, *keys))
+def uniforms(head: bytes, ends: list[bytes]) -> np.ndarray:
+    """Numbers in [0, 1) from the md5 of ``head`` and each end, as ``ordering.unit_interval`` has them: any engine draws the same."""
+    digests = b"".join([md5(head + end).digest()[:8] for end in ends])
+    return (np.frombuffer(digests, ">u8") >> np.uint64(12)).astype(np.float64) / 16.0**13
+
+
+def tasks(df: DataFrame) -> int:
+    """Partitions for rows that are few bytes and much work, which adaptive execution would put into one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def extreme_ranks(seed: int, draws: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """g, side, r, w: how often rank r is the best or worst of k of n, of each row with ``g.n``, ``g.k`` and ``keys``."""
+    ends = [b"|%d" % d for d in range(1, draws + 1)]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source, sides, ranks, counts = [], [], [], []
+            sizes = zip(*(batch["g"].field(c).to_pylist() for c in ("n", "k")), batch["keys"].to_pylist(), strict=True)
+            for row, (n, k, keys) in enumerate(sizes):
+                for side in ("best", "worst"):
+                    u = uniforms(f"{seed}{side}|{keys}".encode(), ends)
+                    largest = np.minimum(np.floor(n * u ** (1.0 / k)).astype(np.int64) + 1, n)
+                    r, w = np.unique(largest if side == "best" else n + 1 - largest, return_counts=True)
+                    source += [row] * len(r)
+                    sides += [side] * len(r)
+                    ranks.append(r)
+                    counts.append(w)
+            given = batch["g"].take(pa.array(source, pa.int32()))
+            columns = [given, pa.array(sides, pa.string()), *(pa.array(np.concatenate(c or [[]]).astype(np.int64)) for c in (ranks, counts))]
+            yield pa.RecordBatch.from_arrays(columns, names=["g", "side", "r", "w"])
+
+    return draw
 
 
 def bootstrap_extremes(ladder: DataFrame, seed: int = 42, draws: int = 1000, group: Sequence[str] = GROUP) -> DataFrame:
@@ -69,16 +103,12 @@ def bootstrap_extremes(ladder: DataFrame, seed: int = 42, draws: int = 1000, gro
     value is then looked up by rank.
     """
     groups = ladder.select(*group, "n").distinct().withColumn("k", F.explode(draw_sizes(F.col("n"))))
-    rows = groups.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    n, k = F.col("n").cast("double"), F.col("k").cast("double")
-
-    def rank_of(tag: str) -> Column:
-        u = uniform(f"{seed}{tag}", *group, "k", "draw")
-        largest = F.least(F.floor(n * F.pow(u, 1 / k)) + 1, F.col("n"))
-        return largest if tag == "best" else F.col("n") + 1 - largest
-
-    sides = F.array(*[F.struct(F.lit(t).alias("side"), rank_of(t).alias("r")) for t in ("best", "worst")])
-    wanted = rows.select(*group, "n", "k", F.inline(sides)).groupBy(*group, "n", "k", "side", "r").agg(F.count(F.lit(1)).alias("w"))
+    # A row here stands for thousands of draws, so the rows are dealt out first, however few bytes they have. The draws of
+    # a group and size are counted by rank where they are made.
+    keys = F.concat_ws("|", *[F.col(c).cast("string") for c in (*group, "k")]).alias("keys")
+    dealt = groups.repartition(tasks(ladder), *group, "n", "k").select(F.struct(*group, "n", "k").alias("g"), keys)
+    shape = StructType([dealt.schema["g"]]).add("side", "string").add("r", "long").add("w", "long")
+    wanted = dealt.mapInArrow(extreme_ranks(seed, draws), shape).select("g.*", "side", "r", "w")
     met = at_ranks(ladder, wanted, group)
     w, v = F.col("w"), F.col("value")
     out = met.groupBy(*group, "k", "side").agg(
@@ -97,68 +127,137 @@ def majority_value(df: DataFrame, group: Sequence[str], pred: str, value: str, o
     return votes.groupBy(*group).agg(best.alias("b")).select(*group, "b.*")
 
 
-TRIALS = 512
+# Trials of one inversion, so that no probability underflows; draws in one array; leaves merged in one task.
+TRIALS, DRAWS_PER_ROW, MERGED_BITS = 512, 1000, 8
 
 
-def binomial(trials: Column, hits: Column, total: Column, digest: Callable[[Column], Column]) -> Column:
-    """Successes among ``trials`` of chance ``hits / total``, by inverting the distribution at uniforms.
+def binomial(trials: np.ndarray, hits: int, total: int, drawn: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """Successes among each of ``trials`` of chance ``hits / total``, by inverting the distribution at uniforms.
 
-    Trials are taken up to ``TRIALS`` at a time, each time with a uniform of its own (``digest`` of the number of the
-    part), so no probability underflows. The rarer outcome is the one that is counted.
+    Trials are taken up to ``TRIALS`` at a time, each time with a uniform of its own (``drawn`` of the places asked and the
+    number of the part). The rarer outcome is the one that is counted.
     """
-    rare = F.least(hits, total - hits) / total
-
-    def part(i: Column) -> Column:
-        t = F.least(trials - i * TRIALS, F.lit(TRIALS).cast("bigint"))
-        start = F.pow(1 - rare, t.cast("double"))
-        given = F.struct(unit_interval(digest(i)).alias("u"), t.alias("t"), rare.alias("p"), start.alias("start"))
-
-        def count(g: Column) -> Column:
-            state = F.struct(g.start.alias("mass"), g.start.alias("upto"), F.lit(0).cast("bigint").alias("x"))
-
-            def step(s: Column, _: Column) -> Column:
-                mass = s.mass * (g.t - s.x) / (s.x + 1) * (g.p / (1 - g.p))
-                more = F.struct(mass.alias("mass"), (s.upto + mass).alias("upto"), (s.x + 1).alias("x"))
-                return F.when(s.upto <= g.u, more).otherwise(s)
-
-            return F.aggregate(F.sequence(F.lit(1).cast("bigint"), g.t), state, step, lambda s: s.x)
-
-        counted = let(given, count)
-        return F.when(2 * hits > total, t - counted).otherwise(counted)
-
-    parts = F.sequence(F.lit(0).cast("bigint"), F.floor((trials - 1) / TRIALS))
-    drawn = F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, i: n + part(i))
-    return F.when((hits == 0) | (trials == 0), F.lit(0).cast("bigint")).when(hits == total, trials.cast("bigint")).otherwise(drawn)
-
-
-def multinomial_draws(votes: DataFrame, group: Sequence[str], seed: int, draws: int) -> DataFrame:
-    """group, k, draw, r, x: how often prediction number r is drawn among k draws, where at all.
-
-    ``votes`` has a row for each prediction of a group with its place ``r`` (from 1) and count ``c``. The
-    predictions are the leaves of a binary tree, whose level b splits them by bit b of their place. The draws of a node
-    are split between its halves by a binomial with the share of the votes on the left; a half without draws ends
-    there. Each level is one join with the nodes.
+    if hits == 0 or hits == total:
+        return trials * (hits == total)
+    rare = min(hits, total - hits) / total
+    found = np.zeros_like(trials)
+    for part in range(-(-int(trials.max(initial=0)) // TRIALS)):
+        at = np.flatnonzero(trials > part * TRIALS)
+        size = np.minimum(trials[at] - part * TRIALS, TRIALS)
+        u = drawn(at, part)
+        counted = np.zeros_like(size)
+        for t in np.unique(size):
+            m = np.arange(t)
+            mass = np.cumprod(np.concatenate([[(1 - rare) ** float(t)], (t - m[:-1]) / (m[:-1] + 1) * (rare / (1 - rare))]))
+            same = size == t
+            counted[same] = np.searchsorted(np.cumsum(mass), u[same], side="right")
+        found[at] += size - counted if 2 * hits > total else counted
+    return found
+
+
+def halves(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The draws ``xs`` of a node of the tree split between its two halves; a half without draws ends."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source, j, xs = [], [], []
+            prefixes, firsts, nodes, lefts, totals = (batch[c].to_pylist() for c in ("keys", "first", "j", "left", "total"))
+            for row, trials in enumerate(batch["xs"]):
+                x = trials.values.to_numpy()
+                head, tail = f"{prefixes[row]}|".encode(), f"|{level}|{nodes[row]}|".encode()
+
+                def drawn(at: np.ndarray, part: int, first=firsts[row], head=head, tail=tail) -> np.ndarray:
+                    return uniforms(head, [b"%d%b%d" % (d, tail, part) for d in (at + first).tolist()])
+
+                left = binomial(x, lefts[row], totals[row], drawn)
+                for half, node in ((left, nodes[row]), (x - left, nodes[row] + (1 << level))):
+                    if half.any():
+                        source.append(row)
+                        j.append(node)
+                        xs.append(half)
+            kept = batch.select(["__g", "k", "first", "keys"]).take(pa.array(source, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(j, pa.int64()), lists(xs, np.int32)], names=[*kept.schema.names, "j", "xs"])
+
+    return split
+
+
+def lists(rows: list[np.ndarray], kind: type) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows or [[]]).astype(kind)))
+
+
+def multinomial_draws(votes: DataFrame, seed: int, draws: int) -> DataFrame:
+    """__g, k, first, j, xs: how often prediction number j is drawn among k draws, in each of the draws from ``first`` on.
+
+    ``votes`` has a row for each prediction of a group ``__g`` with its number ``j`` (from 0) and count ``c``; ``keys`` of a
+    group begin its digests. The predictions are the leaves of a binary tree, whose level b splits them by bit b of their
+    number. The draws of a node are split between its halves by a binomial with the share of the votes on the left. Each
+    level is one join with the nodes, in which up to ``DRAWS_PER_ROW`` draws are one row.
     """
-    depth = max(0, int(votes.agg(F.max("r")).first()[0] or 1) - 1).bit_length()
-    sizes = votes.groupBy(*group).agg(F.sum("c").alias("n"))
+    depth = depth_of(votes)
+    n = tasks(votes)
+    sizes = votes.groupBy("__g").agg(F.sum("c").alias("n"), F.first("keys").alias("keys"))
     sizes = sizes.where("n > 1").withColumn("k", F.explode(draw_sizes(F.col("n"))))
-    rows = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    rows = rows.select(*group, "k", "draw", F.lit(0).cast("bigint").alias("j"), F.col("k").alias("x"))
-    leaf = (F.col("r") - 1).cast("bigint")
+    firsts = F.explode(F.sequence(F.lit(1), F.lit(draws), F.lit(DRAWS_PER_ROW))).alias("first")
+    keys = F.concat_ws("|", F.lit(str(seed)), F.col("keys"), F.col("k").cast("string")).alias("keys")
+    rows = sizes.select("__g", "k", firsts, keys, F.lit(0).cast("bigint").alias("j"))
+    start = F.array_repeat(F.col("k").cast("int"), F.least(F.lit(DRAWS_PER_ROW), F.lit(draws + 1) - F.col("first")).cast("int"))
+    shape = StructType([rows.schema[c] for c in ("__g", "k", "first", "keys", "j")]).add("xs", ArrayType(IntegerType()))
     for level in range(depth):
-        right = F.shiftright(leaf, level).bitwiseAND(F.lit(1).cast("bigint"))
-        nodes = votes.groupBy(*group, leaf.bitwiseAND(F.lit((1 << level) - 1).cast("bigint")).alias("j")).agg(
+        right = F.shiftright("j", level).bitwiseAND(F.lit(1).cast("bigint"))
+        nodes = votes.groupBy("__g", F.col("j").bitwiseAND(F.lit((1 << level) - 1).cast("bigint")).alias("j")).agg(
             F.sum(F.when(right == 0, F.col("c")).otherwise(0)).alias("left"), F.sum("c").alias("total")
         )
-        met = join_null_safe(rows, nodes, [*group, "j"])
-        to_left = binomial(F.col("x"), F.col("left"), F.col("total"), lambda i: seed_hash(seed, *group, "k", "draw", F.lit(level), "j", i))
-        split = met.withColumn("__left", to_left)
-        halves = F.array(
-            F.struct(F.col("j").alias("j"), F.col("__left").alias("x")),
-            F.struct((F.col("j") + F.lit(1 << level)).alias("j"), (F.col("x") - F.col("__left")).alias("x")),
-        )
-        rows = split.select(*group, "k", "draw", F.inline(halves)).where("x > 0")
-    return rows.select(*group, "k", "draw", (F.col("j") + 1).alias("r"), "x")
+        met = rows.repartition(n, "__g", "j").join(nodes.repartition(n, "__g", "j"), ["__g", "j"])
+        if level == 0:
+            met = met.withColumn("xs", start)
+        rows = met.select("__g", "k", "first", "keys", "j", "xs", "left", "total").mapInArrow(halves(level), shape)
+    return (rows if depth else rows.withColumn("xs", start)).drop("keys")
+
+
+def depth_of(votes: DataFrame) -> int:
+    """Levels of the tree over the predictions of the group that has most."""
+    return int(votes.agg(F.max("j")).first()[0] or 0).bit_length()
+
+
+def winners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of equal ``key``, which follow each other, as one: per draw the greatest ``xs``, and the sums of its ``ms`` and
+    ``qs`` over the ``ties`` that have it. One value in ``ties``, ``ms`` or ``qs`` stands for all draws."""
+    key, held = None, None
+
+    def row() -> pa.RecordBatch:
+        kinds = (np.int32, np.int32, np.float64, np.float64)
+        return pa.RecordBatch.from_arrays([key, *(lists([a], t) for a, t in zip(held, kinds, strict=True))], names=["key", "xs", "ties", "ms", "qs"])
+
+    for batch in batches:
+        done = []
+        for i in range(batch.num_rows):
+            x, *given = (batch[c][i].values.to_numpy() for c in ("xs", "ties", "ms", "qs"))
+            this = batch["key"].slice(i, 1)
+            if key is None or not this.equals(key):
+                if key is not None:
+                    done.append(row())
+                key, held = this, [x, *(np.broadcast_to(g, len(x)) for g in given)]
+                continue
+            more, same = x > held[0], x == held[0]
+            held = [np.maximum(x, held[0]), *(np.where(more, g, np.where(same, h + g, h)) for g, h in zip(given, held[1:], strict=True))]
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+    if key is not None:
+        yield row()
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The values of the winners, ties averaged, summed over the draws of a row that have one."""
+    for batch in batches:
+        m, q, n = [], [], []
+        for i in range(batch.num_rows):
+            ties, *sums = (batch[c][i].values.to_numpy() for c in ("ties", "ms", "qs"))
+            has = ties > 0
+            for total, values in zip((m, q), sums, strict=True):
+                total.append(float((values[has] / ties[has]).sum()))
+            n.append(int(has.sum()))
+        yield pa.RecordBatch.from_arrays([batch["key"], pa.array(m, pa.float64()), pa.array(q, pa.float64()), pa.array(n, pa.int64())], names=["key", "m", "q", "n"])
 
 
 def majority_draws(df: DataFrame, group: Sequence[str], pred: str, value: str, seed: int = 42, draws: int = 1000) -> DataFrame:
@@ -167,6 +266,7 @@ def majority_draws(df: DataFrame, group: Sequence[str], pred: str, value: str, s
     Only the counts of each prediction decide the vote, so they are drawn (multinomial) instead of
     samples; tied predictions are equally likely to come first, and the first value within the
     winner is any of its values. A group is reduced to its distinct predictions beforehand, the frequent ones first.
+    The winners are found up the tree, ``2 ** MERGED_BITS`` predictions or subtrees at a time.
     """
     votes = df.groupBy(*group, pred).agg(
         F.count(F.lit(1)).alias("c"), F.avg(value).alias("m"), F.avg(F.col(value) * F.col(value)).alias("q")
@@ -175,13 +275,25 @@ def majority_draws(df: DataFrame, group: Sequence[str], pred: str, value: str, s
     halving = -F.floor(F.log2("c"))
     bucket = halving * BUCKETS + hash_bucket(digest)
     votes = ranked(votes, [digest, F.col(pred)], bucket, list(group), "r")
-    drawn = multinomial_draws(votes, group, seed, draws)
-    named = join_null_safe(drawn, votes.select(*group, "r", "m", "q"), [*group, "r"])
-    level = named.groupBy(*group, "k", "draw", "x").agg(F.avg("m").alias("m"), F.avg("q").alias("q"))
-    won = level.groupBy(*group, "k", "draw").agg(F.max_by(F.struct("m", "q"), "x").alias("b"))
-    out = won.groupBy(*group, "k").agg(F.avg("b.m").alias("maj_mean"), F.avg("b.q").alias("sq"))
+    keys = F.concat_ws("|", *[F.col(c).cast("string") for c in group]).alias("keys")
+    votes = written(votes.select(F.struct(*group).alias("__g"), keys, (F.col("r") - 1).cast("bigint").alias("j"), "c", "m", "q"), "votes")
+    n = tasks(votes)
+    drawn = multinomial_draws(votes, seed, draws).repartition(n, "__g", "j")
+    named = drawn.join(votes.select("__g", "j", "m", "q").repartition(n, "__g", "j"), ["__g", "j"])
+    # A prediction without a value counts as a vote only.
+    alone = {"ties": F.col("m").isNotNull().cast("int"), "ms": F.coalesce("m", F.lit(0.0)), "qs": F.coalesce("q", F.lit(0.0))}
+    best = named.select(F.struct("__g", "k", "first", "j").alias("key"), "xs", *[F.array(c).alias(name) for name, c in alone.items()])
+    for bits in range(max(0, depth_of(votes) - MERGED_BITS), -MERGED_BITS, -MERGED_BITS):
+        above = F.col("key.j").bitwiseAND(F.lit((1 << max(0, bits)) - 1).cast("bigint")).alias("j")
+        moved = best.select(F.struct("key.__g", "key.k", "key.first", above).alias("key"), "xs", "ties", "ms", "qs")
+        best = moved.repartition(n, "key").sortWithinPartitions("key").mapInArrow(winners, moved.schema)
+        if bits <= 0:
+            break
+    shape = StructType([best.schema["key"]]).add("m", "double").add("q", "double").add("n", "long")
+    sums = best.mapInArrow(summed, shape).groupBy("key.__g", "key.k").agg(*[F.sum(c).alias(c) for c in ("m", "q", "n")])
+    out = sums.select("__g", "k", F.try_divide("m", "n").alias("maj_mean"), F.try_divide("q", "n").alias("sq"))
     variance = F.col("sq") - F.col("maj_mean") * F.col("maj_mean")
-    return out.select(*group, "k", "maj_mean", F.sqrt(F.when(variance > 0, variance).otherwise(0.0)).alias("maj_std"))
+    return out.select("__g.*", "k", "maj_mean", F.sqrt(F.when(variance > 0, variance).otherwise(0.0)).alias("maj_std"))
 
 
 def validation_metrics(df: DataFrame, variables: Sequence[str], source: str = "data_source", uid: str = "uid", pred: str | None = None, seed: int = 42) -> DataFrame:
