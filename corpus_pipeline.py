@@ -9,7 +9,7 @@ from trailmark.llm.common import table, written
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kneser_ney.drop_rejected(docs, table(spark, sf_dir, "labels"))
+    return kneser_ney.drop_rejected(docs, table(spark, sf_dir, "labels"), stored=True)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

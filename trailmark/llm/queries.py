@@ -84,7 +84,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), stored=True)
 
 
 @query(

@@ -3,118 +3,96 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import re
-from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructType
 
-from trailmark.llm.common import written
+from trailmark.llm.text_blocks import ASKED, Blocks, answered, answers, asked, asking_order, judged_rows, questions, text_blocks
 
 # Scripts written without spaces are taken character by character: Thai to Burmese, Khmer, kana, Han.
 UNSPACED = r"฀-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
+WORD_SCORES = "n_words long, word_nll double, worst double"
 WORDS = re.compile(rf"[{UNSPACED}]|[^\s\x00-/:-@\[-`{{-\xbf -⁯　-〿＀-／{UNSPACED}]+")
-BLOCK_CHARS, BLOCK_DOCS = 16 << 20, 1 << 16
-POSTINGS = StructType().add("block", LongType()).add("word", LongType()).add("trained", LongType()).add("seen", LongType()).add("held", BinaryType())
 
 
 def word_hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _block(number: int, keys: list[int], langs: list[int], index: dict[str, int], parts: list[tuple[np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
-    """The distinct words of a block with their counts, and one row that holds the words of each of its documents."""
-    ids = np.concatenate([p[0] for p in parts])
-    counts = np.concatenate([p[1] for p in parts])
-    docs = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]).astype(np.uint16)
-    train = np.repeat([p[2] for p in parts], [len(p[0]) for p in parts])
-    hashes = np.fromiter(map(word_hash, index), np.int64, len(index))
-    seen = np.bincount(ids, counts, len(index)).astype(np.int64)
-    trained = np.bincount(ids, counts * train, len(index)).astype(np.int64)
-    order = np.argsort(ids, kind="stable")
-    packed = io.BytesIO()
-    np.savez_compressed(
-        packed, keys=np.array(keys, np.int64), langs=np.array(langs, np.uint32), words=hashes, seen=seen, trained=trained,
-        ids=ids[order].astype(np.uint32), docs=docs[order], counts=counts[order].astype(np.uint32),
-    )
-    n = len(index)
-    columns = [[number] * (n + 1), [*hashes, None], [*trained, None], [*seen, None]]
-    arrays = [pa.array(c, pa.int64()) for c in columns] + [pa.array([None] * n + [packed.getvalue()], pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=POSTINGS.names)
-
-
-def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, lang, text, train) rows of one task as blocks of about BLOCK_CHARS characters.
+class _Numbers(dict):
+    """Numbers new keys as they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+def word_numbers(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each distinct word; for each row the number of its language's empty word, and how many words it has; numbers of all words.
 
     A word is counted in its language, and the empty word stands for all words of a language.
     """
-    context = TaskContext.get()
-    number = (context.partitionId() if context else 0) << 32
-    keys, langs, index, parts, size = [], [], {}, [], 0
-    for batch in batches:
-        for key, lang, text, train in zip(*[batch[c].to_pylist() for c in ("key", "lang")], batch["text"], batch["train"].to_pylist(), strict=True):
-            text, lang = text.as_py() or "", "0" if lang is None else f"1{lang}"
-            met = Counter(WORDS.findall(text.lower()))
-            met[""] = met.total()
-            ids = np.fromiter((index.setdefault(f"{lang}\0{w}", len(index)) for w in met), np.int64, len(met))
-            keys.append(key)
-            langs.append(ids[-1])
-            parts.append((ids, np.fromiter(met.values(), np.int64, len(met)), train))
-            size += len(text)
-            if size >= BLOCK_CHARS or len(keys) == BLOCK_DOCS:
-                yield _block(number, keys, langs, index, parts)
-                keys, langs, index, parts, size, number = [], [], {}, [], 0, number + 1
-    if keys:
-        yield _block(number, keys, langs, index, parts)
+    known, found, of = {}, [], []
+    for lang, text in zip(rows["lang"].to_pylist(), rows["text"], strict=True):
+        lang = "0" if lang is None else f"1{lang}"
+        if lang not in known:
+            known[lang] = _Numbers({"": 0})
+        words = WORDS.findall((text.as_py() or "").lower())
+        found.append(np.fromiter(map(known[lang].__getitem__, words), np.int64, len(words)))
+        of.append(lang)
+    starts = dict(zip(known, np.cumsum([0, *map(len, known.values())]).tolist()))
+    hashes = np.fromiter((word_hash(f"{lang}\0{w}") for lang, ws in known.items() for w in ws), np.int64)
+    wholes, n = np.array([starts[lang] for lang in of], np.int64), np.array([len(f) for f in found], np.int64)
+    return hashes, wholes, n, np.concatenate(found) + np.repeat(wholes, n)
 
 
-def word_scores(rows: DataFrame) -> DataFrame:
-    """key, n_words, word_nll, worst of every row of (key, lang, text, train).
+def distinct_words(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of a block, with their occurrences in rows to train on and in all rows."""
+    hashes, wholes, n, numbers = word_numbers(rows)
+    train = rows["train"].to_numpy()
+
+    def counts(weight: np.ndarray) -> np.ndarray:
+        each = np.bincount(numbers, np.repeat(weight, n), len(hashes)) + np.bincount(wholes, weight * n, len(hashes))
+        return each.astype(np.int64)
+
+    return hashes, counts(train.astype(np.int64)), counts(np.ones(len(n), np.int64))
+
+
+def word_counts(blocks: Blocks) -> DataFrame:
+    """block, part, held: to each block the counts of its words in rows to train on and in all rows of the corpus."""
+
+    def total(group: pa.Table) -> pa.Table:
+        hashes, counts, ends = questions(group, 2)
+        _, at = np.unique(hashes, return_inverse=True)
+        return answers(group, ends, *[np.bincount(at, c)[at].astype(np.int64) for c in counts])
+
+    return asked(blocks, distinct_words).groupBy("part").applyInArrow(total, ASKED)
+
+
+def judge_words(rows: pa.Table, group: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n_words, word_nll and worst of the rows of a block, given its answers from ``word_counts``.
 
     ``word_nll`` is minus the log probability of all words under the counts of the language's rows to train on, with
     half an occurrence of prior for each word. ``worst`` is the least log ratio, over the words, of the occurrences in
     trusted text to those expected there from the whole corpus of the language: a word common in the corpus that trusted text
-    avoids is far below 0, a rare one near 0. Texts never move. The words of a block are sent once each, and
-    only words of more than one block come back to it; the other counts it has itself. A word has one row
-    per block, so no word gathers its occurrences in one task.
+    avoids is far below 0, a rare one near 0.
     """
-    met = written(rows.select("key", "lang", "text", "train").mapInArrow(postings, POSTINGS), "word-postings")
-    word = W.partitionBy("word")
-    sums = [F.sum("trained").over(word).alias("trained"), F.sum("seen").over(word).alias("seen"), F.count(F.lit(1)).over(word).alias("blocks")]
-    shared = met.where(F.col("word").isNotNull()).select("block", "word", *sums).where("blocks > 1").drop("blocks")
-
-    def score(block: pa.Table, known: pa.Table) -> pa.Table:
-        keys, n, nll, worst = [], [], [], []
-        for held in block["held"]:
-            with np.load(io.BytesIO(held.as_py())) as found:
-                b = {name: found[name] for name in found.files}
-            trained, seen = b["trained"].astype(np.float64), b["seen"].astype(np.float64)
-            order = np.argsort(b["words"])
-            at = order[np.searchsorted(b["words"], known["word"].to_numpy(), sorter=order)]
-            trained[at], seen[at] = known["trained"].to_numpy(), known["seen"].to_numpy()
-            # The counts of a language are those of its empty word, which is no word of the text.
-            word = b["ids"] != b["langs"][b["docs"]]
-            ids, docs, counts = (b[c][word] for c in ("ids", "docs", "counts"))
-            whole = b["langs"][docs]
-            cost = -np.log((trained[ids] + 0.5) / (trained[whole] + 1.0))
-            ratio = np.log((trained[ids] + 1.0) / (seen[ids] * trained[whole] / seen[whole] + 1.0))
-            size = len(b["keys"])
-            lowest = np.full(size, np.inf)
-            np.minimum.at(lowest, docs, ratio)
-            keys.append(b["keys"])
-            n.append(np.bincount(docs, counts, size).astype(np.int64))
-            nll.append(np.bincount(docs, counts * cost, size))
-            worst.append(np.where(np.isinf(lowest), 0.0, lowest))
-        arrays = [pa.array(np.concatenate(v) if v else [], t) for v, t in ((keys, pa.int64()), (n, pa.int64()), (nll, pa.float64()), (worst, pa.float64()))]
-        return pa.Table.from_arrays(arrays, names=["key", "n_words", "word_nll", "worst"])
-
-    packs = met.where(F.col("held").isNotNull()).select("block", "held")
-    scored = packs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(score, "key long, n_words long, word_nll double, worst double")
-    return scored.groupBy("key").agg(*[F.max(c).alias(c) for c in ("n_words", "word_nll", "worst")])
+    hashes, wholes, n, numbers = word_numbers(rows)
+    trained, seen = (v.astype(np.float64) for v in answered(group, asking_order(hashes, parts)[0], np.int64, np.int64))
+    docs, whole = np.repeat(np.arange(len(n)), n), np.repeat(wholes, n)
+    cost = -np.log((trained[numbers] + 0.5) / (trained[whole] + 1.0))
+    ratio = np.log((trained[numbers] + 1.0) / (seen[numbers] * trained[whole] / seen[whole] + 1.0))
+    worst = np.full(len(n), np.inf)
+    np.minimum.at(worst, docs, ratio)
+    return n, np.bincount(docs, cost, len(n)).astype(np.float64), np.where(np.isinf(worst), 0.0, worst)
+
+
+def word_scores(rows: DataFrame) -> DataFrame:
+    """key, n_words, word_nll, worst of every row of (key, lang, text, train), by the words alone."""
+    blocks = text_blocks(rows.withColumn("doc_id", F.lit(None).cast("long")))
+    parts = blocks.parts
+    found = judged_rows(blocks, [word_counts(blocks)], lambda held, groups: judge_words(held, groups[0], parts), WORD_SCORES)
+    return found.drop("doc_id", "lang")
