@@ -1,5 +1,6 @@
 """Quality rules against plain Python."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -137,3 +138,14 @@ def test_distance():
     p, q = np.array([[0.5, 0.5, 0.0], [1.0, 0, 0], [0.2, 0.3, 0.5]]), np.array([[0.5, 0.5, 0.0], [0, 1.0, 0], [0.5, 0.3, 0.2]])
     assert distance(p, q).tolist() == [0, 10_000, root_of_divergence(p[2], q[2])]
     assert References().languages == []
+
+
+def test_references_of_all_good_documents(spark):
+    ids = sorted(range(2050), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    texts = [(i, "en", "few words" if at < 2000 else "Many " * 100) for at, i in enumerate(ids)]
+    docs = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    refs = references(docs, spark.createDataFrame([(i, 1, 0) for i in ids], "doc_id long, quality long, toxic long"), Rules(common=3))
+    assert refs.common == [["many", "few", "words"]]
+    assert np.allclose(refs.shares, [[5000 / 9000, 2000 / 9000, 2000 / 9000, 0]])
+    held = Counter(char_class(c) for _, _, text in texts for c in text)
+    assert np.allclose(refs.classes[0], [held[k] / sum(held.values()) for k in range(8)])

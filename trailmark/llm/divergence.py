@@ -17,6 +17,7 @@ from trailmark.llm.periodic import recurring
 from trailmark.llm.slices import SLICE_BYTES, sliced, text_bytes
 from trailmark.llm.tokens import LOWER, WHITE, mix, word_bounds, word_hashes
 
+BITMAP = 32768  # bits of bitmap_construct_agg
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS = b"#*$%&|<>"
 POINTS = b".,;:!?'\"()-"
@@ -45,15 +46,14 @@ DDL = (
 class Rules:
     """Parameters of the rules.
 
-    ``sample``: labelled good documents taken for each language, by hash of the id; a language needs ``least_sample``.
-    ``common``: words in the histogram. ``quantile``: share of the sample that a limit spares, and ``slack`` widens it.
+    ``least_sample``: labelled good documents that a language needs.
+    ``common``: words in the histogram. ``quantile``: share of the good documents that a limit spares, and ``slack`` widens it.
     ``least_chars``, ``least_words``: shorter documents are not judged by their characters, or words.
-    ``least_class``: sampled documents of a power of two of words from which it has limits of its own.
+    ``least_class``: good documents of a power of two of words from which it has limits of its own.
     """
 
     fewest_words: int = 50
     repeat_percent: int = 50
-    sample: int = 2000
     least_sample: int = 50
     common: int = 100
     quantile: float = 0.99
@@ -153,38 +153,44 @@ def measured(docs: DataFrame, rules: Rules, refs: References, slice_bytes: int =
     return texts.mapInArrow(judge, DDL)
 
 
-def trusted_sample(docs: DataFrame, labels: DataFrame, rules: Rules) -> DataFrame:
-    """doc_id, lang and text of at most ``sample`` good documents of each language, the first by hash of the id."""
+def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, lang and text of all documents of a known language that are labelled good.
+
+    A bit for the hash of each good id, among 16 to 32 bits an id, is broadcast, so that few other texts are shuffled.
+    """
     good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where("lang is not null").distinct()
-    ids = named.join(good, "doc_id").withColumn("__rank", rank).where(F.col("__rank") <= rules.sample).select("doc_id", "lang")
-    ids = written(ids, "sample-ids")
-    if ids.count() > rules.sample * rules.most_languages:
-        raise ValueError(f"the column lang has more than {rules.most_languages} values with full samples")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
-    again = F.row_number().over(W.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), F.md5(whole("text"))))
-    return texts.withColumn("__rank", again).where(F.col("__rank") <= rules.sample).drop("__rank")
+    size = max(BITMAP, 1 << (16 * good.count()).bit_length())
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    place = {"__map": F.floor(bit / BITMAP), "__at": bit % BITMAP}
+    maps = good.withColumns(place).groupBy("__map").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+    held = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("lang is not null and doc_id is not null")
+    likely = texts.withColumns(place).join(F.broadcast(maps), "__map").where(F.bit_get(held, (F.col("__at") % 8).cast("int")) == 1)
+    # Not broadcast, however few ids, so that the cost is in proportion to the input; the texts need no order. A semi join
+    # would be moved before the filter.
+    return likely.select("doc_id", "lang", "text").join(good.hint("shuffle_hash"), "doc_id")
 
 
 def references(docs: DataFrame, labels: DataFrame, rules: Rules) -> References:
-    sample = written(trusted_sample(docs, labels, rules), "sample")
-    enough = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rules.least_sample)
+    good = written(trusted(docs, labels), "trusted")
+    enough = good.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rules.least_sample)
     languages = sorted(r.lang for r in enough.collect())
     if len(languages) > rules.most_languages:
         raise ValueError(f"{len(languages)} languages are more than {rules.most_languages}")
     if not languages:
         return References()
-    sample = sample.where(F.col("lang").isin(languages))
+    good = good.where(F.col("lang").isin(languages))
     lowered = F.translate(whole("text"), UPPER, LOWERED)
-    counted = sample.select("lang", F.explode(words(lowered)).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = good.select("lang", F.explode(words(lowered)).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = written(counted, "trusted-words")
+    totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    # Ranked alone, so that each task sends the first words of a language only.
     order = W.partitionBy("lang").orderBy(F.desc("n"), "word")
-    total = F.sum("n").over(W.partitionBy("lang"))
-    top = counted.withColumn("total", total).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rules.common)
+    top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rules.common)
     common, shares = [[] for _ in languages], np.zeros((len(languages), rules.common + 1))
     for r in top.orderBy("lang", "rank").collect():
         at = languages.index(r.lang)
-        shares[at, len(common[at])] = r.n / r.total
+        shares[at, len(common[at])] = r.n / totals[r.lang]
         common[at].append(r.word)
     for at, ws in enumerate(common):
         shares[at, -1] = 1 - shares[at, : len(ws)].sum()
@@ -192,12 +198,12 @@ def references(docs: DataFrame, labels: DataFrame, rules: Rules) -> References:
     patterns = [r"[\x20\x09-\x0D]", "[a-z]", "[A-Z]", "[0-9]", r"[.,;:!?'\x22()\-]", None, r"[\x{80}-\x{7FF}]", r"[\x{800}-\x{10FFFF}]"]
     sums = {f"c{i}": F.sum(F.regexp_count(text, F.lit(p))) for i, p in enumerate(patterns) if p}
     classes = np.zeros((len(languages), CLASSES))
-    for r in sample.groupBy("lang").agg(F.sum(F.char_length(text)).alias("total"), *[c.alias(k) for k, c in sums.items()]).collect():
+    for r in good.groupBy("lang").agg(F.sum(F.char_length(text)).alias("total"), *[c.alias(k) for k, c in sums.items()]).collect():
         held = [0 if p is None else r[f"c{i}"] for i, p in enumerate(patterns)]
         held[OTHER_ASCII] = r.total - sum(held)
         classes[languages.index(r.lang)] = np.array(held) / max(1, r.total)
     refs = References(languages, classes, common, shares)
-    judged = written(measured(sample, rules, refs).where(~F.col("base_failed")), "sample-distances")
+    judged = written(measured(good, rules, refs).where(~F.col("base_failed")), "trusted-distances")
     power = F.floor(F.log2("n_words")).cast("int")
     found = judged.withColumn("power", F.explode(F.array(power, F.lit(-1)))).groupBy("lang", "power")
     # The distances are whole numbers up to 10,000, which bounds the state of the percentiles.
@@ -221,9 +227,10 @@ def judged(docs: DataFrame, labels: DataFrame, rules: Rules | None = None, **opt
     short to be judged, or its language has no reference (null, or too few good documents): then the base rule alone decides.
 
     A null or empty text has no words and fails; a null id stays null; repeated rows give a row each; no rows give none, and
-    no labels leave the base rule alone. Other columns are ignored. All documents are read once and not shuffled; a task holds
-    ``slice_bytes`` of text, or one document if that is longer. The references come from the sample described in ``Rules``; sent to
-    the tasks are ``most_languages`` times ``common`` words at most.
+    no labels leave the base rule alone. Other columns are ignored. Documents are judged where they are read; a task holds
+    ``slice_bytes`` of text, or one document if that is longer. The references come from all documents labelled good: their texts
+    are shuffled once, by id, and kept as a table. Sent to the tasks are ``most_languages`` times
+    ``common`` words at most.
     """
     rules = rules or Rules()
     return measured(docs, rules, references(docs, labels, rules), **options)
