@@ -1,5 +1,7 @@
 """Parsers on hand-made edge rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +256,26 @@ def test_boxed_text():
     assert A.strict_boxed_text("\\boxed{a{b}}") == "a{b}"
 
 
+def test_boxed_in_the_jvm(spark):
+    draw = random.Random(5)
+    parts = ["\\boxed", "\\boxed{", "\\boxed ", "{", "}", "}", "$", "é", "\\", "x", "\\box"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(12))) for _ in range(3000)] + [None, "", "\\boxed{}", "\\boxed{a{b}}}", "\\boxed{a{b}", "😀\\boxed{😀{é}}"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", A.boxed(F.col("t")).alias("loose"), A.boxed(F.col("t"), strict=True).alias("strict"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = rows.collect()
+    assert sum(r.loose is not None for r in found) > 300 and sum(r.strict is not None for r in found) > 100
+    for r in found:
+        assert (r.loose, r.strict) == (A.boxed_text(r.t), A.strict_boxed_text(r.t))
+
+
+def test_scores_without_python(spark):
+    source, text, truth = F.col("source"), F.col("text"), F.lit("1234")
+    rows = [("lighteval/MATH", "a \\boxed{1234} #### 5", 1.0), ("lighteval/MATH", "\\boxed{12", 0.0), ("lighteval/MATH", None, 0.0), ("openai/gsm8k", "#### 1,234", 1.0)]
+    scored = spark.createDataFrame(rows, "source string, text string, want double").select("want", A.dispatch_score(source, text, truth).alias("got"))
+    assert "Python" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert all(r.want == r.got for r in scored.collect())
+
+
 @pytest.mark.parametrize(
     "given,expected",
     [("The  Cat's, hat!", "cats hat"), ("an apple a day", "apple day"), ("Theory", "theory"), ("", "")],

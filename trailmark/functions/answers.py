@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,16 +125,36 @@ def strict_boxed_text(text: str | None) -> str | None:
     return None if end < 0 else text[start + len("\\boxed{") : end]
 
 
-def boxed_udf(strict: bool = False):
-    """Brace matching needs a counter, so it runs in Arrow batches; the clean-up stays in the JVM."""
-    extract = strict_boxed_text if strict else boxed_text
+def _enclosed(rest: Column) -> Column:
+    """What stands between the brace that ``rest`` begins with and the one that closes it; null when it stays open."""
+    upto = F.split(rest, r"\}", -1)
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("end"))
+
+    def close(found: Column, part: Column) -> Column:
+        open_ = found.open + F.length(part) - F.length(F.replace(part, F.lit("{"), F.lit(""))) - 1
+        at = found["at"] + F.length(part) + 1
+        end = F.coalesce(found.end, F.when(open_ == 0, at))
+        return F.struct(open_.alias("open"), at.alias("at"), end.alias("end"))
+
+    closed = F.aggregate(F.slice(upto, F.lit(1), F.size(upto) - 1), start, close).end
+    return let(closed, lambda end: F.substr(rest, F.lit(2), end - 2))
+
+
+def boxed(text: Column, strict: bool = False) -> Column:
+    """:func:`boxed_text`, or :func:`strict_boxed_text`, as an expression; it only looks at the text from the last box on."""
+    after = "\\boxed{" if strict else "\\boxed"
 
-    @F.pandas_udf("string")
-    def boxed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(extract, na_action="ignore").astype(object)
+    def inner(t: Column) -> Column:
+        rest = F.substring_index(t, after, -1)
+        if strict:
+            rest = F.concat(F.lit("{"), rest)
+        out = F.when(t.contains(after) & rest.startswith("{"), let(rest, _enclosed))
+        if strict:
+            return out
+        spaced = "\\boxed "
+        return F.when(t.contains(spaced), F.substring_index(F.substring_index(t, spaced, -1), "$", 1)).otherwise(out)
 
-    return boxed
+    return let(text, inner)
 
 
 def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -180,13 +197,12 @@ def math_boxed_score(text: Column, truth: Column) -> Column:
         cleanable = (X.count_of(answer, unit) <= 1) & (X.count_of(truth, unit) <= 1)
         return F.when(cleanable, clean_latex(answer) == clean_latex(truth)).otherwise(answer == truth)
 
-    # Spark extracts equal Python calls once and runs them before the rest.
-    return F.when(F.coalesce(same(boxed_udf()(text)), F.lit(False)), 1.0).otherwise(0.0)
+    return F.when(F.coalesce(let(boxed(text), same), F.lit(False)), 1.0).otherwise(0.0)
 
 
 def strict_box_score(text: Column, truth: Column, within: int | None = 100) -> Column:
     """Plus or minus one by the boxed answer in the last ``within`` characters (None: in the whole text)."""
-    return F.when(F.coalesce(boxed_udf(strict=True)(tail(text, within)) == truth, F.lit(False)), 1.0).otherwise(-1.0)
+    return F.when(F.coalesce(boxed(tail(text, within), strict=True) == truth, F.lit(False)), 1.0).otherwise(-1.0)
 
 
 def dispatch_score(source: Column, text: Column, truth: Column) -> Column:
