@@ -13,9 +13,13 @@ from trailmark.sources.schemas import SFT_SAMPLE, schema
 
 
 def write_samples(df: DataFrame, path: str, by: Sequence[str] = ("version", "split")) -> None:
-    """Nested samples in one folder per version and split, with the fixed sample schema."""
+    """Nested samples in one folder per version and split, with the fixed sample schema.
+
+    The writer sorts a task's rows by folder, so they are dealt out first: a small file may be a single task and give many rows.
+    """
     fixed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema(SFT_SAMPLE)]
-    df.select(*fixed, *by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    dealt = [F.col(f.name) for f in schema(SFT_SAMPLE)]
+    df.select(*fixed, *by).hint("rebalance", *dealt).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def complete_columns(df: DataFrame, required: Sequence[str], extras: Sequence[str]) -> list[str]:
