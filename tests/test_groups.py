@@ -465,3 +465,54 @@ def test_draws_do_not_wait_in_one_task(spark):
     for out in (V.bootstrap_extremes(V.value_ladder(long)), V.majority_draws(long.withColumn("p", F.col("value") % 3), V.GROUP, "p", "value")):
         dealt = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in line]
         assert dealt and all(f", {n})" in line for line in dealt)
+
+
+def prompt_metrics(rows):
+    """Mean over prompts of each metric, by plain Python: the best of k has rank r or less with chance (r / n) ** k."""
+    groups, found = {}, {}
+    for source, uid, value in rows:
+        if value is not None:
+            groups.setdefault((source, uid), []).append(value)
+    for (source, _), values in groups.items():
+        n, up = len(values), np.sort(values)
+        found.setdefault((source, f"mean@{n}"), []).append(up.mean())
+        if n > 1:
+            found.setdefault((source, f"std@{n}"), []).append(up.std())
+        for k in [2**i for i in range(1, n.bit_length()) if 2**i < n] + [n] * (n > 1):
+            p = np.diff((np.arange(n + 1) / n) ** k)
+            for side, chance in (("best", p), ("worst", p[::-1])):
+                mean = chance @ up
+                found.setdefault((source, f"{side}@{k}/mean"), []).append(mean)
+                found.setdefault((source, f"{side}@{k}/std"), []).append(max(chance @ up**2 - mean**2, 0) ** 0.5)
+    return {key: np.mean(values) for key, values in found.items()}
+
+
+@pytest.mark.parametrize("hot_rows", [10_000, 20, 1])
+def test_validation_metrics_with_and_without_hot_prompts(spark, monkeypatch, hot_rows):
+    # No prompt, one or every prompt is spread over value buckets; prompts and values may be null, and values repeat.
+    monkeypatch.setattr(O, "HOT_ROWS", hot_rows)
+    rows = [("s", "hot" if i % 3 == 0 else f"u{i % 40}", float(i % 7)) for i in range(150)]
+    rows += [("t", None, 1.0), ("t", None, 3.0), ("t", "none", None), (None, "u1", 2.0), ("t", "one", -0.0), ("t", "two", 0.0), ("t", "two", -0.0)]
+    df = spark.createDataFrame(rows, "data_source string, uid string, v double")
+    got = {(r.data_source, r.metric): r.value for r in V.validation_metrics(df, ["v"]).collect()}
+    assert got == pytest.approx(prompt_metrics(rows))
+    ladder = O.value_ladder(df.withColumnRenamed("v", "value"), ["data_source", "uid"])
+    assert ladder.columns == ["data_source", "uid", "value", "c", "upto", "n"]
+    assert [(r.value, r.c, r.upto, r.n) for r in ladder.where("uid = 'hot'").orderBy("value").collect()] == [
+        (float(v), c, u, 50) for v, c, u in zip(range(7), [8, 7, 7, 7, 7, 7, 7], accumulate([8, 7, 7, 7, 7, 7, 7]), strict=True)
+    ]
+    assert O.value_ladder(df.where("false").withColumnRenamed("v", "value"), ["data_source", "uid"]).count() == 0
+
+
+def test_small_prompts_are_shuffled_once(spark):
+    df = spark.createDataFrame([("s", f"u{i % 30}", float(i)) for i in range(90)], "data_source string, uid string, v double")
+    plan = V.validation_metrics(df, ["v"])._jdf.queryExecution().executedPlan().toString()
+    # The samples (both uses are one shuffle) and the means per size; no shuffle of ladders, and no join.
+    shuffles = [line for line in plan.splitlines() if " Exchange " in line]
+    assert sum("REPARTITION_BY_NUM" in line for line in shuffles) == 2
+    assert len(shuffles) == 4 and "Join" not in plan
+
+
+def test_draw_sizes(spark):
+    sizes = {r.n: r.k for r in spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 4, 5, 8, 9, 2**40 + 1, None)], "n long").select("n", V.draw_sizes(F.col("n")).alias("k")).collect()}
+    assert sizes == {0: [], 1: [], None: [], 2: [2], 3: [2, 3], 4: [2, 4], 5: [2, 4, 5], 8: [2, 4, 8], 9: [2, 4, 8, 9], 2**40 + 1: [2**i for i in range(1, 41)] + [2**40 + 1]}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from hashlib import md5
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from trailmark.functions import constants as K
-from trailmark.operators.ordering import BUCKETS, at_ranks, hash_bucket, ranked, value_ladder
+from trailmark.operators.ordering import BUCKETS, at_ranks, hash_bucket, ranked, small_ladder, split_hot, spread_ladder, value_ladder
 from trailmark.operators.profiles import percentile_row
 from trailmark.session import written
 
@@ -33,14 +34,15 @@ def melt(df: DataFrame, variables: Sequence[str], keys: Sequence[str]) -> DataFr
 
 def draw_sizes(n: Column) -> Column:
     """2, 4, 8, ... below n, then n; empty for n <= 1."""
-    powers = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.pow(F.lit(2.0), i).cast("bigint"))
-    below = F.filter(powers, lambda p: p < n)
+    powers = F.array(*[F.lit(2**i).cast("bigint") for i in range(1, 41)])
+    # As many as n - 1 has binary digits after the first; a slice of a fixed array costs less a row than a filter.
+    below = F.slice(powers, F.lit(1), F.length(F.bin(n - 1)) - 1)
     return F.when(n > 1, F.concat(below, F.array(n.cast("bigint")))).otherwise(F.array().cast("array<bigint>"))
 
 
 def extremes(ladder: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     """Exact mean and deviation of the best and worst of k draws with replacement, for each draw size."""
-    rows = ladder.withColumn("k", F.explode(draw_sizes(F.col("n"))))
+    rows = ladder.where("n > 1").withColumn("k", F.explode(draw_sizes(F.col("n"))))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     top, under = F.col("upto") / n, (F.col("upto") - F.col("c")) / n
     p_best = F.pow(top, k) - F.pow(under, k)
@@ -302,33 +304,37 @@ def validation_metrics(df: DataFrame, variables: Sequence[str], source: str = "d
     Returns ``data_source, variable, metric, value``.
     """
     named = df.withColumnsRenamed({source: "data_source", uid: "uid"})
-    keys = ["data_source", "uid"] + ([pred] if pred else [])
-    long = melt(named, variables, keys)
-    plain = long.groupBy(*GROUP).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    plain = plain.where("n > 0")
-
-    def lines(*items: tuple[Column, Column]) -> Column:
-        entries = F.array(*[F.struct(name.alias("metric"), value.alias("value")) for name, value in items])
-        return F.inline(F.filter(entries, lambda e: e.metric.isNotNull()))
-
-    def at(name: str, size: str, suffix: str = "") -> Column:
-        return F.concat(F.lit(f"{name}@"), F.col(size).cast("string"), F.lit(suffix))
-
-    parts = [plain.select(*GROUP, lines((at("mean", "n"), F.col("mean")), (F.when(F.col("n") > 1, at("std", "n")), F.col("std"))))]
-    drawn = extremes(value_ladder(long.drop(pred) if pred else long))
-    parts.append(
-        drawn.select(
-            *GROUP,
-            lines(*[(at(side, "k", f"/{stat}"), F.col(f"{side}_{stat}")) for side in ("best", "worst") for stat in ("mean", "std")]),
-        )
-    )
+    prompt = ["data_source", "uid"]
+    # Samples are shuffled once, before they are melted, and both the plain and the drawn statistics are made where they lie.
+    small, hot = split_hot(named.select(*prompt, *variables), prompt)
+    parts = [(melt(small, variables, prompt), small_ladder)]
+    if hot is not None:
+        parts.append((melt(hot, variables, prompt), spread_ladder))
+    plain = reduce(DataFrame.unionByName, [plain_statistics(long) for long, _ in parts])
+    drawn = reduce(DataFrame.unionByName, [extremes(ladder(long, GROUP)) for long, ladder in parts])
+
+    def averaged(stats: DataFrame, size: str, names: dict[str, str]) -> DataFrame:
+        """Means over the prompts with the same size, which has a metric of its own for each statistic."""
+        means = stats.groupBy("data_source", "variable", size).agg(*[F.avg(c).alias(c) for c in names])
+        entries = []
+        for c, name in names.items():
+            side, _, stat = name.partition("/")
+            metric = F.concat(F.lit(f"{side}@"), F.col(size).cast("string"), F.lit(f"/{stat}" if stat else ""))
+            entries.append(F.struct(F.when(F.lit(name != "std") | (F.col(size) > 1), metric).alias("metric"), F.col(c).alias("value")))
+        return means.select("data_source", "variable", F.inline(F.filter(F.array(*entries), lambda e: e.metric.isNotNull())))
+
+    sides = {f"{side}_{stat}": f"{side}/{stat}" for side in ("best", "worst") for stat in ("mean", "std")}
+    every = averaged(plain, "n", {"mean": "mean", "std": "std"}).unionByName(averaged(drawn, "k", sides))
     if pred:
-        votes = majority_draws(long, GROUP, pred, "value", seed)
-        parts.append(votes.select(*GROUP, lines(*[(at("maj", "k", f"/{s}"), F.col(f"maj_{s}")) for s in ("mean", "std")])))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.groupBy("data_source", "variable", "metric").agg(F.avg("value").alias("value"))
+        votes = majority_draws(melt(named, variables, [*prompt, pred]), GROUP, pred, "value", seed)
+        every = every.unionByName(averaged(votes, "k", {f"maj_{stat}": f"maj/{stat}" for stat in ("mean", "std")}))
+    return every
+
+
+def plain_statistics(long: DataFrame) -> DataFrame:
+    """Count, mean and deviation of the values of each group that has one."""
+    stats = [F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")]
+    return long.groupBy(*GROUP).agg(*stats).where("n > 0")
 
 
 def merge_validation(a: DataFrame, b: DataFrame, variables: Sequence[str], **kwargs) -> DataFrame:

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 QUANTILES = 256
+# Groups are counted by ``PLACES`` hashes. A place with ``HOT_ROWS`` rows and 1/``HOT_SHARE`` of all of them is hot.
+PLACES, HOT_ROWS, HOT_SHARE = 65536, 10_000, 1000
+LEAST_TASKS, TASK_ROWS = 8, 20_000
 
 
 def seed_hash(seed: int | str, *keys: Column | str) -> Column:
@@ -191,11 +194,47 @@ def at_ranks(ladder: DataFrame, wanted: DataFrame, group: Sequence[str], rank: s
     return found.select("__row.*", "__value.*")
 
 
+def split_hot(df: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups that fit a task, each group in one partition, and those of the others, None if there are none.
+
+    A job of counts while planning finds the places of hot groups, ``HOT_SHARE`` at most, so that a table without any is
+    planned without them. A small group in the place of a hot one goes with it. Partitions number one for every
+    ``TASK_ROWS`` rows, but ``LEAST_TASKS`` at least and at most as many as the session shuffles into: the rows grow
+    after this shuffle, by melting or by draw sizes, so adaptive execution must not merge it by its bytes.
+    """
+    place = F.pmod(F.xxhash64(*group), F.lit(PLACES))
+    counts = df.groupBy(place.alias("__place")).agg(F.count(F.lit(1)).alias("__n"))
+    large = F.collect_list(F.when(F.col("__n") >= HOT_ROWS, F.struct("__place", "__n")))
+    total, large = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)), large).first()
+    hot = [at for at, n in large if n * HOT_SHARE >= total]
+    n = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(LEAST_TASKS, total // TASK_ROWS))
+    if not hot:
+        return df.repartition(n, *group), None
+    return df.where(~place.isin(hot)).repartition(n, *group), df.where(place.isin(hot))
+
+
 def value_ladder(long: DataFrame, group: Sequence[str] = ("data_source", "uid", "variable")) -> DataFrame:
     """Distinct values of each group with their count, the count up to them and the group size.
 
-    Values are counted first and cumulated over value buckets, so a large group spreads.
+    A group lies in one partition unless it is hot: the values of a hot one are cumulated over value buckets.
     """
+    small, hot = split_hot(long, group)
+    return small_ladder(small, group) if hot is None else small_ladder(small, group).unionByName(spread_ladder(hot, group))
+
+
+def small_ladder(long: DataFrame, group: Sequence[str]) -> DataFrame:
+    """:func:`value_ladder` of rows whose groups lie in one partition each, as :func:`split_hot` has them: nothing is shuffled."""
+    # Rows are sorted by a hash of the group, which tells most groups apart by its first eight bytes.
+    keyed = long.where("value is not null").withColumn("__hash", F.xxhash64(*group))
+    counted = keyed.groupBy("__hash", *group, "value").agg(F.count(F.lit(1)).alias("c"))
+    inside = W.partitionBy("__hash", *group).orderBy("value")
+    upto = F.sum("c").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
+    n = F.sum("c").over(inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return counted.withColumns({"upto": upto, "n": n}).drop("__hash")
+
+
+def spread_ladder(long: DataFrame, group: Sequence[str]) -> DataFrame:
+    """:func:`value_ladder` for groups that may hold most rows: values are counted first and cumulated over value buckets."""
     return counted_ladder(long.where("value is not null").groupBy(*group, "value").agg(F.count(F.lit(1)).alias("c")), group)
 
 

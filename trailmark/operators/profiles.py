@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.operators.ordering import ladder_percentiles, value_ladder
+from trailmark.operators.ordering import ladder_percentiles, spread_ladder
 
 
 def percentile_row(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
@@ -16,7 +16,7 @@ def percentile_row(df: DataFrame, value: str, probs: Sequence[float]) -> DataFra
     Values are counted first, so a value that holds a third of the rows is one row from then on,
     and the cumulative counts are taken over value buckets instead of in one task.
     """
-    ladder = value_ladder(df.select(F.lit(0).alias("__all"), F.col(value).cast("double").alias("value")), ["__all"])
+    ladder = spread_ladder(df.select(F.lit(0).alias("__all"), F.col(value).cast("double").alias("value")), ["__all"])
     row = ladder_percentiles(ladder, ["__all"], probs).drop("__all")
     # One row of nulls if there is no value.
     return row.agg(*[F.first(c).alias(c) for c in row.columns])
@@ -54,7 +54,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     moments = long.groupBy("column").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
     )
-    quartiles = ladder_percentiles(value_ladder(long, ["column"]), ["column"], [0.25, 0.5, 0.75])
+    quartiles = ladder_percentiles(spread_ladder(long, ["column"]), ["column"], [0.25, 0.5, 0.75])
     # A row for each column, also of an empty table.
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     return names.join(F.broadcast(moments), "column", "left").join(F.broadcast(quartiles), "column", "left").na.fill(0, ["n"])
