@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from trailmark.operators.ordering import HOT_SHARE, join_null_safe
 
-# A group with at least 1/HOT_SHARE of all rows is hot, so there are at most HOT_SHARE of them.
 SALTS = 4096
 
 

@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 QUANTILES = 256
-# Groups are counted by ``PLACES`` hashes. A place with ``HOT_ROWS`` rows and 1/``HOT_SHARE`` of all of them is hot.
-PLACES, HOT_ROWS, HOT_SHARE = 65536, 10_000, 1000
+# A group with at least 1/HOT_SHARE of all rows is hot, so there are at most HOT_SHARE of them.
+HOT_SHARE = 1000
+# ``split_hot`` counts groups by ``PLACES`` hashes; a hot place has ``HOT_ROWS`` rows at least.
+PLACES, HOT_ROWS = 65536, 10_000
+# Partitions that small groups are shuffled into.
 LEAST_TASKS, TASK_ROWS = 8, 20_000
 
 
