@@ -459,6 +459,28 @@ def test_many_predictions_are_merged_in_steps(spark):
     assert got["b", 3].maj_mean == 1.0
 
 
+def test_draws_of_a_whole_group_stay_in_its_task(spark, monkeypatch):
+    """The sums of a group are those of its spread draws, and no draw of a group with few predictions is shuffled."""
+    rows = [("a", i % 3, i / 7) for i in range(5)] + [("b", None, 1.5), ("b", 2, None), ("b", 2, None), ("b", "", 0.5), ("c", 1, 2.0)]
+    rows += [("d", i * i % 23, float(i % 10)) for i in range(700)] + [(None, i, 1.0 + i) for i in range(2)]
+    df = spark.createDataFrame([(g, None if p is None else str(p), v) for g, p, v in rows], "uid string, p string, v double")
+    spread, parts = V.spread_draws, []
+
+    def spreading(votes, *rest):
+        parts.append(votes.select("__g.uid").distinct().count())
+        return spread(votes, *rest)
+
+    monkeypatch.setattr(V, "spread_draws", spreading)
+    found = lambda: {(r.uid, r.k): (r.maj_mean, r.maj_std) for r in V.majority_draws(df, ["uid"], "p", "v", draws=1100).collect()}
+    got = found()
+    assert parts == []
+    monkeypatch.setattr(V, "MERGED_BITS", 1)
+    want = found()
+    assert parts == [3] and len(got) == 3 + 2 + 10 + 1 and set(got) == set(want)
+    for key, (mean, std) in want.items():
+        assert got[key] == (pytest.approx(mean, rel=1e-12, nan_ok=True), pytest.approx(std, abs=1e-6))
+
+
 def test_draws_do_not_wait_in_one_task(spark):
     long = spark.createDataFrame([("s", f"u{i % 40}", "x", float(i)) for i in range(120)], "data_source string, uid string, variable string, value double")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

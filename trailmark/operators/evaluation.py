@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 from hashlib import md5
 
 import numpy as np
@@ -262,23 +262,111 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["key"], pa.array(m, pa.float64()), pa.array(q, pa.float64()), pa.array(n, pa.int64())], names=["key", "m", "q", "n"])
 
 
+@lru_cache(maxsize=256)
+def draw_ends(first: int, count: int, level: int, node: int, part: int) -> list[bytes]:
+    """What follows the keys of a group in the digests of ``count`` draws from ``first`` on, at one node of the tree."""
+    return [b"%d|%d|%d|%d" % (d, level, node, part) for d in range(first, first + count)]
+
+
+def leaves(c: np.ndarray, k: int, head: bytes, first: int, count: int) -> dict[int, np.ndarray]:
+    """:func:`multinomial_draws` of one group with counts ``c``: how often each prediction that is drawn at all comes in each draw."""
+    xs = {0: np.full(count, k, np.int64)}
+    for level in range((len(c) - 1).bit_length()):
+        below = {}
+        for node, x in xs.items():
+
+            def drawn(at: np.ndarray, part: int, level=level, node=node) -> np.ndarray:
+                ends = draw_ends(first, count, level, node, part)
+                return uniforms(head, ends if len(at) == count else [ends[i] for i in at.tolist()])
+
+            left = binomial(x, int(c[node :: 2 << level].sum()), int(c[node :: 1 << level].sum()), drawn)
+            below |= {j: half for j, half in ((node, left), (node + (1 << level), x - left)) if half.any()}
+        xs = below
+    return xs
+
+
+def whole_groups(seed: int, draws: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """__g, k, m, q, n of groups that are one row each: what :func:`summed` gives, without a draw that leaves its task."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source, sums = [], {name: [] for name in "kmqn"}
+            for row, (keys, sizes, *votes) in enumerate(zip(*(batch[x].to_pylist() for x in ("keys", "sizes", "c", "m", "q")), strict=True)):
+                c, has = np.array(votes[0], np.int64), np.array([m is not None for m in votes[1]])
+                values = [np.array([v or 0.0 for v in column], np.float64) for column in votes[1:]]
+                for k in sizes:
+                    head, found, n = f"{seed}|{keys}|{k}|".encode(), [0.0, 0.0], 0
+                    for first in range(1, draws + 1, DRAWS_PER_ROW):
+                        drawn = leaves(c, k, head, first, min(DRAWS_PER_ROW, draws + 1 - first))
+                        j, xs = list(drawn), np.stack(list(drawn.values()))
+                        won = xs == xs.max(axis=0)
+                        ties = (won & has[j, None]).sum(axis=0)
+                        for i, value in enumerate(values):
+                            found[i] += float((np.where(won, value[j, None], 0.0).sum(axis=0)[ties > 0] / ties[ties > 0]).sum())
+                        n += int((ties > 0).sum())
+                    source.append(row)
+                    for name, x in zip("kmqn", (k, *found, n), strict=True):
+                        sums[name].append(x)
+            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64())
+            columns = [batch["__g"].take(pa.array(source, pa.int32())), *(pa.array(sums[x], t) for x, t in zip("kmqn", kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=["__g", *"kmqn"])
+
+    return draw
+
+
 def majority_draws(df: DataFrame, group: Sequence[str], pred: str, value: str, seed: int = 42, draws: int = 1000) -> DataFrame:
     """Mean and deviation of the majority value of k draws with replacement.
 
     Only the counts of each prediction decide the vote, so they are drawn (multinomial) instead of
     samples; tied predictions are equally likely to come first, and the first value within the
     winner is any of its values. A group is reduced to its distinct predictions beforehand, the frequent ones first.
-    The winners are found up the tree, ``2 ** MERGED_BITS`` predictions or subtrees at a time.
+    A group of ``2 ** MERGED_BITS`` predictions at most is drawn as a whole, and only its sums leave the task; the samples of a
+    group of no more than so many are shuffled once. The draws of other groups are spread.
     """
-    votes = df.groupBy(*group, pred).agg(
-        F.count(F.lit(1)).alias("c"), F.avg(value).alias("m"), F.avg(F.col(value) * F.col(value)).alias("q")
-    )
+    group, most = list(group), 1 << MERGED_BITS
+    n = tasks(df)
+
+    def voted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*group, pred).agg(
+            F.count(F.lit(1)).alias("c"), F.avg(value).alias("m"), F.avg(F.col(value) * F.col(value)).alias("q")
+        )
+
     digest = F.md5(F.coalesce(F.col(pred).cast("string"), F.lit("")))
     halving = -F.floor(F.log2("c"))
-    bucket = halving * BUCKETS + hash_bucket(digest)
-    votes = ranked(votes, [digest, F.col(pred)], bucket, list(group), "r")
     keys = F.concat_ws("|", *[F.col(c).cast("string") for c in group]).alias("keys")
-    votes = written(votes.select(F.struct(*group).alias("__g"), keys, (F.col("r") - 1).cast("bigint").alias("j"), "c", "m", "q"), "votes")
+
+    def whole(votes: DataFrame) -> DataFrame:
+        """The sums of groups whose votes meet in one partition."""
+        ordered = F.sort_array(F.collect_list(F.struct(halving.alias("halving"), digest.alias("digest"), F.col(pred).alias("pred"), "c", "m", "q")))
+        groups = votes.groupBy(*group).agg(F.sum("c").alias("n"), ordered.alias("votes")).where("n > 1")
+        given = groups.select(F.struct(*group).alias("__g"), keys, draw_sizes(F.col("n")).alias("sizes"), "votes.c", "votes.m", "votes.q")
+        shape = StructType([given.schema["__g"]]).add("k", "long").add("m", "double").add("q", "double").add("n", "long")
+        return given.mapInArrow(whole_groups(seed, draws), shape)
+
+    # Few places have more samples than a group that is drawn as a whole has predictions.
+    placed = df.withColumn("__place", F.xxhash64(*group))
+    full = written(placed.groupBy("__place").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).select("__place"), "full-places")
+    if full.isEmpty():
+        sums = whole(voted(df.repartition(n, *group)))
+    else:
+        few = placed.join(full, "__place", "left_anti").drop("__place")
+        votes = written(voted(placed.join(full, "__place", "left_semi").drop("__place")), "many-votes")
+        sizes = votes.groupBy(F.xxhash64(*group).alias("__place")).agg(F.count(F.lit(1)).alias("__n"))
+        many = written(sizes.where(F.col("__n") > most).select("__place"), "many-predictions")
+        spread = votes.withColumn("__place", F.xxhash64(*group))
+        sums = whole(voted(few.repartition(n, *group))).unionByName(whole(spread.join(many, "__place", "left_anti").repartition(n, *group)))
+        if not many.isEmpty():
+            rows = spread.join(many, "__place", "left_semi").drop("__place")
+            rows = ranked(rows, [digest, F.col(pred)], halving * BUCKETS + hash_bucket(digest), group, "r")
+            rows = rows.select(F.struct(*group).alias("__g"), keys, (F.col("r") - 1).cast("bigint").alias("j"), "c", "m", "q")
+            sums = sums.unionByName(spread_draws(written(rows, "votes"), seed, draws))
+    out = sums.select("__g", "k", F.try_divide("m", "n").alias("maj_mean"), F.try_divide("q", "n").alias("sq"))
+    variance = F.col("sq") - F.col("maj_mean") * F.col("maj_mean")
+    return out.select("__g.*", "k", "maj_mean", F.sqrt(F.when(variance > 0, variance).otherwise(0.0)).alias("maj_std"))
+
+
+def spread_draws(votes: DataFrame, seed: int, draws: int) -> DataFrame:
+    """__g, k, m, q, n: the sums of the values of the winners, found up the tree, ``2 ** MERGED_BITS`` predictions or subtrees at a time."""
     n = tasks(votes)
     drawn = multinomial_draws(votes, seed, draws).repartition(n, "__g", "j")
     named = drawn.join(votes.select("__g", "j", "m", "q").repartition(n, "__g", "j"), ["__g", "j"])
@@ -292,10 +380,7 @@ def majority_draws(df: DataFrame, group: Sequence[str], pred: str, value: str, s
         if bits <= 0:
             break
     shape = StructType([best.schema["key"]]).add("m", "double").add("q", "double").add("n", "long")
-    sums = best.mapInArrow(summed, shape).groupBy("key.__g", "key.k").agg(*[F.sum(c).alias(c) for c in ("m", "q", "n")])
-    out = sums.select("__g", "k", F.try_divide("m", "n").alias("maj_mean"), F.try_divide("q", "n").alias("sq"))
-    variance = F.col("sq") - F.col("maj_mean") * F.col("maj_mean")
-    return out.select("__g.*", "k", "maj_mean", F.sqrt(F.when(variance > 0, variance).otherwise(0.0)).alias("maj_std"))
+    return best.mapInArrow(summed, shape).groupBy("key.__g", "key.k").agg(*[F.sum(c).alias(c) for c in ("m", "q", "n")])
 
 
 def validation_metrics(df: DataFrame, variables: Sequence[str], source: str = "data_source", uid: str = "uid", pred: str | None = None, seed: int = 42) -> DataFrame:
